@@ -23,6 +23,9 @@ LABEL_COLUMNS = {
     "is_emoji_only": "boolean",
     "analyzed_at": "timestamp_ntz",
 }
+# Weights are summed as whole ten-thousandths: the result does not depend on the
+# order in which partitions arrive.
+WEIGHT_SCALE = 10000.0
 BUCKETS = ("meaningful", "generic", "mention_only", "emoji_only")
 
 
@@ -79,14 +82,14 @@ def quality_summary(labelled: DataFrame, counts: DataFrame, empty_policy: str =
     very many comments reaches the second one as at most a dozen rows.
     """
     per_label = labelled.groupBy("song_id", "quality_label").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("quality_weight").alias("_w")
+        F.count(F.lit(1)).alias("_n"), F.sum(F.round(F.col("quality_weight") * WEIGHT_SCALE).cast("long")).alias("_w")
     )
     bucket = quality_bucket("quality_label")
     entry = F.struct((-F.col("_n")).alias("n"), F.col("quality_label").alias("l"))
     per_song = per_label.groupBy(F.col("song_id").alias("id")).agg(
         F.sum("_n").alias("analyzed_comment_count"),
         *[F.sum(F.when(bucket == b, F.col("_n")).otherwise(0)).alias(f"{b}_count") for b in BUCKETS],
-        F.sum("_w").alias("_sum"),
+        (F.coalesce(F.sum("_w"), F.lit(0)) / F.lit(WEIGHT_SCALE)).alias("_sum"),
         F.sort_array(F.collect_list(entry)).alias("_labels"),
     )
     out = counts.select("id", F.col("comment_count").cast("double").alias("comment_count")).join(per_song, "id", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from chartlake.operators.catalog import align_schema
 
-POINTER = "_current"
+POINTER = "CURRENT"
 DOCUMENT_KEY = "latest"
 
 
@@ -56,7 +56,7 @@ def replace_snapshot(df: DataFrame, table: str, partition_by: Sequence[str] = ()
     version = f"v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{table}/{version}")
     fs = _filesystem(spark, table)
-    staged = _path(spark, f"{table}/{POINTER}-{version}")
+    staged = _path(spark, f"{table}/_{POINTER}-{version}")
     out = fs.create(staged, True)
     out.write(bytearray(version.encode("utf-8")))
     out.close()

@@ -200,7 +200,7 @@ def shard_assign(d):
 FAILURE_SQL = """
     SELECT f.*, fetch_fail_count + 1 AS fails, CASE WHEN play_count = 0 THEN 'HTTP 404' WHEN play_count = 1 THEN ''
              ELSE 'timeout' END AS err,
-           fetch_fail_count + 1 >= 10 OR play_count = 0 AS freeze,
+           fetch_fail_count + 1 >= 10 OR play_count = 0 AS froze,
            CASE WHEN status = 'private' OR fetch_fail_count + 1 >= 10 THEN 'frozen'
                 WHEN created_at IS NULL OR created_at >= TIMESTAMP '2024-01-27' THEN 'hot' WHEN playlist_ref_count THEN 'playlist'
                 WHEN handle IN ('u3', 'u5', 'u7', 'u11') THEN 'warm' ELSE 'cold' END AS t2
@@ -210,9 +210,9 @@ FAILURE_SQL = """
 
 @check(
     "fetch_failures",
-    f"""WITH f AS ({FAILURE_SQL}), g AS (SELECT *, CASE WHEN freeze THEN 'frozen' ELSE t2 END AS tier2 FROM f)
+    f"""WITH f AS ({FAILURE_SQL}), g AS (SELECT *, CASE WHEN froze THEN 'frozen' ELSE t2 END AS tier2 FROM f)
         SELECT id, fails AS fetch_fail_count, CASE WHEN err = '' THEN 'fetch_failed' ELSE err END AS last_fetch_error,
-          tier2 AS update_tier, CASE WHEN freeze THEN 'frozen' WHEN status = '' THEN 'active' ELSE status END AS status,
+          tier2 AS update_tier, CASE WHEN froze THEN 'frozen' WHEN status = '' THEN 'active' ELSE status END AS status,
           TIMESTAMP '2024-01-31' + to_hours(CASE WHEN fails >= 10 THEN 168
             WHEN fails >= 3 AND tier2 <> 'frozen' THEN greatest(CASE tier2 WHEN 'hot' THEN 0 WHEN 'playlist' THEN 24
               WHEN 'warm' THEN 6 ELSE 72 END, 24)

@@ -71,8 +71,8 @@ def ts_serialize(d):
 @check(
     "time_display",
     f"""SELECT event_id, coalesce(strftime(p, '%Y-%m-%d %H:%M UTC'), '-') AS shown,
-          coalesce(strftime(p, CASE WHEN event_type = 'click' THEN '%Y-%m-%dT%H:%M:%S+00:00' ELSE '%Y-%m-%dT%H:%M:%S.%f+00:00' END), '')
-            AS iso, coalesce(strftime(p, '%m-%d %H:%M'), '-') AS short
+          coalesce(CASE WHEN event_type = 'click' THEN strftime(p, '%Y-%m-%dT%H:%M:%S+00:00')
+            ELSE strftime(p, '%Y-%m-%dT%H:%M:%S.%f+00:00') END, '') AS iso, coalesce(strftime(p, '%m-%d %H:%M'), '-') AS short
         FROM (SELECT event_id, event_type, {PARSED_SQL} AS p FROM events)""",
 )
 def time_display(d):

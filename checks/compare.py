@@ -8,9 +8,9 @@ import glob
 import os
 import sys
 import time
+from collections import Counter
 
 import duckdb
-import pandas as pd
 
 DEFAULT_FOLDER = "/root/testdata/sf0.01"
 
@@ -24,32 +24,32 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    """Typed text of a value, so that 1, 1.0 and "1" differ."""
+    if v is None or (isinstance(v, float) and v != v):
         return "null"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
-        return str(bool(v)).lower()
-    if isinstance(v, float) or type(v).__name__ in ("float64", "float32"):
-        return repr(round(float(v), 9) + 0.0)
-    if isinstance(v, (pd.Timestamp,)):
-        return v.isoformat()
-    return str(v)
+    if isinstance(v, bool):
+        return f"b:{v}"
+    if isinstance(v, int):
+        return f"i:{v}"
+    if isinstance(v, float):
+        return f"f:{round(v, 9) + 0.0!r}"
+    return f"{type(v).__name__}:{v}"
 
 
-def rows(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(_cell(v) for v in r) for r in frame.itertuples(index=False, name=None))
+def compare(columns, got, want_columns, want) -> str:
+    """Empty text when equal, otherwise the first difference."""
+    if sorted(columns) != sorted(want_columns):
+        return f"columns {sorted(columns)} != {sorted(want_columns)}"
 
+    def rows(names, data):
+        places = [names.index(n) for n in sorted(names)]
+        return Counter(tuple(_cell(r[i]) for i in places) for r in data)
 
-def compare(got: pd.DataFrame, want: pd.DataFrame) -> str:
-    """Empty text when equal, otherwise the first difference."""
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
-    a, b = rows(got), rows(want)
+    a, b = rows(list(columns), got), rows(list(want_columns), want)
     if a == b:
         return ""
-    only_a = [r for r in a if r not in set(b)][:2]
-    only_b = [r for r in b if r not in set(a)][:2]
-    return f"rows {len(a)} vs {len(b)}; spark only {str(only_a)[:600]}; sql only {str(only_b)[:600]}"
+    only_a, only_b = list((a - b))[:2], list((b - a))[:2]
+    return f"rows {len(got)} vs {len(want)}; spark only {str(only_a)[:600]}; sql only {str(only_b)[:600]}"
 
 
 def run(spark, folder: str, names=None) -> dict[str, str]:
@@ -60,10 +60,16 @@ def run(spark, folder: str, names=None) -> dict[str, str]:
     for name in names or QUERIES:
         start = time.time()
         try:
-            got = QUERIES[name](spark, folder).toPandas()
+            df = QUERIES[name](spark, folder)
+            got = df.collect()
             spent = time.time() - start
             if name in ORACLES:
-                result[name] = compare(got, con.execute(ORACLES[name]).df())
+                cursor = con.execute(ORACLES[name])
+                kinds = [(c[0], str(c[1])) for c in cursor.description]
+                wide = [c for c in kinds if "HUGEINT" in c[1] or "DECIMAL" in c[1]]
+                result[name] = compare(df.columns, got, [c[0] for c in kinds], cursor.fetchall())
+                if wide and not result[name]:
+                    result[name] = f"wide SQL types {wide}"
             else:
                 result[name] = "" if len(got) else "no rows"
         except Exception as exc:  # reported, not hidden

@@ -13,7 +13,8 @@ from checks.registry import check
 SUMMARY_SQL = """
     SELECT song_id, count(*) AS n, count(*) FILTER (bucket = 'meaningful') AS m, count(*) FILTER (bucket = 'generic') AS g,
            count(*) FILTER (bucket = 'mention_only') AS o, count(*) FILTER (bucket = 'emoji_only') AS e,
-           sum(quality_weight) AS w, greatest(0, least(1, sum(quality_weight) / count(*))) AS ratio,
+           sum(round(quality_weight * 10000)::BIGINT)::BIGINT / 10000.0::DOUBLE AS w,
+           greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(round(quality_weight * 10000)::BIGINT)::BIGINT / 10000.0::DOUBLE / count(*))) AS ratio,
            (SELECT string_agg(quality_label || ':' || k, ', ' ORDER BY k DESC, quality_label)
             FROM (SELECT quality_label, count(*) AS k FROM {src} i WHERE i.song_id = c.song_id GROUP BY 1)) AS labels
     FROM {src} c GROUP BY song_id
