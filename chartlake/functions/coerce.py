@@ -114,6 +114,15 @@ def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def round_binary(c: Column, digits: int) -> Column:
+    """Rounding of the stored binary value: 0.575, stored just below, gives 0.57.
+
+    ``round`` works on the shortest decimal text of a double and would give 0.58.
+    """
+    scale = 10.0**digits
+    return F.round(c * scale) / F.lit(scale)
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     """Null-preserving clamp (``greatest``/``least`` skip nulls, so keep them out)."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chartlake.config import CommunityScoreConfig, LoudnessConfig
-from chartlake.functions.coerce import as_ts, clamp, col, hours_between
+from chartlake.functions.coerce import as_ts, clamp, col, hours_between, round_binary
 
 
 def log_count(c: Column | str) -> Column:
@@ -30,13 +30,13 @@ def normalization_gain(lufs, true_peak, cfg=LoudnessConfig()) -> Column:
     """Gain towards the target, limited by the peak ceiling and clamped."""
     gain = F.least(F.lit(cfg.target_lufs) - col(lufs), F.lit(cfg.true_peak_ceiling_db) - col(true_peak))
     both = col(lufs).isNotNull() & col(true_peak).isNotNull()
-    return F.when(both, F.round(clamp(gain, cfg.max_cut_db, cfg.max_boost_db), 3))
+    return F.when(both, round_binary(clamp(gain, cfg.max_cut_db, cfg.max_boost_db), 3))
 
 
 def upload_gain(lufs, true_peak, cfg=LoudnessConfig()) -> Column:
     """Upload variant: peak-limited only, two digits."""
     gain = F.least(F.lit(cfg.target_lufs) - col(lufs), F.lit(cfg.true_peak_ceiling_db) - col(true_peak))
-    return F.when(col(lufs).isNotNull() & col(true_peak).isNotNull(), F.round(gain, 2))
+    return F.when(col(lufs).isNotNull() & col(true_peak).isNotNull(), round_binary(gain, 2))
 
 
 def playback_factor(gain_db, clamped: bool = True) -> Column:

@@ -10,6 +10,7 @@ from chartlake.config import CrewConfig, RankingConfig
 from chartlake.functions.coerce import any_of, as_ts, plus_hours, strip
 from chartlake.functions.text import normalize_handle
 from chartlake.operators.scoring import COUNTERS, prepare_history, restored_catalog, score_items
+from chartlake.session import materialize
 
 SCORE_DIGITS = 6
 RANK_COLUMNS = (
@@ -207,7 +208,7 @@ def rank_history_append(
 
     A capture is at most N rows and replaces an earlier capture of the same key.
     """
-    snapshot = ranked.select(
+    snapshot = materialize(ranked).select(
         as_ts(captured_at).alias("captured_at"),
         F.col("id").cast("string").alias("id"),
         F.col("rank").cast("long").alias("rank"),
@@ -243,19 +244,17 @@ def history_points(hist: DataFrame, ids: DataFrame, k: int = 80) -> DataFrame:
 
 
 def top_by_metric(df: DataFrame, chart_ids: DataFrame, metrics: Sequence[str], k: int = 20) -> DataFrame:
-    """Top ``k`` per counter with a flag whether the item is in the chart."""
+    """Top ``k`` per counter with a flag whether the item is in the chart.
+
+    One pass: every row is paired with its counters, and each task keeps ``k``
+    rows per counter before the shuffle. ``chart_ids`` is a limited list.
+    """
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("metric_value")) for m in metrics])
+    w = Window.partitionBy("metric").orderBy(F.col("metric_value").desc_nulls_last(), F.col("id").asc())
+    top = df.select("id", F.inline(pairs)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     flags = F.broadcast(chart_ids.select("id", F.lit(True).alias("_in")))
-    parts = []
-    for metric in metrics:
-        order = [F.col(metric).desc_nulls_last(), F.col("id").asc()]
-        top = ranked_top(df, order, k).select(
-            F.lit(metric).alias("metric"), "rank", "id", F.col(metric).cast("long").alias("metric_value")
-        )
-        parts.append(top)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(flags, "id", "left").withColumn("in_chart", F.coalesce("_in", F.lit(False))).drop("_in")
+    out = top.withColumn("rank", F.col("rank").cast("long")).join(flags, "id", "left")
+    return out.withColumn("in_chart", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def search_songs(df: DataFrame, query: str, columns=("title", "style_tags", "creator", "handle", "id")) -> DataFrame:

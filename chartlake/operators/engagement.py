@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chartlake.functions.coerce import strip
 from chartlake.functions.scores import community_score
 from chartlake.functions.text import bounded_text, contains_listed_term
-from chartlake.operators.charts import chart_order, newest_order, ranked_top
+from chartlake.operators.charts import newest_order
 
 MIN_KEY_LENGTH = 6
 MIN_BODY, MAX_BODY = 2, 500
@@ -102,25 +102,26 @@ def comment_like_counts(comments: DataFrame, likes: DataFrame) -> DataFrame:
     return out.withColumn("like_count", F.coalesce("like_count", F.lit(0)))
 
 
-TAB_ORDERS = {"trending": "trend_score", "new": None, "liked": "like_count", "played": "play_count"}
+TABS = ("trending", "new", "liked", "played")
 
 
 def community_tabs(songs: DataFrame, limit: int = 300) -> DataFrame:
-    """The four public lists, each a distributed top-k, with a tab label and rank."""
-    visible = public_songs(songs)
-    tabs = []
-    for tab, key in TAB_ORDERS.items():
-        if key is None:
-            order = newest_order()
-        elif key == "trend_score":
-            order = chart_order()
-        else:
-            order = [F.col(key).desc_nulls_last(), *newest_order()]
-        tabs.append(ranked_top(visible, order, limit).withColumn("tab", F.lit(tab)))
-    out = tabs[0]
-    for t in tabs[1:]:
-        out = out.unionByName(t)
-    return out
+    """The four public lists with tab label and rank, in one pass.
+
+    Every song is paired with its sort value per tab; each task keeps ``limit``
+    rows per tab before the shuffle.
+    """
+    value = {
+        "trending": F.round("trend_score", 6),
+        "new": F.lit(0.0),
+        "liked": F.col("like_count").cast("double"),
+        "played": F.col("play_count").cast("double"),
+    }
+    keys = F.array(*[F.struct(F.lit(t).alias("tab"), value[t].alias("_value")) for t in TABS])
+    w = Window.partitionBy("tab").orderBy(F.col("_value").desc_nulls_last(), *newest_order())
+    paired = public_songs(songs).select("*", F.inline(keys))
+    ranked = paired.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return ranked.withColumn("rank", F.col("rank").cast("long")).drop("_value")
 
 
 def latest_comments(comments: DataFrame, k: int = 50) -> DataFrame:

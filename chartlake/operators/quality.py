@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartlake.functions.coerce import as_ts, clamp, is_blank, strip
+from chartlake.functions.coerce import as_ts, clamp, is_blank, round_binary, strip
 from chartlake.functions.comments import MENTIONS, classify, quality_bucket
 from chartlake.functions.text import stable_comment_id
 
@@ -110,9 +110,9 @@ def quality_summary(labelled: DataFrame, counts: DataFrame, empty_policy: str =
         F.col("comment_count"),
         analyzed.cast("long").alias("analyzed_comment_count"),
         *[F.coalesce(F.col(f"{b}_count"), F.lit(0)).cast("long").alias(f"{b}_count") for b in BUCKETS],
-        F.when(has, F.round("_sum", 4)).otherwise(0.0).alias("weighted_quality_sum"),
-        F.when(has, F.round(ratio, 4)).otherwise(empty_ratio).alias("comment_quality_ratio"),
-        F.when(has, F.round(F.col("comment_count") * ratio, 2)).otherwise(empty_adjusted).alias("adjusted_comment_count"),
+        F.when(has, round_binary(F.col("_sum"), 4)).otherwise(0.0).alias("weighted_quality_sum"),
+        F.when(has, round_binary(ratio, 4)).otherwise(empty_ratio).alias("comment_quality_ratio"),
+        F.when(has, round_binary(F.col("comment_count") * ratio, 2)).otherwise(empty_adjusted).alias("adjusted_comment_count"),
         F.when(has, text)
         .otherwise(F.when(F.col("comment_count") <= 0, F.lit("no_comments")).otherwise(F.lit("no_analyzed_comments")))
         .alias("comment_quality_summary"),

@@ -29,6 +29,7 @@ from chartlake.operators.quality import (
     upsert_comments,
 )
 from chartlake.operators.scoring import prepare_history, restore_created_at
+from chartlake.session import materialize
 from chartlake.sources.feeds import flatten_records
 
 ERROR_LENGTH = 500
@@ -43,12 +44,16 @@ def new_item_rows(db: DataFrame, feed: DataFrame, as_of: str, links: LinkConfig
 
 
 def refreshed_rows(targets: DataFrame, fetched: DataFrame, as_of: str, links: LinkConfig = LinkConfig()) -> DataFrame:
-    """New catalogue rows of fetched targets (id, record), with change marks."""
+    """New catalogue rows of fetched targets (id, record), with change marks.
+
+    ``targets`` is a selection of bounded size, so its ids are broadcast.
+    """
     ready = targets
     for name, kind in (("last_change_at", "timestamp_ntz"), ("comments_fetch_needed", "boolean")):
         if name not in ready.columns:
             ready = ready.withColumn(name, F.lit(None).cast(kind))
-    rows = flatten_records(fetched.join(ready.select("id"), "id", "left_semi"), ready, as_of, "item_page", links)
+    wanted = fetched.join(F.broadcast(ready.select("id")), "id", "left_semi")
+    rows = flatten_records(wanted, ready, as_of, "item_page", links)
     return changed_counters(rows.drop("last_change_at", "comments_fetch_needed"), ready, as_of)
 
 
@@ -69,14 +74,17 @@ def catalog_refresh(
 
     ``feed`` holds discovered items, ``fetched`` (id, record, error) the landed
     detail pages; a selected item without a usable record counts as failed, one
-    without any landed row is left for the next run.
+    without any landed row is left for the next run. The catalogue with the new
+    items, the bounded selection and its refreshed rows are each used several
+    times, so they are written once.
     """
     known = db.unionByName(new_item_rows(db, feed, as_of, links), allowMissingColumns=True)
-    known = restore_created_at(known, prepare_history(hist))
-    targets = refresh_selection(known, playlist_items, as_of, tiers).drop("refresh_position", "computed_update_tier")
-    landed = fetched.join(targets.select("id"), "id", "left_semi")
+    known = materialize(restore_created_at(known, prepare_history(hist)))
+    selected = refresh_selection(known, playlist_items, as_of, tiers)
+    targets = materialize(selected.drop("refresh_position", "computed_update_tier"))
+    landed = fetched.join(F.broadcast(targets.select("id")), "id", "left_semi")
     usable = F.col("record").isNotNull()
-    ok = refreshed_rows(targets, landed.where(usable).select("id", "record"), as_of, links)
+    ok = materialize(refreshed_rows(targets, landed.where(usable).select("id", "record"), as_of, links))
     failed = fetch_failures(targets, landed.where(~usable).select("id", "error"), playlist_items, as_of, tiers)
     updates = ok.unionByName(failed, allowMissingColumns=True)
     merged = upsert_by_key(known, updates, ["id"])
@@ -106,8 +114,9 @@ def fast_refresh(
     """Refresh only the current chart members (contest items excluded)."""
     scored = active_scores(db, hist, as_of, ranking, dated_only=False, hide_contest=True)
     targets = ranked_top(scored, chart_order(), n).select("id")
-    members = db.join(F.broadcast(targets), "id", "left_semi")
-    ok = refreshed_rows(members, fetched.where(F.col("record").isNotNull()).select("id", "record"), as_of, links)
+    members = materialize(db.join(F.broadcast(targets), "id", "left_semi"))
+    pages = fetched.where(F.col("record").isNotNull()).select("id", "record")
+    ok = materialize(refreshed_rows(members, pages, as_of, links))
     songs = upsert_by_key(db, ok, ["id"])
     return {"songs": songs, "song_history": history_append(hist, ok, as_of)}
 
@@ -194,7 +203,7 @@ def comment_quality_job(
     Adds unseen comments of targets that lack some, classifies what was not yet
     analysed, summarises the stored labels and writes them back.
     """
-    targets = quality_targets(db, hist, as_of, ranking, cfg.top_n).select("id", "comment_count")
+    targets = materialize(quality_targets(db, hist, as_of, ranking, cfg.top_n).select("id", "comment_count"))
     lacking = fetch_needed(targets, stored).select(F.col("id").alias("song_id"))
     wanted = fetched.join(F.broadcast(lacking), "song_id", "left_semi")
     comments = upsert_comments(stored, wanted, as_of)

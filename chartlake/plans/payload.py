@@ -17,6 +17,7 @@ from chartlake.operators.charts import (
     ranked_top,
 )
 from chartlake.operators.scoring import outlier_flags
+from chartlake.session import materialize
 
 TABS = {
     "new_songs": ("New", "newest items first"),
@@ -47,8 +48,12 @@ def list_tabs(
     ranking: RankingConfig = RankingConfig(),
     cfg: ChartConfig = ChartConfig(),
 ) -> dict[str, DataFrame]:
-    """The three ranked lists of active items, each a distributed top-k."""
-    active = active_scores(db, hist, as_of, ranking)
+    """The three ranked lists of active items, each a distributed top-k.
+
+    The scored active items feed the outlier statistics and all lists, so they
+    are written once.
+    """
+    active = materialize(active_scores(db, hist, as_of, ranking))
     flagged = outlier_flags(active, cfg.outlier_sigma, cfg.outlier_log)
     return {
         "new_songs": clear_movement(ranked_top(flagged, newest_order(), cfg.new_limit)),

@@ -1,12 +1,14 @@
 """Landed JSON: feed pages, item pages, comment pages and item records."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartlake.config import LinkConfig
-from chartlake.functions.coerce import any_of, as_ts, is_blank, parse_ts, strip, to_number
+from chartlake.functions.coerce import any_of, as_ts, is_blank, is_blank_json, parse_ts, strip, to_number
 from chartlake.functions.comments import MENTIONS
 from chartlake.functions.text import TEXT_COLUMNS, clean_text
 
@@ -166,41 +168,53 @@ FLAG_FIELDS = ("is_contest_clip", "is_public", "is_hidden", "is_trashed", "expli
 NESTED = {"c": "clip", "u": "user", "m": "metadata"}
 
 
-def record_schema() -> T.StructType:
-    """Superset of all paths with VARIANT leaves, so a field may be text, number,
-    list or object and is parsed once."""
+# Fields where a text may itself start like a list or an object.
+FREE_TEXT = ("title", "handle", "display_name", *PLAIN_TEXT_PATHS, *LIST_PATHS)
+
+
+def _paths(name: str) -> tuple[str, ...]:
+    return FIELD_PATHS.get(name) or PLAIN_TEXT_PATHS.get(name) or LIST_PATHS[name]
+
+
+def record_schema(fields: Sequence[str], leaf: T.DataType) -> T.StructType:
+    """All paths of ``fields`` with one leaf type; a leaf of another kind reads as null."""
     wanted: dict[str, list[str]] = {"s": [], "c": [], "u": [], "m": []}
-    for paths in (*FIELD_PATHS.values(), *PLAIN_TEXT_PATHS.values(), *LIST_PATHS.values()):
-        for path in paths:
-            part, leaf = path.split(".")
-            if leaf not in wanted[part]:
-                wanted[part].append(leaf)
-    leaves = {p: [T.StructField(n, T.VariantType()) for n in names] for p, names in wanted.items()}
-    nested = [T.StructField(NESTED[p], T.StructType(leaves[p])) for p in NESTED]
+    for name in fields:
+        for path in _paths(name):
+            part, key = path.split(".")
+            if key not in wanted[part]:
+                wanted[part].append(key)
+    leaves = {p: [T.StructField(n, leaf) for n in names] for p, names in wanted.items()}
+    nested = [T.StructField(NESTED[p], T.StructType(leaves[p])) for p in NESTED if leaves[p]]
     return T.StructType(leaves["s"] + nested)
 
 
-def _leaf(path: str) -> Column:
-    part, leaf = path.split(".")
-    return F.col(f"_r.{leaf}") if part == "s" else F.col(f"_r.{NESTED[part]}.{leaf}")
-
+def _leaf(root: str, path: str) -> Column:
+    part, key = path.split(".")
+    return F.col(f"{root}.{key}") if part == "s" else F.col(f"{root}.{NESTED[part]}.{key}")
 
-def _kind(path: str) -> Column:
-    return F.substring_index(F.schema_of_variant(_leaf(path)), "<", 1)
 
+def _pick(values: Sequence[Column], blank) -> Column:
+    """First value that is not blank."""
+    return F.try_element_at(F.filter(F.array(*values), lambda x: ~blank(x)), F.lit(1))
 
-def _scalar(path: str) -> Column:
-    """Text of a scalar leaf; lists, objects and blanks give null."""
-    text = F.when(~_kind(path).isin("ARRAY", "OBJECT", "NULL", "VOID"), F.variant_get(_leaf(path), "$", "string"))
-    return F.when(~is_blank(text), text)
 
+def _field(name: str) -> Column:
+    """First non-blank value of a field.
 
-def _listed(path: str) -> Column:
-    """Text of a scalar or list leaf."""
-    items = F.try_variant_get(_leaf(path), "$", "array<string>")
-    kept = F.filter(items, lambda x: ~is_blank(x))
-    joined = F.array_join(F.transform(kept, strip), ", ")
-    return F.coalesce(F.when(_kind(path) == "ARRAY", F.nullif(joined, F.lit(""))), strip(_scalar(path)))
+    Every leaf is read as text; free-text leaves are also read as a list and as
+    an object, which tells a text that looks like JSON from a nested value.
+    """
+    if name not in FREE_TEXT:
+        return _pick([_leaf("_t", p) for p in _paths(name)], is_blank_json)
+    values = []
+    for p in _paths(name):
+        listed, nested = _leaf("_l", p), _leaf("_o", p)
+        text = F.when(listed.isNull() & nested.isNull(), _leaf("_t", p))
+        if name in LIST_PATHS:
+            text = F.coalesce(F.array_join(F.transform(F.filter(listed, lambda x: ~is_blank(x)), strip), ", "), text)
+        values.append(text)
+    return strip(_pick(values, is_blank)) if name not in FIELD_PATHS else _pick(values, is_blank)
 
 
 def flatten_records(
@@ -217,13 +231,14 @@ def flatten_records(
     default. ``previous`` is the catalogue before; columns the record does not
     cover are kept from it.
     """
+    names = (*FIELD_PATHS, *PLAIN_TEXT_PATHS, *LIST_PATHS)
     parsed = records.select(
-        F.col("id").alias("_key"), F.from_json("record", record_schema(), {"mode": "PERMISSIVE"}).alias("_r")
+        F.col("id").alias("_key"),
+        F.from_json("record", record_schema(names, T.StringType())).alias("_t"),
+        F.from_json("record", record_schema(FREE_TEXT, T.ArrayType(T.StringType()))).alias("_l"),
+        F.from_json("record", record_schema(FREE_TEXT, T.MapType(T.StringType(), T.StringType()))).alias("_o"),
     )
-    values = {name: F.coalesce(*[_scalar(p) for p in paths]) for name, paths in FIELD_PATHS.items()}
-    values |= {name: F.coalesce(*[strip(_scalar(p)) for p in paths]) for name, paths in PLAIN_TEXT_PATHS.items()}
-    values |= {name: F.coalesce(*[_listed(p) for p in paths]) for name, paths in LIST_PATHS.items()}
-    fresh = parsed.select("_key", *[c.alias(f"_n_{n}") for n, c in values.items()])
+    fresh = parsed.select("_key", *[_field(n).alias(f"_n_{n}") for n in names])
     fresh = fresh.withColumn("_n_lyrics", F.coalesce("_n_lyrics", "_n_prompt"))
     old_columns = [] if previous is None else previous.columns
     if previous is None:
@@ -244,7 +259,7 @@ def flatten_records(
         return clean_text(c, repair) if name in TEXT_COLUMNS else c
 
     out = {"id": F.coalesce(text("id"), F.col("_key"))}
-    for name in (*values,):
+    for name in names:
         if name in ("id", "created_at", "title", "song_url", "duration", *COUNTER_FIELDS, *FLAG_FIELDS):
             continue
         out[name] = cleaned(name, text(name))
