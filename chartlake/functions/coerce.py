@@ -42,6 +42,21 @@ def is_blank_json(c: Column | str) -> Column:
     return is_blank(c) | F.coalesce(is_object | is_empty_list, F.lit(False))
 
 
+def blank_sql(name: str, json_text: bool = False) -> str:
+    """The blank test as SQL text over a column or lambda variable.
+
+    For wide projections and lambdas: one parsed expression instead of many
+    column calls.
+    """
+    space = "".join(f"\\u{ord(ch):04x}" for ch in WHITESPACE)
+    text = f"btrim({name}, '{space}')"
+    tokens = ", ".join(f"'{t}'" for t in BLANK_TOKENS)
+    test = f"lower({text}) IN ({tokens}) OR (startswith({text}, '$') AND length({text}) <= {REFERENCE_TOKEN_LENGTH})"
+    if json_text:
+        test += f" OR startswith({text}, '{{') OR {text} RLIKE '^\\\\[\\\\s*\\\\]$'"
+    return f"coalesce({test}, true)"
+
+
 def non_blank(c: Column | str) -> Column:
     """The value, or null when it is blank."""
     return F.when(~is_blank(c), col(c))

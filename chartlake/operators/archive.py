@@ -42,8 +42,10 @@ def split_expired(db: DataFrame, as_of: str, days: int = 4) -> tuple[DataFrame,
 
 
 def scored_with_rank(db: DataFrame, hist: DataFrame, as_of: str, cfg=RankingConfig()) -> DataFrame:
-    """Whole catalogue with its overall rank (distributed ordinal)."""
-    return global_ordinal(score_songs(db, hist, as_of, cfg), chart_order(), "computed_rank")
+    """Scores of the whole catalogue with their overall rank (distributed ordinal)."""
+    scores = ("trend_score", "base_score", "growth_score", "freshness_score")
+    scored = score_songs(db, hist, as_of, cfg).select("id", "created_at", *scores)
+    return global_ordinal(scored, chart_order(), "computed_rank")
 
 
 def archive_rows(

@@ -12,6 +12,7 @@ from chartlake.config import TierConfig
 from chartlake.functions.coerce import as_ts, is_blank, plus_hours, strip
 from chartlake.functions.text import tier_handle
 from chartlake.operators.charts import cutoff, ranked_top
+from chartlake.operators.skew import salted_join
 
 # States that are never refreshed quickly again, and the parts of
 # an error text that freeze an item at once.
@@ -84,7 +85,7 @@ def merge_shards(base: DataFrame, partials: DataFrame, order: Sequence[Column],
 
 
 def prune_children(children: DataFrame, parents: DataFrame, key: str = "id") -> DataFrame:
-    return children.join(parents.select(key), key, "left_semi")
+    return salted_join(children, parents.select(key), [key], "left_semi")
 
 
 def history_compact(hist: DataFrame, as_of: str, high_res_days: int = 7) -> DataFrame:

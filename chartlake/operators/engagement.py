@@ -10,6 +10,7 @@ from chartlake.functions.coerce import strip
 from chartlake.functions.scores import community_score
 from chartlake.functions.text import bounded_text, contains_listed_term
 from chartlake.operators.charts import newest_order
+from chartlake.operators.skew import salted_join
 
 MIN_KEY_LENGTH = 6
 MIN_BODY, MAX_BODY = 2, 500
@@ -86,7 +87,7 @@ def songs_with_profile(songs: DataFrame, profiles: DataFrame) -> DataFrame:
         F.col("display_name").alias("profile_name"),
         F.col("avatar_url").alias("profile_avatar"),
     )
-    return songs.join(names, "uploader_user_id", "left")
+    return salted_join(songs, names, ["uploader_user_id"], "left")
 
 
 def liked_flags(songs: DataFrame, likes: DataFrame, actor: str) -> DataFrame:
@@ -135,7 +136,7 @@ def admissible_comments(comments: DataFrame, songs: DataFrame, terms: Sequence[s
     """Comment requests with the verdict: accepted, or the first reason against."""
     allowed = songs.select(F.col("id").alias("song_id"), F.col("comments_enabled").alias("_enabled"))
     body = F.col("_body")
-    out = comments.join(allowed, "song_id", "left").withColumn("_body", bounded_text("body", MAX_BODY))
+    out = salted_join(comments, allowed, ["song_id"], "left").withColumn("_body", bounded_text("body", MAX_BODY))
     reason = (
         F.when(~F.coalesce(F.col("_enabled"), F.lit(False)), "comments disabled")
         .when(F.length(body) < MIN_BODY, "too short")
@@ -157,7 +158,7 @@ def delete_cascade(parents: DataFrame, doomed: DataFrame, children: DataFrame, k
     gone = doomed.select(key).distinct()
     left = parents.join(gone, key, "left_anti")
     orphaned = gone.withColumnRenamed(key, child_key)
-    return left, children.join(orphaned, child_key, "left_anti")
+    return left, salted_join(children, orphaned, [child_key], "left_anti")
 
 
 def soft_delete(songs: DataFrame, doomed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartlake.functions.coerce import strip
 from chartlake.operators.ordinal import global_ordinal
+from chartlake.operators.skew import salted_join
 
 
 def playlist_positions(lists: DataFrame, base: int = 0) -> DataFrame:
@@ -45,7 +46,8 @@ def playlist_songs(
         lists = lists.where(F.col("owner_user_id") == owner)
     details = songs.select(F.col("id").alias("song_id"), "title", "uploader_user_id")
     names = profiles.select(F.col("user_id").alias("uploader_user_id"), F.col("display_name").alias("profile_name"))
-    return items.join(lists, "playlist_id").join(details, "song_id").join(names, "uploader_user_id", "left")
+    described = details.join(names, "uploader_user_id", "left")
+    return salted_join(salted_join(items, lists, ["playlist_id"]), described, ["song_id"])
 
 
 def playlist_append(items: DataFrame, additions: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def playlist_append(items: DataFrame, additions: DataFrame) -> DataFrame:
     starts = numbered.groupBy("playlist_id").agg((F.min("_row_number") - 1).alias("_start"))
     sizes = items.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("_size"))
     base = starts.join(sizes, "playlist_id", "left")
-    placed = numbered.join(base, "playlist_id")
+    placed = salted_join(numbered, base, ["playlist_id"])
     position = F.coalesce("_size", F.lit(0)) + F.col("_row_number") - F.col("_start")
     return placed.withColumn("position", position.cast("int")).drop("_size", "_start", "_row_number")
 

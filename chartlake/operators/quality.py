@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from chartlake.functions.coerce import as_ts, clamp, is_blank, round_binary, strip
 from chartlake.functions.comments import MENTIONS, classify, quality_bucket
 from chartlake.functions.text import stable_comment_id
+from chartlake.operators.catalog import dedupe_keep
+from chartlake.operators.skew import salted_join
 
 QUALITY_COLUMNS = (
     "adjusted_comment_count", "comment_quality_ratio", "analyzed_comment_count",
@@ -41,15 +43,16 @@ def upsert_comments(stored: DataFrame, fetched: DataFrame, as_of: str) -> DataFr
     """Stored comments plus the unseen fetched ones; existing labels stay.
 
     Comments without an id get a stable one; blank ones are dropped; of equal
-    ids within a batch one is kept.
+    ids within a batch the earliest is kept.
     """
     given = strip(F.coalesce(F.col("comment_id"), F.lit("")))
     handle = F.col("user_handle") if "user_handle" in fetched.columns else F.lit("")
     made = stable_comment_id(F.col("song_id"), F.col("created_at"), handle, F.col("content"))
+    filled = fetched.where(strip(F.coalesce(F.col("content"), F.lit(""))) != "")
+    named = filled.withColumn("comment_id", F.when(given != "", given).otherwise(made))
+    first = [F.col("created_at").asc_nulls_last(), F.col("content").asc()]
     new = (
-        fetched.where(strip(F.coalesce(F.col("content"), F.lit(""))) != "")
-        .withColumn("comment_id", F.when(given != "", given).otherwise(made))
-        .dropDuplicates(["comment_id"])
+        dedupe_keep(named, ["comment_id"], first)
         .join(stored.select("comment_id"), "comment_id", "left_anti")
         .withColumn("fetched_at", as_ts(as_of))
         .withColumns({c: F.lit(None).cast(t) for c, t in LABEL_COLUMNS.items()})
@@ -61,7 +64,7 @@ def unanalyzed(comments: DataFrame, songs: DataFrame | None = None, limit: int |
     """Comments without an analysis time; optionally of given songs, the oldest ids first."""
     pending = comments.where(is_blank("analyzed_at"))
     if songs is not None:
-        pending = pending.join(songs.select(F.col("id").alias("song_id")).distinct(), "song_id", "left_semi")
+        pending = salted_join(pending, songs.select(F.col("id").alias("song_id")).distinct(), ["song_id"], "left_semi")
     return pending if limit is None else pending.orderBy("comment_id").limit(limit)
 
 

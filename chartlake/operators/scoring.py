@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from chartlake.config import LinkConfig, RankingConfig
 from chartlake.functions.coerce import as_ts, clamp, hours_between, parse_ts, plus_hours, to_number
 from chartlake.functions.scores import log_count
+from chartlake.operators.skew import salted_join
 
 TIME_COLUMNS = ("created_at", "first_seen_at", "last_checked_at", "comment_quality_checked_at")
 COUNTERS = ("play_count", "upvote_count", "comment_count", "flag_count")
@@ -88,15 +89,13 @@ def growth_features(db: DataFrame, hist: DataFrame, cfg: RankingConfig = Ranking
 
     Uses the snapshots from ``created_at + window`` on. First and last snapshot
     come from ``min_by``/``max_by`` on primitive buffers, so the aggregate is a
-    hash aggregate combined map-side and needs no sort within an id.
+    hash aggregate combined map-side and needs no sort within an id. Ids with
+    very many snapshots are spread over tasks by the join.
     """
     window = cfg.growth_window_hours
     anchors = db.select("id", plus_hours("created_at", window).alias("_anchor")).where(F.col("_anchor").isNotNull())
-    tail = (
-        hist.select("id", "checked_at", *[f"{c}_count" for c in GROWTH_COLUMNS])
-        .join(anchors, "id")
-        .where(F.col("checked_at") >= F.col("_anchor"))
-    )
+    snapshots = hist.select("id", "checked_at", *[f"{c}_count" for c in GROWTH_COLUMNS])
+    tail = salted_join(snapshots, anchors, ["id"]).where(F.col("checked_at") >= F.col("_anchor"))
     spans = tail.groupBy("id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("checked_at").alias("_t0"),

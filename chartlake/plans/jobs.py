@@ -29,6 +29,7 @@ from chartlake.operators.quality import (
     upsert_comments,
 )
 from chartlake.operators.scoring import prepare_history, restore_created_at
+from chartlake.operators.skew import salted_join
 from chartlake.session import materialize
 from chartlake.sources.feeds import flatten_records
 
@@ -178,7 +179,7 @@ def queue_process(
 def queue_dedupe(requests: DataFrame, queue: DataFrame) -> DataFrame:
     """Requests whose link is not already waiting in the queue."""
     waiting = queue.where(F.lower(F.trim(F.coalesce("status", F.lit("")))).isin(*PENDING_STATES))
-    return requests.where(~is_blank("url")).join(waiting.select("url").distinct(), "url", "left_anti")
+    return salted_join(requests.where(~is_blank("url")), waiting.select("url").distinct(), ["url"], "left_anti")
 
 
 def quality_targets(

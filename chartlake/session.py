@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,8 @@ def build_session(app: str = "chartlake", cpus: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Call-site capture multiplies the cost of building wide plans in Python.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -58,13 +61,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and read it from there.
 
-    Used where a frame is read twice and both reads must see the same row to
-    partition assignment, also after an executor is lost.
+    Used where a frame is read several times, or where all reads must see the
+    same row to partition assignment, also after an executor is lost. One pass
+    over the input; later reads prune columns and know the size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

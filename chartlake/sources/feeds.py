@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartlake.config import LinkConfig
-from chartlake.functions.coerce import any_of, as_ts, is_blank, is_blank_json, parse_ts, strip, to_number
+from chartlake.functions.coerce import any_of, as_ts, blank_sql, is_blank, parse_ts, strip, to_number
 from chartlake.functions.comments import MENTIONS
 from chartlake.functions.text import TEXT_COLUMNS, clean_text
 
@@ -189,14 +189,9 @@ def record_schema(fields: Sequence[str], leaf: T.DataType) -> T.StructType:
     return T.StructType(leaves["s"] + nested)
 
 
-def _leaf(root: str, path: str) -> Column:
+def _leaf(root: str, path: str) -> str:
     part, key = path.split(".")
-    return F.col(f"{root}.{key}") if part == "s" else F.col(f"{root}.{NESTED[part]}.{key}")
-
-
-def _pick(values: Sequence[Column], blank) -> Column:
-    """First value that is not blank."""
-    return F.try_element_at(F.filter(F.array(*values), lambda x: ~blank(x)), F.lit(1))
+    return f"{root}.{key}" if part == "s" else f"{root}.{NESTED[part]}.{key}"
 
 
 def _field(name: str) -> Column:
@@ -205,16 +200,17 @@ def _field(name: str) -> Column:
     Every leaf is read as text; free-text leaves are also read as a list and as
     an object, which tells a text that looks like JSON from a nested value.
     """
-    if name not in FREE_TEXT:
-        return _pick([_leaf("_t", p) for p in _paths(name)], is_blank_json)
     values = []
     for p in _paths(name):
-        listed, nested = _leaf("_l", p), _leaf("_o", p)
-        text = F.when(listed.isNull() & nested.isNull(), _leaf("_t", p))
+        text, listed, nested = _leaf("_t", p), _leaf("_l", p), _leaf("_o", p)
+        if name in FREE_TEXT:
+            text = f"CASE WHEN {listed} IS NULL AND {nested} IS NULL THEN {text} END"
         if name in LIST_PATHS:
-            text = F.coalesce(F.array_join(F.transform(F.filter(listed, lambda x: ~is_blank(x)), strip), ", "), text)
+            kept = f"transform(filter({listed}, x -> NOT {blank_sql('x')}), x -> trim(x))"
+            text = f"coalesce(array_join({kept}, ', '), {text})"
         values.append(text)
-    return strip(_pick(values, is_blank)) if name not in FIELD_PATHS else _pick(values, is_blank)
+    blank = blank_sql("x", json_text=name not in FREE_TEXT)
+    return F.expr(f"try_element_at(filter(array({', '.join(values)}), x -> NOT {blank}), 1)")
 
 
 def flatten_records(
@@ -252,8 +248,10 @@ def flatten_records(
         return c if kind is None else c.cast(kind)
 
     def text(name: str) -> Column:
-        prior = old(name, "string")
-        return F.coalesce(F.col(f"_n_{name}"), F.when(~is_blank(prior), prior))
+        if name not in old_columns:
+            return F.col(f"_n_{name}")
+        prior = f"CAST(_o_{name} AS STRING)"
+        return F.expr(f"coalesce(_n_{name}, CASE WHEN NOT {blank_sql(prior)} THEN {prior} END)")
 
     def cleaned(name: str, c: Column) -> Column:
         return clean_text(c, repair) if name in TEXT_COLUMNS else c
