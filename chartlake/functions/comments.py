@@ -44,10 +44,15 @@ MENTIONS = T.ArrayType(
 )
 
 
+# White space of every script, inside a character class.
+SPACE_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
+
+
 def normalize_comment(c: Column | str) -> Column:
     """Lower case, links removed, white space collapsed."""
-    no_links = F.regexp_replace(F.lower(strip(F.coalesce(col(c), F.lit("")))), r"https?://\S+", "")
-    return strip(F.regexp_replace(no_links, r"\s+", " "))
+    lowered = F.lower(strip(F.coalesce(col(c), F.lit(""))))
+    no_links = F.regexp_replace(lowered, rf"https?://[^{SPACE_CLASS}]+", "")
+    return strip(F.regexp_replace(no_links, rf"[{SPACE_CLASS}]+", " "))
 
 
 def comment_tokens(c: Column | str) -> Column:
@@ -61,13 +66,17 @@ def symbol_only(c: Column | str) -> Column:
     return (col(c) == "") | (~has_word & has_symbol)
 
 
-def repeated_characters(c: Column | str) -> Column:
-    """At least four characters besides white space, of at most two kinds."""
-    compact = F.regexp_replace(col(c), r"\s+", "")
-    without_first = F.replace(compact, F.substring(compact, 1, 1), F.lit(""))
-    without_second = F.replace(without_first, F.substring(without_first, 1, 1), F.lit(""))
-    one_kind = without_first == ""
-    return (F.length(compact) >= 4) & (one_kind | (without_second == ""))
+def repeated_characters(c: str) -> Column:
+    """At least four characters besides white space, of at most two kinds.
+
+    ``c`` is a normalised text column. Ordinary texts leave at the first test:
+    more than two kinds of characters within the first few decide it.
+    """
+    head_kinds = f"size(array_distinct(split(replace(substr({c}, 1, 12), ' ', ''), '')))"
+    rest = f"translate({c}, concat(' ', substr({c}, 1, 1)), '')"
+    one_more = f"replace({rest}, substr({rest}, 1, 1), '') = ''"
+    whole = f"length(replace({c}, ' ', '')) >= 4 AND ({rest} = '' OR {one_more})"
+    return F.expr(f"CASE WHEN {c} = '' OR {head_kinds} > 2 THEN false ELSE {whole} END")
 
 
 def _mention_names(mentions: Column) -> Column:
