@@ -52,3 +52,18 @@ def play_qualifies(duration, position, ended=None, min_duration: float = 10.0, s
     if ended is None:
         return F.coalesce((d >= min_duration) & reached, F.lit(False))
     return F.coalesce((d > 0) & reached, F.lit(False)) | F.coalesce(col(ended), F.lit(False))
+
+
+def register_sql_functions(spark, cfg=CommunityScoreConfig()) -> None:
+    """Temporary SQL function ``community_score(plays, likes, comments, created, as_of)``."""
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION community_score(
+            plays BIGINT, likes BIGINT, comments BIGINT, created TIMESTAMP_NTZ, as_of TIMESTAMP_NTZ)
+        RETURNS DOUBLE
+        RETURN round(
+            coalesce(ln(1 + greatest(plays, 0)), 0) * {cfg.play_weight}D
+            + coalesce(ln(1 + greatest(likes, 0)), 0) * {cfg.like_weight}D
+            + coalesce(ln(1 + greatest(comments, 0)), 0) * {cfg.comment_weight}D
+            + coalesce(power(greatest(1D - greatest(timestampdiff(MICROSECOND, created, as_of), 0)
+                / ({cfg.freshness_days} * 86400000000D), 0D), {cfg.freshness_power}D) * {cfg.freshness_weight}D, 0D), 6)"""
+    )

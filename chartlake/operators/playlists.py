@@ -47,7 +47,8 @@ def playlist_songs(
     details = songs.select(F.col("id").alias("song_id"), "title", "uploader_user_id")
     names = profiles.select(F.col("user_id").alias("uploader_user_id"), F.col("display_name").alias("profile_name"))
     described = details.join(names, "uploader_user_id", "left")
-    return salted_join(salted_join(items, lists, ["playlist_id"]), described, ["song_id"])
+    placed = salted_join(items, lists, ["playlist_id"])
+    return salted_join(placed, described, ["song_id"], counted=items)
 
 
 def playlist_append(items: DataFrame, additions: DataFrame) -> DataFrame:

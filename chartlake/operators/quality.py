@@ -39,8 +39,8 @@ def comments_schema() -> T.StructType:
     )
 
 
-def upsert_comments(stored: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
-    """Stored comments plus the unseen fetched ones; existing labels stay.
+def unseen_comments(stored: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
+    """Fetched comments that are not stored yet, without labels.
 
     Comments without an id get a stable one; blank ones are dropped; of equal
     ids within a batch the earliest is kept.
@@ -51,13 +51,17 @@ def upsert_comments(stored: DataFrame, fetched: DataFrame, as_of: str) -> DataFr
     filled = fetched.where(strip(F.coalesce(F.col("content"), F.lit(""))) != "")
     named = filled.withColumn("comment_id", F.when(given != "", given).otherwise(made))
     first = [F.col("created_at").asc_nulls_last(), F.col("content").asc()]
-    new = (
+    return (
         dedupe_keep(named, ["comment_id"], first)
         .join(stored.select("comment_id"), "comment_id", "left_anti")
         .withColumn("fetched_at", as_ts(as_of))
         .withColumns({c: F.lit(None).cast(t) for c, t in LABEL_COLUMNS.items()})
     )
-    return stored.unionByName(new, allowMissingColumns=True)
+
+
+def upsert_comments(stored: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
+    """Stored comments plus the unseen fetched ones; existing labels stay."""
+    return stored.unionByName(unseen_comments(stored, fetched, as_of), allowMissingColumns=True)
 
 
 def unanalyzed(comments: DataFrame, songs: DataFrame | None = None, limit: int | None = None) -> DataFrame:

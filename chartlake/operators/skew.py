@@ -29,15 +29,21 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``big.join(small, keys, how)`` with hot keys of ``big`` spread over tasks.
 
     ``how`` is inner, left, left_semi or left_anti. The salt is a hash of the row,
-    so a repeated task computes the same one.
+    so a repeated task computes the same one. ``counted`` is a cheaper frame with
+    the keys of ``big`` (at least as many rows per key) to find hot keys in.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys, hot_rows))
+    hot = F.broadcast(hot_keys(big if counted is None else counted, keys, hot_rows))
     spread = F.pmod(F.xxhash64(*big.columns), F.col("_salts").cast("long"))
     left = big.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0).cast("long"))).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)

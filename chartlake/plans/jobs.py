@@ -25,8 +25,7 @@ from chartlake.operators.quality import (
     mark_analyzed,
     quality_summary,
     quality_writeback,
-    unanalyzed,
-    upsert_comments,
+    unseen_comments,
 )
 from chartlake.operators.scoring import prepare_history, restore_created_at
 from chartlake.operators.skew import salted_join
@@ -88,8 +87,9 @@ def catalog_refresh(
     ok = materialize(refreshed_rows(targets, landed.where(usable).select("id", "record"), as_of, links))
     failed = fetch_failures(targets, landed.where(~usable).select("id", "error"), playlist_items, as_of, tiers)
     updates = ok.unionByName(failed, allowMissingColumns=True)
-    merged = upsert_by_key(known, updates, ["id"])
-    songs = restore_created_at(merged, prepare_history(hist))
+    # Creation times need no second repair: the history has not changed, and
+    # refreshed rows keep the repaired value where a record lacks one.
+    songs = upsert_by_key(known, updates, ["id"])
     out: dict[str, DataFrame] = {}
     if archive:
         moved = archiving.archive_expired(songs, hist, rank_history, None, as_of, ranking)
@@ -202,22 +202,27 @@ def comment_quality_job(
     """Incremental comment quality.
 
     Adds unseen comments of targets that lack some, classifies what was not yet
-    analysed, summarises the stored labels and writes them back.
+    analysed, summarises the stored labels and writes them back. The targets are
+    a bounded list, so the stored comments are only filtered by broadcast and
+    never shuffled as a whole.
     """
     targets = materialize(quality_targets(db, hist, as_of, ranking, cfg.top_n).select("id", "comment_count"))
-    lacking = fetch_needed(targets, stored).select(F.col("id").alias("song_id"))
+    target_songs = F.broadcast(targets.select(F.col("id").alias("song_id"), F.lit(True).alias("_target")))
+    known = stored.join(target_songs, "song_id", "left_semi")
+    lacking = fetch_needed(targets, known).select(F.col("id").alias("song_id"))
     wanted = fetched.join(F.broadcast(lacking), "song_id", "left_semi")
-    comments = upsert_comments(stored, wanted, as_of)
-    target_songs = F.broadcast(targets.select(F.col("id").alias("song_id")))
-    pending = unanalyzed(comments).join(target_songs, "song_id", "left_semi")
-    fresh = mark_analyzed(pending, as_of)
-    done = comments.where(~is_blank("analyzed_at")).join(target_songs, "song_id", "left_semi")
-    labelled = done.select("song_id", "quality_label", "quality_weight").unionByName(
-        fresh.select("song_id", "quality_label", "quality_weight")
-    )
+    new = unseen_comments(known, wanted, as_of)
+    comments = stored.unionByName(new, allowMissingColumns=True).join(target_songs, "song_id", "left")
+    is_target = F.coalesce(F.col("_target"), F.lit(False))
+    pending = is_blank("analyzed_at")
+    fresh = mark_analyzed(comments.where(is_target & pending).drop("_target"), as_of)
+    done = comments.where(is_target & ~pending)
+    labels = ["song_id", "quality_label", "quality_weight"]
+    labelled = done.select(*labels).unionByName(fresh.select(*labels))
+    untouched = comments.where(~(is_target & pending)).drop("_target")
     summary = quality_summary(labelled, targets, cfg.empty_policy)
     return {
-        "comments": upsert_by_key(comments, fresh, ["comment_id"]),
+        "comments": untouched.unionByName(fresh, allowMissingColumns=True),
         "summary": summary,
         "songs": quality_writeback(db, summary, as_of),
     }

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.config import ChartConfig, CrewConfig, LinkConfig, RankingConfig
-from chartlake.functions.coerce import display_time, iso_or_blank, to_number
+from chartlake.functions.coerce import display_time, iso_or_blank, parse_ts, to_number
 from chartlake.functions.text import clean_text, creator_display, lyrics_bundle
 from chartlake.operators.charts import (
     active_scores,
@@ -18,6 +18,7 @@ from chartlake.operators.charts import (
 )
 from chartlake.operators.scoring import outlier_flags
 from chartlake.session import materialize
+from chartlake.sources.tables import document_rows
 
 TABS = {
     "new_songs": ("New", "newest items first"),
@@ -140,3 +141,16 @@ def app_payload(
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def serving_rows(payload: DataFrame, meta: DataFrame) -> DataFrame:
+    """Rows (key, part, payload_json) to store: the lists and the document facts."""
+    facts = meta.select(F.lit("meta").alias("part"), F.struct(*meta.columns).alias("document"))
+    return document_rows(payload).unionByName(document_rows(facts))
+
+
+def document_songs(parts: DataFrame) -> DataFrame:
+    """Table of the songs of parsed document parts, with the creation time typed."""
+    songs = parts.select("part", F.explode("document.songs").alias("_s")).select("part", "_s.*")
+    raw = F.coalesce(F.nullif(F.col("created_at_raw"), F.lit("")), F.col("created_at"))
+    return songs.withColumn("created_at", parse_ts(raw))

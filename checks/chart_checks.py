@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from chartlake.config import ChartConfig, CrewConfig
 from chartlake.operators import charts, reports, scoring
 from chartlake.operators.ordinal import global_ordinal
-from chartlake.plans.payload import app_payload, song_entries
+from chartlake.plans.payload import app_payload, document_songs, serving_rows, song_entries, tab_document
 from chartlake.sources.driver import AS_OF
-from chartlake.sources.tables import document_rows
+from chartlake.sources.tables import document_rows, read_document
 from checks.registry import check
 
 CREW = CrewConfig(handles=("@U3", "u5"), user_ids=("7",), display_names=("creator 11",))
@@ -308,18 +308,33 @@ def payload(d):
 
 @check(
     "payload_roundtrip",
-    """SELECT 'latest' AS key, 'top200' AS part, rank, id, strftime(created_at, '%Y-%m-%d %H:%M UTC') AS created_at,
-              round(trend_score, 6) AS trend_score FROM v_chart""",
+    """SELECT 'top200' AS part, rank, id, created_at, round(trend_score, 6) AS trend_score FROM v_chart""",
 )
 def payload_roundtrip(d):
-    from chartlake.plans.payload import tab_document
-    from chartlake.sources.tables import read_document
 
     chart = charts.trend_chart(d.ranked_songs(), d.song_history(), AS_OF)
     document = tab_document("top200", chart, d.song_history(), ChartConfig(history_points=3))
     back = read_document(document_rows(document), document.schema["document"].dataType)
-    rows = back.select("key", "part", F.explode("document.songs").alias("s"))
-    return rows.select("key", "part", "s.rank", "s.id", "s.created_at", F.round("s.trend_score", 6).alias("trend_score"))
+    songs = document_songs(back)
+    return songs.select("part", "rank", "id", "created_at", *r6("trend_score"))
+
+
+@check(
+    "serving_rows",
+    """SELECT 'latest' AS key, 'top200' AS part, count(*) AS song_count, NULL AS cutoff_utc FROM v_chart
+       UNION ALL SELECT 'latest', 'meta', NULL, '2024-01-27T00:00:00+00:00'""",
+)
+def stored_rows(d):
+    chart = charts.trend_chart(d.ranked_songs(), d.song_history(), AS_OF)
+    document = tab_document("top200", chart, d.song_history(), ChartConfig(history_points=3))
+    rows = serving_rows(document, reports.payload_meta(d.songs(), d.song_history(), AS_OF))
+    text = F.col("payload_json")
+    return rows.select(
+        "key",
+        "part",
+        F.get_json_object(text, "$.count").cast("long").alias("song_count"),
+        F.get_json_object(text, "$.cutoff_utc").alias("cutoff_utc"),
+    )
 
 
 @check(

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartlake.functions.scores import community_score, play_qualifies
+from chartlake.functions.scores import community_score, play_qualifies, register_sql_functions
 from chartlake.operators import engagement, playlists
 from chartlake.sources.driver import AS_OF
 from checks.registry import check
@@ -35,6 +35,13 @@ def community_score_lines(d):
     return d.raw("lineitem").select(*keys, score.alias("score"))
 
 
+@check("community_score_sql", "SELECT id, trend_score AS score FROM v_counters")
+def community_score_sql(d):
+    register_sql_functions(d.spark)
+    as_of = f"TIMESTAMP_NTZ'{AS_OF}'"
+    return counters(d).selectExpr("id", f"community_score(play_count, like_count, comment_count, created_at, {as_of}) AS score")
+
+
 @check("public_songs", "SELECT id, title FROM v_app_songs WHERE visibility = 'public' AND status = 'active'")
 def public_songs(d):
     return engagement.public_songs(d.app_songs()).select("id", "title")
