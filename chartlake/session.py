@@ -36,6 +36,8 @@ def build_session(app: str = "chartlake", cpus: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Small local data would otherwise be coalesced into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # Call-site capture multiplies the cost of building wide plans in Python.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

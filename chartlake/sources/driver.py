@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chartlake.functions.comments import MENTIONS
 from chartlake.operators.ordinal import running_totals
-from chartlake.session import prepare_session
+from chartlake.session import materialize, prepare_session
 
 AS_OF = "2024-01-31 00:00:00"
 FIRST_DAY = "2023-12-31"
@@ -25,6 +25,13 @@ class Domain:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare_session(spark)
         self.folder = folder
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """Domain table ``name`` written once, as a job over stored tables reads it."""
+        if name not in self._stored:
+            self._stored[name] = materialize(getattr(self, name)())
+        return self._stored[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -253,7 +253,7 @@ def rank_history_summary(d):
 )
 def archive_expired(d):
     db = d.ranked_songs().withColumn("best_rank", F.col("current_rank").cast("double"))
-    out = archive.archive_rows(db, d.song_history(), d.rank_history(), AS_OF)
+    out = archive.archive_rows(db, d.stored("song_history"), d.rank_history(), AS_OF)
     return out.select(
         "id", "archive_reason", "final_rank", F.round("final_trend_score", 6).alias("final_trend_score"), "best_rank",
         F.round("best_trend_score", 6).alias("best_trend_score"), "best_score_at", "top10_count", "chart_in_count",

@@ -30,7 +30,7 @@ def counts(*names):
 
 @check("trend_chart_topn", CHART_SQL)
 def trend_chart_topn(d):
-    chart = charts.trend_chart(d.songs(gaps=True), d.song_history(), AS_OF)
+    chart = charts.trend_chart(d.songs(gaps=True), d.stored("song_history"), AS_OF)
     return chart.select(
         "rank", "id", "title", *r6("trend_score", "base_score", "growth_score", "freshness_score"), "created_at"
     )
@@ -43,7 +43,7 @@ def trend_chart_topn(d):
               round(trend_score, 6) AS trend_score FROM v_scored""",
 )
 def score_songs(d):
-    scored = scoring.score_songs(d.songs(gaps=True), d.song_history(), AS_OF)
+    scored = scoring.score_songs(d.songs(gaps=True), d.stored("song_history"), AS_OF)
     return scored.select(
         "id", *r6("age_hours", "freshness_score", "base_score", "growth_score_raw", "trend_score")
     )
@@ -58,7 +58,7 @@ def score_songs(d):
               round(comment_delta_window, 6) AS comment_delta_window FROM v_scored""",
 )
 def growth_features(d):
-    out = scoring.growth_features(d.songs(), scoring.prepare_history(d.song_history()))
+    out = scoring.growth_features(d.songs(), scoring.prepare_history(d.stored("song_history")))
     kinds = [f"{c}_{k}" for c in ("play", "upvote", "comment") for k in ("velocity_per_hour", "delta_window")]
     return out.select("id", *r6(*kinds))
 
@@ -69,7 +69,7 @@ def growth_features(d):
 )
 def restore_created_at(d):
     db = d.songs(gaps=True).withColumn("was_missing", F.col("created_at").isNull())
-    return scoring.restore_created_at(db, d.song_history()).select("id", "created_at", "was_missing")
+    return scoring.restore_created_at(db, d.stored("song_history")).select("id", "created_at", "was_missing")
 
 
 @check(
@@ -78,7 +78,7 @@ def restore_created_at(d):
               count(*) - count(created_at) AS restored FROM v_gaps""",
 )
 def restore_report(d):
-    return reports.restore_report(d.songs(gaps=True), d.song_history())
+    return reports.restore_report(d.songs(gaps=True), d.stored("song_history"))
 
 
 @check(
@@ -143,7 +143,7 @@ def outlier_flags(d):
        FROM v_songs s LEFT JOIN m ON m.id = s.id""",
 )
 def rank_movement(d):
-    out = charts.rank_movement(d.ranked_songs(), d.song_history(), AS_OF, carry_forward=False)
+    out = charts.rank_movement(d.ranked_songs(), d.stored("song_history"), AS_OF, carry_forward=False)
     return out.select(
         "id", F.col("current_rank").cast("long").alias("current_rank"), "previous_rank", "rank_change", "rank_status",
         *r6("best_trend_score"), "best_rank", "best_score_at", "peak_play_count", "peak_adjusted_comment_count",
@@ -169,7 +169,7 @@ def rank_movement_carry(d):
             "peak_upvote_count": F.col("upvote_count") * 3.0,
         }
     )
-    out = charts.rank_movement(db, d.song_history(), AS_OF)
+    out = charts.rank_movement(db, d.stored("song_history"), AS_OF)
     return out.select("id", "best_rank", *r6("best_trend_score"), "best_score_at", "peak_upvote_count")
 
 
@@ -180,7 +180,7 @@ def rank_movement_carry(d):
        UNION ALL SELECT TIMESTAMP '2024-01-31', id, rank, round(trend_score, 6), play_count FROM v_chart""",
 )
 def rank_history_append(d):
-    ranked = charts.rank_chart(d.ranked_songs(), d.song_history(), AS_OF)
+    ranked = charts.rank_chart(d.ranked_songs(), d.stored("song_history"), AS_OF)
     out = charts.rank_history_append(d.rank_history(), ranked, AS_OF)
     return out.select("captured_at", "id", "rank", *r6("trend_score"), "play_count")
 
@@ -202,7 +202,7 @@ def ranked_list(d):
        FROM v_scored""",
 )
 def global_rank(d):
-    scored = scoring.score_songs(d.songs(), d.song_history(), AS_OF).select("id", "trend_score", "created_at")
+    scored = scoring.score_songs(d.songs(), d.stored("song_history"), AS_OF).select("id", "trend_score", "created_at")
     return global_ordinal(scored, charts.chart_order(), "rank").select("id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -215,8 +215,8 @@ def global_rank(d):
          || comment_count, ', ' ORDER BY checked_at) AS points FROM p GROUP BY id""",
 )
 def history_points(d):
-    chart = charts.trend_chart(d.songs(), d.song_history(), AS_OF).select("id")
-    out = charts.history_points(d.song_history(), F.broadcast(chart), 5)
+    chart = charts.trend_chart(d.songs(), d.stored("song_history"), AS_OF).select("id")
+    out = charts.history_points(d.stored("song_history"), F.broadcast(chart), 5)
 
     def point(p):
         return F.concat(p["checked_at"], F.lit("="), p["play_count"], F.lit("/"), p["upvote_count"], F.lit("/"), p["comment_count"])
@@ -233,7 +233,7 @@ def history_points(d):
        SELECT metric, rank, id, metric_value, id IN (SELECT id FROM c) AS in_chart FROM u WHERE rank <= 20""",
 )
 def metric_top_in_chart(d):
-    active = charts.active_scores(d.songs(), d.song_history(), AS_OF)
+    active = charts.active_scores(d.songs(), d.stored("song_history"), AS_OF)
     chart = charts.ranked_top(active, charts.chart_order(), 20)
     top = charts.top_by_metric(active, chart, ("play_count", "upvote_count", "comment_count"))
     return top.select("metric", "rank", "id", "metric_value", "in_chart")
@@ -298,7 +298,7 @@ PAYLOAD_SQL = f"""
 
 @check("app_payload", PAYLOAD_SQL)
 def payload(d):
-    parts = app_payload(d.ranked_songs(), d.song_history(), AS_OF, CREW)
+    parts = app_payload(d.ranked_songs(), d.stored("song_history"), AS_OF, CREW)
     rows = parts.select("part", F.explode("document.songs").alias("s"), F.col("document.histories").alias("h"))
     return rows.select(
         "part", "s.rank", "s.id", "s.title", F.round("s.trend_score", 6).alias("trend_score"), "s.play_count",
@@ -312,8 +312,8 @@ def payload(d):
 )
 def payload_roundtrip(d):
 
-    chart = charts.trend_chart(d.ranked_songs(), d.song_history(), AS_OF)
-    document = tab_document("top200", chart, d.song_history(), ChartConfig(history_points=3))
+    chart = charts.trend_chart(d.ranked_songs(), d.stored("song_history"), AS_OF)
+    document = tab_document("top200", chart, d.stored("song_history"), ChartConfig(history_points=3))
     back = read_document(document_rows(document), document.schema["document"].dataType)
     songs = document_songs(back)
     return songs.select("part", "rank", "id", "created_at", *r6("trend_score"))
@@ -325,9 +325,9 @@ def payload_roundtrip(d):
        UNION ALL SELECT 'latest', 'meta', NULL, '2024-01-27T00:00:00+00:00'""",
 )
 def stored_rows(d):
-    chart = charts.trend_chart(d.ranked_songs(), d.song_history(), AS_OF)
-    document = tab_document("top200", chart, d.song_history(), ChartConfig(history_points=3))
-    rows = serving_rows(document, reports.payload_meta(d.songs(), d.song_history(), AS_OF))
+    chart = charts.trend_chart(d.ranked_songs(), d.stored("song_history"), AS_OF)
+    document = tab_document("top200", chart, d.stored("song_history"), ChartConfig(history_points=3))
+    rows = serving_rows(document, reports.payload_meta(d.songs(), d.stored("song_history"), AS_OF))
     text = F.col("payload_json")
     return rows.select(
         "key",
@@ -357,4 +357,4 @@ def creator_display(d):
          '2024-01-27T00:00:00+00:00' AS cutoff_utc FROM v_gaps""",
 )
 def payload_meta(d):
-    return reports.payload_meta(d.songs(gaps=True), d.song_history(), AS_OF)
+    return reports.payload_meta(d.songs(gaps=True), d.stored("song_history"), AS_OF)

@@ -163,7 +163,7 @@ def playlist_counts(d):
        LEFT JOIN v_profiles f ON f.user_id = s.uploader_user_id""",
 )
 def playlist_songs(d):
-    out = playlists.playlist_songs(d.playlists(), d.unique_playlist_items(), d.app_songs(), d.profiles())
+    out = playlists.playlist_songs(d.playlists(), d.stored("unique_playlist_items"), d.app_songs(), d.profiles())
     return out.select("playlist_id", "song_id", "position", "added_at", "title", "profile_name")
 
 
@@ -195,7 +195,7 @@ def playlist_explode(d):
        FROM add LEFT JOIN n ON n.playlist_id = add.playlist_id""",
 )
 def playlist_append(d):
-    base = d.unique_playlist_items().where(F.col("position") <= 4)
+    base = d.stored("unique_playlist_items").where(F.col("position") <= 4)
     additions = d.playlist_items().select("playlist_id", "song_id", "added_at")
     return playlists.playlist_append(base, additions).select("playlist_id", "song_id", "added_at", "position")
 

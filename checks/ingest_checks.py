@@ -243,7 +243,7 @@ REFRESH_SQL = """
 )
 def catalog_refresh(d):
     out = jobs.catalog_refresh(
-        d.songs(gaps=True), d.song_history(), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS
+        d.songs(gaps=True), d.stored("song_history"), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS
     )["songs"]
     changed = F.coalesce(F.col("last_change_at") == F.lit(AS_OF).cast("timestamp_ntz"), F.lit(False))
     return out.select(
@@ -261,7 +261,7 @@ def catalog_refresh(d):
 )
 def catalog_refresh_history(d):
     out = jobs.catalog_refresh(
-        d.songs(gaps=True), d.song_history(), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS
+        d.songs(gaps=True), d.stored("song_history"), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS
     )["song_history"]
     return out.select("id", "checked_at", "play_count")
 
@@ -272,7 +272,7 @@ def catalog_refresh_history(d):
          END AS play_count FROM v_songs""",
 )
 def fast_refresh(d):
-    out = jobs.fast_refresh(d.songs(), d.song_history(), landed_items(d), AS_OF)["songs"]
+    out = jobs.fast_refresh(d.songs(), d.stored("song_history"), landed_items(d), AS_OF)["songs"]
     return out.select("id", "title", "play_count")
 
 

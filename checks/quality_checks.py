@@ -112,7 +112,7 @@ def quality_writeback(d):
         FROM t LEFT JOIN q ON q.song_id = t.id""",
 )
 def comment_quality_job(d):
-    out = jobs.comment_quality_job(d.songs(), d.song_history(), stored(d), d.chat_comments(), AS_OF)["summary"]
+    out = jobs.comment_quality_job(d.songs(), d.stored("song_history"), stored(d), d.chat_comments(), AS_OF)["summary"]
     return out.select(
         "id", "analyzed_comment_count", "comment_quality_ratio", "adjusted_comment_count", "comment_quality_summary"
     )
