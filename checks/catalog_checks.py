@@ -17,7 +17,7 @@ def align_schema(d):
     return catalog.align_schema(d.songs(), ("id", "title", "lyrics", "handle", "prompt"))
 
 
-@check("dedupe_columns")
+@check("dedupe_columns", "SELECT id, upper(title) AS title, id AS handle FROM v_songs")
 def dedupe_columns(d):
     songs = d.songs().select("id", "title", "handle")
     doubled = songs.select("id", "title", F.upper("title").alias("title"), "handle", F.col("id").alias("handle"))
@@ -430,7 +430,11 @@ def completeness_report(d):
     return reports.completeness_report(d.songs(gaps=True), ("created_at", "display_name", "audio_url", "contest_ids"))
 
 
-@check("text_repair_report")
+@check(
+    "text_repair_report",
+    r"""SELECT 'broken' AS column_name, count(*) FILTER (regexp_matches(text, '[^\x00-\x7F]')) AS changed_rows FROM documents
+        UNION ALL SELECT 'plain', 0""",
+)
 def text_repair_report(d):
     docs = d.raw("documents").select(
         F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("broken"), F.col("text").alias("plain")

@@ -124,7 +124,7 @@ def text_normalize(d):
     return text.normalize_text_columns(named)
 
 
-@check("text_repair")
+@check("text_repair", "SELECT doc_id, text, text AS repaired FROM documents")
 def text_repair(d):
     """Whole documents, mis-decoded and repaired: every text comes back."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
