@@ -1,10 +1,11 @@
 """The registered query of each operator; importing the module registers them."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import mixing, pii, twins
+from chartlake.llm import mixing, packing, pii, twins
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
@@ -23,6 +24,13 @@ def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_pack")
+def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, packed into sequences of 2048."""
+    prepare_session(spark)
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op8_pii", twins.PII)
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Confirmed personal-data spans of every document."""
