@@ -5,13 +5,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import mixing, packing, pii, twins
+from chartlake.llm import language, mixing, packing, pii, twins
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_language")
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    prepare_session(spark)
+    docs = table(spark, folder, "documents").withColumn("held_out", language.remainder(F.col("doc_id"), 4) == 2)
+    model = language.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
+    return language.classify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 @query("op5_source_mix", twins.SOURCE_MIX)
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Target, words taken and first training position of every document."""
