@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import language, mixing, packing, pii, twins
+from chartlake.llm import language, mixing, neardup, packing, pii, twins
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
@@ -21,6 +21,13 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.classify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near copies of every document."""
+    prepare_session(spark)
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_source_mix", twins.SOURCE_MIX)
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Target, words taken and first training position of every document."""
