@@ -21,7 +21,7 @@ give that language with score 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """``docs`` plus ``lang_pred`` and ``score``."""
     spark = docs.sparkSession
     tk.arrow_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(astuple(model) if model else None)  # plain values
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kept = docs.select(names)
     schema = T.StructType(
@@ -172,7 +172,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value) if shared.value else None
         for batch in batches:
             for part in tk.slices(batch, text):
                 column = part.column(text)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import language, mixing, neardup, packing, pii, twins
+from chartlake.llm import language, mixing, neardup, packing, pii, toxicity, twins
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
@@ -28,6 +28,18 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that aren't held out."""
+    prepare_session(spark)
+    held_out = language.remainder(F.col("doc_id"), 3) == 1
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    known = labels.where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), known)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted, "evidence")
+
+
 @query("op5_source_mix", twins.SOURCE_MIX)
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Target, words taken and first training position of every document."""
