@@ -186,29 +186,6 @@ def link_block(nodes: np.ndarray, classes: np.ndarray, sides: np.ndarray, sets:
     return links
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys in sorted batches, one table each."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        edges = [0, *np.flatnonzero(change), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            key = tuple(c[a] for c in columns)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def search_blocks(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_ROWS) -> DataFrame:
     """Links between ``members`` (``bucket``, ``node``, ``component``, ``size``) of different components.
 
@@ -223,7 +200,7 @@ def search_blocks(members: DataFrame, sets: DataFrame, threshold: float = THRESH
     units = dealt.select("bucket", "i", "j", "own", "node", "component").join(sets, "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in groups(batches, ["bucket", "i", "j"]):
+        for unit in tk.groups(batches, ["bucket", "i", "j"]):
             column = {c: unit.column(c).to_numpy() for c in ("node", "component", "own")}
             sets_ = [_set(s) for s in unit.column("shingles")]
             links = link_block(column["node"], column["component"], column["own"], sets_, threshold)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import language, mixing, neardup, packing, pii, toxicity, twins
+from chartlake.llm import embdup, language, mixing, neardup, packing, pii, topk, toxicity, twins
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
@@ -64,3 +64,18 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Confirmed personal-data spans of every document."""
     prepare_session(spark)
     return pii.digest(pii.find_pii(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query("op9_near_vectors", twins.NEAR_VECTORS)
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every embedding at cosine 0.95."""
+    prepare_session(spark)
+    return embdup.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op10_top_k", twins.TOP_K)
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best candidates of every hundredth embedding."""
+    prepare_session(spark)
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0)

@@ -124,3 +124,29 @@ def shingles(words: np.ndarray, owner: np.ndarray, texts: int, size: int = 5) ->
         total[: len(words) - k] += np.where(left[: len(words) - k] > k, words[k:] * factor, np.uint64(0))
     keep = (left >= size) | ((counts[owner] < size) & (left == counts[owner]))
     return mix(total[keep]), owner[keep]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], joined: bool = True) -> Iterator[pa.Table]:
+    """Runs of rows with equal (not null) keys in sorted batches, one table each.
+
+    With ``joined`` false a run is given in parts, one for each batch it lies in.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and (key != last or not joined):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
