@@ -12,6 +12,9 @@ packed each; an empty table gives no rows; other columns of the pieces pass thro
 """
 from __future__ import annotations
 
+import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,29 +32,65 @@ END_TOKEN = 0
 #: Pieces packed together. The group's task holds its pieces' lengths and columns.
 GROUP_PIECES = 16_384
 #: Encoded words kept by a task; beyond that it starts over.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+
+
+#: A stop or comma after an ASCII or Latin-1 letter or digit, at the end of a word.
+STOP = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?= )")
+
+
+def _byte_kinds() -> bytes:
+    kinds = bytearray(b"!" * 128 + b"c" * 64 + b"L" * 64)
+    for c in b"abcdefghijklmnopqrstuvwxyz0123456789":
+        kinds[c] = ord("a")
+    kinds[ord(" ")], kinds[ord(".")], kinds[ord(",")] = ord(" "), ord("."), ord(".")
+    kinds[0xC3], kinds[0x97], kinds[0xB7] = ord("C"), ord("y"), ord("y")  # the two signs among Latin-1 letters
+    return bytes(kinds)
+
+
+KINDS = _byte_kinds()
+#: What may stand before a stop so that cutting there could change ids.
+ODD_STOPS = (b"!.", b"..", b"Lc.", b"cc.", b"y.", b" .")
+
+
+def split_words(text: str) -> list[bytes]:
+    """Cut a text where this tokenizer's ids don't depend on it: at spaces, line feeds and
+    before a stop or comma that ends a word. ASCII letters become small, as the tokenizer
+    makes them, unless the text has marks that combine with them or a special token."""
+    data = text.encode()
+    if not (b"\xcc" in data or b"\xcd" in data or b"<|" in data):
+        data = data.lower()
+    data = data.replace(b"\n", b" ") + b" "
+    kinds = data.translate(KINDS)
+    if any(odd in kinds for odd in ODD_STOPS):
+        data = STOP.sub(rb" \1", data)
+    else:
+        data = data.replace(b". ", b" . ").replace(b", ", b" , ")
+    return data.split(b" ")
 
 
 def encoder(definition: str, end_token: int = END_TOKEN) -> Callable[[list[str]], list[bytes]]:
     """Encode texts as little-endian 32-bit ids plus the end token.
 
-    Space and line feed end a word for this tokenizer and give no id, so a text's ids
-    are those of its words, and repeated words are encoded once.
+    A text's ids are those of its words, and a word that comes again is looked up.
+    The words known are kept for the next task of the same Python process.
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(definition)
-    known: dict[str, bytes] = {"": b""}
+    state = sys.modules.setdefault("_packing_state", types.ModuleType("_packing_state")).__dict__
+    if state.get("definition") != definition:
+        state |= {"definition": definition, "tokenizer": Tokenizer.from_str(definition), "known": {b"": b""}}
+    tokenizer, known = state["tokenizer"], state["known"]
     end = np.array([end_token], "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > CACHE_WORDS:
             known.clear()
-            known[""] = b""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[b""] = b""
+        words = [split_words(t) for t in texts]
+        new = list(set().union(*words).difference(known))
+        coded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        known.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in coded]))
         return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
     return encode
