@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartlake.llm import textkernels as tk
+from chartlake.session import materialize
 
 LENGTHS = (2, 3, 4)
 PLACES = 18
@@ -89,17 +90,20 @@ def kernels(data: np.ndarray, offsets: np.ndarray, column: np.ndarray, landmarks
     return out
 
 
-def labelled_sample(docs: DataFrame, label: str, order: Column, bound: int) -> DataFrame:
-    """At most ``bound`` rows of each label with ``_rank`` from 1, by a hash order.
+def labelled_sample(docs: DataFrame, label: str, order: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows of each label, with ``_rank`` from 1 by a hash column.
 
-    Labels are counted first and thinned by hash, so the ranking sees about twice
-    the bound of a label, however many rows have it.
+    Only labels and hashes are counted, thinned and ranked: the ranking sees about twice
+    the bound of a label, however many rows have it, and rows are then picked by the
+    chosen hashes, a table with that bound. Other columns are not shuffled.
     """
-    counts = docs.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
-    place = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    thinned = docs.join(counts, label).where(place * F.col("_rows") < 2.0 * bound + 20).drop("_rows")
+    narrow = docs.select(label, order)
+    counts = materialize(narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")))
+    place = F.pmod(F.col(order), F.lit(1 << 30)) / float(1 << 30)
+    thinned = narrow.join(counts, label).where(place * F.col("_rows") < 2.0 * bound + 20)
     ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    return ranked.where(F.col("_rank") <= bound)
+    chosen = ranked.where(F.col("_rank") <= bound).groupBy(label, order).agg(F.min("_rank").alias("_rank"))
+    return docs.join(F.broadcast(materialize(chosen)), [label, order])
 
 
 def fit(
@@ -112,7 +116,7 @@ def fit(
     order = F.xxhash64(*[F.col(c) for c in labelled.columns])
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), order.alias("order"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = labelled_sample(rows, "label", F.col("order"), examples)
+    sample = materialize(labelled_sample(rows, "label", "order", examples))
     # Landmarks: the first of each label, texts of some length before very short ones.
     short = (F.length("text") < 200).cast("int")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(short, "_rank"))

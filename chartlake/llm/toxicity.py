@@ -210,7 +210,7 @@ def label_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -
     usable = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     usable = usable.where("label in (0, 1)").distinct()
     counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("_all"))
-    chosen = labelled_sample(usable, "label", F.xxhash64("doc_id"), examples)
+    chosen = labelled_sample(usable.withColumn("order", F.xxhash64("doc_id")), "label", "order", examples)
     sizes = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("_some")).join(counts, "label")
     chosen = chosen.join(sizes, "label").select("doc_id", "label", (F.col("_all") / F.col("_some")).alias("votes"))
     return docs.select("doc_id", "text").join(F.broadcast(materialize(chosen)), "doc_id")
