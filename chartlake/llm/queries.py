@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import chat, embdup, language, mixing, neardup, packing, pii, topk, toxicity, twins
+from chartlake.llm import chat, embdup, language, licenses, mixing, neardup, packing, pii, topk, toxicity, twins
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
@@ -71,6 +71,13 @@ def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    prepare_session(spark)
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 @query("op8_pii", twins.PII)
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Confirmed personal-data spans of every document."""
