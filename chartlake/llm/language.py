@@ -15,8 +15,9 @@ example. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and
 for all texts if nothing can be learned; scores are a softmax over the languages;
-rows keep their number; equal texts get equal results; tokens of one language only
-give that language with score 1.
+rows keep their number; equal texts get equal results; if only one language is known
+it gets every text with a letter, with score 1; other columns pass through, and added
+columns replace columns of the same name.
 """
 from __future__ import annotations
 

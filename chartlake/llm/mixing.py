@@ -13,7 +13,8 @@ slice of the order) and over the slice totals, so that no source meets in one ta
 Defined results: a null text has size 0; null is a source of its own, last in
 order; a source of size 0 gets target 0, and its documents are taken 0 times; the
 order of documents is the MD5 of doc_id as text (null as empty), then size, so
-reruns agree and repeated rows are interchangeable; an empty table gives no rows.
+reruns agree and repeated rows are interchangeable; an empty table gives no rows; other
+columns pass through, and added columns replace columns of the same name.
 """
 from __future__ import annotations
 
@@ -34,6 +35,11 @@ CURRICULUM: tuple[Knots, ...] = (
 )
 #: Hexadecimal digits of the order key that name a slice: 4096 slices a source.
 SLICE_DIGITS = 3
+#: Columns that planning adds; they replace columns of the same name.
+ADDED = (
+    "source_size", "target", "schedule", "place", "copies", "taken", "copy", "position",
+    "_key", "_slice", "_sum", "_start", "_source", "_part", "_of",
+)
 
 
 def areas(knots: Knots) -> list[float]:
@@ -116,6 +122,7 @@ def plan_mix(
     A copy is taken if the middle of its place lies within the source's target, so a
     source's taken size differs from its target by half a document at most.
     """
+    docs = docs.drop(*ADDED)
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     keyed = docs.withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
     slices = keyed.groupBy(source, "_slice").agg(F.sum(size).alias("_sum"))

@@ -8,7 +8,8 @@ whose sum fits the widened gap more tightly. A group leaves one poorly filled bi
 so thousands of pieces a group cost a negligible share of sequences.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
-packed each; an empty table gives no rows; other columns of the pieces pass through.
+packed each; an empty table gives no rows; other columns of the pieces pass through, and the added
+columns replace columns of the same name.
 """
 from __future__ import annotations
 
@@ -197,6 +198,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     ``pieces`` should be a stored table: the deal of its rows to groups follows their
     place in it and must repeat when a task is run again.
     """
+    pieces = pieces.drop("sequence_id", "offset", "_group")
     groups = F.lit(max(1, -(-pieces.count() // group_pieces)))
     dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), groups).cast("long"))
     schema = T.StructType(

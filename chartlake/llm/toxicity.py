@@ -16,7 +16,8 @@ of vocabulary. Everything that is broadcast or sent to the driver has these boun
 Defined results: a text without any term of the vocabulary (also null or empty) gets
 the share of toxic rows among such examples, without evidence; without usable labels
 every score is 0; contradictory labels of one document count as separate examples;
-similarity ties go to the smaller doc_id; rows keep their number.
+similarity ties go to the smaller doc_id; rows keep their number; other columns pass
+through, and added columns replace columns of the same name.
 """
 from __future__ import annotations
 
@@ -224,6 +225,7 @@ def score_documents(
     ``labels`` has ``doc_id`` and ``label`` (0 or 1) of the rows to learn from.
     """
     spark = docs.sparkSession
+    docs = docs.drop("terms", "times", "score", "evidence")
     tk.arrow_batches(spark)
     sample = materialize(label_sample(docs, labels, examples))
     vocabulary = np.sort(term_table(sample, terms))
@@ -247,7 +249,7 @@ def score_documents(
 
     model = Model(vocabulary, idf, index, rate([r for r in rows if not r.terms]), rate(rows))
     shared = spark.sparkContext.broadcast(astuple(model))  # plain values: tasks need no import
-    kept = described.drop("terms", "times", "score", "evidence")
+    kept = described.drop("terms", "times")
     names, columns = kept.columns, [*kept.columns, "score", "evidence"]
     schema = T.StructType(
         [*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]
