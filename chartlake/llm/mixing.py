@@ -38,7 +38,7 @@ SLICE_DIGITS = 3
 #: Columns that planning adds; they replace columns of the same name.
 ADDED = (
     "source_size", "target", "schedule", "place", "copies", "taken", "copy", "position",
-    "_key", "_slice", "_sum", "_start", "_source", "_part", "_of",
+    "_key", "_group", "_slice", "_sum", "_start", "_of",
 )
 
 
@@ -125,27 +125,25 @@ def plan_mix(
     docs = docs.drop(*ADDED)
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     keyed = docs.withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
-    slices = keyed.groupBy(source, "_slice").agg(F.sum(size).alias("_sum"))
-    slices = materialize(slices)
+    # A source's key is never null, so the join and the window share one shuffle.
+    keyed = keyed.withColumn("_group", F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), source)))
+    slices = materialize(keyed.groupBy(source, "_group", "_slice").agg(F.sum(size).alias("_sum")))
     targets = source_targets(
         slices.withColumnRenamed("_sum", size), curriculum, share, max_repeats, source, size
     )
-    earlier = Window.partitionBy(source).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    starts = starts.withColumnRenamed(source, "_source").withColumnRenamed("_slice", "_part")
     targets = targets.withColumnRenamed(source, "_of")
-    starts = starts.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    placed = keyed.join(
-        starts, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_part"))
-    ).drop("_source", "_part")
-    within = Window.partitionBy(source, "_slice").orderBy("_key", size).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.join(targets, F.col(source).eqNullSafe(F.col("_of"))).drop("_of", source)
+    placed = keyed.join(starts, ["_group", "_slice"])
+    within = Window.partitionBy("_group", "_slice").orderBy("_key", size).rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("_start") + F.coalesce(F.sum(size).over(within), F.lit(0))
     placed = placed.withColumn("place", place)
     middle = F.col("place") + F.col(size) / 2
     whole = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
     copies = F.when(F.col(size) > 0, F.greatest(whole, F.lit(0))).otherwise(0).cast("int")
     placed = placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col(size))
-    return placed.drop("_key", "_slice", "_start")
+    return placed.drop("_key", "_group", "_slice", "_start")
 
 
 def positions(copy: Column, curriculum: Sequence[Knots] = CURRICULUM, size: str = "size") -> Column:
