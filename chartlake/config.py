@@ -1,5 +1,8 @@
 """Parameters of every operator, as frozen dataclasses.
 
+Limits of work (``max_rows``, ``max_items``, ``QualityConfig.top_n``) are off unless
+a caller sets them.
+
 The numbers are fixed values of the chart being computed; callers override them
 per call instead of through environment variables.
 """
@@ -63,7 +66,7 @@ class TierConfig:
     backoff_failures: int = 3
     backoff_hours: float = 24
     freeze_failures: int = 10
-    max_rows: int = 1000
+    max_rows: int | None = None
     warm_handles: tuple[str, ...] = field(default_factory=tuple)
 
     def hours(self) -> dict[str, float]:
@@ -84,8 +87,7 @@ class QualityConfig:
     ``keep`` leaves its comment count, ``zero`` discounts it completely.
     """
 
-    top_n: int = 200
-    max_items_per_song: int = 120
+    top_n: int | None = None
     empty_policy: str = "keep"
 
 
@@ -95,7 +97,7 @@ class LoudnessConfig:
     true_peak_ceiling_db: float = -1.0
     max_boost_db: float = 6.0
     max_cut_db: float = -12.0
-    max_items: int = 30
+    max_items: int | None = None
     priority_top_n: int = 300
 
 

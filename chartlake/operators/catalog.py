@@ -11,15 +11,15 @@ from pyspark.sql import types as T
 from chartlake.config import TierConfig
 from chartlake.functions.coerce import as_ts, is_blank, plus_hours, strip
 from chartlake.functions.text import tier_handle
-from chartlake.operators.charts import cutoff, ranked_top
+from chartlake.operators.charts import cutoff, latest_first, ranked
 from chartlake.operators.skew import salted_join
 
 # States that are never refreshed quickly again, and the parts of
 # an error text that freeze an item at once.
 FROZEN_STATES = ("frozen", "deleted", "unavailable", "private")
 FATAL_ERRORS = ("404", "not found", "clip_not_found", "private", "deleted")
+# Fixed value: refresh order of the tiers.
 TIER_PRIORITY = {"hot": 0, "playlist": 1, "warm": 2, "cold": 3, "frozen": 4}
-ERROR_LENGTH = 500
 
 
 def align_schema(df: DataFrame, columns: Sequence[str], fill: str = "") -> DataFrame:
@@ -56,10 +56,18 @@ def ingest_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.where(reduce(Column.__and__, present)).withColumn("raw", F.to_json(F.struct(*df.columns)))
 
 
-def upsert_by_key(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Update or insert: rows of ``updates`` replace rows of ``base`` with the same key."""
-    rest = base.join(updates.select(*keys), list(keys), "left_anti")
-    return updates.unionByName(rest, allowMissingColumns=True)
+def upsert_by_key(
+    base: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None
+) -> DataFrame:
+    """Update or insert: rows of ``updates`` replace rows of ``base`` with the same key.
+
+    Of updates with one key the first in ``order`` stays; without an order it is the
+    row with the smallest hash, so reruns agree.
+    """
+    first = order or [F.xxhash64(*updates.columns).asc()]
+    unique = dedupe_keep(updates, keys, first)
+    rest = base.join(unique.select(*keys), list(keys), "left_anti")
+    return unique.unionByName(rest, allowMissingColumns=True)
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -80,8 +88,7 @@ def add_new(db: DataFrame, incoming: DataFrame, order: Sequence[Column], key: st
 
 def merge_shards(base: DataFrame, partials: DataFrame, order: Sequence[Column], key: str = "id") -> DataFrame:
     """Last row per id of all shard outputs, on top of the base."""
-    latest = dedupe_keep(partials, [key], [c.desc() for c in order])
-    return upsert_by_key(base, latest, [key])
+    return upsert_by_key(base, partials, [key], [c.desc() for c in order])
 
 
 def prune_children(children: DataFrame, parents: DataFrame, key: str = "id") -> DataFrame:
@@ -89,11 +96,14 @@ def prune_children(children: DataFrame, parents: DataFrame, key: str = "id") ->
 
 
 def history_compact(hist: DataFrame, as_of: str, high_res_days: int = 7) -> DataFrame:
-    """Keep recent and undated snapshots; of older ones the last per id and day."""
+    """Keep recent and undated snapshots; of older ones the last per id and day.
+
+    Of snapshots at one time the one with the larger counters counts as later.
+    """
     limit = cutoff(as_of, high_res_days)
     recent = hist.where(F.col("checked_at").isNull() | (F.col("checked_at") >= limit))
     old = hist.where(F.col("checked_at") < limit).withColumn("_day", F.to_date("checked_at"))
-    last = dedupe_keep(old, ["id", "_day"], [F.col("checked_at").desc()]).drop("_day")
+    last = dedupe_keep(old, ["id", "_day"], latest_first(old)).drop("_day")
     return recent.unionByName(last)
 
 
@@ -219,8 +229,8 @@ def refresh_order(tier: str = "computed_update_tier") -> list[Column]:
 
 
 def refresh_selection(db: DataFrame, playlist_items: DataFrame | None, as_of: str, cfg: TierConfig) -> DataFrame:
-    """At most ``cfg.max_rows`` due items in refresh order, numbered from 1."""
-    return ranked_top(due_items(db, playlist_items, as_of, cfg), refresh_order(), cfg.max_rows, "refresh_position")
+    """Due items in refresh order, numbered from 1 (at most ``cfg.max_rows``, if set)."""
+    return ranked(due_items(db, playlist_items, as_of, cfg), refresh_order(), cfg.max_rows, "refresh_position")
 
 
 def shard_assign(selection: DataFrame, shards: int) -> DataFrame:
@@ -245,7 +255,7 @@ def fetch_failures(
         {
             "last_checked_at": as_ts(as_of),
             "fetch_fail_count": count.cast("long"),
-            "last_fetch_error": F.substring(error, 1, ERROR_LENGTH),
+            "last_fetch_error": error,
         }
     )
     frozen = (F.col("fetch_fail_count") >= cfg.freeze_failures) | fatal

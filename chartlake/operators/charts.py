@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from chartlake.config import CrewConfig, RankingConfig
 from chartlake.functions.coerce import any_of, as_ts, plus_hours, strip
 from chartlake.functions.text import normalize_handle
+from chartlake.operators.ordinal import global_ordinal
 from chartlake.operators.scoring import COUNTERS, prepare_history, restored_catalog, score_items
 from chartlake.session import materialize
 
@@ -91,6 +93,11 @@ def ranked_top(df: DataFrame, order: Sequence[Column], n: int, name: str = "rank
     return limited.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def ranked(df: DataFrame, order: Sequence[Column], n: int | None, name: str = "rank") -> DataFrame:
+    """All rows with their ordinal, or the first ``n``."""
+    return global_ordinal(df, order, name) if n is None else ranked_top(df, order, n, name)
+
+
 def clear_movement(df: DataFrame) -> DataFrame:
     """Lists that are not rankings show no movement."""
     blanks = {
@@ -131,7 +138,7 @@ def trend_chart(db: DataFrame, hist: DataFrame, as_of: str, cfg: RankingConfig =
     return ranked_top(active_scores(db, hist, as_of, cfg), chart_order(), n)
 
 
-def movement(ranked: DataFrame, has_previous: Column, previous: str = "previous_rank", rank: str = "rank") -> DataFrame:
+def movement(chart: DataFrame, has_previous: Column, previous: str = "previous_rank", rank: str = "rank") -> DataFrame:
     """rank_change and rank_status of ranked rows that carry their previous rank."""
     change = F.col(previous) - F.col(rank)
     status = (
@@ -141,17 +148,16 @@ def movement(ranked: DataFrame, has_previous: Column, previous: str = "previous_
         .when(change > 0, "up")
         .otherwise("down")
     )
-    return ranked.withColumns({"rank_change": change, "rank_status": status})
+    return chart.withColumns({"rank_change": change, "rank_status": status})
 
 
 def rank_chart(db: DataFrame, hist: DataFrame, as_of: str, cfg=RankingConfig(), n: int = 200) -> DataFrame:
     """Top-N of active items with movement against the stored ``current_rank``."""
     stored = F.col("current_rank").cast("double") if "current_rank" in db.columns else F.lit(None).cast("double")
     scored = active_scores(db, hist, as_of, cfg, dated_only=False).withColumn("previous_rank", stored)
-    ranked = ranked_top(scored, chart_order(), n)
+    chart = ranked_top(scored, chart_order(), n)
     any_rank = db.agg(F.max(stored).isNotNull().alias("_has_previous"))
-    ranked = ranked.crossJoin(F.broadcast(any_rank))
-    return movement(ranked, F.col("_has_previous")).drop("_has_previous")
+    return movement(chart.crossJoin(F.broadcast(any_rank)), F.col("_has_previous")).drop("_has_previous")
 
 
 def rank_movement(
@@ -162,7 +168,7 @@ def rank_movement(
     ``carry_forward`` keeps earlier best and peak values; without it they start
     over at every run. At most ``n`` ranked rows are broadcast.
     """
-    ranked = rank_chart(db, hist, as_of, cfg, n).select(
+    chart = rank_chart(db, hist, as_of, cfg, n).select(
         "id",
         F.col("rank").alias("current_rank"),
         "previous_rank",
@@ -184,7 +190,7 @@ def rank_movement(
 
     keep = {f"_old_{c}": F.col(c) for c in RANK_COLUMNS if c in db.columns}
     base = db.withColumns(keep).drop(*[c for c in RANK_COLUMNS if c in db.columns])
-    out = base.join(F.broadcast(ranked), "id", "left")
+    out = base.join(F.broadcast(chart), "id", "left")
     score = F.col("current_score")
     improved = score.isNotNull() & (old("best_trend_score").isNull() | (score > old("best_trend_score")))
     out = out.withColumns(
@@ -202,13 +208,13 @@ def rank_movement(
 
 
 def rank_history_append(
-    rank_history: DataFrame, ranked: DataFrame, captured_at: str, retention_days: int = 4
+    rank_history: DataFrame, chart: DataFrame, captured_at: str, retention_days: int = 4
 ) -> DataFrame:
     """Chart history with one more capture, without captures past the retention.
 
     A capture is at most N rows and replaces an earlier capture of the same key.
     """
-    snapshot = materialize(ranked).select(
+    snapshot = materialize(chart).select(
         as_ts(captured_at).alias("captured_at"),
         F.col("id").cast("string").alias("id"),
         F.col("rank").cast("long").alias("rank"),
@@ -218,23 +224,26 @@ def rank_history_append(
     )
     limit = plus_hours(as_ts(captured_at), -(24.0 * max(retention_days, 1) + 6.0))
     kept = rank_history.where(F.col("captured_at").isNull() | (F.col("captured_at") >= limit))
-    replaced = kept.join(F.broadcast(snapshot.select("captured_at", "id")), ["captured_at", "id"], "left_anti")
+    replaced = kept.join(snapshot.select("captured_at", "id"), ["captured_at", "id"], "left_anti")
     return replaced.select(*RANK_HISTORY_COLUMNS).unionByName(snapshot.select(*RANK_HISTORY_COLUMNS))
 
 
+def latest_first(hist: DataFrame) -> list[Column]:
+    """Total order of snapshots: newest, then larger counters, then a hash of the row."""
+    grown = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in COUNTERS[:3] if c in hist.columns]
+    size = reduce(Column.__add__, grown, F.lit(0.0))
+    return [F.col("checked_at").desc_nulls_last(), size.desc(), F.xxhash64(*hist.columns).desc()]
+
+
 def history_points(hist: DataFrame, ids: DataFrame, k: int = 80) -> DataFrame:
     """Last ``k`` snapshots of listed ids as one ordered array per id.
 
     Spark limits each group before the shuffle, so an id with many snapshots
     sends at most ``k`` rows per task.
     """
-    newest = Window.partitionBy("id").orderBy(F.col("checked_at").desc_nulls_last())
-    picked = (
-        hist.join(ids.select("id").distinct(), "id", "left_semi")
-        .select("id", "checked_at", *COUNTERS[:3])
-        .withColumn("_n", F.row_number().over(newest))
-        .where(F.col("_n") <= k)
-    )
+    listed = hist.select("id", "checked_at", *COUNTERS[:3]).join(ids.select("id").distinct(), "id", "left_semi")
+    newest = Window.partitionBy("id").orderBy(*latest_first(listed))
+    picked = listed.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= k)
     point = F.struct(
         F.date_format("checked_at", "MM-dd HH:mm").alias("checked_at"),
         *[F.col(c).cast("long").alias(c) for c in COUNTERS[:3]],
@@ -247,12 +256,12 @@ def top_by_metric(df: DataFrame, chart_ids: DataFrame, metrics: Sequence[str], k
     """Top ``k`` per counter with a flag whether the item is in the chart.
 
     One pass: every row is paired with its counters, and each task keeps ``k``
-    rows per counter before the shuffle. ``chart_ids`` is a limited list.
+    rows per counter before the shuffle.
     """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("metric_value")) for m in metrics])
     w = Window.partitionBy("metric").orderBy(F.col("metric_value").desc_nulls_last(), F.col("id").asc())
     top = df.select("id", F.inline(pairs)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    flags = F.broadcast(chart_ids.select("id", F.lit(True).alias("_in")))
+    flags = chart_ids.select("id", F.lit(True).alias("_in"))
     out = top.withColumn("rank", F.col("rank").cast("long")).join(flags, "id", "left")
     return out.withColumn("in_chart", F.coalesce("_in", F.lit(False))).drop("_in")
 

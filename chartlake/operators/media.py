@@ -8,7 +8,7 @@ from chartlake.config import LoudnessConfig
 from chartlake.functions.coerce import any_of, as_ts, strip
 from chartlake.functions.scores import normalization_gain
 from chartlake.functions.text import url_hash
-from chartlake.operators.charts import ranked_top
+from chartlake.operators.charts import ranked
 
 LOG_FIELDS = {
     "integrated_lufs": "input_i",
@@ -18,7 +18,6 @@ LOG_FIELDS = {
     "loudness_target_offset": "target_offset",
 }
 LOG_BLOCK = r'(?s)\{\s*"input_i".*?\}'
-ERROR_LENGTH = 500
 
 
 def _finite(text: Column) -> Column:
@@ -55,7 +54,7 @@ def loudness_priority(db: DataFrame, cfg: LoudnessConfig = LoudnessConfig()) ->
     rank = F.col("current_rank").cast("double")
     priority = F.when(rank.between(1, cfg.priority_top_n), rank).otherwise(F.lit(999999.0))
     order = [priority.asc(), F.coalesce("created_at", as_ts("1970-01-01 00:00:00")).desc(), F.col("id").asc()]
-    return ranked_top(loudness_candidates(db), order, cfg.max_items, "analysis_position")
+    return ranked(loudness_candidates(db), order, cfg.max_items, "analysis_position")
 
 
 def loudness_update(db: DataFrame, logs: DataFrame, as_of: str, cfg: LoudnessConfig = LoudnessConfig()) -> DataFrame:
@@ -83,11 +82,8 @@ def loudness_update(db: DataFrame, logs: DataFrame, as_of: str, cfg: LoudnessCon
         return F.col(name).cast(kind) if name in db.columns else F.lit(None).cast(kind)
 
     values = {n: F.when(seen & ok, c).otherwise(old(n, "double")) for n, c in fresh.items()}
-    error = F.substring(
-        F.regexp_replace(F.coalesce(F.nullif(F.col("_error"), F.lit("")), F.lit("no valid measurement")), "\n", " "),
-        1,
-        ERROR_LENGTH,
-    )
+    given = F.coalesce(F.nullif(F.col("_error"), F.lit("")), F.lit("no valid measurement"))
+    error = F.regexp_replace(given, "\n", " ")
     values |= {
         "loudness_status": F.when(seen & ok, "ok").when(seen, "failed").otherwise(old("loudness_status", "string")),
         "loudness_error": F.when(seen & ok, "").when(seen, error).otherwise(old("loudness_error", "string")),

@@ -1,7 +1,7 @@
 """Catalogue coercion, created_at repair, growth and trend scores, outliers."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from chartlake.functions.coerce import as_ts, clamp, hours_between, parse_ts, pl
 from chartlake.functions.scores import log_count
 from chartlake.operators.skew import salted_join
 
+# Columns of the catalogue by type.
 TIME_COLUMNS = ("created_at", "first_seen_at", "last_checked_at", "comment_quality_checked_at")
 COUNTERS = ("play_count", "upvote_count", "comment_count", "flag_count")
 NUMERIC_COLUMNS = COUNTERS + (
@@ -84,6 +85,21 @@ def restore_created_at(db: DataFrame, hist: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_key() -> Column:
+    """Total order of snapshots as one decimal: time, then counters, then a hash.
+
+    A decimal keeps the buffers of ``min_by`` primitive, and all counters of an id
+    come from one row even where several snapshots have the same time.
+    """
+    counters = [F.coalesce(F.col(f"{c}_count").cast("double"), F.lit(0.0)) for c in GROWTH_COLUMNS]
+    grown = F.least(counters[0] + counters[1] + counters[2], F.lit(999_999_999_999.0)).cast("decimal(12,0)")
+    mark = F.pmod(F.xxhash64(*counters), F.lit(10_000_000_000)).cast("decimal(10,0)")
+    micros = F.unix_micros(F.col("checked_at").cast("timestamp")).cast("decimal(17,0)")
+    tie = (grown * F.lit(10_000_000_000).cast("decimal(11,0)")).cast("decimal(22,0)") + mark
+    whole = (micros * F.expr("CAST('10000000000000000000000' AS DECIMAL(23,0))")).cast("decimal(38,0)")
+    return (whole + tie).cast("decimal(38,0)")
+
+
 def growth_features(db: DataFrame, hist: DataFrame, cfg: RankingConfig = RankingConfig()) -> DataFrame:
     """Velocity per hour and delta per window of three counters, per id.
 
@@ -96,12 +112,12 @@ def growth_features(db: DataFrame, hist: DataFrame, cfg: RankingConfig = Ranking
     anchors = db.select("id", plus_hours("created_at", window).alias("_anchor")).where(F.col("_anchor").isNotNull())
     snapshots = hist.select("id", "checked_at", *[f"{c}_count" for c in GROWTH_COLUMNS])
     tail = salted_join(snapshots, anchors, ["id"]).where(F.col("checked_at") >= F.col("_anchor"))
-    spans = tail.groupBy("id").agg(
+    spans = tail.withColumn("_at", snapshot_key()).groupBy("id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("checked_at").alias("_t0"),
         F.max("checked_at").alias("_t1"),
-        *[F.min_by(f"{c}_count", "checked_at").cast("double").alias(f"_{c}0") for c in GROWTH_COLUMNS],
-        *[F.max_by(f"{c}_count", "checked_at").cast("double").alias(f"_{c}1") for c in GROWTH_COLUMNS],
+        *[F.min_by(f"{c}_count", "_at").cast("double").alias(f"_{c}0") for c in GROWTH_COLUMNS],
+        *[F.max_by(f"{c}_count", "_at").cast("double").alias(f"_{c}1") for c in GROWTH_COLUMNS],
     )
     hours = hours_between("_t0", "_t1")
     usable = (F.col("_n") >= 2) & (hours > 0)

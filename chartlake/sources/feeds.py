@@ -77,21 +77,22 @@ def embedded_object(body: str = "body", marker: str = OBJECT_MARKER) -> Column:
     return F.to_json(F.try_parse_json(F.when(found, text)))
 
 
-def flatten_comments(pages: DataFrame, cap: int = 120, max_pages: int = 3) -> DataFrame:
+def flatten_comments(pages: DataFrame, cap: int | None = None, max_pages: int | None = None) -> DataFrame:
     """Comments and replies of landed pages (song_id, page_no, body).
 
-    At most ``cap`` top-level comments per song, in page order, are considered;
-    replies do not count. Rows without content are dropped.
+    Rows without content are dropped. ``max_pages`` and ``cap`` limit the pages and
+    the top-level comments per song (in page order; replies do not count); without
+    them every page is flattened where it lies, without a shuffle.
     """
-    parsed = pages.where(F.col("page_no") < max_pages).select(
-        "song_id", "page_no", F.from_json("body", COMMENT_PAGE)["results"].alias("_r")
-    )
-    before = Window.partitionBy("song_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    sized = parsed.withColumn("_r", F.coalesce("_r", F.array().cast(parsed.schema["_r"].dataType)))
-    taken = sized.withColumn("_room", F.lit(cap) - F.coalesce(F.sum(F.size("_r")).over(before), F.lit(0)))
-    rows = taken.where(F.col("_room") > 0).select(
-        "song_id", F.explode(F.slice("_r", F.lit(1), F.col("_room").cast("int"))).alias("_c")
-    )
+    used = pages if max_pages is None else pages.where(F.col("page_no") < max_pages)
+    parsed = used.select("song_id", "page_no", F.from_json("body", COMMENT_PAGE)["results"].alias("_r"))
+    if cap is not None:
+        before = Window.partitionBy("song_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+        sized = parsed.withColumn("_r", F.coalesce("_r", F.array().cast(parsed.schema["_r"].dataType)))
+        taken = sized.withColumn("_room", F.lit(cap) - F.coalesce(F.sum(F.size("_r")).over(before), F.lit(0)))
+        room = F.greatest(F.col("_room"), F.lit(0)).cast("int")
+        parsed = taken.select("song_id", F.slice("_r", F.lit(1), room).alias("_r"))
+    rows = parsed.select("song_id", F.explode("_r").alias("_c"))
 
     def shape(c, reply: bool):
         replies = F.lit(0).cast("long") if reply else F.coalesce(c["num_replies"], F.lit(0).cast("long"))
