@@ -1,12 +1,10 @@
 """Text columns: encoding repair, cleaning, handles, tags, links, moderation."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chartlake.config import LinkConfig
 from chartlake.functions.coerce import (
@@ -29,7 +27,6 @@ MARKER_PENALTY = 3
 CONTROL_PENALTY = 5
 SHORT_TEXT = 8
 REPAIR_ROUNDS = 3
-SINGLE_BYTE_CODECS = ("latin1", "cp1252")
 
 # Catalogue columns that hold free text.
 TEXT_COLUMNS = (
@@ -41,59 +38,87 @@ TEXT_COLUMNS = (
 UUID_PATTERN = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
-def _damage(text: str) -> int:
-    marked = sum(text.count(marker) for marker in BROKEN_MARKERS)
-    controls = sum(0x80 <= ord(ch) <= 0x9F for ch in text)
-    return MARKER_PENALTY * marked + CONTROL_PENALTY * controls + max(0, SHORT_TEXT - len(text))
+# Characters of the Windows western code page at 0x80 to 0x9F, in order;
+# a blank stands for an unused byte.
+WINDOWS_CHARACTERS = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
+WINDOWS = "".join(c for c in WINDOWS_CHARACTERS if c != " ")
+WINDOWS_CONTROLS = "".join(chr(0x80 + i) for i, c in enumerate(WINDOWS_CHARACTERS) if c != " ")
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+REPLACEMENT, STAND_IN = "\ufffd", "\U0010ffff"
+SPELLED_REPLACEMENT, SPELLED_STAND_IN = (c.encode().decode("latin1") for c in (REPLACEMENT, STAND_IN))
+# Characters outside of each code page.
+NOT_LATIN = "[^\u0000-\u00ff]"
+NOT_WINDOWS = f"[^\u0000-\u007f\u00a0-\u00ff{WINDOWS}]"
 
 
-def _redecode(text: str, errors: str, codec: str) -> str:
-    try:
-        return text.encode(codec, errors).decode("utf-8", errors)
-    except UnicodeError:
-        return ""
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _least_damaged(text: str | None, modes: Sequence[str]) -> str | None:
-    if text is None:
-        return None
-    seen = {text: _damage(text)}  # insertion order: the first of equals wins
-    layer = [text]
-    for _ in range(REPAIR_ROUNDS):
-        found = (_redecode(t, m, c) for t in layer for c in SINGLE_BYTE_CODECS for m in modes)
-        layer = [t for t in dict.fromkeys(found) if t and t not in seen]
-        seen.update((t, _damage(t)) for t in layer)
-    return min(seen, key=seen.__getitem__)
+def _damage(text: Column) -> Column:
+    marked, controls = _count(text, "".join(BROKEN_MARKERS)), _count(text, CONTROLS)
+    return MARKER_PENALTY * marked + CONTROL_PENALTY * controls + F.greatest(F.lit(0), SHORT_TEXT - F.length(text))
 
 
-def _repair_udf(lossy: bool):
-    modes = ("strict", "ignore") if lossy else ("strict",)
+def _redecoded(text: Column, lossy: bool) -> list[Column]:
+    """UTF-8 readings of a text's bytes in each code page; null where there is none."""
+    out = []
+    for outside, windows in ((NOT_LATIN, False), (NOT_WINDOWS, True)):
+        for drop in (False, True) if lossy else (False,):
+            kept = F.regexp_replace(text, outside, "") if drop else text
+            narrow = F.translate(kept, WINDOWS, WINDOWS_CONTROLS) if windows else kept
+            if drop:
+                # A replacement character that the text spells out is kept under another one.
+                held = F.replace(narrow, F.lit(SPELLED_REPLACEMENT), F.lit(SPELLED_STAND_IN))
+                valid = F.make_valid_utf8(F.encode(held, "ISO-8859-1").cast("string"))
+                out.append(F.translate(F.translate(valid, REPLACEMENT, ""), STAND_IN, REPLACEMENT))
+            else:
+                read = F.encode(narrow, "ISO-8859-1").cast("string")
+                out.append(F.when(~F.regexp_like(text, F.lit(outside)), F.try_validate_utf8(read)))
+    return out
 
-    @F.pandas_udf(T.StringType())
-    def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: _least_damaged(t, modes))
 
-    return repair
+def _least_damaged(text: Column, lossy: bool) -> Column:
+    """Best of the readings that up to ``REPAIR_ROUNDS`` rounds of decoding give."""
+
+    def step(acc, _):
+        read = F.flatten(F.transform(acc["last"], lambda t: F.array(*_redecoded(t, lossy))))
+        new = F.array_except(F.filter(read, lambda t: F.coalesce(t, F.lit("")) != ""), acc["seen"])
+        grown = F.transform(F.array(new), lambda n: F.struct(F.concat(acc["seen"], n).alias("seen"), n.alias("last")))
+        return F.element_at(grown, 1)
+
+    start = F.struct(F.array(text).alias("seen"), F.array(text).alias("last"))
+    seen = F.aggregate(F.sequence(F.lit(1), F.lit(REPAIR_ROUNDS)), start, step, lambda acc: acc["seen"])
+    ranked = F.transform(seen, lambda t, i: F.struct(_damage(t).alias("damage"), i.alias("place"), t.alias("text")))
+    return F.array_min(ranked)["text"]
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` written (and computed) once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def repair_text(c: Column | str, lossy: bool = False) -> Column:
-    """Undo double decoding of UTF-8 text.
+    """Undo double decoding of UTF-8 text, by built-in functions.
 
-    Only rows with characters of the Latin-1 upper half reach Python; the rest
-    travel as null. ``lossy=True`` also admits candidates that drop undecodable
-    characters, which shortens correctly accented text; the default never does.
+    Only texts with characters of the Latin-1 upper half are examined. ``lossy=True``
+    also admits readings that drop undecodable characters, which shortens correctly
+    accented text; the default never does.
     """
     value = F.when(is_blank(c), F.lit("")).otherwise(col(c).cast("string"))
-    suspicious = F.regexp_like(value, F.lit("[\u0080-\u00ff]"))
-    return F.coalesce(_repair_udf(lossy)(F.when(suspicious, value)), value)
+    suspicious = F.lit("[\u0080-\u00ff]")
+    return _once(value, lambda v: F.when(F.regexp_like(v, suspicious), _least_damaged(v, lossy)).otherwise(v))
 
 
 def clean_text(c: Column | str, repair: bool = True, lossy: bool = False) -> Column:
     """Repaired, trimmed text; blanks become the empty text."""
-    value = repair_text(c, lossy) if repair else F.when(is_blank(c), F.lit("")).otherwise(col(c).cast("string"))
-    text = strip(value)
-    return F.when(F.lower(text).isin(*BLANK_TOKENS), F.lit("")).otherwise(text)
+
+    def unblank(text: Column) -> Column:
+        return F.when(F.lower(text).isin(*BLANK_TOKENS), F.lit("")).otherwise(text)
+
+    if repair:
+        return _once(strip(repair_text(c, lossy)), unblank)
+    return unblank(strip(F.when(is_blank(c), F.lit("")).otherwise(col(c).cast("string"))))
 
 
 def normalize_text_columns(
@@ -145,14 +170,19 @@ def style_tags(c: Column | str, k: int) -> Column:
     return F.slice(F.filter(tags, lambda t: t != ""), 1, k)
 
 
-def bounded_text(c: Column | str, max_len: int) -> Column:
-    """NUL-free trimmed text of at most ``max_len`` characters (a field limit)."""
-    text = F.replace(F.coalesce(col(c), F.lit("")), F.lit("\u0000"), F.lit(""))
-    return F.substring(strip(text), 1, max_len)
+def plain_text(c: Column | str) -> Column:
+    """NUL-free trimmed text."""
+    return strip(F.replace(F.coalesce(col(c), F.lit("")), F.lit("\u0000"), F.lit("")))
+
+
+def too_long(c: Column | str, max_len: int) -> Column:
+    """True for a text beyond a field limit; such a value is refused, never cut."""
+    return F.length(plain_text(c)) > max_len
 
 
-def normalize_url(c: Column | str, max_len: int = 500) -> Column:
-    text = bounded_text(c, max_len)
+def normalize_url(c: Column | str) -> Column:
+    """Trimmed link, completed by a scheme where it has none."""
+    text = plain_text(c)
     has_scheme = F.regexp_like(text, F.lit("(?i)^https?://"))
     return F.when((text == "") | has_scheme, text).otherwise(F.concat(F.lit("https://"), text))
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartlake.config import ChartConfig, RankingConfig
 from chartlake.functions.coerce import as_ts, display_time, iso_or_blank, strip
 from chartlake.functions.text import clean_text
 from chartlake.operators.catalog import union_by_name
@@ -16,6 +17,16 @@ from chartlake.operators.scoring import restore_created_at
 MISSING_TOKENS = ("", "nan", "none", "null", "<na>", "-")
 
 
+# Fixed values of the serving document.
+DOCUMENT_VERSION = 2
+TOP_RULE = "score every active DB song, sort by trend_score desc, then created_at desc, then id, then take top N"
+TABS_ORDER = ("new_songs", "top200", "crew")
+RANKING_FACTS = (
+    "play_weight", "like_weight", "comment_weight", "growth_weight", "freshness_weight", "freshness_power",
+    "growth_window_hours",
+)
+
+
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_by_name(
         *[df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n, df in tables.items()]
@@ -61,8 +72,15 @@ def tier_counts(db: DataFrame, tier: str = "update_tier") -> DataFrame:
     return db.groupBy(tier).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def payload_meta(db: DataFrame, hist: DataFrame, as_of: str, max_age_days: int = 4) -> DataFrame:
-    """One row of document facts: counts, newest times, cutoff."""
+def payload_meta(
+    db: DataFrame,
+    hist: DataFrame,
+    as_of: str,
+    ranking: RankingConfig = RankingConfig(),
+    cfg: ChartConfig = ChartConfig(),
+) -> DataFrame:
+    """One row of document facts: version, rules, weights, counts, newest times, cutoff."""
+    max_age_days = ranking.max_age_days
     songs = db.agg(
         F.count(F.lit(1)).alias("db_song_count"),
         F.max("created_at").alias("_created"),
@@ -79,4 +97,11 @@ def payload_meta(db: DataFrame, hist: DataFrame, as_of: str, max_age_days: int =
         display_time("_created").alias("newest_created_at"),
         display_time("_checked").alias("last_checked_at"),
         iso_or_blank(cutoff(as_of, max_age_days)).alias("cutoff_utc"),
+        F.lit(DOCUMENT_VERSION).alias("version"),
+        F.lit(f"valid created_at >= generated_at - {max_age_days} days").alias("candidate_rule"),
+        F.lit(TOP_RULE).alias("top200_rule"),
+        F.lit(max_age_days).alias("max_age_days"),
+        F.lit(cfg.top_n).alias("top_n"),
+        F.struct(*[F.lit(getattr(ranking, n)).alias(n) for n in RANKING_FACTS]).alias("ranking"),
+        F.array(*[F.lit(t) for t in TABS_ORDER]).alias("tabs_order"),
     )

@@ -1,12 +1,14 @@
 """Serving document: three lists from one candidate set, with item histories."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.config import ChartConfig, CrewConfig, LinkConfig, RankingConfig
 from chartlake.functions.coerce import display_time, iso_or_blank, parse_ts, to_number
-from chartlake.functions.text import clean_text, creator_display, lyrics_bundle
+from chartlake.functions.text import creator_display, lyrics_bundle, normalize_text_columns
 from chartlake.operators.charts import (
     active_scores,
     chart_order,
@@ -38,6 +40,15 @@ LOUDNESS_NUMBERS = {
     "loudness_true_peak_ceiling_db": -1.0,
 }
 TEXTS = ("user_id", "audio_url", "image_url", "loudness_status", "outlier_reasons", "rank_status")
+# Columns that stand in for absent ones.
+FALLBACKS = {
+    "effective_comment_count": ("comment_count",),
+    "adjusted_comment_count": ("comment_count",),
+    "trend_score": ("current_score",),
+}
+SHOWN_TEXTS = (
+    "title", "display_name", "handle", "song_url", "display_tags", "lyrics", "prompt", "gpt_description_prompt", *TEXTS,
+)
 COUNTS = ("play_count", "upvote_count", "comment_count")
 
 
@@ -66,19 +77,21 @@ def list_tabs(
 def song_entries(tab: DataFrame, links: LinkConfig = LinkConfig()) -> DataFrame:
     """Served fields of list rows."""
 
+    tab = normalize_text_columns(tab, SHOWN_TEXTS)
+
     def has(name):
         return name in tab.columns
 
     def text(name):
-        return clean_text(name, repair=False) if has(name) else F.lit("")
+        return F.col(name) if has(name) else F.lit("")
 
     def number(name, default=0.0):
-        c = to_number(name, default) if has(name) else F.lit(default).cast("double")
+        """The column, or the first of the fallback columns that is there, or the default."""
+        there = next((c for c in (name, *FALLBACKS.get(name, ())) if has(c)), None)
+        c = to_number(there, default) if there else F.lit(default).cast("double")
         return c.alias(name)
 
-    creator, handle = creator_display(
-        "display_name" if has("display_name") else F.lit(""), "handle" if has("handle") else F.lit("")
-    )
+    creator, handle = creator_display(text("display_name"), text("handle"))
     url = text("song_url")
     lyrics = [F.col(c) for c in ("lyrics", "prompt", "gpt_description_prompt") if has(c)]
     fields = [
@@ -105,10 +118,18 @@ def song_entries(tab: DataFrame, links: LinkConfig = LinkConfig()) -> DataFrame:
     return tab.select(*fields)
 
 
-def tab_document(name: str, tab: DataFrame, hist: DataFrame, cfg: ChartConfig = ChartConfig()) -> DataFrame:
-    """One row (part, document) per list; lists and histories are bounded by ``cfg``."""
+def tab_document(
+    name: str, tab: DataFrame, hist: DataFrame, cfg: ChartConfig = ChartConfig(), points: DataFrame | None = None
+) -> DataFrame:
+    """One row (part, document) per list; lists and histories are bounded by ``cfg``.
+
+    ``points`` are the histories of at least the listed items, where several lists share them.
+    """
     entries = song_entries(tab)
-    points = history_points(hist, F.broadcast(entries.select("id")), cfg.history_points)
+    if points is None:
+        points = history_points(hist, tab.select("id"), cfg.history_points)
+    else:
+        points = points.join(tab.select("id").distinct(), "id", "left_semi")
     songs = entries.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", F.struct(*entries.columns).alias("song")))), lambda x: x["song"]
@@ -134,9 +155,11 @@ def app_payload(
     ranking: RankingConfig = RankingConfig(),
     cfg: ChartConfig = ChartConfig(),
 ) -> DataFrame:
-    """Serving document, one row per list."""
-    tabs = list_tabs(db, hist, as_of, crew, ranking, cfg)
-    parts = [tab_document(n, t, hist, cfg) for n, t in tabs.items()]
+    """Serving document, one row per list; the history is read once for all lists."""
+    tabs = {n: materialize(t) for n, t in list_tabs(db, hist, as_of, crew, ranking, cfg).items()}
+    listed = reduce(DataFrame.union, [t.select("id") for t in tabs.values()])
+    points = materialize(history_points(hist, listed, cfg.history_points))
+    parts = [tab_document(n, t, hist, cfg, points) for n, t in tabs.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
