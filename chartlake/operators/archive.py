@@ -1,20 +1,56 @@
 """Rank-history summary and the archive of expired items."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.config import RankingConfig
 from chartlake.functions.coerce import as_ts
+from chartlake.functions.text import normalize_text_columns
 from chartlake.operators.catalog import prune_children, upsert_by_key
-from chartlake.operators.charts import chart_order, cutoff
+from chartlake.operators.charts import RANK_HISTORY_COLUMNS, chart_order, cutoff
 from chartlake.operators.ordinal import global_ordinal
 from chartlake.operators.scoring import score_songs
+from chartlake.session import materialize
 
 CHART_BANDS = (10, 50, 200)
 PEAKS = ("play_count", "upvote_count", "comment_count", "adjusted_comment_count")
 
 
+# Columns of the archive, in order.
+ARCHIVE_COLUMNS = (
+    "archived_at", "archive_reason", "id", "title", "handle", "display_name", "user_id",
+    "created_at", "first_seen_at", "last_checked_at",
+    "play_count", "upvote_count", "comment_count", "adjusted_comment_count",
+    "comment_quality_ratio", "meaningful_count", "generic_count", "mention_only_count", "emoji_only_count", "flag_count",
+    "final_rank", "best_rank", "best_rank_at", "first_charted_at", "last_charted_at",
+    "top10_count", "top50_count", "top200_count", "chart_in_count",
+    "final_trend_score", "final_base_score", "final_growth_score", "final_freshness_score",
+    "best_trend_score", "best_score_at",
+    "peak_play_count", "peak_upvote_count", "peak_comment_count", "peak_adjusted_comment_count",
+    "model", "major_model_version", "display_tags", "duration", "lyrics", "prompt", "gpt_description_prompt",
+    "song_url", "audio_url", "image_url", "source",
+    "integrated_lufs", "true_peak_db", "loudness_gain_db", "loudness_target_lufs", "loudness_true_peak_ceiling_db",
+    "loudness_checked_at", "loudness_status", "loudness_error", "loudness_audio_url_hash",
+    "loudness_input_lra", "loudness_input_thresh", "loudness_target_offset",
+)
+TEXT_SUFFIXES = ("_url", "_hash", "_status", "_error", "_reason", "_prompt", "_tags", "_version")
+
+
+def _absent(name: str) -> Column:
+    """Null of the type an archive column has."""
+    if name.endswith("_at"):
+        return F.lit(None).cast("timestamp_ntz")
+    words = ("title", "handle", "display_name", "user_id", "model", "lyrics", "prompt", "source")
+    text = name in words or name.endswith(TEXT_SUFFIXES)
+    return F.lit(None).cast("string" if text else "double")
+
+
+def archive_layout(rows: DataFrame) -> DataFrame:
+    """The archive columns in order; those that ``rows`` lacks are null."""
+    return rows.select(*[F.col(c) if c in rows.columns else _absent(c).alias(c) for c in ARCHIVE_COLUMNS])
+
+
 def rank_history_summary(rank_history: DataFrame) -> DataFrame:
     """Per id: best rank and score with their times, first/last capture, band counts.
 
@@ -42,9 +78,12 @@ def split_expired(db: DataFrame, as_of: str, days: int = 4) -> tuple[DataFrame,
 
 
 def scored_with_rank(db: DataFrame, hist: DataFrame, as_of: str, cfg=RankingConfig()) -> DataFrame:
-    """Scores of the whole catalogue with their overall rank (distributed ordinal)."""
+    """Scores of the whole catalogue with their overall rank (distributed ordinal).
+
+    The scores are stored first: range partitioning reads its input twice.
+    """
     scores = ("trend_score", "base_score", "growth_score", "freshness_score")
-    scored = score_songs(db, hist, as_of, cfg).select("id", "created_at", *scores)
+    scored = materialize(score_songs(db, hist, as_of, cfg).select("id", "created_at", *scores))
     return global_ordinal(scored, chart_order(), "computed_rank")
 
 
@@ -104,14 +143,30 @@ def archive_rows(
 
 
 def archive_expired(
-    db: DataFrame, hist: DataFrame, rank_history: DataFrame, archive: DataFrame | None, as_of: str, cfg=RankingConfig()
+    db: DataFrame,
+    hist: DataFrame,
+    rank_history: DataFrame | None,
+    archive: DataFrame | None,
+    as_of: str,
+    cfg=RankingConfig(),
 ) -> dict[str, DataFrame]:
-    """Move expired items to the archive and prune their history rows."""
-    rows = archive_rows(db, hist, rank_history, as_of, cfg)
+    """Move expired items to the archive and prune their history rows.
+
+    Archive rows have the archive's columns and clean texts; an item archived before
+    is replaced. Without a rank history the items have no chart figures.
+    """
+    ranks = empty_rank_history(db) if rank_history is None else rank_history
+    rows = archive_layout(archive_rows(db, hist, ranks, as_of, cfg))
+    if archive is not None:
+        rows = upsert_by_key(archive, rows, ["id"])
     _, active = split_expired(db, as_of, cfg.max_age_days)
-    return {
-        "archive": rows if archive is None else upsert_by_key(archive, rows, ["id"]),
-        "songs": active,
-        "song_history": prune_children(hist, active),
-        "rank_history": prune_children(rank_history, active),
-    }
+    out = {"archive": normalize_text_columns(rows), "songs": active, "song_history": prune_children(hist, active)}
+    if rank_history is not None:
+        out["rank_history"] = prune_children(rank_history, active)
+    return out
+
+
+def empty_rank_history(db: DataFrame) -> DataFrame:
+    kinds = {"captured_at": "timestamp_ntz", "id": "string", "rank": "bigint"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in RANK_HISTORY_COLUMNS)
+    return db.sparkSession.createDataFrame([], schema)

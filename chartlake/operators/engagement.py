@@ -2,15 +2,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlake.functions.coerce import strip
 from chartlake.functions.scores import community_score
-from chartlake.functions.text import bounded_text, contains_listed_term
-from chartlake.operators.charts import newest_order
+from chartlake.functions.text import contains_listed_term, plain_text
+from chartlake.operators.charts import newest_order, ranked_top
 from chartlake.operators.skew import salted_join
+from chartlake.session import materialize
 
 MIN_KEY_LENGTH = 6
 MIN_BODY, MAX_BODY = 2, 500
@@ -107,22 +109,20 @@ TABS = ("trending", "new", "liked", "played")
 
 
 def community_tabs(songs: DataFrame, limit: int = 300) -> DataFrame:
-    """The four public lists with tab label and rank, in one pass.
+    """The four public lists with tab label and rank.
 
-    Every song is paired with its sort value per tab; each task keeps ``limit``
-    rows per tab before the shuffle.
+    Each list is a distributed top-k over ids and sort values, which are stored once;
+    the winners are joined back to the songs.
     """
-    value = {
-        "trending": F.round("trend_score", 6),
-        "new": F.lit(0.0),
-        "liked": F.col("like_count").cast("double"),
-        "played": F.col("play_count").cast("double"),
-    }
-    keys = F.array(*[F.struct(F.lit(t).alias("tab"), value[t].alias("_value")) for t in TABS])
-    w = Window.partitionBy("tab").orderBy(F.col("_value").desc_nulls_last(), *newest_order())
-    paired = public_songs(songs).select("*", F.inline(keys))
-    ranked = paired.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return ranked.withColumn("rank", F.col("rank").cast("long")).drop("_value")
+    shown = public_songs(songs)
+    narrow = materialize(shown.select("id", "created_at", F.round("trend_score", 6).alias("trending"),
+                                      F.col("like_count").alias("liked"), F.col("play_count").alias("played")))
+    lists = []
+    for tab in TABS:
+        first = [] if tab == "new" else [F.col(tab).desc_nulls_last()]
+        top = ranked_top(narrow, [*first, *newest_order()], limit)
+        lists.append(top.select("id", F.lit(tab).alias("tab"), "rank"))
+    return shown.join(reduce(DataFrame.union, lists), "id")
 
 
 def latest_comments(comments: DataFrame, k: int = 50) -> DataFrame:
@@ -136,10 +136,11 @@ def admissible_comments(comments: DataFrame, songs: DataFrame, terms: Sequence[s
     """Comment requests with the verdict: accepted, or the first reason against."""
     allowed = songs.select(F.col("id").alias("song_id"), F.col("comments_enabled").alias("_enabled"))
     body = F.col("_body")
-    out = salted_join(comments, allowed, ["song_id"], "left").withColumn("_body", bounded_text("body", MAX_BODY))
+    out = salted_join(comments, allowed, ["song_id"], "left").withColumn("_body", plain_text("body"))
     reason = (
         F.when(~F.coalesce(F.col("_enabled"), F.lit(False)), "comments disabled")
         .when(F.length(body) < MIN_BODY, "too short")
+        .when(F.length(body) > MAX_BODY, "too long")
         .when(contains_listed_term(body, terms), "listed term")
         .otherwise("")
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartlake.functions.coerce import strip
+from chartlake.functions.coerce import as_ts, strip
+from chartlake.operators.catalog import upsert_by_key
 from chartlake.operators.ordinal import global_ordinal
 from chartlake.operators.skew import salted_join
 
@@ -71,6 +72,64 @@ def playlist_append(items: DataFrame, additions: DataFrame) -> DataFrame:
     return placed.withColumn("position", position.cast("int")).drop("_size", "_start", "_row_number")
 
 
+def playlist_save(
+    playlists: DataFrame,
+    items: DataFrame,
+    requests: DataFrame,
+    as_of: str,
+    default_name: str = "My Playlist",
+    base: int = 0,
+    max_name: int | None = None,
+) -> dict[str, DataFrame]:
+    """Create playlists or replace the items of existing ones, many requests at once.
+
+    ``requests`` has request_id, playlist_id, owner_user_id, name and song_ids. A
+    request without an owner, or for a playlist of another owner, is refused. A blank
+    name becomes ``default_name``. ``playlists`` and ``items`` are the tables after all
+    accepted requests, ``results`` has one row per request: ok, message, name and
+    song_count. Of requests for one playlist the last request_id counts.
+    """
+    owners = playlists.select(F.col("id").alias("playlist_id"), F.col("owner_user_id").alias("_owner")).distinct()
+    named = F.coalesce(F.nullif(strip(F.coalesce("name", F.lit(""))), F.lit("")), F.lit(default_name))
+    checked = requests.join(owners, "playlist_id", "left").withColumn(
+        "name", named if max_name is None else F.substring(named, 1, max_name)
+    )
+    ownerless = strip(F.coalesce("owner_user_id", F.lit(""))) == ""
+    message = (
+        F.when(ownerless, "no owner")
+        .when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("owner_user_id")), "playlist not found")
+        .otherwise("")
+    )
+    checked = checked.withColumn("message", message)
+    last = Window.partitionBy("playlist_id").orderBy(F.col("request_id").desc())
+    accepted = checked.where(F.col("message") == "").withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1)
+    placed = playlist_positions(accepted.select("playlist_id", "song_ids"), base).withColumn("added_at", as_ts(as_of))
+    counts = placed.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("song_count"))
+    saved = accepted.select(
+        F.col("playlist_id").alias("id"), "owner_user_id", "name", F.lit("private").alias("visibility"), F.lit("active").alias("status"),
+        as_ts(as_of).alias("updated_at"),
+    )
+    touched = accepted.select("playlist_id")
+    result = checked.join(counts, "playlist_id", "left").select(
+        "request_id", "playlist_id", (F.col("message") == "").alias("ok"), "message", "name",
+        F.when(F.col("message") == "", F.coalesce("song_count", F.lit(0))).otherwise(0).cast("long").alias("song_count"),
+    )
+    kept = salted_join(items, touched, ["playlist_id"], "left_anti")
+    return {
+        "playlists": upsert_by_key(playlists, saved, ["id"]),
+        "items": kept.unionByName(placed, allowMissingColumns=True),
+        "results": result,
+    }
+
+
+def ordered_song_ids(playlists: DataFrame, items: DataFrame, playlist_id: str, owner: str) -> DataFrame:
+    """Song ids of one owner's active playlist in order (``song_id``, ``position``)."""
+    own = (F.col("id") == playlist_id) & (F.col("owner_user_id") == owner) & (F.col("status") == "active")
+    mine = playlists.where(own).select(F.col("id").alias("playlist_id"))
+    found = items.join(mine, "playlist_id", "left_semi").orderBy("position", "added_at", "song_id")
+    return found.select("song_id", F.coalesce("position", F.lit(0)).alias("position"))
+
+
 def public_playlists(playlists: DataFrame, limit: int = 30) -> DataFrame:
     shown = playlists.where((F.col("visibility") == "public") & (F.col("status") == "active"))
     return shown.orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").asc()).limit(limit)

@@ -15,15 +15,19 @@ POINTER = "CURRENT"
 DOCUMENT_KEY = "latest"
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multiline: bool = True
+) -> DataFrame:
     """CSV with header; every cell stays text, empty cells are empty texts.
 
+    With ``multiline`` cells may hold line ends, and a file is read by one task; without
+    it large files are split.
     Reads the header line first; a byte-order mark before the first name is
     dropped. With ``columns`` the result has exactly these columns.
     """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
@@ -49,8 +53,10 @@ def _filesystem(spark: SparkSession, text: str):
 def replace_snapshot(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
     """Write a new version of a table and then point to it.
 
-    Readers see the old or the new version, never a mixture, and a job may read
-    the table it replaces. The pointer is a small file renamed into place.
+    Readers see the old or the new version, never a mixture or nothing, and a job may
+    read the table it replaces. Each version has a numbered pointer file of its own,
+    renamed into place whole; readers take the highest number. Pointers before the
+    previous one are removed.
     """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
@@ -60,19 +66,33 @@ def replace_snapshot(df: DataFrame, table: str, partition_by: Sequence[str] = ()
     out = fs.create(staged, True)
     out.write(bytearray(version.encode("utf-8")))
     out.close()
-    current = _path(spark, f"{table}/{POINTER}")
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(staged, current)
+    number = max(pointers(spark, table), default=0) + 1
+    while not fs.rename(staged, _path(spark, _pointer(table, number))):
+        if not fs.exists(_path(spark, _pointer(table, number))):
+            raise OSError(f"cannot publish a version of {table}")
+        number += 1  # another writer took the number
+    for old in pointers(spark, table):
+        if old < number - 1:
+            fs.delete(_path(spark, _pointer(table, old)), False)
     return version
 
 
-def current_version(spark: SparkSession, table: str) -> str | None:
+def _pointer(table: str, number: int) -> str:
+    return f"{table}/{POINTER}-{number:012d}"
+
+
+def pointers(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the published versions that still have a pointer."""
     fs = _filesystem(spark, table)
-    pointer = _path(spark, f"{table}/{POINTER}")
-    if not fs.exists(pointer):
+    found = fs.globStatus(_path(spark, f"{table}/{POINTER}-*")) or []
+    return sorted(int(f.getPath().getName().rsplit("-", 1)[1]) for f in found)
+
+
+def current_version(spark: SparkSession, table: str) -> str | None:
+    published = pointers(spark, table)
+    if not published:
         return None
-    return spark.read.text(f"{table}/{POINTER}").first()[0].strip()
+    return spark.read.text(_pointer(table, published[-1])).first()[0].strip()
 
 
 def read_snapshot(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
