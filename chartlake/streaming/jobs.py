@@ -17,9 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from chartlake.functions.coerce import strip
 from chartlake.functions.scores import community_score
 from chartlake.operators.engagement import valid_key, valid_plays
+from chartlake.operators.catalog import history_compact
 from chartlake.operators.quality import mark_analyzed
+from chartlake.sources.tables import read_snapshot, replace_snapshot
 
 BATCH = "batch"
+# Folder of rewritten batches; readers of the log skip names with an underscore.
+BASE = "_base"
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
@@ -36,9 +40,44 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All batches written so far (also when there are none yet)."""
+    """All batches written so far (also when there are none yet): rewritten ones and those after."""
     full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    return spark.read.schema(full).option("basePath", folder).parquet(folder)
+    tail = spark.read.schema(full).option("basePath", folder).parquet(folder)
+    base = read_snapshot(spark, f"{folder}/{BASE}", full)
+    upto = base.agg(F.max(BATCH)).first()[0]
+    return tail if upto is None else base.unionByName(tail.where(F.col(BATCH) > upto))
+
+
+def rewrite_batches(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    shrink: Callable[[DataFrame], DataFrame],
+    keep: int = 1,
+    ordered: bool = False,
+) -> int | None:
+    """Fold the batches of a log into one table, so that readers list few files.
+
+    ``shrink`` turns the rows of several batches into fewer ones of the same meaning
+    (with ``ordered`` it also gets their batch).
+    The folded table is published whole before old batch folders are removed, and
+    readers skip folders that it covers, so a crash in between loses or doubles
+    nothing. The newest ``keep`` batches stay: the stream may repeat the last one.
+    """
+    rows = read_batches(spark, folder, schema)
+    newest = rows.agg(F.max(BATCH)).first()[0]
+    if newest is None or newest - keep < 0:
+        return None
+    upto = newest - keep
+    covered = rows.where(F.col(BATCH) <= upto)
+    folded = shrink(covered if ordered else covered.select(*schema.names)).select(*schema.names)
+    replace_snapshot(folded.withColumn(BATCH, F.lit(upto).cast("long")), f"{folder}/{BASE}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{folder}/{BATCH}=*")) or []:
+        if int(found.getPath().getName().split("=")[1]) <= upto:
+            fs.delete(found.getPath(), True)
+    return upto
 
 
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -112,6 +151,12 @@ def like_sink(toggles: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
     return run_available(toggles, checkpoint, lambda df, i: write_batch(toggle_batch(df), folder, i))
 
 
+def rewrite_toggles(spark: SparkSession, folder: str) -> int | None:
+    """Fold the toggle log to one row per (song, actor)."""
+    pair = ["song_id", "actor_key"]
+    return rewrite_batches(spark, folder, TOGGLE_LOG, lambda df: df.groupBy(*pair).agg(F.sum("toggles").alias("toggles")))
+
+
 def liked_now(spark: SparkSession, folder: str) -> DataFrame:
     """(song, actor) pairs that are liked: an odd number of toggles over all batches."""
     total = F.sum("toggles")
@@ -123,28 +168,73 @@ def liked_now(spark: SparkSession, folder: str) -> DataFrame:
 PLAY_DELTA = T.StructType([T.StructField("song_id", T.StringType()), T.StructField("plays", T.LongType())])
 
 
+COUNTERS = T.StructType(
+    [
+        T.StructField("song_id", T.StringType()),
+        T.StructField("play_count", T.LongType()),
+        T.StructField("like_count", T.LongType()),
+    ]
+)
+
+
 def counter_sinks(plays: DataFrame, toggles: DataFrame, folder: str, checkpoint: str) -> None:
-    """Keep per-batch play deltas and toggle counts; only touched songs are written."""
+    """Keep play deltas, toggle counts and the counters of the songs each batch touches.
+
+    A batch reads the logs for its own songs only and appends their new counters; the
+    last row of a song counts.
+    """
     spark = plays.sparkSession
-    ensure_folder(spark, f"{folder}/plays")
+    for name in ("plays", "likes", "play_totals", "like_totals"):
+        ensure_folder(spark, f"{folder}/{name}")
 
     def delta(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("song_id").agg(F.count(F.lit(1)).alias("plays"))
         write_batch(counts, f"{folder}/plays", batch_id)
+        touched = spark.read.parquet(f"{folder}/plays/{BATCH}={batch_id}").select("song_id")
+        log = read_batches(spark, f"{folder}/plays", PLAY_DELTA).where(F.col(BATCH) <= batch_id)
+        totals = log.join(touched, "song_id", "left_semi").groupBy("song_id").agg(F.sum("plays").alias("play_count"))
+        totals = totals.withColumn("like_count", F.lit(None).cast("long"))
+        write_batch(totals.select(*COUNTERS.names), f"{folder}/play_totals", batch_id)
+
+    def toggled(batch: DataFrame, batch_id: int) -> None:
+        write_batch(toggle_batch(batch), f"{folder}/likes", batch_id)
+        touched = spark.read.parquet(f"{folder}/likes/{BATCH}={batch_id}").select("song_id").distinct()
+        log = read_batches(spark, f"{folder}/likes", TOGGLE_LOG).where(F.col(BATCH) <= batch_id)
+        pairs = log.join(touched, "song_id", "left_semi").groupBy("song_id", "actor_key").agg(F.sum("toggles").alias("_t"))
+        totals = pairs.groupBy("song_id").agg(F.count_if(F.col("_t") % 2 == 1).alias("like_count"))
+        totals = totals.withColumn("play_count", F.lit(None).cast("long"))
+        write_batch(totals.select(*COUNTERS.names), f"{folder}/like_totals", batch_id)
 
     run_available(unique_play_stream(plays), f"{checkpoint}/plays", delta)
-    like_sink(toggles, f"{folder}/likes", f"{checkpoint}/likes")
+    run_available(toggles, f"{checkpoint}/likes", toggled)
+
+
+def rewrite_counters(spark: SparkSession, folder: str) -> None:
+    """Upkeep of all counter logs."""
+    rewrite_toggles(spark, f"{folder}/likes")
+    plays = F.sum("plays").alias("plays")
+    rewrite_batches(spark, f"{folder}/plays", PLAY_DELTA, lambda df: df.groupBy("song_id").agg(plays))
+    for name in ("play_totals", "like_totals"):
+        rewrite_batches(spark, f"{folder}/{name}", COUNTERS, last_totals, ordered=True)
+
+
+def last_totals(rows: DataFrame) -> DataFrame:
+    """The last counters of each song."""
+    return rows.groupBy("song_id").agg(*[F.max_by(c, BATCH).alias(c) for c in COUNTERS.names[1:]])
 
 
 def current_counters(songs: DataFrame, comments: DataFrame, folder: str, as_of: str) -> DataFrame:
-    """Counters and score of all songs from the logs."""
+    """Counters and score of all songs from their last totals."""
     spark = songs.sparkSession
-    plays = read_batches(spark, f"{folder}/plays", PLAY_DELTA).groupBy("song_id").agg(F.sum("plays").alias("play_count"))
-    likes = liked_now(spark, f"{folder}/likes").groupBy("song_id").agg(F.count(F.lit(1)).alias("like_count"))
+
+    def last(name: str, column: str) -> DataFrame:
+        return last_totals(read_batches(spark, f"{folder}/{name}", COUNTERS)).select("song_id", column)
+
     visible = comments.where(F.col("status") == "visible").groupBy("song_id")
     shown = visible.agg(F.count(F.lit(1)).alias("comment_count"))
+    parts = ((last("play_totals", "play_count"), "play_count"), (last("like_totals", "like_count"), "like_count"), (shown, "comment_count"))
     out = songs.withColumn("song_id", F.col("id"))
-    for counts, name in ((plays, "play_count"), (likes, "like_count"), (shown, "comment_count")):
+    for counts, name in parts:
         out = out.join(counts, "song_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     score = community_score("play_count", "like_count", "comment_count", "created_at", as_of)
     return out.withColumn("trend_score", score).drop("song_id")
@@ -166,6 +256,12 @@ def history_sink(snapshots: DataFrame, folder: str, checkpoint: str) -> Streamin
     return query
 
 
+def compact_history(spark: SparkSession, folder: str, table: str, as_of: str, high_res_days: int = 7) -> str:
+    """Publish the compacted snapshots of a history sink as a snapshot table."""
+    rows = history_compact(spark.read.parquet(folder).drop("checked_day"), as_of, high_res_days)
+    return replace_snapshot(rows, table)
+
+
 # Comments ---------------------------------------------------------------------
 def comment_sink(
     comments: DataFrame, folder: str, checkpoint: str, as_of: str, label_columns: Sequence[str] = ()
