@@ -100,13 +100,13 @@ def add_new_songs(d):
 
 @check(
     "merge_shards",
-    """WITH last AS (SELECT l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_returnflag <> 'N'
+    """WITH last AS (SELECT l_partkey, l_suppkey, l_quantity FROM lineitem
          QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey DESC, l_orderkey DESC, l_extendedprice DESC) = 1)
        SELECT p_partkey AS id, coalesce(l_quantity, p_size)::DOUBLE AS play_count FROM part LEFT JOIN last ON l_partkey = p_partkey""",
 )
 def merge_shards(d):
     base = d.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("play_count"))
-    lines = d.raw("lineitem").where(F.col("l_returnflag") != "N")
+    lines = d.raw("lineitem")
     partials = lines.select(
         F.col("l_partkey").alias("id"), F.col("l_quantity").alias("play_count"), "l_suppkey", "l_orderkey", "l_extendedprice"
     )
@@ -135,7 +135,8 @@ def prune_history(d):
     "history_compact",
     """SELECT id, checked_at, play_count FROM v_history WHERE checked_at >= TIMESTAMP '2024-01-24'
        UNION ALL SELECT id, checked_at, play_count FROM (SELECT * FROM v_history WHERE checked_at < TIMESTAMP '2024-01-24'
-         QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE ORDER BY checked_at DESC) = 1)""",
+         QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE ORDER BY checked_at DESC,
+           play_count + upvote_count + comment_count DESC) = 1)""",
 )
 def history_compact(d):
     return catalog.history_compact(d.song_history(), AS_OF).select("id", "checked_at", "play_count")
@@ -239,80 +240,142 @@ def rank_history_summary(d):
     return archive.rank_history_summary(d.rank_history())
 
 
+ARCHIVE_SQL = """
+    WITH s AS (SELECT id, min(rank) AS r, arg_min(captured_at, (rank, captured_at)) AS rank_at,
+        arg_min(captured_at, (-trend_score, captured_at)) AS at, max(trend_score) AS t, min(captured_at) AS first, max(captured_at) AS last,
+        count(*) FILTER (rank <= 10) AS n10, count(*) FILTER (rank <= 50) AS n50, count(*) FILTER (rank <= 200) AS n200, count(rank) AS n
+      FROM v_rank_history GROUP BY id),
+    c AS (SELECT *, row_number() OVER (ORDER BY round(trend_score, 6) DESC NULLS LAST, created_at DESC NULLS LAST, id) AS computed_rank
+      FROM v_scored)
+"""
+
+
+def archive_inputs(d):
+    """Ranked catalogue, and an archive that already holds played items and items long gone."""
+    db = d.ranked_songs().withColumn("best_rank", F.col("current_rank").cast("double"))
+    played = d.songs().where(F.col("play_count") > 1).select("id", F.lit("old title").alias("title"))
+    gone = d.raw("part").select(F.concat(F.lit("gone-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
+    return db, archive.archive_layout(played.unionByName(gone))
+
+
 @check(
     "archive_expired",
-    """WITH s AS (SELECT id, min(rank) AS r, arg_min(captured_at, (-trend_score, captured_at)) AS at, max(trend_score) AS t,
-                    count(*) FILTER (rank <= 10) AS n10, count(rank) AS n FROM v_rank_history GROUP BY id),
-            c AS (SELECT *, row_number() OVER (ORDER BY round(trend_score, 6) DESC NULLS LAST, created_at DESC NULLS LAST, id)
-                    AS computed_rank FROM v_scored)
-       SELECT c.id, 'older_than_4d' AS archive_reason, computed_rank::DOUBLE AS final_rank,
-         round(trend_score, 6) AS final_trend_score, least(current_rank, computed_rank, s.r)::DOUBLE AS best_rank,
-         round(greatest(trend_score, s.t), 6) AS best_trend_score, coalesce(s.at, TIMESTAMP '2024-01-31') AS best_score_at,
-         coalesce(n10, 0) AS top10_count, coalesce(n, 0) AS chart_in_count, play_count::DOUBLE AS peak_play_count
-       FROM c LEFT JOIN s ON s.id = c.id WHERE created_at < TIMESTAMP '2024-01-27'""",
+    ARCHIVE_SQL
+    + """SELECT c.id, coalesce(title, '') AS title, 'older_than_4d' AS archive_reason, TIMESTAMP '2024-01-31' AS archived_at, created_at,
+           computed_rank::DOUBLE AS final_rank, round(trend_score, 6) AS final_trend_score, round(base_score, 6) AS final_base_score,
+           round(growth_score, 6) AS final_growth_score, round(freshness_score, 6) AS final_freshness_score,
+           least(current_rank, computed_rank, s.r)::DOUBLE AS best_rank, rank_at AS best_rank_at, first AS first_charted_at,
+           last AS last_charted_at, round(greatest(trend_score, s.t), 6) AS best_trend_score,
+           coalesce(s.at, TIMESTAMP '2024-01-31') AS best_score_at, coalesce(n10, 0)::DOUBLE AS top10_count,
+           coalesce(n50, 0)::DOUBLE AS top50_count, coalesce(n200, 0)::DOUBLE AS top200_count, coalesce(n, 0)::DOUBLE AS chart_in_count,
+           play_count::DOUBLE AS peak_play_count, upvote_count::DOUBLE AS peak_upvote_count, comment_count::DOUBLE AS peak_comment_count,
+           adjusted_comment_count::DOUBLE AS peak_adjusted_comment_count
+         FROM c LEFT JOIN s ON s.id = c.id WHERE created_at < TIMESTAMP '2024-01-27'
+         UNION ALL SELECT id, 'old title', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+           NULL, NULL, NULL, NULL, NULL, NULL FROM v_songs WHERE play_count > 1 AND created_at >= TIMESTAMP '2024-01-27'
+         UNION ALL SELECT 'gone-' || p_partkey, p_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+           NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part""",
 )
 def archive_expired(d):
-    db = d.ranked_songs().withColumn("best_rank", F.col("current_rank").cast("double"))
-    out = archive.archive_rows(db, d.stored("song_history"), d.rank_history(), AS_OF)
+    db, older = archive_inputs(d)
+    out = archive.archive_expired(db, d.stored("song_history"), d.rank_history(), older, AS_OF)["archive"]
+    scores = ("final_trend_score", "final_base_score", "final_growth_score", "final_freshness_score", "best_trend_score")
+    counts = ("top10_count", "top50_count", "top200_count", "chart_in_count")
+    reason = F.nullif("archive_reason", F.lit(""))
     return out.select(
-        "id", "archive_reason", "final_rank", F.round("final_trend_score", 6).alias("final_trend_score"), "best_rank",
-        F.round("best_trend_score", 6).alias("best_trend_score"), "best_score_at", "top10_count", "chart_in_count",
-        "peak_play_count",
+        "id", "title", reason.alias("archive_reason"), "archived_at", "created_at", "final_rank", "best_rank", "best_rank_at",
+        "first_charted_at", "last_charted_at", "best_score_at", *[F.round(c, 6).alias(c) for c in scores],
+        *[F.col(c).cast("double").alias(c) for c in counts], *[f"peak_{c}" for c in archive.PEAKS],
     )
 
 
 @check(
     "archive_prune",
-    """SELECT 'songs' AS kept, count(*) AS row_count FROM v_gaps WHERE created_at IS NULL OR created_at >= TIMESTAMP '2024-01-27'
-       UNION ALL SELECT 'song_history', count(*) FROM v_history WHERE id IN (SELECT id FROM v_gaps WHERE created_at IS NULL
-         OR created_at >= TIMESTAMP '2024-01-27')
-       UNION ALL SELECT 'rank_history', count(*) FROM v_rank_history WHERE id IN (SELECT id FROM v_gaps WHERE created_at IS NULL
-         OR created_at >= TIMESTAMP '2024-01-27')""",
+    """SELECT 'songs' AS kept, count(*) AS row_count FROM v_songs WHERE created_at >= TIMESTAMP '2024-01-27'
+       UNION ALL SELECT 'song_history', count(*) FROM v_history WHERE id IN (SELECT id FROM v_songs WHERE created_at >= TIMESTAMP '2024-01-27')
+       UNION ALL SELECT 'rank_history', count(*) FROM v_rank_history WHERE id IN (SELECT id FROM v_songs
+         WHERE created_at >= TIMESTAMP '2024-01-27')""",
 )
 def archive_prune(d):
-    _, active = archive.split_expired(d.songs(gaps=True), AS_OF)
-    hist, ranks = d.song_history(), d.rank_history()
-    kept = {
-        "songs": active,
-        "song_history": catalog.prune_children(hist, active),
-        "rank_history": catalog.prune_children(ranks, active),
-    }
+    db, older = archive_inputs(d)
+    moved = archive.archive_expired(db, d.stored("song_history"), d.rank_history(), older, AS_OF)
+    kept = {name: moved[name] for name in ("songs", "song_history", "rank_history")}
     return reports.table_counts(kept).withColumnRenamed("table_name", "kept")
 
 
-@check(
-    "queue_process",
-    """WITH p AS (SELECT request_id FROM v_queue WHERE status IN ('pending', 'queued') ORDER BY submitted_at, request_id LIMIT 500),
-            u AS (SELECT q.*, CASE o_orderpriority WHEN '1-URGENT' THEN uuid WHEN '2-HIGH' THEN uuid END AS song FROM v_queue q),
-            f AS (SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS fid, c_name, c_nationkey
-                  FROM (SELECT *, md5(c_custkey::VARCHAR) AS h FROM customer) WHERE c_acctbal > 0),
-            r AS (SELECT u.request_id, u.status, u.song, f.c_name, p.request_id IS NOT NULL AS done,
-              CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'empty url' WHEN o_orderpriority = '3-MEDIUM' THEN 'unsupported scheme'
-                WHEN o_orderpriority = '5-LOW' THEN 'host not allowed' WHEN f.fid IS NULL THEN 'failed to fetch item'
-                WHEN c_nationkey = 0 THEN 'created_at is missing or invalid'
-                WHEN c_nationkey * 12 / 24.0 > 4 THEN 'older than 4 days: ' || printf('%.2f', c_nationkey * 12 / 24.0) ELSE '' END AS err
-              FROM u LEFT JOIN p ON p.request_id = u.request_id LEFT JOIN f ON f.fid = u.song)
-       SELECT request_id, CASE WHEN done AND err = '' THEN 'processed' WHEN done THEN 'failed' ELSE status END AS status,
-         CASE WHEN done AND err = '' THEN song ELSE '' END AS song_id, CASE WHEN done AND err = '' THEN c_name ELSE '' END AS title,
-         CASE WHEN done THEN TIMESTAMP '2024-01-31' END AS processed_at, CASE WHEN done THEN err ELSE '' END AS error FROM r""",
-)
-def queue_process(d):
-    queue = d.queue()
-    digest = F.md5(F.col("o_custkey").cast("string"))
-    uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+QUEUE_SQL = """
+    WITH u AS (SELECT q.*, CASE o_orderpriority WHEN '1-URGENT' THEN uuid WHEN '2-HIGH' THEN uuid END AS song,
+        status IN ('pending', 'queued') AS done FROM v_queue q),
+    f AS (SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS fid, c_name, c_acctbal, c_custkey,
+        CASE WHEN c_nationkey <> 0 THEN TIMESTAMP '2024-01-31' - to_hours(c_nationkey * 12)
+             WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-01-30' END AS created,
+        date_diff('hour', created, TIMESTAMP '2024-01-31') / 24.0 AS age
+      FROM (SELECT *, md5(c_custkey::VARCHAR) AS h FROM customer)),
+    r AS (SELECT u.request_id, u.status, u.song, c_name, done,
+        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'empty url' WHEN o_orderpriority = '3-MEDIUM' THEN 'unsupported scheme'
+          WHEN o_orderpriority = '5-LOW' THEN 'host not allowed' WHEN f.fid IS NULL THEN 'failed to fetch item'
+          WHEN created IS NULL THEN 'created_at is missing or invalid'
+          WHEN age > 4 THEN 'older than 4 days: ' || printf('%.2f', age) ELSE '' END AS err
+      FROM u LEFT JOIN f ON f.fid = u.song AND c_acctbal > 0),
+    ok AS (SELECT DISTINCT song FROM r WHERE done AND err = '')
+"""
+
+
+def queue_outputs(d):
+    """Every pending request; item pages of solvent customers, every third of them known before."""
+
+    def uuid_of(key):
+        digest = F.md5(F.col(key).cast("string"))
+        return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
     redirects = d.raw("orders").where(F.col("o_orderpriority") == "2-HIGH").select(
         F.concat(F.lit("https://www.tracks.example.com/s/"), F.col("o_orderkey").cast("string")).alias("url"),
-        F.concat(F.lit(ITEM_PREFIX), uuid).alias("target"),
+        F.concat(F.lit(ITEM_PREFIX), uuid_of("o_custkey")).alias("target"),
     )
-    owner = F.md5(F.col("c_custkey").cast("string"))
-    owner_uuid = F.concat_ws("-", *[F.substring(owner, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     age = F.make_dt_interval(hours=F.col("c_nationkey") * 12)
     created = F.when(F.col("c_nationkey") != 0, F.lit(AS_OF).cast("timestamp_ntz") - age)
-    fetched = d.raw("customer").where(F.col("c_acctbal") > 0).select(
-        owner_uuid.alias("id"), F.col("c_name").alias("title"), created.alias("created_at")
+    page = F.struct(
+        uuid_of("c_custkey").alias("id"), F.col("c_name").alias("title"), F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at")
     )
-    out = jobs.queue_process(queue, redirects, fetched, AS_OF, max_items=500)
-    return out.select("request_id", "status", "song_id", "title", "processed_at", "error")
+    customers = d.raw("customer")
+    fetched = customers.select(uuid_of("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, F.to_json(page)).alias("record"))
+    known = customers.where(F.col("c_custkey") % 3 == 0).select(
+        uuid_of("c_custkey").alias("id"), F.lit("old").alias("title"), F.lit(1).cast("long").alias("play_count"),
+        F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("created_at"),
+    )
+    return jobs.queue_run(known, d.song_history(), d.queue(), redirects, fetched, AS_OF)
+
+
+@check(
+    "queue_process",
+    QUEUE_SQL
+    + """SELECT request_id, CASE WHEN done AND err = '' THEN 'processed' WHEN done THEN 'failed' ELSE status END AS status,
+           CASE WHEN done AND err = '' THEN song ELSE '' END AS song_id, CASE WHEN done AND err = '' THEN c_name ELSE '' END AS title,
+           CASE WHEN done THEN TIMESTAMP '2024-01-31' END AS processed_at, CASE WHEN done THEN err ELSE '' END AS error FROM r""",
+)
+def queue_process(d):
+    return queue_outputs(d)["queue"].select("request_id", "status", "song_id", "title", "processed_at", "error")
+
+
+@check(
+    "queue_process_songs",
+    QUEUE_SQL
+    + """SELECT fid AS id, CASE WHEN song IS NULL THEN 'old' ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END
+           AS play_count, CASE WHEN song IS NULL THEN TIMESTAMP '2024-01-30' ELSE created END AS created_at
+         FROM f LEFT JOIN ok ON song = fid WHERE c_custkey % 3 = 0 OR song IS NOT NULL""",
+)
+def queue_process_songs(d):
+    return queue_outputs(d)["songs"].select("id", "title", "play_count", "created_at")
+
+
+@check(
+    "queue_process_history",
+    QUEUE_SQL
+    + """SELECT id, checked_at, play_count FROM v_history
+         UNION ALL SELECT fid, TIMESTAMP '2024-01-31', CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END FROM f JOIN ok ON song = fid""",
+)
+def queue_process_history(d):
+    return queue_outputs(d)["song_history"].select("id", "checked_at", "play_count")
 
 
 @check(
@@ -352,7 +415,7 @@ def loudness_candidates(d):
 @check(
     "loudness_priority",
     f"""SELECT id, row_number() OVER (ORDER BY coalesce(current_rank, 999999), created_at DESC, id) AS analysis_position
-        FROM ({LOUD_SQL}) WHERE needed QUALIFY analysis_position <= 30""",
+        FROM ({LOUD_SQL}) WHERE needed""",
 )
 def loudness_priority(d):
     return media.loudness_priority(loud_songs(d)).select("id", "analysis_position")

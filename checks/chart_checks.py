@@ -210,7 +210,8 @@ def global_rank(d):
     "history_points",
     """WITH p AS (SELECT id, checked_at, play_count, upvote_count, comment_count FROM v_history
                   WHERE id IN (SELECT id FROM v_chart)
-                  QUALIFY row_number() OVER (PARTITION BY id ORDER BY checked_at DESC) <= 5)
+                  QUALIFY row_number() OVER (PARTITION BY id ORDER BY checked_at DESC,
+                    play_count + upvote_count + comment_count DESC) <= 5)
        SELECT id, string_agg(strftime(checked_at, '%m-%d %H:%M') || '=' || play_count || '/' || upvote_count || '/'
          || comment_count, ', ' ORDER BY checked_at) AS points FROM p GROUP BY id""",
 )
@@ -283,27 +284,44 @@ def curate_topk(d):
     return charts.curate(counters(d), "Red, gear economy", 30).select("id", "match_score", "position")
 
 
+SCORES = (
+    "trend_score", "base_score", "growth_score", "freshness_score", "growth_score_raw", "play_delta_window",
+    "upvote_delta_window", "comment_delta_window", "freshness", "age_hours", "effective_comment_count",
+)
 PAYLOAD_SQL = f"""
-    WITH t AS (
-      SELECT 'top200' AS part, rank, id, title, trend_score, play_count FROM v_chart
-      UNION ALL SELECT 'new_songs', row_number() OVER (ORDER BY created_at DESC, id) AS rank, id, title, trend_score, play_count
-        FROM v_active QUALIFY rank <= 300
-      UNION ALL SELECT 'crew', row_number() OVER (ORDER BY created_at DESC, id) AS rank, id, title, trend_score, play_count
-        FROM v_active WHERE {CREW_SQL} QUALIFY rank <= 300),
+    WITH z AS (SELECT *, greatest(
+        (ln(1 + play_count) - avg(ln(1 + play_count)) OVER ()) / nullif(stddev_pop(ln(1 + play_count)) OVER (), 0),
+        (ln(1 + upvote_count) - avg(ln(1 + upvote_count)) OVER ()) / nullif(stddev_pop(ln(1 + upvote_count)) OVER (), 0),
+        (ln(1 + comment_count) - avg(ln(1 + comment_count)) OVER ()) / nullif(stddev_pop(ln(1 + comment_count)) OVER (), 0)) AS worst
+      FROM v_active),
+    t AS (
+      SELECT 'top200' AS part, row_number() OVER (ORDER BY round(trend_score, 6) DESC, created_at DESC, id) AS rank, *
+        FROM z QUALIFY rank <= 200
+      UNION ALL SELECT 'new_songs', row_number() OVER (ORDER BY created_at DESC, id) AS rank, * FROM z QUALIFY rank <= 300
+      UNION ALL SELECT 'crew', row_number() OVER (ORDER BY created_at DESC, id) AS rank, * FROM z WHERE {CREW_SQL} QUALIFY rank <= 300),
     h AS (SELECT id, least(count(*), 80) AS points FROM v_history GROUP BY id)
-    SELECT t.part, t.rank, t.id, t.title, round(t.trend_score, 6) AS trend_score, t.play_count, h.points
+    SELECT t.part, t.rank, t.id, coalesce(title, 'Untitled') AS title, coalesce(display_name, handle) AS creator, '@' || handle AS handle,
+      user_id, strftime(created_at, '%Y-%m-%d %H:%M UTC') AS created_at, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at_raw,
+      coalesce(display_tags, '') AS style_tags, play_count, upvote_count, comment_count,
+      {", ".join(f"round({n}, 6) AS {n}" for n in SCORES)}, adjusted_comments AS adjusted_comment_count,
+      1.0::DOUBLE AS comment_quality_ratio, coalesce(worst >= 6, false) AS is_outlier, coalesce(worst >= 6, false) AS has_reason,
+      song_url, audio_url, '' AS image_url, '' AS rank_status, '' AS loudness_status, '' AS lyrics, NULL::DOUBLE AS rank_change,
+      NULL::DOUBLE AS previous_rank, CASE WHEN part = 'top200' THEN current_rank END::DOUBLE AS current_rank_saved,
+      NULL::DOUBLE AS integrated_lufs, NULL::DOUBLE AS true_peak_db, NULL::DOUBLE AS loudness_gain_db,
+      -14.0::DOUBLE AS loudness_target_lufs, -1.0::DOUBLE AS loudness_true_peak_ceiling_db, h.points
     FROM t JOIN h USING (id)
 """
 
 
 @check("app_payload", PAYLOAD_SQL)
 def payload(d):
+    """Every served field of every list, and the number of history points."""
     parts = app_payload(d.ranked_songs(), d.stored("song_history"), AS_OF, CREW)
     rows = parts.select("part", F.explode("document.songs").alias("s"), F.col("document.histories").alias("h"))
-    return rows.select(
-        "part", "s.rank", "s.id", "s.title", F.round("s.trend_score", 6).alias("trend_score"), "s.play_count",
-        F.size(F.try_element_at("h", F.col("s.id"))).cast("long").alias("points"),
-    )
+    points = F.size(F.try_element_at("h", F.col("s.id"))).cast("long").alias("points")
+    flat = rows.select("part", "s.*", points)
+    flat = flat.withColumns({c: F.round(c, 6) for c in SCORES})
+    return flat.withColumn("has_reason", F.col("outlier_reasons") != "").drop("outlier_reasons")
 
 
 @check(
@@ -354,7 +372,12 @@ def creator_display(d):
          count(*) AS db_song_count, (SELECT count(*) FROM v_history) AS history_row_count,
          strftime(max(created_at), '%Y-%m-%d %H:%M UTC') AS newest_created_at,
          strftime(max(last_checked_at), '%Y-%m-%d %H:%M UTC') AS last_checked_at,
-         '2024-01-27T00:00:00+00:00' AS cutoff_utc FROM v_gaps""",
+         '2024-01-27T00:00:00+00:00' AS cutoff_utc, 2 AS version, 'valid created_at >= generated_at - 4 days' AS candidate_rule,
+         'score every active DB song, sort by trend_score desc, then created_at desc, then id, then take top N' AS top200_rule,
+         4 AS max_age_days, 200 AS top_n, 'new_songs,top200,crew' AS tabs_order,
+         '{"play_weight":1.0,"like_weight":3.0,"comment_weight":4.0,"growth_weight":1.5,"freshness_weight":35.0,'
+           || '"freshness_power":1.35,"growth_window_hours":3}' AS ranking FROM v_gaps""",
 )
 def payload_meta(d):
-    return reports.payload_meta(d.songs(gaps=True), d.stored("song_history"), AS_OF)
+    meta = reports.payload_meta(d.songs(gaps=True), d.stored("song_history"), AS_OF)
+    return meta.withColumn("ranking", F.to_json("ranking")).withColumn("tabs_order", F.array_join("tabs_order", ","))

@@ -188,16 +188,17 @@ def link_resolve(d):
 @check(
     "profile_clean",
     """SELECT page_id, url AS with_scheme, 'https://' || substr(url, strpos(url, '://') + 3) AS completed,
-         trim(html, ' \t\n\r')[1:1000000] AS bounded FROM pages""",
+         trim(html, ' \t\n\r') AS plain, len(trim(html, ' \t\n\r')) > 2000 AS too_long FROM pages""",
 )
 def profile_clean(d):
     bare = F.substring_index("url", "://", -1)
-    bounded = F.concat(F.lit(" "), "html", F.lit("\u0000 "))
+    padded = F.concat(F.lit(" "), "html", F.lit("\u0000 "))
     return d.raw("pages").select(
         "page_id",
         text.normalize_url("url").alias("with_scheme"),
         text.normalize_url(bare).alias("completed"),
-        text.bounded_text(bounded, 1000000).alias("bounded"),
+        text.plain_text(padded).alias("plain"),
+        text.too_long(padded, 2000).alias("too_long"),
     )
 
 

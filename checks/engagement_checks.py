@@ -120,9 +120,9 @@ def latest_comments(d):
 
 @check(
     "comment_admissible",
-    """WITH c AS (SELECT c.id, coalesce(s.comments_enabled, false) AS on_, left(trim(c.body, ' \t\n\r'), 500) AS b
+    """WITH c AS (SELECT c.id, coalesce(s.comments_enabled, false) AS on_, trim(c.body, ' \t\n\r') AS b
                   FROM v_app_comments c LEFT JOIN v_app_songs s ON s.id = c.song_id),
-            r AS (SELECT id, CASE WHEN NOT on_ THEN 'comments disabled' WHEN len(b) < 2 THEN 'too short'
+            r AS (SELECT id, CASE WHEN NOT on_ THEN 'comments disabled' WHEN len(b) < 2 THEN 'too short' WHEN len(b) > 500 THEN 'too long'
               WHEN contains(replace(lower(b), ' ', ''), 'theheron') OR contains(replace(lower(b), ' ', ''), 'lythwh')
                 OR contains(replace(lower(b), ' ', ''), 'êaux') OR contains(replace(lower(b), ' ', ''), 'reanle')
                 THEN 'listed term' ELSE '' END AS reason FROM c)
@@ -135,15 +135,18 @@ def comment_admissible(d):
 
 @check(
     "comment_like_counts",
-    """WITH t AS (SELECT ((conv_id * 3 + turn % 2) % (SELECT count(*) FROM part))::VARCHAR AS song_id,
-                    conv_id::VARCHAR || '-' || turn::VARCHAR AS id FROM conversations)
-       SELECT t.id, count(l.actor_key) AS like_count FROM t LEFT JOIN v_likes l ON l.song_id = t.song_id GROUP BY t.id""",
+    """WITH l AS (SELECT (event_id // 7 % 500)::VARCHAR || '-' || (event_id % 4)::VARCHAR AS id, user_id FROM events
+                  WHERE event_type = 'click' AND len('user:' || user_id) >= 6 GROUP BY ALL HAVING count(*) % 2 = 1)
+       SELECT t.id, count(l.user_id) AS like_count FROM (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS id FROM conversations) t
+       LEFT JOIN l ON l.id = t.id GROUP BY t.id""",
 )
 def comment_like_counts(d):
-    comments = d.app_comments()
-    likes = engagement.liked_pairs(d.like_toggles())
-    per_comment = comments.select(F.col("id").alias("comment_id"), "song_id").join(likes, "song_id")
-    return engagement.comment_like_counts(comments, per_comment).select("id", "like_count")
+    """Each click toggles the like of one comment."""
+    number = F.col("event_id")
+    comment = F.concat((F.floor(number / 7) % 500).cast("string"), F.lit("-"), (number % 4).cast("string"))
+    toggles = d.like_toggles().withColumn("comment_id", comment)
+    likes = engagement.liked_pairs(toggles, "comment_id")
+    return engagement.comment_like_counts(d.app_comments(), likes).select("id", "like_count")
 
 
 @check(
@@ -200,6 +203,50 @@ def playlist_append(d):
     return playlists.playlist_append(base, additions).select("playlist_id", "song_id", "added_at", "position")
 
 
+SAVE_SQL = """
+    WITH q AS (SELECT o_orderkey AS request_id, o_orderkey::VARCHAR AS playlist_id, o_orderstatus,
+        CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_custkey % 7 = 0 THEN 'other' ELSE 'user' || o_custkey END AS owner,
+        CASE WHEN o_custkey % 2 = 0 THEN 'My Playlist' ELSE o_orderpriority END AS name,
+        CASE WHEN o_orderstatus = 'P' THEN 'no owner' WHEN o_custkey % 7 = 0 THEN 'playlist not found' ELSE '' END AS message
+      FROM orders WHERE o_orderkey % 3 = 0),
+    w AS (SELECT l_orderkey::VARCHAR AS playlist_id, list_distinct(list(l_suppkey::VARCHAR)) AS ids FROM lineitem GROUP BY 1),
+    r AS (SELECT q.*, CASE WHEN message = '' THEN coalesce(len(ids), 0) ELSE 0 END AS song_count, ids
+      FROM q LEFT JOIN w USING (playlist_id))
+"""
+
+
+def saved_playlists(d):
+    """A third of the orders as save requests: their lines' suppliers, in reverse, with a blank."""
+    key = F.col("o_orderkey")
+    lines = d.raw("lineitem").groupBy("l_orderkey").agg(
+        F.reverse(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_suppkey").cast("string").alias("s"))))).alias("ids")
+    )
+    ids = F.concat(F.array(F.lit(" ")), F.coalesce(F.transform("ids", lambda x: x["s"]), F.array().cast("array<string>")))
+    user = F.concat(F.lit("user"), F.col("o_custkey").cast("string"))
+    orders = d.raw("orders").where(key % 3 == 0).join(lines, F.col("l_orderkey") == key, "left")
+    requests = orders.select(
+        key.alias("request_id"), key.cast("string").alias("playlist_id"),
+        F.when(F.col("o_orderstatus") == "P", "").when(F.col("o_custkey") % 7 == 0, "other").otherwise(user).alias("owner_user_id"),
+        F.when(F.col("o_custkey") % 2 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("name"), ids.alias("song_ids"),
+    )
+    return playlists.playlist_save(d.playlists(), d.unique_playlist_items(), requests, AS_OF)
+
+
+@check("playlist_save", SAVE_SQL + "SELECT request_id, playlist_id, message = '' AS ok, message, name, song_count FROM r")
+def playlist_save(d):
+    return saved_playlists(d)["results"]
+
+
+@check(
+    "playlist_save_items",
+    SAVE_SQL
+    + """SELECT playlist_id, song_id FROM v_items WHERE playlist_id NOT IN (SELECT playlist_id FROM r WHERE message = '')
+         UNION ALL SELECT playlist_id, unnest(ids) FROM r WHERE message = ''""",
+)
+def playlist_save_items(d):
+    return saved_playlists(d)["items"].select("playlist_id", "song_id")
+
+
 @check(
     "public_playlists",
     """SELECT id, updated_at FROM v_playlists WHERE visibility = 'public' AND status = 'active'

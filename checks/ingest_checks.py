@@ -162,13 +162,13 @@ def page_embedded_json(d):
     "comments_flatten",
     """WITH l AS (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS pos
                   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents)),
-            k AS (SELECT *, lines[pos] AS line FROM l WHERE pos <= 120)
+            k AS (SELECT *, lines[pos] AS line FROM l)
        SELECT doc_id::VARCHAR AS song_id, doc_id || '-' || (pos - 1) AS comment_id, trim(line, ' \t\n\r') AS content, source AS user_handle,
          pos - 1 AS num_likes, 1 AS num_replies, false AS is_reply FROM k WHERE trim(line, ' \t\n\r') <> ''
        UNION ALL SELECT doc_id::VARCHAR, doc_id || '-' || (pos - 1) || '-r', 're ' || trim(line, ' \t\n\r'), 'u' || doc_id, 0, 0, true FROM k""",
 )
 def comments_flatten(d):
-    """One landed page per document: each line is a comment with one reply."""
+    """Landed pages of 20 lines of a document: each line is a comment with one reply."""
     key = F.col("doc_id").cast("string")
 
     def comment(line, i):
@@ -183,8 +183,11 @@ def comments_flatten(d):
             F.lit(1).alias("num_replies"), F.array(reply).alias("replies"),
         )
 
-    page = F.to_json(F.struct(F.transform(F.split("text", "\n"), comment).alias("results")))
-    pages = d.raw("documents").select(key.alias("song_id"), F.lit(0).alias("page_no"), page.alias("body"))
+    lines = F.transform(F.split("text", "\n"), comment)
+    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 20).cast("int"))
+    cut = d.raw("documents").select(key.alias("song_id"), lines.alias("lines"), F.posexplode(starts).alias("page_no", "_p"))
+    page = F.to_json(F.struct(F.slice("lines", F.col("page_no") * 20 + 1, F.lit(20)).alias("results")))
+    pages = cut.select("song_id", "page_no", page.alias("body"))
     out = feeds.flatten_comments(pages)
     return out.select("song_id", "comment_id", "content", "user_handle", "num_likes", "num_replies", "is_reply")
 
@@ -222,7 +225,7 @@ REFRESH_SQL = """
     due AS (SELECT *, CASE tier WHEN 'hot' THEN 0 WHEN 'playlist' THEN 1 WHEN 'warm' THEN 2 WHEN 'cold' THEN 3 ELSE 4 END AS pr FROM t
       WHERE CASE WHEN next_check_at IS NOT NULL THEN next_check_at <= TIMESTAMP '2024-01-31' ELSE last_checked_at <= TIMESTAMP '2024-01-31'
         - to_hours(CASE tier WHEN 'hot' THEN 0 WHEN 'playlist' THEN 24 WHEN 'warm' THEN 6 WHEN 'frozen' THEN 168 ELSE 72 END) END),
-    sel AS (SELECT id FROM due QUALIFY row_number() OVER (ORDER BY pr, last_checked_at, created_at DESC, id) <= 1000),
+    sel AS (SELECT id FROM due),
     u AS (SELECT t.id, t.title, t.created_at, t.handle,
         sel.id IS NOT NULL AND t.id NOT LIKE 'new-%' AND t.play_count > 0 AS ok,
         sel.id IS NOT NULL AND t.id NOT LIKE 'new-%' AND t.play_count = 0 AS bad, t.play_count, t.fetch_fail_count, t.status, t.tier
@@ -256,7 +259,8 @@ def catalog_refresh(d):
     REFRESH_SQL
     + """SELECT id, checked_at, play_count FROM v_history WHERE checked_at >= TIMESTAMP '2024-01-24'
          UNION ALL SELECT id, checked_at, play_count FROM (SELECT * FROM v_history WHERE checked_at < TIMESTAMP '2024-01-24'
-           QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE ORDER BY checked_at DESC) = 1)
+           QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE
+             ORDER BY checked_at DESC, play_count + upvote_count + comment_count DESC) = 1)
          UNION ALL SELECT id, TIMESTAMP '2024-01-31', play_count + 10 FROM u WHERE ok""",
 )
 def catalog_refresh_history(d):
@@ -276,6 +280,95 @@ def fast_refresh(d):
     return out.select("id", "title", "play_count")
 
 
+@check(
+    "fast_refresh_history",
+    """WITH kept AS (SELECT id FROM v_songs WHERE created_at >= TIMESTAMP '2024-01-27')
+       SELECT id, checked_at, play_count FROM v_history WHERE id IN (SELECT id FROM kept)
+       UNION ALL SELECT id, TIMESTAMP '2024-01-31', play_count + 10 FROM v_quality_targets WHERE play_count > 0""",
+)
+def fast_refresh_history(d):
+    """The run archives expired items, so only the history of the others stays."""
+    out = jobs.fast_refresh(
+        d.songs(), d.stored("song_history"), landed_items(d), AS_OF, rank_history=d.rank_history(), archive=True
+    )["song_history"]
+    return out.select("id", "checked_at", "play_count")
+
+
+@check(
+    "catalog_refresh_archive",
+    REFRESH_SQL
+    + """SELECT id, 'archive' AS kept, CASE WHEN ok THEN play_count + 10 ELSE play_count END::DOUBLE AS play_count,
+           NULL::BIGINT AS snapshots FROM u WHERE created_at < TIMESTAMP '2024-01-27'
+         UNION ALL SELECT id, 'songs', CASE WHEN ok THEN play_count + 10 ELSE play_count END,
+           (SELECT count(*) FROM v_history h WHERE h.id = u.id AND h.checked_at >= TIMESTAMP '2024-01-24')
+           + (SELECT count(DISTINCT h.checked_at::DATE) FROM v_history h WHERE h.id = u.id AND h.checked_at < TIMESTAMP '2024-01-24')
+           + ok::INT FROM u WHERE created_at IS NULL OR created_at >= TIMESTAMP '2024-01-27'""",
+)
+def catalog_refresh_archive(d):
+    """Refresh with archiving and without a rank history."""
+    out = jobs.catalog_refresh(
+        d.songs(gaps=True), d.stored("song_history"), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS,
+        archive=True,
+    )
+    counts = out["song_history"].groupBy("id").agg(F.count(F.lit(1)).alias("snapshots"))
+    songs = out["songs"].join(counts, "id", "left").select(
+        "id", F.lit("songs").alias("kept"), F.col("play_count").cast("double").alias("play_count"),
+        F.coalesce("snapshots", F.lit(0)).alias("snapshots"),
+    )
+    moved = out["archive"].select(
+        "id", F.lit("archive").alias("kept"), F.col("play_count").cast("double").alias("play_count"),
+        F.lit(None).cast("long").alias("snapshots"),
+    )
+    return moved.unionByName(songs)
+
+
+SHARD_SQL = """
+    WITH last AS (SELECT l_partkey, l_quantity FROM lineitem
+      QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey DESC, l_orderkey DESC, l_extendedprice DESC) = 1),
+    g AS (SELECT p_partkey::VARCHAR AS id, p_name AS title, l_quantity AS play_count,
+        CASE WHEN p_size % 2 = 0 THEN TIMESTAMP '2024-01-31' - to_hours(p_size * 4) END AS stored,
+        CASE WHEN p_size > 5 THEN TIMESTAMP '2024-01-31' - to_hours(p_size * 4) END AS seen, p_size
+      FROM part LEFT JOIN last ON l_partkey = p_partkey),
+    m AS (SELECT *, coalesce(stored, seen) AS created_at FROM g),
+    k AS (SELECT * FROM m WHERE created_at IS NULL OR created_at >= TIMESTAMP '2024-01-27')
+"""
+
+
+def shard_outputs(d):
+    """Catalogue and history of parts, and refresh results of four shards."""
+    id_ = F.col("p_partkey").cast("string").alias("id")
+    made = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=F.col("p_size") * 4)
+    parts = d.raw("part")
+    base = parts.select(id_, F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, made).alias("created_at"),
+                        F.lit(0.0).alias("play_count"))
+    hist = parts.where(F.col("p_size") > 5).select(
+        id_, (made + F.make_dt_interval(hours=F.lit(1))).alias("checked_at"), made.alias("created_at"), F.lit(1.0).alias("play_count")
+    )
+    lines = d.raw("lineitem").select(
+        F.col("l_partkey").cast("string").alias("id"), F.col("l_quantity").cast("double").alias("play_count"), "l_suppkey",
+        "l_orderkey", "l_extendedprice",
+    )
+    updates = base.drop("play_count").join(lines, "id")
+    snapshots = lines.select("id", F.lit(AS_OF).cast("timestamp_ntz").alias("checked_at"), "play_count")
+    order = [F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_extendedprice")]
+    return jobs.merge_shard_outputs(base, hist, updates, snapshots, order, AS_OF, archive=True)
+
+
+@check("merge_shards_job", SHARD_SQL + "SELECT id, title, created_at, coalesce(play_count, 0)::DOUBLE AS play_count FROM k")
+def merge_shards_job(d):
+    return shard_outputs(d)["songs"].select("id", "title", "created_at", F.col("play_count").cast("double").alias("play_count"))
+
+
+@check(
+    "merge_shards_history",
+    SHARD_SQL
+    + """SELECT k.id, TIMESTAMP '2024-01-31' AS checked_at, l_quantity::DOUBLE AS play_count FROM lineitem JOIN k ON k.id = l_partkey::VARCHAR
+         UNION ALL SELECT id, seen + to_hours(1), 1 FROM k WHERE seen IS NOT NULL""",
+)
+def merge_shards_history(d):
+    return shard_outputs(d)["song_history"].select("id", "checked_at", F.col("play_count").cast("double").alias("play_count"))
+
+
 @check("ingest_aligned", "SELECT page_id::VARCHAR AS page_id, url, '' AS title FROM pages")
 def ingest_aligned(d):
     return catalog.stringify(catalog.align_schema(d.raw("pages"), ("page_id", "url", "title")))

@@ -17,6 +17,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_DOMAINS: dict[tuple[str, str], Domain] = {}
+
+
+def domain(spark: SparkSession, folder: str) -> Domain:
+    """Domain of a folder, shared by the queries of one application with its stored tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain(spark, folder)
+    return _DOMAINS[key]
+
+
 def with_views(sql: str) -> str:
     """Prefix the used domain views, dependencies first."""
     ordered: list[str] = []
@@ -42,7 +53,7 @@ def check(name: str, sql: str | None = None):
     """Register ``fn(domain) -> DataFrame`` under ``name``."""
 
     def register(fn: Callable[[Domain], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Domain(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(domain(spark, folder))
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartlake.functions.scores import play_qualifies
-from chartlake.operators.catalog import history_compact
 from chartlake.sources.driver import AS_OF
+from chartlake.sources.tables import read_snapshot
 from chartlake.streaming import jobs
 from checks.ingest_checks import work_folder
 from checks.registry import check
@@ -15,6 +15,17 @@ def event_stream(d):
     return jobs.file_stream(d.spark, d.folder, d.raw("events").schema, "events.parquet")
 
 
+def in_batches(d, run, upkeep) -> None:
+    """Land the events in three files, one batch each; ``upkeep`` runs before the last one."""
+    landed = work_folder(d, "landed")
+    events = d.raw("events")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(landed)
+        if k == 2:
+            upkeep()
+        run(d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed))
+
+
 def part_count(d):
     return F.broadcast(d.raw("part").agg(F.count(F.lit(1)).alias("_n")))
 
@@ -24,8 +35,9 @@ def with_song(d, stream):
     return stream.crossJoin(part_count(d)).withColumn("song_id", song.cast("string")).drop("_n")
 
 
-def play_stream(d):
-    views = with_song(d, event_stream(d).where(F.col("event_type") == "view"))
+def play_stream(d, events=None):
+    events = event_stream(d) if events is None else events
+    views = with_song(d, events.where(F.col("event_type") == "view"))
     return views.select(
         "song_id",
         F.concat(F.lit("ses-"), F.col("user_id").cast("string")).alias("session_id"),
@@ -36,8 +48,9 @@ def play_stream(d):
     )
 
 
-def toggle_stream(d):
-    clicks = with_song(d, event_stream(d).where(F.col("event_type") == "click"))
+def toggle_stream(d, events=None):
+    events = event_stream(d) if events is None else events
+    clicks = with_song(d, events.where(F.col("event_type") == "click"))
     return clicks.select("song_id", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("actor_key"))
 
 
@@ -56,14 +69,24 @@ def stream_play_dedupe(d):
 @check("stream_like_toggle", "SELECT song_id, count(*) AS like_count FROM v_likes GROUP BY 1")
 def stream_like_toggle(d):
     folder = work_folder(d, "likes")
-    jobs.like_sink(toggle_stream(d), f"{folder}/log", f"{folder}/checkpoint")
+    in_batches(
+        d,
+        lambda events: jobs.like_sink(toggle_stream(d, events), f"{folder}/log", f"{folder}/checkpoint"),
+        lambda: jobs.rewrite_toggles(d.spark, f"{folder}/log"),
+    )
     return jobs.liked_now(d.spark, f"{folder}/log").groupBy("song_id").agg(F.count(F.lit(1)).alias("like_count"))
 
 
 @check("stream_song_counters", "SELECT id, play_count, like_count, comment_count, trend_score FROM v_counters")
 def stream_song_counters(d):
     folder = work_folder(d, "counters")
-    jobs.counter_sinks(play_stream(d).drop("value", "k"), toggle_stream(d), f"{folder}/log", f"{folder}/checkpoint")
+    in_batches(
+        d,
+        lambda events: jobs.counter_sinks(
+            play_stream(d, events).drop("value", "k"), toggle_stream(d, events), f"{folder}/log", f"{folder}/checkpoint"
+        ),
+        lambda: jobs.rewrite_counters(d.spark, f"{folder}/log"),
+    )
     out = jobs.current_counters(d.app_songs(), d.app_comments(), f"{folder}/log", AS_OF)
     return out.select("id", "play_count", "like_count", "comment_count", "trend_score")
 
@@ -72,15 +95,15 @@ def stream_song_counters(d):
     "stream_history",
     """SELECT id, checked_at, play_count FROM v_history WHERE checked_at >= TIMESTAMP '2024-01-24'
        UNION ALL SELECT id, checked_at, play_count FROM (SELECT * FROM v_history WHERE checked_at < TIMESTAMP '2024-01-24'
-         QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE ORDER BY checked_at DESC) = 1)""",
+         QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE ORDER BY checked_at DESC, play_count + upvote_count + comment_count DESC) = 1)""",
 )
 def stream_history(d):
     folder = work_folder(d, "history")
     d.song_history().write.parquet(f"{folder}/landed")
     schema = d.spark.read.parquet(f"{folder}/landed").schema
     jobs.history_sink(jobs.file_stream(d.spark, f"{folder}/landed", schema), f"{folder}/table", f"{folder}/checkpoint")
-    table = d.spark.read.parquet(f"{folder}/table")
-    return history_compact(table, AS_OF).select("id", "checked_at", "play_count")
+    jobs.compact_history(d.spark, f"{folder}/table", f"{folder}/compact", AS_OF)
+    return read_snapshot(d.spark, f"{folder}/compact").select("id", "checked_at", "play_count")
 
 
 @check(

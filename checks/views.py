@@ -73,9 +73,9 @@ VIEWS = {
                  greatest(0.0, c1 - c0) / nullif(hours, 0) AS comment_velocity
           FROM (SELECT h.id, count(*) AS n,
                        date_diff('microsecond', min(h.checked_at), max(h.checked_at)) / 3600000000.0 AS hours,
-                       arg_min(h.play_count, h.checked_at)::DOUBLE AS p0, arg_max(h.play_count, h.checked_at)::DOUBLE AS p1,
-                       arg_min(h.upvote_count, h.checked_at)::DOUBLE AS u0, arg_max(h.upvote_count, h.checked_at)::DOUBLE AS u1,
-                       arg_min(h.comment_count, h.checked_at)::DOUBLE AS c0, arg_max(h.comment_count, h.checked_at)::DOUBLE AS c1
+                       arg_min(h.play_count, (h.checked_at, h.play_count + h.upvote_count + h.comment_count))::DOUBLE AS p0, arg_max(h.play_count, (h.checked_at, h.play_count + h.upvote_count + h.comment_count))::DOUBLE AS p1,
+                       arg_min(h.upvote_count, (h.checked_at, h.play_count + h.upvote_count + h.comment_count))::DOUBLE AS u0, arg_max(h.upvote_count, (h.checked_at, h.play_count + h.upvote_count + h.comment_count))::DOUBLE AS u1,
+                       arg_min(h.comment_count, (h.checked_at, h.play_count + h.upvote_count + h.comment_count))::DOUBLE AS c0, arg_max(h.comment_count, (h.checked_at, h.play_count + h.upvote_count + h.comment_count))::DOUBLE AS c1
                 FROM v_history h JOIN v_songs s ON s.id = h.id
                 WHERE h.checked_at >= s.created_at + to_hours(3) GROUP BY h.id))
         WHERE n >= 2 AND hours > 0
@@ -112,8 +112,7 @@ VIEWS = {
         WHERE NOT is_contest_clip AND coalesce(download_disabled_reason, '') <> 'remix_contest' AND contest_ids = ''
     """,
     "v_quality_targets": """
-        SELECT *, row_number() OVER (ORDER BY round(trend_score, 6) DESC, created_at DESC, id) AS rank
-        FROM v_contest_free QUALIFY rank <= 200
+        SELECT * FROM v_contest_free
     """,
     "v_comment_base": """
         SELECT *, (k % greatest((SELECT count(*) FROM customer) // 10, 1))::VARCHAR || '-' || (k % 16)::VARCHAR AS song_id,
@@ -259,7 +258,7 @@ VIEWS = {
             CASE tier WHEN 'hot' THEN 0 WHEN 'playlist' THEN 1 WHEN 'warm' THEN 2 WHEN 'cold' THEN 3 ELSE 4 END,
             created_at IS NULL DESC, last_checked_at IS NULL DESC, last_checked_at ASC NULLS FIRST,
             created_at DESC NULLS FIRST, id) AS refresh_position
-        FROM v_due QUALIFY refresh_position <= 1000
+        FROM v_due
     """,
     "v_queue": """
         SELECT *, CASE o_orderpriority

@@ -110,6 +110,75 @@ def test_upsert_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(twice.collect()) == [("a", 1), ("b", 3), ("c", 4)]
 
 
+def test_upsert_keeps_keys_unique(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    new = spark.createDataFrame([("b", 3), ("b", 5), ("c", 4), ("b", 4)], "id string, v int")
+    assert sorted(catalog.upsert_by_key(base, new, ["id"], [F.col("v").desc()]).collect()) == [("a", 1), ("b", 5), ("c", 4)]
+    assert catalog.upsert_by_key(base, new, ["id"]).count() == 3
+
+
+def test_equal_snapshot_times_use_one_row(spark):
+    songs = frame(spark, [("a", "2024-01-01")], "id string, created_at string", ("created_at",))
+    rows = [("a", "2024-01-01 04:00:00", 5, 9, 0), ("a", "2024-01-01 04:00:00", 6, 1, 0)]
+    rows += [("a", "2024-01-01 06:00:00", 20, 2, 0), ("a", "2024-01-01 06:00:00", 8, 30, 0)]
+    out = {tuple(r) for n in range(3) for r in scoring.growth_features(songs, history(spark, rows[n:] + rows[:n]))
+           .select("play_velocity_per_hour", "upvote_velocity_per_hour").collect()}
+    assert out == {(1.0, 14.5)}
+    day = [("a", "2024-01-10 04:00:00", v, 0, 0) for v in (3, 7, 5)]
+    assert catalog.history_compact(history(spark, day), NOW).first()["play_count"] == 7
+    point = charts.history_points(history(spark, day), songs, 1).first()["points"][0]
+    assert point["play_count"] == 7
+
+
+def test_null_keys_stay_out_of_salted_joins(spark):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("k"), "id")
+    small = spark.createDataFrame([("1", "x"), (None, "y")], "k string, label string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = big.join(small, "k", how)
+        got = salted_join(big, small, ["k"], how, hot_rows=100)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), how
+
+
+def test_reader_between_two_versions(spark):
+    table = f"{shared_folder(spark)}/versions-{spark.sparkContext.startTime}"
+    tables.replace_snapshot(spark.range(3), table)
+    tables.replace_snapshot(spark.range(5), table)
+    assert len(tables.pointers(spark, table)) == 2 and tables.read_snapshot(spark, table).count() == 5
+    # A version that is written but not yet published changes nothing.
+    spark.range(9).write.parquet(f"{table}/v-unpublished")
+    assert tables.read_snapshot(spark, table).count() == 5
+    fs, path = tables._filesystem(spark, table), tables._path(spark, tables._pointer(table, 2))
+    fs.delete(path, False)
+    assert tables.read_snapshot(spark, table).count() == 3
+
+
+def test_long_comments_are_tested_whole(spark):
+    songs = spark.createDataFrame([("s", True)], "id string, comments_enabled boolean")
+    rows = [("s", "a fine comment"), ("s", "x" * 600 + " bad word"), ("s", "good " * 90 + "badword"), ("s", "x"), (None, "hello there")]
+    out = engagement.admissible_comments(spark.createDataFrame(rows, "song_id string, body string"), songs, ("badword",)).collect()
+    got = {r["body"][-8:]: (r["reason"], r["accepted"]) for r in out}
+    assert got == {
+        " comment": ("", True), "bad word": ("too long", False), " badword": ("listed term", False), "x": ("too short", False),
+        "lo there": ("comments disabled", False),
+    }
+
+
+def test_saved_playlist_replaces_items(spark):
+    lists = spark.createDataFrame([("p", "me", "old", "public", "active")], "id string, owner_user_id string, name string, visibility string, status string")
+    lists = lists.withColumn("updated_at", F.lit(NOW).cast("timestamp_ntz"))
+    items = spark.createDataFrame([("p", "z", 0), ("q", "y", 0)], "playlist_id string, song_id string, position int")
+    rows = [(1, "p", "you", "n", ["a"]), (2, "p", "me", " ", ["b", " ", "a", "b"]), (3, "new", "me", "mine", None), (4, "x", "", "n", ["a"])]
+    requests = spark.createDataFrame(rows, "request_id int, playlist_id string, owner_user_id string, name string, song_ids array<string>")
+    out = playlists.playlist_save(lists, items, requests, NOW)
+    assert sorted((r.request_id, r.ok, r.name, r.song_count) for r in out["results"].collect()) == [
+        (1, False, "n", 0), (2, True, "My Playlist", 2), (3, True, "mine", 0), (4, False, "n", 0),
+    ]
+    assert sorted((r.playlist_id, r.song_id, r.position) for r in out["items"].collect()) == [("p", "a", 2), ("p", "b", 0), ("q", "y", 0)]
+    assert sorted(r.id for r in out["playlists"].collect()) == ["new", "p"]
+    ids = [r.song_id for r in playlists.ordered_song_ids(out["playlists"], out["items"], "p", "me").collect()]
+    assert ids == ["b", "a"] and playlists.ordered_song_ids(out["playlists"], out["items"], "p", "you").count() == 0
+
+
 def test_dedupe_columns_keeps_last(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("a", "b", "a")
     out = catalog.dedupe_columns(df)
@@ -196,6 +265,13 @@ def test_comment_pages_cap_spans_pages(spark):
     assert got == [("a", "x", False, 0), ("c", "x", False, 0), ("r", "y", True, 0), ("r", "y", True, 0)]
 
 
+def test_comment_pages_without_a_limit(spark):
+    pages = [("s", n, '{"results":[' + ",".join(f'{{"id":"{n}-{i}","content":"c"}}' for i in range(26)) + "]}") for n in range(5)]
+    df = spark.createDataFrame(pages, "song_id string, page_no int, body string")
+    assert feeds.flatten_comments(df).count() == 130
+    assert feeds.flatten_comments(df, cap=30).count() == 30 and feeds.flatten_comments(df, max_pages=2).count() == 52
+
+
 def test_like_parity(spark):
     rows = [("s", "user:1"), ("s", "user:1"), ("s", "user:2"), ("s", "u"), ("t", "user:1")]
     df = spark.createDataFrame(rows, "song_id string, actor_key string")
