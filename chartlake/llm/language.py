@@ -96,15 +96,17 @@ def labelled_sample(docs: DataFrame, label: str, order: str, bound: int) -> Data
 
     Only labels and hashes are counted, thinned and ranked: the ranking sees about twice
     the bound of a label, however many rows have it, and rows are then picked by the
-    chosen hashes, a table with that bound. Other columns are not shuffled.
+    chosen hashes, a table with that bound. Other columns are not shuffled, and of rows
+    with one label and hash (repeated rows) one is kept.
     """
     narrow = docs.select(label, order)
     counts = materialize(narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")))
     place = F.pmod(F.col(order), F.lit(1 << 30)) / float(1 << 30)
     thinned = narrow.join(counts, label).where(place * F.col("_rows") < 2.0 * bound + 20)
+    thinned = thinned.select(label, order).distinct()
     ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    chosen = ranked.where(F.col("_rank") <= bound).groupBy(label, order).agg(F.min("_rank").alias("_rank"))
-    return docs.join(F.broadcast(materialize(chosen)), [label, order])
+    chosen = materialize(ranked.where(F.col("_rank") <= bound))
+    return docs.join(F.broadcast(chosen), [label, order]).dropDuplicates([label, order])
 
 
 def fit(

@@ -38,6 +38,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 EXAMPLES = 3000
 TERMS = 2000
 NEIGHBOURS = 15
+#: Least log-likelihood ratio of a term; chance alone gives less than one such in a million terms.
+EVIDENCE = 25.0
 #: Examples in one block of the index.
 BLOCK = 64
 #: Weight of the term that every text has once. It keeps the cosine of a text with a
@@ -112,7 +114,7 @@ def term_table(sample: DataFrame, terms: int) -> np.ndarray:
 
     ratio = part(F.col("a"), share * p) + part(F.col("b"), share * n) + part(p - F.col("a"), (1 - share) * p) + part(n - F.col("b"), (1 - share) * n)
     good = counted.where((F.col("a") >= 3) & (F.col("a") / p > 3 * F.col("b") / n)).withColumn("g", 2 * ratio)
-    best = good.where("g > 10.83").orderBy(F.desc("g"), "term").limit(terms).select("term").collect()
+    best = good.where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).select("term").collect()
     return np.array([r.term for r in best], np.int64).view(np.uint64)
 
 
@@ -214,7 +216,9 @@ def label_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -
     chosen = labelled_sample(usable.withColumn("order", F.xxhash64("doc_id")), "label", "order", examples)
     sizes = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("_some")).join(counts, "label")
     chosen = chosen.join(sizes, "label").select("doc_id", "label", (F.col("_all") / F.col("_some")).alias("votes"))
-    return docs.select("doc_id", "text").join(F.broadcast(materialize(chosen)), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(materialize(chosen)), "doc_id")
+    # Rows of one id are one example: its smallest text.
+    return found.groupBy("doc_id", "label", "votes").agg(F.min("text").alias("text"))
 
 
 def score_documents(
