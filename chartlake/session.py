@@ -1,6 +1,7 @@
 """Session settings the operators rely on, and the checkpoint folder rule."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="chartlake-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -72,4 +73,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Tables that this process has materialized: application and path.
+_STAGES: list[tuple[str, str]] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` wrote, once their results are stored elsewhere."""
+    own = [p for app, p in _STAGES if app == spark.sparkContext.applicationId]
+    for text in own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGES[:] = [s for s in _STAGES if s[1] not in own]
+    return len(own)
