@@ -216,12 +216,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest doc_id of its class), ``kept``."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, bands, rows))
-    content = signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
+    # Stored, so that both sides of the joins below are plain shuffles, whose hot keys
+    # (a text with very many copies, a bucket with very many nodes) Spark splits.
+    content = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")))
     named = signed.join(content, ["c1", "c2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     named = materialize(named.select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), "n"))
     nodes = named.where("bands is not null and n > 0").select("node", F.explode("bands").alias("bucket"))
     buckets = nodes.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("_max")).where("hub <> _max")
-    members = materialize(nodes.join(buckets.drop("_max"), "bucket").distinct())
+    buckets = materialize(buckets.drop("_max"))
+    members = materialize(nodes.join(buckets, "bucket").distinct())
 
     candidates = members.select("node").distinct()
     texts = docs.join(candidates, docs["doc_id"] == candidates["node"]).select("node", "text")
