@@ -40,6 +40,8 @@ UNKNOWN = "und"
 #: Rows of the presence matrix made at once.
 ROWS = 64
 SHARPNESS = 4.0
+#: Preferred length of landmark texts, which the driver receives.
+LANDMARK_CHARS = (200, 50_000)
 
 
 @dataclass(frozen=True)
@@ -120,9 +122,9 @@ def fit(
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), order.alias("order"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sample = materialize(labelled_sample(rows, "label", "order", examples))
-    # Landmarks: the first of each label, texts of some length before very short ones.
-    short = (F.length("text") < 200).cast("int")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(short, "_rank"))
+    # Landmarks: the first of each label, texts of some length before very short or long ones.
+    odd = (~F.length("text").between(*LANDMARK_CHARS)).cast("int")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(odd, "_rank"))
     chosen = sample.withColumn("_mark", rank).where(F.col("_mark") <= landmarks)
     texts = [r[0] for r in chosen.orderBy("label", "_mark").select("text").collect()]
     if not texts:
