@@ -177,15 +177,17 @@ def _paths(name: str) -> tuple[str, ...]:
     return FIELD_PATHS.get(name) or PLAIN_TEXT_PATHS.get(name) or LIST_PATHS[name]
 
 
-def record_schema(fields: Sequence[str], leaf: T.DataType) -> T.StructType:
-    """All paths of ``fields`` with one leaf type; a leaf of another kind reads as null."""
-    wanted: dict[str, list[str]] = {"s": [], "c": [], "u": [], "m": []}
+def record_schema(fields: Sequence[str]) -> T.StructType:
+    """All paths of ``fields``: free-text leaves keep their kind, others are read as text."""
+    wanted: dict[str, dict[str, T.DataType]] = {"s": {}, "c": {}, "u": {}, "m": {}}
     for name in fields:
         for path in _paths(name):
             part, key = path.split(".")
-            if key not in wanted[part]:
-                wanted[part].append(key)
-    leaves = {p: [T.StructField(n, leaf) for n in names] for p, names in wanted.items()}
+            if name in FREE_TEXT:
+                wanted[part][key] = T.VariantType()
+            else:
+                wanted[part].setdefault(key, T.StringType())
+    leaves = {p: [T.StructField(n, kind) for n, kind in names.items()] for p, names in wanted.items()}
     nested = [T.StructField(NESTED[p], T.StructType(leaves[p])) for p in NESTED if leaves[p]]
     return T.StructType(leaves["s"] + nested)
 
@@ -198,14 +200,17 @@ def _leaf(root: str, path: str) -> str:
 def _field(name: str) -> Column:
     """First non-blank value of a field.
 
-    Every leaf is read as text; free-text leaves are also read as a list and as
-    an object, which tells a text that looks like JSON from a nested value.
+    Free-text leaves keep their kind, which tells a text that looks like JSON from a
+    nested value.
     """
     values = []
     for p in _paths(name):
-        text, listed, nested = _leaf("_t", p), _leaf("_l", p), _leaf("_o", p)
+        text = _leaf("_t", p)
         if name in FREE_TEXT:
-            text = f"CASE WHEN {listed} IS NULL AND {nested} IS NULL THEN {text} END"
+            leaf = text
+            kind = f"schema_of_variant({leaf})"
+            listed = f"CASE WHEN {kind} LIKE 'ARRAY%' THEN try_variant_get({leaf}, '$', 'array<string>') END"
+            text = f"CASE WHEN {kind} NOT LIKE 'ARRAY%' AND {kind} NOT LIKE 'OBJECT%' THEN try_variant_get({leaf}, '$', 'string') END"
         if name in LIST_PATHS:
             kept = f"transform(filter({listed}, x -> NOT {blank_sql('x')}), x -> trim(x))"
             text = f"coalesce(array_join({kept}, ', '), {text})"
@@ -231,9 +236,7 @@ def flatten_records(
     names = (*FIELD_PATHS, *PLAIN_TEXT_PATHS, *LIST_PATHS)
     parsed = records.select(
         F.col("id").alias("_key"),
-        F.from_json("record", record_schema(names, T.StringType())).alias("_t"),
-        F.from_json("record", record_schema(FREE_TEXT, T.ArrayType(T.StringType()))).alias("_l"),
-        F.from_json("record", record_schema(FREE_TEXT, T.MapType(T.StringType(), T.StringType()))).alias("_o"),
+        F.from_json("record", record_schema(names)).alias("_t"),
     )
     fresh = parsed.select("_key", *[_field(n).alias(f"_n_{n}") for n in names])
     fresh = fresh.withColumn("_n_lyrics", F.coalesce("_n_lyrics", "_n_prompt"))
