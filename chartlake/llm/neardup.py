@@ -39,6 +39,8 @@ BANDS = 26
 BAND_ROWS = 5
 #: Members of one bucket compared in one task, on each side.
 BLOCK_ROWS = 1024
+#: Shingles of these members that one side should hold at most.
+BLOCK_SHINGLES = 4_000_000
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS):
@@ -118,7 +120,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``node`` and its sorted distinct shingles as bytes."""
+    """``node``, the number ``n`` of its distinct shingles, and these, sorted, as bytes."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +128,10 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 sh, of, *_ = weighted_shingles(*tk.text_bytes(part.column("text")), words)
                 edges = np.searchsorted(of, np.arange(part.num_rows + 1))
                 sets = [sh[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                columns = [part.column("node"), pa.array(np.diff(edges), pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(collect, "node long, shingles binary")
+    return docs.select("node", "text").mapInArrow(collect, "node long, n long, shingles binary")
 
 
 def _set(value: pa.Scalar) -> np.ndarray:
@@ -187,17 +190,18 @@ def link_block(nodes: np.ndarray, classes: np.ndarray, sides: np.ndarray, sets:
 
 
 def search_blocks(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_ROWS) -> DataFrame:
-    """Links between ``members`` (``bucket``, ``node``, ``component``, ``size``) of different components.
+    """Links between ``members`` of different components: ``bucket``, ``node``, ``component``,
+    and of the bucket ``size`` (rows) and ``total`` (shingles).
 
-    A bucket of more than ``block`` rows is dealt to blocks by a hash of the node, and
-    every pair of its blocks is one unit of work; rows are repeated once per partner
-    block, pairs are never emitted.
+    A bucket of more than ``block`` rows or very many shingles is dealt to blocks by a
+    hash of the node, and every pair of its blocks is one unit of work; rows are repeated
+    once per partner block, pairs are never emitted.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("total") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    units = dealt.select("bucket", "i", "j", "own", "node", "component").join(sets, "node")
+    units = dealt.select("bucket", "i", "j", "own", "node", "component").join(sets.drop("n"), "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in tk.groups(batches, ["bucket", "i", "j"]):
@@ -234,12 +238,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     first = components(links)
 
     labelled = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = labelled.join(sets.select("node", "n"), "node")
     # Buckets of several classes; of buckets with equal members, one.
     mixed = labelled.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.min("node").alias("least"),
     ).where("low <> high and size > 2")
-    mixed = mixed.groupBy("size", "mark", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    mixed = mixed.groupBy("size", "total", "mark", "least").agg(F.min("bucket").alias("bucket"))
+    mixed = mixed.select("bucket", "size", "total")
     more = search_blocks(labelled.join(mixed, "bucket"), sets, threshold)
     classes = components(links.union(more))
     joined = named.select("doc_id", "node").join(classes, "node", "left")
