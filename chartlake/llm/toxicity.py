@@ -47,6 +47,8 @@ BLOCK = 64
 BACKGROUND = 10.0
 #: Votes fall with this power of the similarity.
 SHARPNESS = 4
+#: Blocks scored together.
+AT_ONCE = 4
 #: Vote of the whole labelled set that is mixed into every score.
 PRIOR_VOTES = 0.1
 
@@ -152,16 +154,23 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k most similar examples (similarity above 0)."""
         bounds = weights @ self.bound[terms]
+        order = np.argsort(-bounds, kind="stable")
         places, values = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(values) == k and bounds[block] < values[-1] - 1e-12:
+        for at in range(0, len(order), AT_ONCE):
+            blocks = order[at : at + AT_ONCE]
+            least = values[-1] - 1e-12 if len(values) == k else 0.0
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least)]
+            if not len(blocks):
                 break
-            score = np.zeros(BLOCK)
-            for term, weight in zip(terms, weights):
-                a, b = self.pointer[term, block]
-                score[self.example[a:b] - block * BLOCK] += weight * self.weight[a:b]
+            # The postings of all terms in these blocks, one after the other.
+            cells = self.pointer[terms[:, None], blocks[None, :]].reshape(-1, 2)
+            size = cells[:, 1] - cells[:, 0]
+            first = np.cumsum(size) - size
+            entry = np.arange(size.sum()) + np.repeat(cells[:, 0] - first, size)
+            share = np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[entry]
+            score = np.bincount(self.example[entry], weights=share, minlength=len(self.ids))
             some = np.flatnonzero(score > 0)
-            places, values = np.append(places, some + block * BLOCK), np.append(values, np.round(score[some], 12))
+            places, values = np.append(places, some), np.append(values, np.round(score[some], 12))
             best = np.lexsort((self.ids[places], -values))[:k]
             places, values = places[best], values[best]
         return places, values
