@@ -209,8 +209,9 @@ def digests(segments: DataFrame, template: Template = Template()) -> DataFrame:
 
     masked = F.aggregate("loss_mask", F.lit(0), lambda n, m: n + m.cast("int"))
     narrow = segments.select(
-        "conv_id", "part", "seq", "formatted", "loss_spans", F.size("input_ids").cast("long").alias("tokens"), masked.cast("long").alias("masked")
-    )
+        "conv_id", "part", "seq", "formatted", "loss_spans", F.size("input_ids").cast("long").alias("tokens"),
+        masked.cast("long").alias("masked"),
+    )
     dealt = narrow.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
     return dealt.mapInArrow(
         read,

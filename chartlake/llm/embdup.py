@@ -104,8 +104,9 @@ def cells(distinct: DataFrame, threshold: float, blocks: int, axes: int) -> Data
                         cell = np.zeros(len(some), np.int64)
                         for k in range(dims):
                             cell = (cell << 21) + grid[:, k] + step[k]
-                        columns = [ids[some], np.full(len(some), size), np.full(len(some), number), cell, np.full(len(some), int(any(step)))]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "size", "block", "cell", "guest"])
+                        same = [np.full(len(some), c) for c in (size, number, int(any(step)))]
+                        columns = [pa.array(c, pa.int64()) for c in (ids[some], same[0], same[1], cell, same[2])]
+                        yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "block", "cell", "guest"])
 
     return distinct.select("rep", "v").mapInArrow(place, "rep long, size long, block long, cell long, guest long")
 
@@ -244,7 +245,8 @@ def near_vectors(
     joined = components(found.where("b is not null").select("a", "b"))
     of = distinct.join(counts, F.col("rep") == F.col("a"), "left").drop("a")
     of = of.join(joined, F.col("rep") == F.col("node"), "left")
-    of = of.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    of = of.select("v", links, F.coalesce("component", "rep").alias("component_id"))
     linked = usable.join(of, "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     alone = rows.where(~(is_usable(F.col("embedding")) & F.col("vec_id").isNotNull()))
     alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

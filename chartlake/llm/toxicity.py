@@ -98,10 +98,12 @@ def term_table(sample: DataFrame, terms: int) -> np.ndarray:
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 hashes, owner = text_terms(*tk.text_bytes(part.column("text")))
-                label = part.column("label").to_numpy(zero_copy_only=False)
-                for row in range(part.num_rows):
-                    own = np.unique(hashes[owner == row]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), label[row], np.int32))], ["term", "label"])
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                first = np.ones(len(hashes), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int32)[owner[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(label)], ["term", "label"])
 
     counted = sample.select("text", "label").mapInArrow(distinct, "term long, label int")
     counted = counted.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
@@ -114,7 +116,8 @@ def term_table(sample: DataFrame, terms: int) -> np.ndarray:
     def part(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    ratio = part(F.col("a"), share * p) + part(F.col("b"), share * n) + part(p - F.col("a"), (1 - share) * p) + part(n - F.col("b"), (1 - share) * n)
+    ratio = part(F.col("a"), share * p) + part(F.col("b"), share * n)
+    ratio = ratio + part(p - F.col("a"), (1 - share) * p) + part(n - F.col("b"), (1 - share) * n)
     good = counted.where((F.col("a") >= 3) & (F.col("a") / p > 3 * F.col("b") / n)).withColumn("g", 2 * ratio)
     best = good.where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).select("term").collect()
     return np.array([r.term for r in best], np.int64).view(np.uint64)
@@ -252,7 +255,8 @@ def score_documents(
     idf = np.log((1 + described.count()) / (1 + frequency)) + 1 if len(vocabulary) else frequency
     filled = [r for r in rows if r.terms]
     index = Index.build(
-        np.array([r.doc_id for r in filled], np.int64), np.array([r.label for r in filled], float), np.array([r.votes for r in filled], float),
+        np.array([r.doc_id for r in filled], np.int64), np.array([r.label for r in filled], float),
+        np.array([r.votes for r in filled], float),
         [weigh(r.terms, r.times, idf) for r in filled], len(vocabulary) + 1,
     )
 
@@ -280,7 +284,8 @@ def score_documents(
                 places, near = model.index.nearest(*weigh(term, times, model.idf), neighbours)
                 votes = near**SHARPNESS * model.index.votes[places]
                 total = votes @ model.index.labels[places] + PRIOR_VOTES * model.prior
-                scores.append(float(total / (votes.sum() + PRIOR_VOTES))), evidence.append(model.index.ids[places].tolist())
+                scores.append(float(total / (votes.sum() + PRIOR_VOTES)))
+                evidence.append(model.index.ids[places].tolist())
             rest = batch.select(names)
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], columns

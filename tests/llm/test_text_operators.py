@@ -13,7 +13,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import SMALL, WORDS, check_packing, check_sequences, clashing, classes_by_brute_force, shingle_set
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from chartlake.llm import chat, language, licenses, neardup, packing, queries, textkernels, toxicity
 
