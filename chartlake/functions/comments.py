@@ -38,6 +38,7 @@ LABEL_WEIGHTS = {
     "meaningful_long": 0.75,
     "generic": 0.45,
 }
+# Fixed value: what counts as a token.
 TOKEN_PATTERN = "[a-zA-Z0-9가-힣]+"
 MENTIONS = T.ArrayType(
     T.StructType([T.StructField("handle", T.StringType()), T.StructField("display_name", T.StringType())])
