@@ -5,9 +5,13 @@
    whose arrivals fall on random components of the signature; a component keeps its
    earliest arrival, and a process stops once it is later than all of them. Two
    signatures agree in a component with the probability Jaccard similarity.
+   A text that repeats a shingle has a second signature with all weights 1, whose
+   components agree with the Jaccard similarity of the sets, the measure of step 3;
+   for other texts the two are the same.
 2. Texts with the same words are one node. Nodes that agree on a whole band (5
-   components of 130, 26 bands) share a bucket; a pair at 0.8 is missed with
-   probability (1 - 0.8**5)**26 = 3e-5.
+   components of 130, 26 bands) of either signature share a bucket; a pair whose sets
+   are at 0.8 is missed with probability (1 - 0.8**5)**26 = 3e-5, however often
+   one of the texts repeats a passage.
 3. Every member of a bucket is verified against the bucket's smallest node: a link is
    an exact Jaccard similarity of the shingle sets of at least 0.8.
 4. Buckets that still hold several classes are searched once more, all members of
@@ -87,6 +91,21 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return tk.mix((grouped * factor).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def bucket_keys(sh: np.ndarray, owner: np.ndarray, count: np.ndarray, texts: int, bands: int, rows: int):
+    """Distinct band keys of the weighted and the unit-weight signature of each text, and their text index."""
+    keys = band_keys(prob_minhash(sh, owner, 1 + np.log(count), texts, bands * rows), bands, rows)
+    again = np.unique(owner[count > 1])  # without repeats all weights are 1
+    mine = np.isin(owner, again)
+    plain = prob_minhash(sh[mine], np.searchsorted(again, owner[mine]), np.ones(mine.sum()), len(again), bands * rows)
+    of = np.repeat(np.concatenate([np.arange(texts), again]), bands)
+    keys = np.concatenate([keys.ravel(), band_keys(plain, bands, rows).ravel()])
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    return keys[first], of[first]
+
+
 def _per_text(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     total = np.zeros(texts, np.uint64)
     np.add.at(total, owner, values)
@@ -102,8 +121,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words
             for part in tk.slices(batch, "text"):
                 texts = part.num_rows
                 sh, of, count, hashes, owner = weighted_shingles(*tk.text_bytes(part.column("text")), words)
-                signature = prob_minhash(sh, of, 1 + np.log(count), texts, bands * rows)
-                keys = band_keys(signature, bands, rows)
+                keys, has = bucket_keys(sh, of, count, texts, bands, rows)
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 one = tk.mix(hashes + place.astype(np.uint64) * np.uint64(tk.ODD))
                 two = tk.mix(one ^ np.uint64(0x5851F42D4C957F2D))
@@ -111,7 +129,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words
                     [
                         part.column("doc_id"), pa.array(_per_text(one, owner, texts)), pa.array(_per_text(two, owner, texts)),
                         pa.array(np.bincount(of, minlength=texts)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * bands, pa.int32()), pa.array(keys.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(has, np.arange(texts + 1)), pa.int32()), pa.array(keys)),
                     ],
                     ["doc_id", "c1", "c2", "n", "bands"],
                 )

@@ -175,6 +175,22 @@ def test_signatures_estimate_the_probability_jaccard():
     assert (sign[0] == sign[1]).mean() == pytest.approx(want, abs=0.03)
 
 
+def test_near_duplicates_with_a_passage_that_one_text_repeats():
+    rng = random.Random(8)
+    missed_before = 0
+    for i in range(40):
+        line = " ".join(f"l{i}x{k}" for k in range(50))
+        body = " ".join(f"w{i}x{rng.randrange(10**6)}" for _ in range(200))
+        one, many = f"{line} {line} {body}", f"{line} " * 1000 + body
+        assert shingle_set(one) == shingle_set(many)
+        sh, of, count, *_ = neardup.weighted_shingles(*textkernels.text_bytes(pa.array([one, many])))
+        keys, has = neardup.bucket_keys(sh, of, count, 2, neardup.BANDS, neardup.BAND_ROWS)
+        assert set(keys[has == 0]) & set(keys[has == 1])
+        weighted = neardup.band_keys(neardup.prob_minhash(sh, of, 1 + np.log(count), 2, 130), neardup.BANDS, neardup.BAND_ROWS)
+        missed_before += not set(weighted[0]) & set(weighted[1])
+    assert missed_before > 0
+
+
 # Toxicity
 
 
