@@ -5,13 +5,14 @@ over digit arrays, context words in a window before the span. No shuffle.
 
 Defined results: a null text counts as empty and has no span; spans of one kind
 never overlap and are the leftmost matches; proposals that fail their validator
-are dropped without a second try; repeated rows stay repeated; other columns pass
+are dropped without a second try, but for account numbers (see ``_account_numbers``);
+repeated rows stay repeated; other columns pass
 through unchanged, and the added columns replace columns of the same name.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ KINDS = (
     Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, ("phone", "call", "tel", "mobile")),
     Kind("iban", "", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", 0.8, ("iban", "account", "bank")),
 )
+# Characters of an account number by country code (SWIFT registry, and codes in national use).
+IBAN_CHARS: dict[int, str] = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GR IT KM MC MG MR SM GQ TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 BASE = ("email", "ip", "card", "phone")
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 PREFILTER = {
@@ -97,7 +106,6 @@ def _valid(kind: str, value: Column) -> Column:
         "ip": F.forall(F.split(value, r"\."), lambda part: part.rlike(OCTET)),
         "card": n.between(13, 19) & luhn(value),
         "phone": n.between(9, 15),
-        "iban": mod97(value),
     }[kind]
 
 
@@ -119,6 +127,42 @@ def _proposals(text: Column, kind: Kind) -> Column:
     return F.aggregate(F.filter(pieces, lambda p: p["hit"].isNotNull()), start, step)["out"]
 
 
+def _account_numbers(text: Column, kind: Kind) -> Column:
+    """Confirmed account numbers, from the left and without overlap.
+
+    Each place that can start one is tried with the length its country code fixes; a
+    run as the pattern takes it is tried whole too, where that fails or is unknown.
+    """
+    # One character a match, so that a number inside of another run is a start as well.
+    starts = _proposals(text, replace(kind, pattern=r"[A-Z](?=[A-Z][0-9]{2}(?: ?[A-Z0-9]){11})"))
+    fixed = "|".join(
+        rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in sorted(IBAN_CHARS.items())
+    )
+    longest = 34 + 33 - 3  # characters and the spaces between them; none in the first four
+
+    def parts(s):
+        near = F.substr(text, s["start"] + 1, F.lit(longest))
+        run = F.regexp_extract(near, f"^{kind.pattern}", 0)
+        return F.struct(s["start"].alias("start"), run.alias("run"), F.regexp_extract(near, f"^(?:{fixed})", 0).alias("cut"))
+
+    def step(acc, p):
+        fresh = p["start"] >= acc["run_end"]
+        value = F.when(p["start"] < acc["at"], "").when((p["cut"] != "") & mod97(p["cut"]), p["cut"])
+        value = value.when(fresh & mod97(p["run"]), p["run"]).otherwise("")
+        end = (p["start"] + F.length(value)).cast("int")
+        span = F.struct(p["start"].alias("start"), end.alias("end"), value.alias("value"))
+        return F.struct(
+            F.when(value != "", end).otherwise(acc["at"]).alias("at"),
+            F.when(value != "", end).when(fresh, (p["start"] + F.length(p["run"])).cast("int"))
+            .otherwise(acc["run_end"]).alias("run_end"),
+            F.when(value != "", F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+        )
+
+    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run_end"), empty.alias("out"))
+    return F.aggregate(F.transform(starts, parts), first, step)["out"]
+
+
 def _score(text: Column, kind: Kind, span: Column) -> Column:
     """Base score, raised when a context word of the kind stands shortly before the span."""
     before = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
@@ -147,7 +191,10 @@ def _spans_of(whole: Column, kind: Kind) -> Column:
             s["value"].alias("value"), _score(whole, kind, s).alias("score"),
         )
 
-    confirmed = F.filter(_proposals(whole, kind), lambda s: _valid(kind.name, s["value"]))
+    if kind.name == "iban":
+        confirmed = _account_numbers(whole, kind)
+    else:
+        confirmed = F.filter(_proposals(whole, kind), lambda s: _valid(kind.name, s["value"]))
     return F.when(possible, F.transform(confirmed, scored)).otherwise(F.from_json(F.lit("[]"), f"array<{Span}>"))
 
 

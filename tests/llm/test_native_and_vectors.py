@@ -77,6 +77,21 @@ def test_pii_score_iban_and_redaction(spark):
     assert clean[1].startswith("pay IBAN <IBAN> or") and clean[1].endswith("mail <EMAIL>, call <PHONE>") and clean[2] is None
 
 
+def test_pii_iban_before_and_behind_upper_case_words(spark):
+    gb, spaced, de = "GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000"
+    cases = [
+        (f"{gb} BIC NWBKGB2L", [gb]), (f"{de} EUR 50", [de]), (f"{spaced} UK", [spaced]), (f"REF12 {spaced}", [spaced]),
+        (f"DE88370400440532013000 {de} {gb}", [de, gb]), (f"é {de}{gb}", [de, gb]), ("DE88370400440532013000 EUR 50", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_pii(docs).collect():
+        spans = [s for s in r.pii if s.kind == "iban"]
+        assert [s.value for s in spans] == cases[r.doc_id][1]
+        assert all(r.text[s.start : s.end] == s.value for s in spans)
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == "<IBAN> BIC NWBKGB2L" and clean[1] == "<IBAN> EUR 50" and clean[5] == "é <IBAN><IBAN>"
+
+
 # Mixing
 
 
