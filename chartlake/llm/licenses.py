@@ -8,7 +8,8 @@ asks for); bands of one MinHash each, 1e-5 = (1 - J)**bands, so a notice is miss
 with probability 1e-5. Window minima of all scales come from pairwise minima of one
 hash array. Windows that share a band with a template are candidates; a match is an
 exact share of the template's shingles, in the window and its surroundings within the
-document, of at least 0.8.
+document, of at least 0.8. Of a partial match, every number (version) of the template
+must be there too, and no similar template may explain all of it with a larger share.
 
 One pass over whole texts, no shuffle; templates are few and travel with the task.
 
@@ -32,7 +33,15 @@ CONTAINMENT = 0.8
 MISS = 1e-5
 
 # The wording of public license notices.
+# A long text is found by its heading, opening or notice; a short one by its clauses.
 NOTICES: dict[str, str] = {
+    "AGPL-3.0": "under the GNU Affero General Public License, version 3",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version.",
+    "AGPL-3.0-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+    "REPRODUCTION, AND DISTRIBUTION",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "Apache-2.0-disclaimer": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
@@ -41,15 +50,54 @@ NOTICES: dict[str, str] = {
     "that the following conditions are met",
     "BSD-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
     "following disclaimer.",
+    "BSD-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-disclaimer": "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-liability": "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT "
+    "NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "contributors may be used to endorse or promote products derived from this software without specific prior "
+    "written permission.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to "
+    "this software to the public domain worldwide. This software is distributed without any warranty.",
+    "CC0-1.0-text": "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights "
+    "(defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship "
+    "and/or a database (each, a \"Work\").",
+    "CC-BY-3.0": "licensed under a Creative Commons Attribution 3.0",
+    "CC-BY-NC-3.0": "Creative Commons Attribution-NonCommercial 3.0",
+    "CC-BY-NC-SA-3.0": "Creative Commons Attribution-NonCommercial-ShareAlike 3.0",
+    "CC-BY-ND-3.0": "Creative Commons Attribution-NoDerivs 3.0",
+    "CC-BY-SA-3.0": "Creative Commons Attribution-ShareAlike 3.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "EPL-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "EPL-text": "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, "
+    "REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
+    "GPL-2.0": "under the GNU General Public License, version 2",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+    "option) any later version.",
+    "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
     "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
     "option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
     "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1": "under the GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+    "option) any later version.",
+    "LGPL-2.1-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "under the GNU Lesser General Public License, version 3",
+    "LGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version.",
+    "LGPL-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "MIT": "Released under the MIT License",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
     "associated documentation files (the \"Software\"), to deal in the Software without restriction, including without "
@@ -59,6 +107,7 @@ NOTICES: dict[str, str] = {
     "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
     "not distributed with this file, You can obtain one at",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\"",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -97,6 +146,13 @@ class Templates:
             if len(hashes) < 5:
                 raise ValueError(f"template {name} has less than five words")
             self.sets.append(np.unique(tk.shingles(hashes, owner, 1)[0]))
+        # Of each template: for every word with a digit, the places of the shingles that hold it.
+        self.versions = [self._versions(texts[name], wanted) for name, wanted in zip(self.names, self.sets)]
+        # Templates that share much of it but not all, and which of its shingles are not theirs.
+        self.rivals: list[list[tuple[int, np.ndarray]]] = []
+        for i, one in enumerate(self.sets):
+            own = [(j, ~np.isin(one, other)) for j, other in enumerate(self.sets) if j != i]
+            self.rivals.append([(j, only) for j, only in own if 0 < only.sum() <= 0.5 * len(one)])
         sizes = [len(s) for s in self.sets]
         self.scales: dict[int, list[int]] = {}
         for number, size in enumerate(sizes):
@@ -113,6 +169,31 @@ class Templates:
             for band, values in enumerate(self.values[scale]):
                 self.low[scale][band, values & np.uint32(0xFFFF)] = True
 
+    @staticmethod
+    def _versions(text: str, wanted: np.ndarray) -> list[np.ndarray]:
+        data, offsets = tk.text_bytes(pa.array([text]))
+        hashes, owner, start = tk.word_hashes(data, offsets)
+        place = np.searchsorted(wanted, tk.shingles(hashes, owner, 1)[0])
+        inside = tk.word_bytes()[data]
+        found = []
+        for word, at in enumerate(start):
+            end = at + int(np.argmin(np.append(inside[at:], False)))
+            if any(ord("0") <= c <= ord("9") for c in data[at:end]):
+                found.append(np.unique(place[max(word - 4, 0) : word + 1]))
+        return found
+
+    def _wrong(self, number: int, seen: np.ndarray, sh: np.ndarray, a: int, b: int, low: int, high: int) -> bool:
+        """True if a partial match lacks a version number, or is a better match of a rival and nothing else."""
+        if any(not seen[some].any() for some in self.versions[number]):
+            return True
+        for rival, only in self.rivals[number]:
+            if not seen[only].any():
+                around = len(self.sets[rival])
+                there = np.isin(self.sets[rival], sh[max(a - around, low) : min(b + around, high)])
+                if there.mean() > seen.mean():
+                    return True
+        return False
+
     def candidates(self, sh: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Template, first and end shingle of windows that share a band with it."""
         top = max(self.scales)
@@ -156,6 +237,10 @@ class Templates:
                 hit = wanted[place] == sh[a:b]
                 share = len(np.unique(place[hit])) / len(wanted)
                 if share >= self.containment - 1e-9:
+                    seen = np.zeros(len(wanted), bool)
+                    seen[place[hit]] = True
+                    if share < 1 and self._wrong(number, seen, sh, a, b, edge[text], edge[text + 1]):
+                        continue
                     start = int(a + np.flatnonzero(hit)[0] - edge[text])
                     old = best.get((text, number), (0.0, 0))
                     if (share, -start) > (old[0], -old[1]):

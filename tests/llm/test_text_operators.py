@@ -260,6 +260,30 @@ def test_licenses_edited_and_awkward_texts(spark, awkward, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_other_versions_and_families(spark):
+    notice = licenses.NOTICES["GPL-3.0-notice"]
+    cases = {
+        "This work is licensed under the GNU General Public License, version 2": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 3": {"GPL-3.0"},
+        "This work is licensed under the GNU General Public License, version 7": set(),
+        notice: {"GPL-3.0-notice"},
+        notice.replace("3", "2").replace("software:", "software;"): {"GPL-2.0-notice"},
+        notice.replace("version 3", "version 4"): set(),
+        notice.replace("General", "Lesser General"): {"LGPL-3.0-notice"},
+        notice.replace("General", "Affero General"): {"AGPL-3.0-notice"},
+        notice.replace("option", "choice"): {"GPL-3.0-notice"},
+        notice.replace("General", "Lesser General").replace("3", "2.1").replace("program", "library"): {"LGPL-2.1-notice"},
+        notice + " between " * 80 + licenses.NOTICES["LGPL-3.0-notice"]: {"GPL-3.0-notice", "LGPL-3.0-notice"},
+        "Made available under the terms of the Eclipse Public License 2.0 here": {"EPL-2.0"},
+        "This is licensed under a Creative Commons Attribution 3.0 Unported License": {"CC-BY-3.0"},
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found: dict = {i: set() for i in range(len(cases))}
+    for r in licenses.scan_licenses(docs).collect():
+        found[r.doc_id].add(r.license)
+    assert list(found.values()) == list(cases.values())
+
+
 def test_license_bands_bound_the_miss_probability():
     for n in range(1, 200):
         need, scale = licenses.needed(n), licenses.scale_of(n)
