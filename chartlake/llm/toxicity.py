@@ -1,8 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and their prefixes of 4 to 8 bytes. The vocabulary holds the terms
-that go with the label in a bounded sample of labelled documents (log-likelihood
-ratio); inverse document frequencies count all documents. Examples stand in an
+that go with the label in all labelled documents (log-likelihood ratio); inverse document frequencies count all documents. Examples stand in an
 inverted index whose postings are cut into blocks of examples with the largest
 weight of each term in each block. A query adds up these block maxima, visits blocks
 from the highest bound down and stops at the first bound below its kth similarity, so
@@ -10,8 +9,8 @@ the neighbours are exact. Votes are weighted by similarity, and by how many labe
 rows an example of its class stands for; that makes the score a share of labelled
 rows, and the neighbours are its evidence.
 
-Bounds: ``examples`` labelled documents of each class (by a hash of the id), ``terms``
-of vocabulary. Everything that is broadcast or sent to the driver has these bounds.
+Bounds: ``examples`` labelled documents of each class (by a hash of the id) as
+neighbours, ``terms`` of vocabulary. Everything that is broadcast or sent to the driver has these bounds.
 
 Defined results: a text without any term of the vocabulary (also null or empty) gets
 the share of toxic rows among such examples, without evidence; without usable labels
@@ -91,8 +90,8 @@ class Vocabulary:
         return pair // max(len(self.terms), 1), pair % max(len(self.terms), 1), times
 
 
-def term_table(sample: DataFrame, terms: int) -> np.ndarray:
-    """Hashes of the terms that most go with ``label`` 1 in ``sample`` (``text``, ``label``)."""
+def term_table(labelled: DataFrame, terms: int) -> np.ndarray:
+    """Hashes of the terms that most go with ``label`` 1 in ``labelled`` (``text``, ``label``)."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,13 +101,22 @@ def term_table(sample: DataFrame, terms: int) -> np.ndarray:
                 hashes, owner = hashes[order], owner[order]
                 first = np.ones(len(hashes), bool)
                 first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int32)[owner[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(label)], ["term", "label"])
-
-    counted = sample.select("text", "label").mapInArrow(distinct, "term long, label int")
-    counted = counted.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    totals = sample.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).first()
-    p, n = float(totals["p"] or 0), float(totals["n"] or 0)
+                label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+                known, place = np.unique(hashes[first], return_inverse=True)
+                toxic = np.bincount(place, label[owner[first]], len(known)).astype(np.int64)
+                clean = np.bincount(place, minlength=len(known)) - toxic
+                # The row without a term counts the texts.
+                columns = [
+                    pa.array([None, *known.view(np.int64).tolist()], pa.int64()),
+                    pa.array(np.append(label.sum(), toxic)), pa.array(np.append((1 - label).sum(), clean)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "a", "b"])
+
+    counted = labelled.select("text", "label").mapInArrow(distinct, "term long, a long, b long")
+    counted = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = materialize(counted.where("term is null or a >= 3"))
+    totals = counted.where("term is null").first()
+    p, n = (float(totals["a"]), float(totals["b"])) if totals else (0.0, 0.0)
     if not p or not n:
         return np.zeros(0, np.uint64)
     share = (F.col("a") + F.col("b")) / (p + n)
@@ -118,7 +126,7 @@ def term_table(sample: DataFrame, terms: int) -> np.ndarray:
 
     ratio = part(F.col("a"), share * p) + part(F.col("b"), share * n)
     ratio = ratio + part(p - F.col("a"), (1 - share) * p) + part(n - F.col("b"), (1 - share) * n)
-    good = counted.where((F.col("a") >= 3) & (F.col("a") / p > 3 * F.col("b") / n)).withColumn("g", 2 * ratio)
+    good = counted.where(F.col("term").isNotNull() & (F.col("a") / p > 3 * F.col("b") / n)).withColumn("g", 2 * ratio)
     best = good.where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).select("term").collect()
     return np.array([r.term for r in best], np.int64).view(np.uint64)
 
@@ -216,14 +224,18 @@ def vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.select(*kept.columns, "text").mapInArrow(describe, T.StructType([*kept.schema.fields, *fields]))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    usable = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    return usable.where("label in (0, 1)").distinct()
+
+
 def label_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """``doc_id``, ``text``, ``label`` and ``votes`` (rows it stands for) of a bounded sample.
 
     The sample is drawn from the label table alone; its ids (two classes of at most
     ``examples``) are broadcast to the documents.
     """
-    usable = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
-    usable = usable.where("label in (0, 1)").distinct()
+    usable = usable_labels(labels)
     counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("_all"))
     chosen = labelled_sample(usable.withColumn("order", F.xxhash64("doc_id")), "label", "order", examples)
     sizes = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("_some")).join(counts, "label")
@@ -244,7 +256,10 @@ def score_documents(
     docs = docs.drop("terms", "times", "score", "evidence")
     tk.arrow_batches(spark)
     sample = materialize(label_sample(docs, labels, examples))
-    vocabulary = np.sort(term_table(sample, terms))
+    # Evidence is counted on all labelled documents, each once, with its smallest text.
+    labelled = docs.select("doc_id", "text").join(usable_labels(labels), "doc_id")
+    labelled = labelled.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    vocabulary = np.sort(term_table(labelled, terms))
     described = materialize(vectors(docs, vocabulary))
     rows = vectors(sample, vocabulary).collect()
     # Document frequencies over all documents.

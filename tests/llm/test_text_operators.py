@@ -231,6 +231,18 @@ def test_toxicity_awkward_rows(spark, documents, awkward, empty):
     assert toxicity.score_documents(empty, odd).count() == 0
 
 
+def test_toxicity_evidence_counts_labels_outside_of_the_sample(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(800):
+        words = [f"n{rng.randrange(300)}" for _ in range(30)]
+        rows.append((i, " ".join([*words, "zorgle"] if i < 40 else words), int(i < 400)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "n1 n2 zorgle"), (901, "n1 n2")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, label) for i, _, label in rows], "doc_id long, label int")
+    by = {r.doc_id: r for r in toxicity.score_documents(docs, labels, examples=100).collect()}
+    assert by[900].evidence and by[900].score > 0.7 and not by[901].evidence
+
+
 # Licences
 
 
