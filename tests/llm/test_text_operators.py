@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -124,6 +125,14 @@ def test_language_awkward_rows(spark, documents, awkward, empty):
     assert {(r.lang_pred, r.score) for r in language.classify(documents, single).collect()} == {("fr", 1.0)}
 
 
+def test_language_stage_keeps_documents_without_any_label(spark, documents, awkward):
+    bare = awkward.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.identify_language(spark, bare, SMALL).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [-8, -7, -7, -6, -5, 0] and {r.lang for r in out} == {None}
+    out = corpus_pipeline.identify_language(spark, documents.unionByName(awkward), SMALL)
+    assert out.where("doc_id in (-1, -2, -3, -4)").count() == 0 and out.where("lang is null").count() == 0
+
+
 # Near copies
 
 
