@@ -1,9 +1,10 @@
 """Exact top-k inner products by dual-tree search.
 
-Candidates are dealt to blocks of bounded size. A task indexes its block in a cover
+Candidates are dealt to blocks of bounded size. A task indexes its block in a ball
 tree and the queries, a chunk at a time, in another. A node has a center, the exact
-covering radius around it, and children whose centers are chosen far apart from each
-other. For a query node Q and a candidate node P no inner product exceeds
+radius around it, and up to 16 children whose centers are chosen farthest first
+(k-center). It stands in for a cover tree, without its halving level radii and its
+covering and separation rules; the bound below needs only centers and radii. For a query node Q and a candidate node P no inner product exceeds
 <q,p> + r_Q|p| + r_P|q| + r_Q r_P; a pair of nodes is dropped when that is below the
 worst kth score of the queries in Q so far. The tasks' lists are merged by a ranking
 per query that keeps k rows on each side of the shuffle.
