@@ -5,7 +5,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.llm import chat, embdup, language, licenses, mixing, neardup, packing, pii, topk, toxicity, twins
+from chartlake.llm import (
+    centroids, chat, embdup, filteraudit, language, licenses, mixing, neardup, packing, pii, topk, toxicity, twins, urlrules,
+)
 from chartlake.llm.registry import ORACLES, QUERIES, query, table
 from chartlake.session import prepare_session
 
@@ -98,3 +100,30 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     prepare_session(spark)
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op11_centroids", twins.CENTROIDS)
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every embedding of 64 components."""
+    prepare_session(spark)
+    return centroids.digest(*centroids.cluster_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding")))
+
+
+@query("op12_filter_audit", twins.FILTER_AUDIT)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each source, in every order."""
+    prepare_session(spark)
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    failed = filteraudit.failure_counts(docs, labels, filteraudit.text_filters(F.col("text")), F.col("source"))
+    return filteraudit.interaction_audit(failed, "ABCDE")
+
+
+@query("op13_url_rules", twins.URL_RULES)
+def op13_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    prepare_session(spark)
+    rules = spark.sql(
+        "SELECT * FROM VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), "
+        "('allow', 'com', '/fr/'), ('block', 'com', '/de/') AS rules(verdict, host, path)"
+    )
+    return urlrules.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")

@@ -114,3 +114,101 @@ r AS (
     vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10
 """
+
+_KEPT = """
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS INT) AS cluster, x
+  FROM (SELECT * FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), x LIMIT 40))"""
+
+
+def _assigned(n: int) -> str:
+    """Nearest centroid of round ``n``; sums of integers below 2**53 are exact in doubles."""
+    return f""",
+a{n} AS MATERIALIZED (
+  SELECT r, min(cluster) AS cluster, any_value(distance) AS distance FROM (
+    SELECT r, cluster, distance, min(distance) OVER (PARTITION BY r) AS least FROM (
+      SELECT v.r, c.cluster, CAST(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x)
+        + list_dot_product(c.x, c.x) AS BIGINT) AS distance
+      FROM v CROSS JOIN c{n} c)) WHERE distance = least GROUP BY r)"""
+
+
+def _moved(n: int) -> str:
+    return f""",
+m{n} AS (
+  SELECT cluster, d, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(x) AS c, unnest(range(64)) AS d FROM a{n} JOIN v USING (r)) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(g.x, c.x) AS x FROM c{n} c LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY d) AS x FROM m{n} GROUP BY cluster) g
+  USING (cluster))"""
+
+
+CENTROIDS = f"""
+WITH {_KEPT}{"".join(_assigned(n) + _moved(n) for n in range(5))}{_assigned(5)}
+SELECT v.vec_id, a.cluster, a.distance,
+  CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a5 a JOIN v USING (r) JOIN c5 c ON c.cluster = a.cluster
+"""
+
+_SPACELESS = r"[^\x20\x09-\x0D]+"
+# The audit by brute force: every order and step is counted from the documents' failures.
+FILTER_AUDIT = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{_SPACELESS}') AS w FROM documents),
+f AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+g AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+p(filter_order, used) AS (
+  SELECT '', 0 UNION ALL
+  SELECT filter_order || substr('ABCDE', i + 1, 1), used + (1 << i) FROM p, (SELECT unnest(range(5))::INT AS i) WHERE used & (1 << i) = 0),
+s AS (
+  SELECT filter_order, step, 1 << (strpos('ABCDE', substr(filter_order, step, 1)) - 1) AS bit,
+    coalesce(list_sum(list_transform(string_split(substr(filter_order, 1, step - 1), ''),
+      lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (strpos('ABCDE', c) - 1) END)), 0)::INT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM p WHERE used = 31)),
+t AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM g CROSS JOIN s GROUP BY part, filter_order, step, bit, before)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM t
+"""
+
+URL_RULES = """
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+k(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (
+  SELECT p.r, k.host || k.path AS rule, k.verdict,
+    row_number() OVER (PARTITION BY p.r ORDER BY length(k.host || k.path) DESC) AS n
+  FROM p JOIN k ON (p.host = k.host OR ends_with(p.host, '.' || k.host)) AND starts_with(p.path, k.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN m ON m.r = p.r AND m.n = 1
+"""
