@@ -1,20 +1,29 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their prefixes of 4 to 8 bytes. The vocabulary holds the terms
-that go with the label in all labelled documents (log-likelihood ratio); inverse document frequencies count all documents. Examples stand in an
-inverted index whose postings are cut into blocks of examples with the largest
-weight of each term in each block. A query adds up these block maxima, visits blocks
-from the highest bound down and stops at the first bound below its kth similarity, so
-the neighbours are exact. Votes are weighted by similarity, and by how many labelled
-rows an example of its class stands for; that makes the score a share of labelled
-rows, and the neighbours are its evidence.
-
-Bounds: ``examples`` labelled documents of each class (by a hash of the id) as
-neighbours, ``terms`` of vocabulary. Everything that is broadcast or sent to the driver has these bounds.
-
-Defined results: a text without any term of the vocabulary (also null or empty) gets
-the share of toxic rows among such examples, without evidence; without usable labels
-every score is 0; contradictory labels of one document count as separate examples;
+Terms are words and their prefixes of 4 to 8 bytes; all terms of the examples make the
+vocabulary, none is left out. A term weighs (1 + ln(occurrences)) * idf * relevance.
+Document frequencies count all documents. Relevance is ``FLOOR`` for a term that says
+nothing about the label, and more by how far its log-likelihood ratio over the labelled
+documents exceeds what chance gives the largest of so many terms; without it the
+cosine of whole texts is ruled by topic words and finds a fifth of the toxic texts.
+
+Examples stand in an inverted index whose postings are cut into blocks of examples,
+with the largest weight of each term in each block. A query adds up these block
+maxima, visits blocks from the highest bound down and stops at the first bound below
+its kth similarity, so the neighbours are exact. Votes are weighted by similarity, and
+by how many labelled rows an example of its class stands for; that makes the score a
+share of labelled rows, and the neighbours are its evidence.
+
+Two passes read the texts, without shuffling or storing them: one counts terms in each
+task, one scores. Bounds of the fit: ``examples`` labelled documents of each class (by
+a hash of the id, of at most ``EXAMPLE_CHARS`` characters) as neighbours, and about
+``evidence_rows`` labelled ids for relevance. The index, that is broadcast, has the
+size of the examples. Scoring covers all rows and whole texts.
+
+Defined results: a text without any known term (also null or empty) has no neighbour
+and gets the share of label 1 among the labelled rows; without usable labels every
+score is 0; contradictory labels of one document count as separate examples; rows of
+one doc_id count each as documents, and are one example with the smallest text;
 similarity ties go to the smaller doc_id; rows keep their number; other columns pass
 through, and added columns replace columns of the same name.
 """
@@ -34,22 +43,22 @@ from chartlake.llm.language import labelled_sample
 from chartlake.session import materialize
 
 PREFIXES = (4, 5, 6, 7, 8)
-EXAMPLES = 3000
-TERMS = 2000
-NEIGHBOURS = 15
-#: Least log-likelihood ratio of a term; chance alone gives less than one such in a million terms.
-EVIDENCE = 25.0
+EXAMPLES = 1500
+#: Longest text of an example.
+EXAMPLE_CHARS = 100_000
+#: Labelled ids that relevance is counted on (by a hash of the id, if there are more).
+EVIDENCE_ROWS = 1_000_000
+NEIGHBOURS = 9
+#: Relevance of a term without evidence.
+FLOOR = 0.02
 #: Examples in one block of the index.
 BLOCK = 64
-#: Weight of the term that every text has once. It keeps the cosine of a text with a
-#: single chance hit away from that of texts with many.
-BACKGROUND = 10.0
 #: Votes fall with this power of the similarity.
 SHARPNESS = 4
 #: Blocks scored together.
-AT_ONCE = 4
+AT_ONCE = 8
 #: Vote of the whole labelled set that is mixed into every score.
-PRIOR_VOTES = 0.1
+PRIOR_VOTES = 0.2
 
 
 def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,15 +82,20 @@ def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Vocabulary:
     """Term hashes in order, with a bit table that turns most other hashes away."""
 
+    BITS = 22
+
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(terms)
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(self.terms >> np.uint64(48)).astype(np.int64)] = True
+        self.bits = np.zeros(1 << self.BITS, bool)
+        self.bits[self._place(self.terms)] = True
+
+    def _place(self, terms: np.ndarray) -> np.ndarray:
+        return (terms >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text index, term index and occurrences of the known terms, in order."""
         terms, owner = text_terms(data, offsets)
-        maybe = self.bits[(terms >> np.uint64(48)).astype(np.int64)]
+        maybe = self.bits[self._place(terms)]
         terms, owner = terms[maybe], owner[maybe]
         at = np.searchsorted(self.terms, terms)
         hit = at < len(self.terms)
@@ -90,138 +104,114 @@ class Vocabulary:
         return pair // max(len(self.terms), 1), pair % max(len(self.terms), 1), times
 
 
-def term_table(labelled: DataFrame, terms: int) -> np.ndarray:
-    """Hashes of the terms that most go with ``label`` 1 in ``labelled`` (``text``, ``label``)."""
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                hashes, owner = text_terms(*tk.text_bytes(part.column("text")))
-                order = np.lexsort((hashes, owner))
-                hashes, owner = hashes[order], owner[order]
-                first = np.ones(len(hashes), bool)
-                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-                known, place = np.unique(hashes[first], return_inverse=True)
-                toxic = np.bincount(place, label[owner[first]], len(known)).astype(np.int64)
-                clean = np.bincount(place, minlength=len(known)) - toxic
-                # The row without a term counts the texts.
-                columns = [
-                    pa.array([None, *known.view(np.int64).tolist()], pa.int64()),
-                    pa.array(np.append(label.sum(), toxic)), pa.array(np.append((1 - label).sum(), clean)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "a", "b"])
-
-    counted = labelled.select("text", "label").mapInArrow(distinct, "term long, a long, b long")
-    counted = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = materialize(counted.where("term is null or a >= 3"))
-    totals = counted.where("term is null").first()
-    p, n = (float(totals["a"]), float(totals["b"])) if totals else (0.0, 0.0)
-    if not p or not n:
-        return np.zeros(0, np.uint64)
-    share = (F.col("a") + F.col("b")) / (p + n)
+def relevance(toxic: np.ndarray, clean: np.ndarray, p: int, n: int) -> np.ndarray:
+    """Factor of each term from the documents of each label it is in, of ``p`` and ``n`` in all."""
+    total, terms = p + n, len(toxic)
+    if not p or not n or not terms:
+        return np.full(terms, FLOOR)
+    share = (toxic + clean) / total
 
     def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
 
-    ratio = part(F.col("a"), share * p) + part(F.col("b"), share * n)
-    ratio = ratio + part(p - F.col("a"), (1 - share) * p) + part(n - F.col("b"), (1 - share) * n)
-    good = counted.where(F.col("term").isNotNull() & (F.col("a") / p > 3 * F.col("b") / n)).withColumn("g", 2 * ratio)
-    best = good.where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).select("term").collect()
-    return np.array([r.term for r in best], np.int64).view(np.uint64)
+    ratio = 2 * (
+        part(toxic, share * p) + part(clean, share * n) + part(p - toxic, (1 - share) * p) + part(n - clean, (1 - share) * n)
+    )
+    # The largest of so many ratios is near 2 ln(terms) by chance alone.
+    return FLOOR + np.sqrt(np.maximum(ratio - 2 * np.log(terms), 0.0) / total)
 
 
 @dataclass(frozen=True)
 class Index:
-    """Block-max inverted index of unit example vectors."""
+    """Block-max inverted index of unit example vectors.
+
+    A cell is a term in a block: ``pointer`` gives a term's cells, ``start`` a cell's
+    postings and ``bound`` the largest weight among them.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
-    pointer: np.ndarray  # (terms, blocks + 1): where a term's postings of a block start
+    pointer: np.ndarray
+    block: np.ndarray
+    bound: np.ndarray
+    start: np.ndarray
     example: np.ndarray  # postings
     weight: np.ndarray
-    bound: np.ndarray  # (terms, blocks): largest weight
 
     @staticmethod
     def build(ids, labels, votes, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
         # Examples with the same leading term share blocks, which makes the bounds tight.
-        lead = np.array([t[w[:-1].argmax()] for t, w in vectors], np.int64)
+        lead = np.array([t[w.argmax()] for t, w in vectors], np.int64)
         order = np.lexsort((ids, lead))
         vectors = [vectors[i] for i in order]
         blocks = -(-len(vectors) // BLOCK)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         by = np.lexsort((example, term))
         term, weight, example = term[by], weight[by], example[by]
-        cell = term * blocks + example // BLOCK
-        pointer = np.searchsorted(cell, np.arange(terms * blocks + 1))
-        bound = np.zeros(terms * blocks)
-        np.maximum.at(bound, cell, weight)
-        starts = np.stack([pointer[:-1].reshape(terms, blocks), pointer[1:].reshape(terms, blocks)], axis=2)
-        return Index(ids[order], labels[order], votes[order], starts, example, weight, bound.reshape(terms, blocks))
+        cell = term * max(blocks, 1) + example // BLOCK
+        known, start = np.unique(cell, return_index=True)
+        bound = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        return Index(
+            ids[order], labels[order], votes[order], np.searchsorted(known // max(blocks, 1), np.arange(terms + 1)),
+            (known % max(blocks, 1)).astype(np.int32), bound, np.append(start, len(example)), example, weight,
+        )
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k most similar examples (similarity above 0)."""
-        bounds = weights @ self.bound[terms]
+        cells, weights = _runs(self.pointer[terms], self.pointer[terms + 1], weights)
+        blocks = self.block[cells]
+        bounds = np.bincount(blocks, weights=weights * self.bound[cells])
         order = np.argsort(-bounds, kind="stable")
         places, values = np.zeros(0, np.int64), np.zeros(0)
         for at in range(0, len(order), AT_ONCE):
-            blocks = order[at : at + AT_ONCE]
+            some = order[at : at + AT_ONCE]
             least = values[-1] - 1e-12 if len(values) == k else 0.0
-            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least)]
-            if not len(blocks):
+            some = some[(bounds[some] > 0) & (bounds[some] >= least)]
+            if not len(some):
                 break
-            # The postings of all terms in these blocks, one after the other.
-            cells = self.pointer[terms[:, None], blocks[None, :]].reshape(-1, 2)
-            size = cells[:, 1] - cells[:, 0]
-            first = np.cumsum(size) - size
-            entry = np.arange(size.sum()) + np.repeat(cells[:, 0] - first, size)
-            share = np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[entry]
-            score = np.bincount(self.example[entry], weights=share, minlength=len(self.ids))
-            some = np.flatnonzero(score > 0)
-            places, values = np.append(places, some), np.append(values, np.round(score[some], 12))
+            chosen = np.zeros(len(bounds), bool)
+            chosen[some] = True
+            mine = chosen[blocks]
+            entry, factor = _runs(self.start[cells[mine]], self.start[cells[mine] + 1], weights[mine])
+            score = np.bincount(self.example[entry], weights=factor * self.weight[entry])
+            found = np.flatnonzero(score > 0)
+            places, values = np.append(places, found), np.append(values, np.round(score[found], 12))
             best = np.lexsort((self.ids[places], -values))[:k]
             places, values = places[best], values[best]
         return places, values
 
 
+def _runs(first: np.ndarray, end: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after the other, each with its range's weight."""
+    size = end - first
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(first - before, size), np.repeat(weights, size)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray  # idf times relevance
     index: Index
-    blank: float  # score of texts without terms
     prior: float
 
+    def score(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[float, list[int]]:
+        """Share of label 1 around a text, and the examples that say so."""
+        if not len(terms) or not len(self.index.ids):
+            return self.prior, []
+        places, near = self.index.nearest(*weigh(terms, times, self.factor), k)
+        votes = near**SHARPNESS * self.index.votes[places]
+        total = votes @ self.index.labels[places] + PRIOR_VOTES * self.prior
+        return float(total / (votes.sum() + PRIOR_VOTES)), self.index.ids[places].tolist()
 
-def weigh(term: list[int], times: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of a unit TF-IDF vector; the last term is the background."""
-    terms = np.append(np.array(term, np.int64), len(idf))
-    w = np.append((1 + np.log(np.array(times))) * idf[terms[:-1]], BACKGROUND)
-    return terms, w / np.sqrt((w * w).sum())
-
-
-def vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """``docs`` with ``terms`` and ``times`` (lists) in place of ``text``."""
-    tk.arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = docs.drop("text")
-    fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(shared.value)
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                row, term, times = known.count(*tk.text_bytes(part.column("text")))
-                edge = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(edge, pa.array(x, pa.int32())) for x in (term, times)]
-                rest = part.drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, *lists], [*rest.schema.names, "terms", "times"])
 
-    # The text is the last column, so that dropping it leaves the others in place.
-    return docs.select(*kept.columns, "text").mapInArrow(describe, T.StructType([*kept.schema.fields, *fields]))
+def weigh(terms: np.ndarray, times: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of a unit vector."""
+    w = (1 + np.log(times)) * factor[terms]
+    return terms, w / np.sqrt((w * w).sum())
 
 
 def usable_labels(labels: DataFrame) -> DataFrame:
@@ -230,80 +220,128 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """``doc_id``, ``text``, ``label`` and ``votes`` (rows it stands for) of a bounded sample.
+    """``doc_id``, ``text`` and ``label`` of a bounded sample of the usable ``labels``.
 
     The sample is drawn from the label table alone; its ids (two classes of at most
     ``examples``) are broadcast to the documents.
     """
-    usable = usable_labels(labels)
-    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("_all"))
-    chosen = labelled_sample(usable.withColumn("order", F.xxhash64("doc_id")), "label", "order", examples)
-    sizes = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("_some")).join(counts, "label")
-    chosen = chosen.join(sizes, "label").select("doc_id", "label", (F.col("_all") / F.col("_some")).alias("votes"))
-    found = docs.select("doc_id", "text").join(F.broadcast(materialize(chosen)), "doc_id")
+    chosen = labelled_sample(labels.withColumn("order", F.xxhash64("doc_id")), "label", "order", examples)
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= EXAMPLE_CHARS)
+    found = short.join(F.broadcast(materialize(chosen.select("doc_id", "label"))), "doc_id")
     # Rows of one id are one example: its smallest text.
-    return found.groupBy("doc_id", "label", "votes").agg(F.min("text").alias("text"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def term_lists(sample: DataFrame) -> DataFrame:
+    """``doc_id``, ``label`` and, as bytes, the distinct ``terms`` (hashes) and their ``times``."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                hashes, owner = text_terms(*tk.text_bytes(part.column("text")))
+                terms, times = [], []
+                for i in range(part.num_rows):
+                    t, n = np.unique(hashes[owner == i], return_counts=True)
+                    terms.append(t.tobytes()), times.append(n.astype("<i4").tobytes())
+                lists = [pa.array(terms, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("label"), *lists], ["doc_id", "label", "terms", "times"]
+                )
+
+    return sample.select("doc_id", "label", "text").mapInArrow(describe, "doc_id long, label int, terms binary, times binary")
+
+
+def term_counts(docs: DataFrame, labels: DataFrame, vocabulary: np.ndarray, evidence_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each term of the vocabulary: all, labelled 1 and labelled 0; and of all terms.
+
+    A task counts into one array and gives its terms once; ``labels`` beyond
+    ``evidence_rows`` are thinned by a hash, so that they can be broadcast.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    ids = materialize(labels.groupBy("doc_id").agg(F.max("label").alias("p"), (1 - F.min("label")).alias("n")))
+    known = materialize(ids.where(place * F.lit(max(ids.count(), 1)) < evidence_rows))
+    marked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").select("p", "n", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary(shared.value)
+        found = np.zeros((3, len(words.terms) + 1), np.int64)  # the last place counts texts
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                row, term, _ = words.count(*tk.text_bytes(part.column("text")))
+                row, term = np.append(row, np.arange(part.num_rows)), np.append(term, np.full(part.num_rows, len(words.terms)))
+                found[0] += np.bincount(term, minlength=found.shape[1])
+                for at, name in ((1, "p"), (2, "n")):
+                    flag = part.column(name).fill_null(0).to_numpy(zero_copy_only=False) > 0
+                    found[at] += np.bincount(term[flag[row]], minlength=found.shape[1])
+        some = np.flatnonzero(found[0])
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            columns = [pa.array(part, pa.int32()), *[pa.array(found[i, part]) for i in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "d", "p", "n"])
+
+    parts = marked.mapInArrow(count, "term int, d long, p long, n long")
+    sums = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in "dpn"]).toArrow()  # one row a term of the examples
+    totals = np.zeros((3, len(vocabulary) + 1), np.int64)
+    for i, c in enumerate("dpn"):
+        totals[i, sums.column("term").to_numpy()] = sums.column(c).to_numpy()
+    return totals[:, :-1], totals[:, -1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, evidence_rows: int = EVIDENCE_ROWS) -> Model:
+    """Model from the labelled rows among ``docs`` and the term frequencies of all of them."""
+    usable = materialize(usable_labels(labels))
+    weight = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    rows = term_lists(materialize(label_sample(docs, usable, examples))).collect()
+    terms = [np.frombuffer(r.terms, np.uint64) for r in rows]
+    vocabulary = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.uint64)
+    count = {label: sum(r.label == label for r in rows) for label in (0, 1)}
+    votes = np.array([weight[r.label] / count[r.label] for r in rows])
+    seen = [label for label in (0, 1) if count[label]]
+    prior = weight[1] / sum(weight[label] for label in seen) if 1 in seen else 0.0
+    factor = np.zeros(0)
+    if len(vocabulary):
+        (frequency, toxic, clean), (texts, p, n) = term_counts(docs, usable, vocabulary, evidence_rows)
+        factor = (np.log((1 + texts) / (1 + frequency)) + 1) * relevance(toxic, clean, int(p), int(n))
+    filled = [i for i, t in enumerate(terms) if len(t)]
+    vectors = [weigh(np.searchsorted(vocabulary, terms[i]), np.frombuffer(rows[i].times, "<i4"), factor) for i in filled]
+    index = Index.build(
+        np.array([rows[i].doc_id for i in filled], np.int64), np.array([rows[i].label for i in filled], float),
+        votes[filled] if filled else np.zeros(0), vectors, len(vocabulary),
+    )
+    return Model(vocabulary, factor, index, prior)
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, neighbours: int = NEIGHBOURS
+    docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, evidence_rows: int = EVIDENCE_ROWS
 ) -> DataFrame:
     """``docs`` without ``text``, plus ``score`` and ``evidence`` (ids of the nearest examples).
 
     ``labels`` has ``doc_id`` and ``label`` (0 or 1) of the rows to learn from.
     """
     spark = docs.sparkSession
-    docs = docs.drop("terms", "times", "score", "evidence")
+    docs = docs.drop("score", "evidence")
     tk.arrow_batches(spark)
-    sample = materialize(label_sample(docs, labels, examples))
-    # Evidence is counted on all labelled documents, each once, with its smallest text.
-    labelled = docs.select("doc_id", "text").join(usable_labels(labels), "doc_id")
-    labelled = labelled.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    vocabulary = np.sort(term_table(labelled, terms))
-    described = materialize(vectors(docs, vocabulary))
-    rows = vectors(sample, vocabulary).collect()
-    # Document frequencies over all documents.
-    counts = described.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
-    frequency = np.zeros(len(vocabulary))
-    for r in counts:
-        frequency[r["term"]] = r["count"]
-    idf = np.log((1 + described.count()) / (1 + frequency)) + 1 if len(vocabulary) else frequency
-    filled = [r for r in rows if r.terms]
-    index = Index.build(
-        np.array([r.doc_id for r in filled], np.int64), np.array([r.label for r in filled], float),
-        np.array([r.votes for r in filled], float),
-        [weigh(r.terms, r.times, idf) for r in filled], len(vocabulary) + 1,
-    )
-
-    def rate(some) -> float:
-        total = sum(r.votes for r in some)
-        return sum(r.votes * r.label for r in some) / total if total else 0.0
-
-    model = Model(vocabulary, idf, index, rate([r for r in rows if not r.terms]), rate(rows))
-    shared = spark.sparkContext.broadcast(astuple(model))  # plain values: tasks need no import
-    kept = described.drop("terms", "times")
+    shared = spark.sparkContext.broadcast(astuple(fit(docs, labels, examples, evidence_rows)))  # plain values
+    kept = docs.drop("text")
     names, columns = kept.columns, [*kept.columns, "score", "evidence"]
     schema = T.StructType(
         [*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]
     )
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, idf, index, blank, prior = shared.value
-        model = Model(words, idf, Index(*index), blank, prior)
+        terms, factor, index, prior = shared.value
+        model, known = Model(terms, factor, Index(*index), prior), Vocabulary(terms)
         for batch in batches:
-            scores, evidence = [], []
-            for term, times in zip(batch.column("terms").to_pylist(), batch.column("times").to_pylist()):
-                if not term or not len(model.index.ids):
-                    scores.append(model.blank), evidence.append([])
-                    continue
-                places, near = model.index.nearest(*weigh(term, times, model.idf), neighbours)
-                votes = near**SHARPNESS * model.index.votes[places]
-                total = votes @ model.index.labels[places] + PRIOR_VOTES * model.prior
-                scores.append(float(total / (votes.sum() + PRIOR_VOTES)))
-                evidence.append(model.index.ids[places].tolist())
-            rest = batch.select(names)
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], columns
-            )
-
-    return described.select(*kept.columns, "terms", "times").mapInArrow(vote, schema)
+            for part in tk.slices(batch, "text"):
+                row, term, times = known.count(*tk.text_bytes(part.column("text")))
+                edge = np.searchsorted(row, np.arange(part.num_rows + 1))
+                found = [model.score(term[a:b], times[a:b], neighbours) for a, b in zip(edge, edge[1:])]
+                scores, evidence = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.select(names).columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], columns
+                )
+
+    # The text is the last column, so that dropping it leaves the others in place.
+    return docs.select(*kept.columns, "text").mapInArrow(vote, schema)

@@ -3,7 +3,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
+import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -12,7 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_helpers import SMALL, WORDS, check_packing, check_sequences, clashing, classes_by_brute_force, shingle_set
+from llm_helpers import SMALL, WORDS, check_packing, check_sequences, clashing, classes_by_brute_force, shingle_set, words
 from pyspark.sql import functions as F
 
 from chartlake.llm import chat, language, licenses, neardup, packing, queries, textkernels, toxicity
@@ -210,7 +213,68 @@ def test_toxicity_accuracy_on_held_out_labels(spark):
     ).where("held_out").collect()
     hit = sum(r.toxic == r.predicted == 1 for r in out)
     assert hit / sum(r.predicted for r in out) > 0.95
-    assert hit / sum(r.toxic for r in out) > 0.7
+    assert hit / sum(r.toxic for r in out) > 0.9
+
+
+def toxicity_by_brute_force(texts: dict[int, str], labels: list[tuple[int, int]], k: int) -> dict:
+    """Scores and neighbours when all labelled documents are examples."""
+
+    def counts(text):
+        found = Counter()
+        for w in words(text):
+            found[w] += 1
+            for n in toxicity.PREFIXES:
+                if len(w.encode()) > n:
+                    found[w.encode()[:n]] += 1
+        return found
+
+    bags = {i: counts(t) for i, t in texts.items()}
+    examples = [(i, y) for i, y in labels if i in bags]
+    sizes = Counter(y for _, y in labels)
+    of = Counter(y for _, y in examples)
+    vocabulary = {w for i, _ in examples for w in bags[i]}
+    frequency = Counter(w for b in bags.values() for w in b if w in vocabulary)
+    toxic = Counter(w for i in {i for i, y in examples if y} for w in bags[i])
+    clean = Counter(w for i in {i for i, y in examples if not y} for w in bags[i])
+    p, n = len({i for i, y in examples if y}), len({i for i, y in examples if not y})
+    weight = {}
+    for w in vocabulary:
+        a, b, share = toxic[w], clean[w], (toxic[w] + clean[w]) / (p + n)
+        pairs = ((a, share * p), (b, share * n), (p - a, (1 - share) * p), (n - b, (1 - share) * n))
+        ratio = 2 * sum(x * math.log(x / e) for x, e in pairs if x)
+        extra = math.sqrt(max(ratio - 2 * math.log(len(vocabulary)), 0) / (p + n))
+        weight[w] = (math.log((1 + len(bags)) / (1 + frequency[w])) + 1) * (toxicity.FLOOR + extra)
+
+    def unit(bag):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in bag.items() if w in vocabulary}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors, prior = [(i, y, unit(bags[i])) for i, y in examples if bags[i]], sizes[1] / sum(sizes.values())
+    result = {}
+    for i, bag in bags.items():
+        mine = unit(bag)
+        near = [(-round(sum(x * v.get(w, 0) for w, x in mine.items()), 12), j, y) for j, y, v in vectors]
+        near = sorted(r for r in near if r[0] < 0)[:k]
+        votes = [s**toxicity.SHARPNESS * sizes[y] / of[y] for s, _, y in near]
+        top = sum(v for v, (_, _, y) in zip(votes, near) if y) + toxicity.PRIOR_VOTES * prior
+        result[i] = (top / (sum(votes) + toxicity.PRIOR_VOTES), near)
+    return result
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    known = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    want = toxicity_by_brute_force(docs, known, toxicity.NEIGHBOURS)
+    out = queries.op4_toxicity(spark, SMALL).collect()
+    assert len(out) == len(docs) and {y for _, y in known} == {0, 1}
+    for r in out:
+        score, near = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        least = -near[-1][0] if near else 0.0
+        sure = [j for s, j, _ in near if -s > least + 1e-9]  # equal ones may differ in the last digit
+        assert set(sure) <= set(r.evidence) and len(r.evidence) == len(near)
 
 
 def test_index_equals_all_pairs_cosine():
@@ -249,7 +313,7 @@ def test_toxicity_evidence_counts_labels_outside_of_the_sample(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "n1 n2 zorgle"), (901, "n1 n2")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, label) for i, _, label in rows], "doc_id long, label int")
     by = {r.doc_id: r for r in toxicity.score_documents(docs, labels, examples=100).collect()}
-    assert by[900].evidence and by[900].score > 0.7 and not by[901].evidence
+    assert by[900].evidence and by[900].score > 0.7 and by[901].score < 0.7
 
 
 # Licences
