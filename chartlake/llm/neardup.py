@@ -22,7 +22,9 @@
 
 Defined results: a text without words (null, empty, only punctuation) is a class of
 its own; a row without doc_id gets class null and is kept; rows with one doc_id are
-one document; ties (equal texts) go to the smallest doc_id; other columns pass.
+one document, also with different texts: all of them are in its class, with the copies
+of each; ties (equal texts) go to the smallest doc_id; other columns pass. ``one_of_each``
+keeps texts rather than documents: there different texts of one doc_id are apart.
 """
 from __future__ import annotations
 
@@ -30,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlake.llm import textkernels as tk
 from chartlake.llm.graphs import components
+from chartlake.operators.skew import salted_join
 from chartlake.session import materialize
 
 SHINGLE_WORDS = 5
@@ -112,6 +115,14 @@ def _per_text(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return tk.mix(total).view(np.int64)
 
 
+def content_hash(hashes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the word sequence of each text."""
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    one = tk.mix(hashes + place.astype(np.uint64) * np.uint64(tk.ODD))
+    two = tk.mix(one ^ np.uint64(0x5851F42D4C957F2D))
+    return _per_text(one, owner, texts), _per_text(two, owner, texts)
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id``, two content hashes, the number of distinct shingles and the band keys of each row."""
     tk.arrow_batches(docs.sparkSession)
@@ -122,12 +133,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words
                 texts = part.num_rows
                 sh, of, count, hashes, owner = weighted_shingles(*tk.text_bytes(part.column("text")), words)
                 keys, has = bucket_keys(sh, of, count, texts, bands, rows)
-                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                one = tk.mix(hashes + place.astype(np.uint64) * np.uint64(tk.ODD))
-                two = tk.mix(one ^ np.uint64(0x5851F42D4C957F2D))
+                one, two = content_hash(hashes, owner, texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(_per_text(one, owner, texts)), pa.array(_per_text(two, owner, texts)),
+                        part.column("doc_id"), pa.array(one), pa.array(two),
                         pa.array(np.bincount(of, minlength=texts)),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(has, np.arange(texts + 1)), pa.int32()), pa.array(keys)),
                     ],
@@ -138,18 +147,22 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``node``, the number ``n`` of its distinct shingles, and these, sorted, as bytes."""
+    """``node``, the number ``n`` of its distinct shingles, and these, sorted, as bytes.
+
+    Of ``docs`` only rows count whose text has the content hash ``c1``.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                sh, of, *_ = weighted_shingles(*tk.text_bytes(part.column("text")), words)
+                sh, of, _, hashes, owner = weighted_shingles(*tk.text_bytes(part.column("text")), words)
                 edges = np.searchsorted(of, np.arange(part.num_rows + 1))
                 sets = [sh[a:b].tobytes() for a, b in zip(edges, edges[1:])]
                 columns = [part.column("node"), pa.array(np.diff(edges), pa.int64()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles"])
+                same = content_hash(hashes, owner, part.num_rows)[0] == part.column("c1").to_numpy()
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles"]).filter(pa.array(same))
 
-    return docs.select("node", "text").mapInArrow(collect, "node long, n long, shingles binary")
+    return docs.select("node", "c1", "text").mapInArrow(collect, "node long, n long, shingles binary")
 
 
 def _set(value: pa.Scalar) -> np.ndarray:
@@ -234,23 +247,46 @@ def search_blocks(members: DataFrame, sets: DataFrame, threshold: float = THRESH
     return spread.mapInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest doc_id of its class), ``kept``."""
-    docs = docs.select("doc_id", "text")
-    signed = materialize(signatures(docs, bands, rows))
-    # Stored, so that both sides of the joins below are plain shuffles, whose hot keys
-    # (a text with very many copies, a bucket with very many nodes) Spark splits.
-    content = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")))
-    named = signed.join(content, ["c1", "c2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    named = materialize(named.select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), "n"))
+def named_texts(signed: DataFrame) -> DataFrame:
+    """``signed`` with the ``node`` of each row and ``first``, the smallest doc_id with its text.
+
+    Equal texts are one node, numbered by ``first``. If that is the first of several
+    texts, the others get a hash as number, which meets another node's number by chance
+    only. ``bands`` stay in the rows that stand for their node.
+    """
+    # Stored, so that both sides of the joins are plain shuffles, whose hot keys (a text
+    # with very many copies, a bucket with very many nodes) Spark splits.
+    content = materialize(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first")))
+    leads = content.groupBy("first").agg(F.min(F.struct("c1", "c2")).alias("_lead"), F.count(F.lit(1)).alias("_texts"))
+    leads = materialize(leads.where("_texts > 1 and first is not null").select("first", "_lead"))
+    if leads.isEmpty():
+        content = content.withColumn("node", F.col("first"))
+    else:
+        other = F.col("_lead").isNotNull() & (F.col("_lead") != F.struct("c1", "c2"))
+        number = F.when(other, F.xxhash64("first", "c1", "c2")).otherwise(F.col("first"))
+        content = materialize(content.join(leads, "first", "left").select("c1", "c2", "first", number.alias("node")))
+    named = signed.join(content, ["c1", "c2"], "left")
+    named = named.withColumns({c: F.coalesce(c, "doc_id") for c in ("node", "first")})
+    bands = F.when(F.col("doc_id") == F.col("first"), F.col("bands")).alias("bands")
+    return materialize(named.select("doc_id", "c1", "c2", "n", "node", "first", bands))
+
+
+def node_links(docs: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a``, ``b`` between nodes that tie all near copies together."""
     nodes = named.where("bands is not null and n > 0").select("node", F.explode("bands").alias("bucket"))
     buckets = nodes.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("_max")).where("hub <> _max")
     buckets = materialize(buckets.drop("_max"))
     members = materialize(nodes.join(buckets, "bucket").distinct())
 
     candidates = members.select("node").distinct()
-    texts = docs.join(candidates, docs["doc_id"] == candidates["node"]).select("node", "text")
+    leaders = named.where("bands is not null and n > 0").select("first", "node", "c1").join(candidates, "node")
+    copies = materialize(leaders.groupBy("node", "first", "c1").agg(F.count(F.lit(1)).alias("rows")))
+    texts = docs.join(copies, docs["doc_id"] == copies["first"]).select("node", "c1", "text")
     sets = materialize(shingle_sets(texts))
+    repeated = copies.where("rows > 1").select("node")
+    if not repeated.isEmpty():  # rows that are there several times give one set
+        once = sets.join(repeated, "node", "left_semi").dropDuplicates(["node"])
+        sets = materialize(sets.join(repeated, "node", "left_anti").unionByName(once))
     stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(verify(stars, sets, threshold))
     first = components(links)
@@ -265,7 +301,77 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     mixed = mixed.groupBy("size", "total", "mark", "least").agg(F.min("bucket").alias("bucket"))
     mixed = mixed.select("bucket", "size", "total")
     more = search_blocks(labelled.join(mixed, "bucket"), sets, threshold)
-    classes = components(links.union(more))
-    joined = named.select("doc_id", "node").join(classes, "node", "left")
-    result = joined.select("doc_id", F.coalesce("component", "node").alias("class_id"))
+    return links.union(more)
+
+
+def leading_nodes(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """``classes`` with ``lead``: ``first`` and ``node`` of the class's smallest doc_id."""
+    firsts = named.where("first <> node").select("node", "first").distinct()  # hashes; few
+    of = classes.join(firsts, "node", "left").withColumn("first", F.coalesce("first", "node"))
+    lead = of.groupBy("component").agg(F.min(F.struct("first", "node")).alias("lead"))
+    return of.join(lead, "component").select("node", "lead")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest doc_id of its class), ``kept``."""
+    docs = docs.select("doc_id", "text")
+    named = named_texts(materialize(signatures(docs, bands, rows)))
+    links = node_links(docs, named, threshold)
+    # All texts of a document are in one class.
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_max"))
+    several = several.where("a <> _max").select("doc_id", "a")
+    same = named.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    classes = leading_nodes(components(links.union(same)), named)
+    result = named.join(classes, "node", "left")
+    label = F.when(F.col("doc_id").isNotNull(), F.coalesce("lead.first", "first"))
+    result = result.select("doc_id", label.alias("class_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class of texts the one with the smallest doc_id.
+
+    Rows are told apart by their text, so different texts of one doc_id stay. Of rows with
+    one doc_id and the same words the smallest by all columns stays. Texts without
+    words and rows without doc_id are no copies; of the former, equal rows stay once.
+    """
+    narrow = docs.select("doc_id", "text")
+    named = named_texts(materialize(signatures(narrow, bands, rows)))
+    classes = leading_nodes(components(node_links(narrow, named, threshold)), named)
+    judged = named.where("doc_id is not null").join(classes, "node", "left")
+    leads = (F.col("doc_id") == F.col("first")) & (F.coalesce("lead.node", "node") == F.col("node"))
+    judged = materialize(judged.select("doc_id", "c1", "c2", "n", (leads | (F.col("n") == 0)).alias("kept")))
+    # Most ids have one row, and the id decides.
+    per_id = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("kept").alias("kept"))
+    apart = materialize(per_id.where("rows > 1 or not kept"))
+    plain = docs.where("doc_id is not null").join(apart.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    out = plain.unionByName(docs.where("doc_id is null"))
+    several = apart.where("rows > 1 and kept").select("doc_id")
+    if several.isEmpty():
+        return out
+    wanted = judged.where("kept").join(several, "doc_id", "left_semi")
+    wanted = wanted.select("doc_id", F.col("c1").alias("_c1"), F.col("c2").alias("_c2")).distinct()
+    columns = docs.columns
+    rest = salted_join(docs, several, ["doc_id"], "left_semi", counted=named.select("doc_id")).select(columns)
+    hashed = contents(rest).join(wanted, ["doc_id", "_c1", "_c2"])
+    own = [F.col(c) for c in columns]
+    key = ["doc_id", "_c1", "_c2", F.when(F.col("_n") == 0, F.coalesce("text", F.lit("")))]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*own))
+    return out.unionByName(hashed.withColumn("_place", place).where("_place = 1").select(columns))
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the content hashes ``_c1`` and ``_c2`` and the number ``_n`` of words of the text."""
+    names = [c for c in docs.columns if c not in ("_c1", "_c2", "_n")]
+    schema = docs.select(names).schema.add("_c1", "long").add("_c2", "long").add("_n", "long")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                hashes, owner, _ = tk.word_hashes(*tk.text_bytes(part.column("text")))
+                one, two = content_hash(hashes, owner, part.num_rows)
+                count = np.bincount(owner, minlength=part.num_rows)
+                columns = [*part.columns, pa.array(one), pa.array(two), pa.array(count)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "_c1", "_c2", "_n"])
+
+    return docs.select(names).mapInArrow(describe, schema)

@@ -203,6 +203,36 @@ def test_near_duplicates_with_a_passage_that_one_text_repeats():
     assert missed_before > 0
 
 
+def test_repeated_ids_with_different_texts(spark, awkward):
+    """Rows of one id are one document in classes; the pipeline's stage keeps every text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b + " tail"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def frame(*pairs):
+        return spark.createDataFrame([(i, t, None, s, 0) for i, t, *rest in pairs for s in (rest or ["s"])], schema)
+
+    def classes(df):
+        return sorted({(r.doc_id, r.class_id, r.kept) for r in neardup.near_duplicates(df).collect()})
+
+    def kept(df):
+        return sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+
+    four = frame((1, a), (2, a), (2, b), (3, c))
+    assert classes(four) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+    assert kept(four) == [(1, a), (2, b), (3, c)] == kept(four.orderBy(F.desc("doc_id")))
+    # Several texts of one smallest id, copies of each, repeated rows, near copies under one id.
+    more = frame((5, a), (5, b), (5, c), (5, a), (6, b), (7, near), (8, c), (9, "x y z"), (5, near), (9, "x y z", "s", "t"), (4, None), (4, "..."), (4, None))
+    assert classes(more) == [(4, 4, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 5, False), (9, 9, True)]
+    got = kept(more)
+    texts = [t for _, t in got]
+    assert a in texts and c in texts and (b in texts) != (near in texts) and len(got) == 6
+    assert [t for i, t in got if i == 4].count("...") == 1 and texts.count("x y z") == 1
+    twice = four.unionByName(four)
+    assert kept(twice) == kept(four) and classes(twice) == classes(four)
+    assert len(kept(awkward)) == len({(r.doc_id, r.text) for r in awkward.collect()}) - 1  # one near copy
+
+
 # Toxicity
 
 
