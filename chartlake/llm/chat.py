@@ -120,16 +120,18 @@ def format_conversations(
         tokenizer = encoder(definition.value, shape)
         ready: list[tuple] = []
         turns: list[tuple[str, str]] = []
-        seq = 0
+        seq, waiting = 0, 0  # segments so far, characters in ``ready``
         last, size = None, 0
 
         def close() -> None:
+            nonlocal waiting
             if turns:
                 ready.append((last[0], *shape.render(turns)))
+                waiting += len(ready[-1][1])
                 turns.clear()
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, waiting
             coded = tokenizer.encode_batch([r[1] for r in ready], add_special_tokens=False)
             columns: list[list] = [[], [], [], [], [], [], []]
             for (conv, formatted, spans), code in zip(ready, coded):
@@ -141,6 +143,7 @@ def format_conversations(
                     column.append(value)
                 seq += 1
             ready.clear()
+            waiting = 0
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()),
                      pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             names = ["part", "seq", "conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"]
@@ -156,7 +159,7 @@ def format_conversations(
                     last = (conv,)
                     turns.append((role or "", text or ""))
                     size += len(turns[-1][1]) + 1
-                if sum(len(r[1]) for r in ready) > segment_chars:
+                if waiting > segment_chars:
                     yield flush()
         close()
         if ready:
