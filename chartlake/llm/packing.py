@@ -32,8 +32,10 @@ CAPACITY = 2048
 END_TOKEN = 0
 #: Pieces packed together. The group's task holds its pieces' lengths and columns.
 GROUP_PIECES = 16_384
-#: Encoded words kept by a task; beyond that it starts over.
-CACHE_WORDS = 700_000
+#: Bytes of encoded words that a Python process keeps; beyond that it starts over.
+CACHE_BYTES = 128 << 20
+#: Bytes that keeping a word takes besides its letters and ids.
+WORD_BYTES = 170
 
 
 #: A stop or comma after an ASCII or Latin-1 letter or digit, at the end of a word.
@@ -80,18 +82,20 @@ def encoder(definition: str, end_token: int = END_TOKEN) -> Callable[[list[str]]
 
     state = sys.modules.setdefault("_packing_state", types.ModuleType("_packing_state")).__dict__
     if state.get("definition") != definition:
-        state |= {"definition": definition, "tokenizer": Tokenizer.from_str(definition), "known": {b"": b""}}
+        state |= {"definition": definition, "tokenizer": Tokenizer.from_str(definition), "known": {b"": b""}, "bytes": 0}
     tokenizer, known = state["tokenizer"], state["known"]
     end = np.array([end_token], "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > CACHE_WORDS:
+        if state["bytes"] > CACHE_BYTES:
             known.clear()
-            known[b""] = b""
+            known[b""], state["bytes"] = b"", 0
         words = [split_words(t) for t in texts]
         new = list(set().union(*words).difference(known))
         coded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in coded]))
+        ids = [np.array(e.ids, "<u4").tobytes() for e in coded]
+        known.update(zip(new, ids))
+        state["bytes"] += sum(map(len, new)) + sum(map(len, ids)) + WORD_BYTES * len(new)
         return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
     return encode
