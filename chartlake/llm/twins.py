@@ -1,4 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
+from __future__ import annotations
+
+from chartlake.llm.pii import IBAN_CHARS
 
 SOURCE_MIX = """
 WITH d AS (
@@ -35,14 +38,26 @@ _KINDS = (
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0.6, "ip|host|server|address"),
     ("card", r"[0-9]([\x20-]?[0-9])+", 0.7, "card|visa|credit|payment"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile"),
-    ("iban", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", 0.8, "iban|account|bank"),
 )
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
-_FOLD97 = (
-    "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(v, ' ', ''), 5) || "
-    "substr(v, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), "
-    "lambda a, n: (a * CASE WHEN n > 9 THEN 100 ELSE 10 END + n) % 97)"
+
+
+def _fold97(v: str) -> str:
+    """Account number as digits, its first four characters last, modulo 97."""
+    return (
+        f"list_reduce(list_prepend(0, list_transform(string_split(substr(replace({v}, ' ', ''), 5) || substr({v}, 1, 4), ''), "
+        "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), "
+        "lambda a, n: (a * CASE WHEN n > 9 THEN 100 ELSE 10 END + n) % 97)"
+    )
+
+
+# Characters of an account number by country code, as the operator has them.
+_RUN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])"
+_FIXED = "|".join(
+    f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in sorted(IBAN_CHARS.items())
 )
+
+
 _VALID = {
     "email": "TRUE",
     "ip": "len(list_filter(string_split(v, '.'), lambda p: len(ltrim(p, '0')) > 3 OR "
@@ -51,7 +66,6 @@ _VALID = {
     "lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - "
     "CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
     "phone": f"len({_DIGITS}) BETWEEN 9 AND 15",
-    "iban": f"len(replace(v, ' ', '')) BETWEEN 15 AND 34 AND {_FOLD97} = 1",
 }
 
 
@@ -68,9 +82,37 @@ FROM (SELECT doc_id, row_id, text, unnest(hits) AS v,
 WHERE {_VALID[name]}"""
 
 
+def _confirmed(v: str) -> str:
+    return f"CASE WHEN len(replace({v}, ' ', '')) BETWEEN 15 AND 34 THEN {_fold97(v)} = 1 ELSE FALSE END"
+
+
+# Account numbers, from the left: each start is tried with its country's length, then, if
+# no earlier run covers it, with the whole run.
+_IBAN = f"""
+p AS (SELECT row_id, text, unnest(range(1, length(text) - 13)) AS p FROM d WHERE regexp_matches(text, '[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]')),
+n AS (SELECT row_id, p - 1 AS s, substr(text, p, 64) AS near FROM p WHERE regexp_matches(substr(text, p, 26), '^{_RUN}{{11}}')),
+t AS (SELECT row_id, s, row_number() OVER (PARTITION BY row_id ORDER BY s) AS i,
+        regexp_extract(near, '^{_RUN}{{11,30}}') AS run, regexp_extract(near, '^(?:{_FIXED})') AS cut FROM n),
+v AS MATERIALIZED (SELECT row_id, s, i, run, cut, {_confirmed("cut")} AS cut_ok, {_confirmed("run")} AS run_ok FROM t),
+q(row_id, i, done, run_end, s, e) AS (
+  SELECT DISTINCT row_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM v
+  UNION ALL
+  SELECT row_id, i, CASE WHEN val <> '' THEN s + len(val) ELSE done END,
+    CASE WHEN val <> '' THEN s + len(val) WHEN s >= run_end THEN s + len(run) ELSE run_end END, s, s + len(val)
+  FROM (SELECT v.row_id, v.i, v.s, v.run, q.done, q.run_end,
+          CASE WHEN v.s < q.done THEN '' WHEN v.cut_ok THEN v.cut WHEN v.s >= q.run_end AND v.run_ok THEN v.run ELSE '' END AS val
+        FROM q JOIN v ON v.row_id = q.row_id AND v.i = q.i + 1))"""
+
+_IBAN_SPANS = """
+SELECT d.doc_id, d.row_id, 4 AS k, 'iban' AS kind, q.s, q.e, 0.8 +
+  CASE WHEN regexp_matches(lower(substr(text, greatest(q.s - 40, 0) + 1, q.s - greatest(q.s - 40, 0))), 'iban|account|bank')
+  THEN 0.1 ELSE 0 END AS score
+FROM q JOIN d USING (row_id) WHERE q.e > q.s"""
+
 PII = f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
-s AS ({" UNION ALL ".join(_part(i, *kind) for i, kind in enumerate(_KINDS))}),
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+{_IBAN},
+s AS ({" UNION ALL ".join(_part(i, *kind) for i, kind in enumerate(_KINDS))} UNION ALL {_IBAN_SPANS}),
 g AS (SELECT row_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (kind <> 'iban') AS base,

@@ -451,3 +451,23 @@ def test_best_two_fit_replaces_the_smallest():
     # Greedy alone takes 60 + 35 (gap 5); two pieces, 20 + 20, fit the gap of 40 exactly.
     bins, _ = packing.best_two_fit(np.array([60, 35, 20, 20]), 100)
     assert bins[0] == bins[2] == bins[3] != bins[1]
+
+
+def test_word_cache_is_bounded_in_bytes(monkeypatch):
+    """Long unbroken words, as of languages without spaces, don't pile up."""
+    import sys
+
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1 << 20)
+    with open(WORDS, encoding="utf-8") as file:
+        encode = packing.encoder(file.read())
+    state = sys.modules["_packing_state"].__dict__
+    state["known"].clear()
+    state["known"][b""], state["bytes"] = b"", 0
+    largest = 0
+    for i in range(5000):
+        (ids,) = encode([f"{i}" + "\u4e2d\u6587" * 100])
+        assert len(ids) > 8
+        held = sum(len(w) + len(v) for w, v in state["known"].items())
+        assert held <= state["bytes"] + 4
+        largest = max(largest, held)
+    assert largest < (1 << 20) + 10_000
