@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their prefixes of 4 to 8 bytes; all terms of the examples make the
+Terms are words and their prefixes of 4 and 6 bytes; all terms of the examples make the
 vocabulary, none is left out. A term weighs (1 + ln(occurrences)) * idf * relevance.
 Document frequencies count all documents. Relevance is ``FLOOR`` for a term that says
 nothing about the label, and more by how far its log-likelihood ratio over the labelled
@@ -9,8 +9,8 @@ cosine of whole texts is ruled by topic words and finds a fifth of the toxic tex
 
 Examples stand in an inverted index whose postings are cut into blocks of examples,
 with the largest weight of each term in each block. A query adds up these block
-maxima, visits blocks from the highest bound down and stops at the first bound below
-its kth similarity, so the neighbours are exact. Votes are weighted by similarity, and
+maxima, and only blocks whose bound reaches the kth similarity known so far are
+visited, so the neighbours are exact. Votes are weighted by similarity, and
 by how many labelled rows an example of its class stands for; that makes the score a
 share of labelled rows, and the neighbours are its evidence.
 
@@ -42,8 +42,8 @@ from chartlake.llm import textkernels as tk
 from chartlake.llm.language import labelled_sample
 from chartlake.session import materialize
 
-PREFIXES = (4, 5, 6, 7, 8)
-EXAMPLES = 1500
+PREFIXES = (4, 6)
+EXAMPLES = 700
 #: Longest text of an example.
 EXAMPLE_CHARS = 100_000
 #: Labelled ids that relevance is counted on (by a hash of the id, if there are more).
@@ -52,11 +52,13 @@ NEIGHBOURS = 9
 #: Relevance of a term without evidence.
 FLOOR = 0.02
 #: Examples in one block of the index.
-BLOCK = 64
+BLOCK = 128
 #: Votes fall with this power of the similarity.
 SHARPNESS = 4
-#: Blocks scored together.
-AT_ONCE = 8
+#: Terms whose weights stand in a matrix rather than in postings.
+COMMON = 1024
+#: Texts scored together.
+AT_ONCE = 64
 #: Vote of the whole labelled set that is mixed into every score.
 PRIOR_VOTES = 0.2
 
@@ -125,13 +127,17 @@ def relevance(toxic: np.ndarray, clean: np.ndarray, p: int, n: int) -> np.ndarra
 class Index:
     """Block-max inverted index of unit example vectors.
 
-    A cell is a term in a block: ``pointer`` gives a term's cells, ``start`` a cell's
-    postings and ``bound`` the largest weight among them.
+    The ``COMMON`` most frequent terms stand in a matrix, whose products with a batch of
+    queries give every example a first part of its similarity. The other terms have
+    postings: a cell is a term in a block, ``pointer`` gives a term's cells, ``start`` a
+    cell's postings and ``bound`` the largest weight among them.
     """
 
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
+    row: np.ndarray  # of the matrix, by term; -1 for terms with postings
+    matrix: np.ndarray
     pointer: np.ndarray
     block: np.ndarray
     bound: np.ndarray
@@ -140,48 +146,59 @@ class Index:
     weight: np.ndarray
 
     @staticmethod
-    def build(ids, labels, votes, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
+    def build(ids, labels, votes, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, common: int = COMMON) -> Index:
         # Examples with the same leading term share blocks, which makes the bounds tight.
         lead = np.array([t[w.argmax()] for t, w in vectors], np.int64)
         order = np.lexsort((ids, lead))
         vectors = [vectors[i] for i in order]
-        blocks = -(-len(vectors) // BLOCK)
+        blocks = max(-(-len(vectors) // BLOCK), 1)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         by = np.lexsort((example, term))
         term, weight, example = term[by], weight[by], example[by]
-        cell = term * max(blocks, 1) + example // BLOCK
+        frequent = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:common]
+        row = np.full(terms, -1, np.int32)
+        row[frequent] = np.arange(len(frequent))
+        matrix = np.zeros((len(frequent), blocks * BLOCK))
+        dense = row[term] >= 0
+        matrix[row[term[dense]], example[dense]] = weight[dense]
+        term, weight, example = term[~dense], weight[~dense], example[~dense]
+        cell = term * blocks + example // BLOCK
         known, start = np.unique(cell, return_index=True)
         bound = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
         return Index(
-            ids[order], labels[order], votes[order], np.searchsorted(known // max(blocks, 1), np.arange(terms + 1)),
-            (known % max(blocks, 1)).astype(np.int32), bound, np.append(start, len(example)), example, weight,
+            ids[order], labels[order], votes[order], row, matrix, np.searchsorted(known // blocks, np.arange(terms + 1)),
+            (known % blocks).astype(np.int32), bound, np.append(start, len(example)), example, weight,
         )
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k most similar examples (similarity above 0)."""
-        cells, weights = _runs(self.pointer[terms], self.pointer[terms + 1], weights)
-        blocks = self.block[cells]
-        bounds = np.bincount(blocks, weights=weights * self.bound[cells])
-        order = np.argsort(-bounds, kind="stable")
-        places, values = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), AT_ONCE):
-            some = order[at : at + AT_ONCE]
-            least = values[-1] - 1e-12 if len(values) == k else 0.0
-            some = some[(bounds[some] > 0) & (bounds[some] >= least)]
-            if not len(some):
-                break
-            chosen = np.zeros(len(bounds), bool)
-            chosen[some] = True
-            mine = chosen[blocks]
-            entry, factor = _runs(self.start[cells[mine]], self.start[cells[mine] + 1], weights[mine])
-            score = np.bincount(self.example[entry], weights=factor * self.weight[entry])
-            found = np.flatnonzero(score > 0)
-            places, values = np.append(places, found), np.append(values, np.round(score[found], 12))
-            best = np.lexsort((self.ids[places], -values))[:k]
-            places, values = places[best], values[best]
-        return places, values
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and similarities of the k examples most similar to each query (similarity above 0)."""
+        n, places = len(self.ids), self.matrix.shape[1]
+        first = np.zeros((len(queries), len(self.matrix)))
+        for i, (terms, weights) in enumerate(queries):
+            rows = self.row[terms]
+            first[i, rows[rows >= 0]] = weights[rows >= 0]
+        parts = first @ self.matrix
+        tops = parts.reshape(len(queries), -1, BLOCK).max(2)
+        result = []
+        for (terms, weights), score, top in zip(queries, parts, tops):
+            rare = self.row[terms] < 0
+            cells, factor = _runs(self.pointer[terms[rare]], self.pointer[terms[rare] + 1], weights[rare])
+            blocks = self.block[cells]
+            bounds = top + np.bincount(blocks, weights=factor * self.bound[cells], minlength=len(top))
+            # No similarity is below its first part, so neither is the kth: a block whose
+            # bound is below that holds no neighbour.
+            least = np.partition(score, places - k)[places - k] if n > k else 0.0
+            live = (bounds >= least - 1e-9)[blocks]
+            entry, factor = _runs(self.start[cells[live]], self.start[cells[live] + 1], factor[live])
+            rest = np.bincount(self.example[entry], weights=factor * self.weight[entry], minlength=places)
+            score = np.round(score + rest, 12)
+            cut = np.partition(score, places - k)[places - k] if n > k else 0.0
+            found = np.flatnonzero((score >= cut) & (score > 0))
+            best = found[np.lexsort((self.ids[found], -score[found]))[:k]]
+            result.append((best, score[best]))
+        return result
 
 
 def _runs(first: np.ndarray, end: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +215,18 @@ class Model:
     index: Index
     prior: float
 
-    def score(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[float, list[int]]:
-        """Share of label 1 around a text, and the examples that say so."""
-        if not len(terms) or not len(self.index.ids):
-            return self.prior, []
-        places, near = self.index.nearest(*weigh(terms, times, self.factor), k)
-        votes = near**SHARPNESS * self.index.votes[places]
-        total = votes @ self.index.labels[places] + PRIOR_VOTES * self.prior
-        return float(total / (votes.sum() + PRIOR_VOTES)), self.index.ids[places].tolist()
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, list[int]]]:
+        """For each text (its terms and their times) the share of label 1 around it, and the examples that say so."""
+        result: list[tuple[float, list[int]]] = [(self.prior, [])] * len(texts)
+        filled = [i for i, (terms, _) in enumerate(texts) if len(terms)] if len(self.index.ids) else []
+        for at in range(0, len(filled), AT_ONCE):
+            some = filled[at : at + AT_ONCE]
+            found = self.index.nearest([weigh(*texts[i], self.factor) for i in some], k)
+            for i, (places, near) in zip(some, found):
+                votes = near**SHARPNESS * self.index.votes[places]
+                total = votes @ self.index.labels[places] + PRIOR_VOTES * self.prior
+                result[i] = float(total / (votes.sum() + PRIOR_VOTES)), self.index.ids[places].tolist()
+        return result
 
 
 def weigh(terms: np.ndarray, times: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +358,7 @@ def score_documents(
             for part in tk.slices(batch, "text"):
                 row, term, times = known.count(*tk.text_bytes(part.column("text")))
                 edge = np.searchsorted(row, np.arange(part.num_rows + 1))
-                found = [model.score(term[a:b], times[a:b], neighbours) for a, b in zip(edge, edge[1:])]
+                found = model.score([(term[a:b], times[a:b]) for a, b in zip(edge, edge[1:])], neighbours)
                 scores, evidence = zip(*found)
                 yield pa.RecordBatch.from_arrays(
                     [*part.select(names).columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], columns

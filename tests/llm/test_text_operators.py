@@ -307,16 +307,17 @@ def test_toxicity_query_equals_brute_force(spark):
         assert set(sure) <= set(r.evidence) and len(r.evidence) == len(near)
 
 
-def test_index_equals_all_pairs_cosine():
+@pytest.mark.parametrize("common", [0, 4, 1000])
+def test_index_equals_all_pairs_cosine(common):
     rng = np.random.default_rng(3)
     dense = rng.exponential(size=(500, 30)) * (rng.random((500, 30)) < 0.2)
     dense[:, 29] = 1
     dense /= np.sqrt((dense * dense).sum(1, keepdims=True))
     vectors = [(np.flatnonzero(d), d[d > 0]) for d in dense]
     ids = rng.permutation(500)
-    index = toxicity.Index.build(ids, np.zeros(500), np.ones(500), vectors, 30)
-    for d in dense[:60]:
-        places, values = index.nearest(np.flatnonzero(d), d[d > 0], 15)
+    index = toxicity.Index.build(ids, np.zeros(500), np.ones(500), vectors, 30, common)
+    found = index.nearest([(np.flatnonzero(d), d[d > 0]) for d in dense[:60]], 15)
+    for d, (places, values) in zip(dense, found):
         score = np.round(dense @ d, 12)
         best = np.lexsort((ids, -score))[:15]
         assert index.ids[places].tolist() == ids[best].tolist() and np.allclose(values, score[best])
