@@ -108,17 +108,26 @@ def growth_features(db: DataFrame, hist: DataFrame, cfg: RankingConfig = Ranking
     hash aggregate combined map-side and needs no sort within an id. Ids with
     very many snapshots are spread over tasks by the join.
     """
-    window = cfg.growth_window_hours
-    anchors = db.select("id", plus_hours("created_at", window).alias("_anchor")).where(F.col("_anchor").isNotNull())
-    snapshots = hist.select("id", "checked_at", *[f"{c}_count" for c in GROWTH_COLUMNS])
-    tail = salted_join(snapshots, anchors, ["id"]).where(F.col("checked_at") >= F.col("_anchor"))
-    spans = tail.withColumn("_at", snapshot_key()).groupBy("id").agg(
+    spans = _tail(db, hist, cfg).groupBy("id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("checked_at").alias("_t0"),
         F.max("checked_at").alias("_t1"),
         *[F.min_by(f"{c}_count", "_at").cast("double").alias(f"_{c}0") for c in GROWTH_COLUMNS],
         *[F.max_by(f"{c}_count", "_at").cast("double").alias(f"_{c}1") for c in GROWTH_COLUMNS],
     )
+    return with_growth(db, spans, cfg)
+
+
+def _tail(db: DataFrame, hist: DataFrame, cfg: RankingConfig) -> DataFrame:
+    """Snapshots from ``created_at + window`` on, with their place in time (``_at``)."""
+    anchors = db.select("id", plus_hours("created_at", cfg.growth_window_hours).alias("_anchor")).where(F.col("_anchor").isNotNull())
+    snapshots = hist.select("id", "checked_at", *[f"{c}_count" for c in GROWTH_COLUMNS])
+    tail = salted_join(snapshots, anchors, ["id"]).where(F.col("checked_at") >= F.col("_anchor"))
+    return tail.withColumn("_at", snapshot_key())
+
+
+def with_growth(db: DataFrame, spans: DataFrame, cfg: RankingConfig = RankingConfig()) -> DataFrame:
+    """Growth columns of items from the spans of their snapshots."""
     hours = hours_between("_t0", "_t1")
     usable = (F.col("_n") >= 2) & (hours > 0)
     velocity = {
@@ -131,10 +140,44 @@ def growth_features(db: DataFrame, hist: DataFrame, cfg: RankingConfig = Ranking
     joined = db.join(rates, "id", "left")
     joined = joined.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in velocity})
     return joined.withColumns(
-        {f"{c}_delta_window": F.col(f"{c}_velocity_per_hour") * float(window) for c in GROWTH_COLUMNS}
+        {f"{c}_delta_window": F.col(f"{c}_velocity_per_hour") * float(cfg.growth_window_hours) for c in GROWTH_COLUMNS}
     )
 
 
+# Number of snapshots of an item after its anchor, and the first and the last of them with
+# their places in time. States of separate snapshots add up to the state of all.
+GROWTH_STATE = T.StructType(
+    [
+        T.StructField("id", T.StringType()), T.StructField("_n", T.LongType()),
+        T.StructField("_t0", T.TimestampNTZType()), T.StructField("_t1", T.TimestampNTZType()),
+        T.StructField("_at0", T.DecimalType(38, 0)), T.StructField("_at1", T.DecimalType(38, 0)),
+        *[T.StructField(f"_{c}{i}", T.DoubleType()) for i in (0, 1) for c in GROWTH_COLUMNS],
+    ]
+)
+
+
+def growth_state(db: DataFrame, hist: DataFrame, cfg: RankingConfig = RankingConfig()) -> DataFrame:
+    """State of the growth of each item with a snapshot after its anchor; ``with_growth`` reads it."""
+    state = _tail(db, hist, cfg).groupBy("id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("checked_at").alias("_t0"), F.max("checked_at").alias("_t1"),
+        F.min("_at").alias("_at0"), F.max("_at").alias("_at1"),
+        *[F.min_by(f"{c}_count", "_at").cast("double").alias(f"_{c}0") for c in GROWTH_COLUMNS],
+        *[F.max_by(f"{c}_count", "_at").cast("double").alias(f"_{c}1") for c in GROWTH_COLUMNS],
+    )
+    return state.select(*GROWTH_STATE.names)
+
+
+def merge_growth(old: DataFrame, new: DataFrame) -> DataFrame:
+    """State of the snapshots of two states."""
+    merged = old.unionByName(new).groupBy("id").agg(
+        F.sum("_n").alias("_n"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"),
+        *[F.min_by(f"_{c}0", "_at0").alias(f"_{c}0") for c in GROWTH_COLUMNS],
+        *[F.max_by(f"_{c}1", "_at1").alias(f"_{c}1") for c in GROWTH_COLUMNS],
+        F.min("_at0").alias("_at0"), F.max("_at1").alias("_at1"),
+    )
+    return merged.select(*GROWTH_STATE.names)
+
+
 def restored_catalog(db: DataFrame, hist: DataFrame) -> DataFrame:
     """Coerced catalogue with repaired creation times (``hist`` is prepared)."""
     return restore_created_at(prepare_catalog(db), hist)

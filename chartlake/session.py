@@ -4,6 +4,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,11 +83,26 @@ def materialize(df: DataFrame) -> DataFrame:
 _STAGES: list[tuple[str, str]] = []
 
 
-def drop_stages(spark: SparkSession) -> int:
-    """Remove the tables that ``materialize`` wrote, once their results are stored elsewhere."""
-    own = [p for app, p in _STAGES if app == spark.sparkContext.applicationId]
-    for text in own:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving what ``materialize`` writes inside; for steps that store their result."""
+    start = len(_STAGES)
+    try:
+        yield
+    finally:
+        _remove(spark, _STAGES[start:])
+        del _STAGES[start:]
+
+
+def _remove(spark: SparkSession, stages: list[tuple[str, str]]) -> None:
+    for _, text in stages:
         path = spark._jvm.org.apache.hadoop.fs.Path(text)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _STAGES[:] = [s for s in _STAGES if s[1] not in own]
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` wrote, once their results are stored elsewhere."""
+    own = [s for s in _STAGES if s[0] == spark.sparkContext.applicationId]
+    _remove(spark, own)
+    _STAGES[:] = [s for s in _STAGES if s not in own]
     return len(own)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -50,31 +51,54 @@ def _filesystem(spark: SparkSession, text: str):
     return _path(spark, text).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def replace_snapshot(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
+# Versions that no kept pointer names are removed once they are this old, in seconds, so
+# that readers that began before a replacement can finish.
+GRACE = 3600.0
+KEPT_POINTERS = 2
+
+
+def replace_snapshot(df: DataFrame, table: str, partition_by: Sequence[str] = (), grace: float = GRACE) -> str:
     """Write a new version of a table and then point to it.
 
     Readers see the old or the new version, never a mixture or nothing, and a job may
     read the table it replaces. Each version has a numbered pointer file of its own,
-    renamed into place whole; readers take the highest number. Pointers before the
-    previous one are removed.
+    renamed into place whole; readers take the highest number. The previous version
+    stays; older ones go after ``grace`` seconds.
     """
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = new_version()
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{table}/{version}")
+    publish(spark, table, version)
+    remove_old_versions(spark, table, grace)
+    return version
+
+
+def new_version() -> str:
+    return f"v-{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, table: str, text: str, after: int | None = None) -> int:
+    """Make ``text`` the newest pointer of a table.
+
+    With ``after`` nobody else may have published since that pointer was read.
+    """
     fs = _filesystem(spark, table)
-    staged = _path(spark, f"{table}/_{POINTER}-{version}")
+    staged = _path(spark, f"{table}/_{POINTER}-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
-    out.write(bytearray(version.encode("utf-8")))
+    out.write(bytearray(text.encode("utf-8")))
     out.close()
     number = max(pointers(spark, table), default=0) + 1
+    if after is not None and number != after + 1:
+        fs.delete(staged, False)
+        raise RuntimeError(f"{table} was changed by another writer")
     while not fs.rename(staged, _path(spark, _pointer(table, number))):
-        if not fs.exists(_path(spark, _pointer(table, number))):
+        if after is not None or not fs.exists(_path(spark, _pointer(table, number))):
             raise OSError(f"cannot publish a version of {table}")
         number += 1  # another writer took the number
     for old in pointers(spark, table):
-        if old < number - 1:
+        if old <= number - KEPT_POINTERS:
             fs.delete(_path(spark, _pointer(table, old)), False)
-    return version
+    return number
 
 
 def _pointer(table: str, number: int) -> str:
@@ -88,11 +112,39 @@ def pointers(spark: SparkSession, table: str) -> list[int]:
     return sorted(int(f.getPath().getName().rsplit("-", 1)[1]) for f in found)
 
 
+def pointer_text(spark: SparkSession, table: str, number: int) -> str:
+    stream = _filesystem(spark, table).open(_path(spark, _pointer(table, number)))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def glob_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files or folders that fit a pattern."""
+    found = _filesystem(spark, pattern).globStatus(_path(spark, pattern)) or []
+    return [f.getPath().getName() for f in found]
+
+
 def current_version(spark: SparkSession, table: str) -> str | None:
     published = pointers(spark, table)
-    if not published:
-        return None
-    return spark.read.text(_pointer(table, published[-1])).first()[0].strip()
+    return pointer_text(spark, table, published[-1]).strip() if published else None
+
+
+def remove_old_versions(spark: SparkSession, table: str, grace: float = GRACE) -> int:
+    """Remove the versions that no pointer names and whose write ended over ``grace`` seconds ago.
+
+    A version that is still being written has no success mark and stays.
+    """
+    fs = _filesystem(spark, table)
+    named = "\n".join(pointer_text(spark, table, n) for n in pointers(spark, table))
+    removed = 0
+    for found in fs.globStatus(_path(spark, f"{table}/v-*/_SUCCESS")) or []:
+        folder = found.getPath().getParent()
+        if folder.getName() not in named and time.time() - found.getModificationTime() / 1000.0 >= grace:
+            fs.delete(folder, True)
+            removed += 1
+    return removed
 
 
 def read_snapshot(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:

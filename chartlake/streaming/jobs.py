@@ -1,9 +1,13 @@
 """Structured Streaming jobs over engagement events, snapshots and comments.
 
-Sinks are append-only: every micro-batch writes its own ``batch=<id>`` folder in
+Logs are append-only: every micro-batch writes its own ``batch=<id>`` folder in
 overwrite mode, so a repeated batch replaces itself and no batch rewrites
-earlier data. Event times are ``timestamp`` at the stream edge (watermarks need
-it) and without zone everywhere else.
+earlier data. What a stream must remember (seen keys, likes, totals) is a table in
+hash buckets beside the log, not state in memory: a batch reads and changes the
+buckets of its own songs only, and the table knows the last batch of each stream. A
+batch writes such tables in an order that lets it be repeated after any failure.
+Event times are ``timestamp`` at the stream edge (watermarks need it) and without
+zone everywhere else.
 """
 from __future__ import annotations
 
@@ -16,10 +20,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chartlake.functions.coerce import strip
 from chartlake.functions.scores import community_score
+from chartlake.operators.catalog import dedupe_keep
 from chartlake.operators.engagement import valid_key, valid_plays
-from chartlake.operators.catalog import history_compact
 from chartlake.operators.quality import mark_analyzed
-from chartlake.sources.tables import read_snapshot, replace_snapshot
+from chartlake.plans.upkeep import history_table
+from chartlake.session import materialize, scratch
+from chartlake.sources.parts import KeyedTable
+from chartlake.sources.tables import GRACE, read_snapshot, replace_snapshot
 
 BATCH = "batch"
 # Folder of rewritten batches; readers of the log skip names with an underscore.
@@ -97,26 +104,59 @@ def ensure_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-# Plays ------------------------------------------------------------------------
-def unique_play_stream(
-    plays: DataFrame, qualifies: Column | None = None, bounded_by: str | None = None
-) -> DataFrame:
-    """One play per (song, session).
-
-    Exact by default: the state keeps every pair for ever. ``bounded_by`` (such
-    as "7 days") keeps a pair only within the watermark, so a repeat after that
-    time counts again.
+# Seen keys --------------------------------------------------------------------
+# Hash buckets of the tables beside the logs.
+BUCKETS = 64
+PAIR = ["song_id", "session_id"]
+
+
+def key_table(spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS) -> KeyedTable:
+    """Table of text keys that a stream has seen."""
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    return KeyedTable(spark, path, schema, keys, buckets, by)
+
+
+def unseen(batch: DataFrame, seen: KeyedTable) -> DataFrame:
+    """One row for each key of the batch that is not in the table, and only its buckets read.
+
+    ``batch`` is stored; of its rows with one key the first by time, then by hash, counts.
     """
+    order = [F.col("counted_at").asc()] if "counted_at" in batch.columns else []
+    one = dedupe_keep(batch, seen.keys, [*order, F.xxhash64(*batch.columns).asc()])
+    return one.join(seen.read(seen.touched(batch)), seen.keys, "left_anti")
+
+
+# Plays ------------------------------------------------------------------------
+def unique_play_stream(plays: DataFrame, qualifies: Column | None = None, bounded_by: str = "7 days") -> DataFrame:
+    """One play per (song, session) within the watermark ``bounded_by``; a repeat after it counts again."""
     valid = valid_plays(plays if qualifies is None else plays.where(qualifies))
-    pair = ["song_id", "session_id"]
-    if bounded_by is None:
-        return valid.dropDuplicates(pair)
     timed = valid.withColumn("counted_at", F.col("counted_at").cast("timestamp"))
-    return timed.withWatermark("counted_at", bounded_by).dropDuplicatesWithinWatermark(pair)
+    return timed.withWatermark("counted_at", bounded_by).dropDuplicatesWithinWatermark(PAIR)
+
+
+def seen_plays(spark: SparkSession, folder: str) -> KeyedTable:
+    return key_table(spark, f"{folder}/_seen", PAIR, ["song_id"])
 
 
 def play_sink(plays: DataFrame, folder: str, checkpoint: str, qualifies=None, bounded_by=None) -> StreamingQuery:
-    """Append unique plays to a parquet table (exactly once through the file sink)."""
+    """Append unique plays to a parquet table.
+
+    Exact by default: pairs ever counted are a table in buckets of songs, of which a
+    batch reads those of its songs. ``bounded_by`` (such as "7 days") keeps pairs in
+    state, within the watermark only.
+    """
+    if bounded_by is None:
+        seen = seen_plays(plays.sparkSession, folder)
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            if not seen.applied(checkpoint, batch_id):
+                with scratch(batch.sparkSession):
+                    valid = materialize(valid_plays(batch if qualifies is None else batch.where(qualifies)))
+                    fresh = materialize(unseen(valid, seen))
+                    write_batch(fresh, folder, batch_id)
+                    seen.append(fresh, checkpoint, batch_id)
+
+        return run_available(plays, checkpoint, write)
     query = (
         unique_play_stream(plays, qualifies, bounded_by)
         .writeStream.format("parquet")
@@ -165,74 +205,74 @@ def liked_now(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Counters ---------------------------------------------------------------------
-PLAY_DELTA = T.StructType([T.StructField("song_id", T.StringType()), T.StructField("plays", T.LongType())])
-
-
-COUNTERS = T.StructType(
-    [
-        T.StructField("song_id", T.StringType()),
-        T.StructField("play_count", T.LongType()),
-        T.StructField("like_count", T.LongType()),
-    ]
-)
+class Counters:
+    """Totals of plays and likes by song, with what is needed to keep them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        def total(name: str) -> KeyedTable:
+            fields = [T.StructField("song_id", T.StringType()), T.StructField(name, T.LongType())]
+            return KeyedTable(spark, f"{folder}/{name}", T.StructType(fields), ["song_id"], BUCKETS)
+
+        self.seen = seen_plays(spark, folder)
+        self.toggles = KeyedTable(spark, f"{folder}/_toggles", TOGGLE_LOG, ["song_id", "actor_key"], BUCKETS, ["song_id"])
+        self.plays, self.likes = total("play_count"), total("like_count")
+
+    def add(self, table: KeyedTable, changes: DataFrame, stream: str, batch_id: int) -> None:
+        """Add ``changes`` (by song) to the totals of their songs."""
+        name = table.schema.names[1]
+
+        def summed(old: DataFrame, new: DataFrame) -> DataFrame:
+            return old.unionByName(new).groupBy("song_id").agg(F.sum(name).alias(name))
+
+        table.merge(changes, summed, stream, batch_id)
+
+    def count_plays(self, batch: DataFrame, stream: str, batch_id: int) -> None:
+        """Count the new (song, session) pairs of a batch. The seen pairs, that tell new
+        ones, are written last: until then the batch can be repeated."""
+        if not self.seen.applied(stream, batch_id):
+            with scratch(batch.sparkSession):
+                fresh = materialize(unseen(materialize(valid_plays(batch)), self.seen).select(*PAIR))
+                self.add(self.plays, fresh.groupBy("song_id").agg(F.count(F.lit(1)).alias("play_count")), stream, batch_id)
+                self.seen.append(fresh, stream, batch_id)
+
+    def count_likes(self, batch: DataFrame, stream: str, batch_id: int) -> None:
+        """Turn the likes that a batch toggles an odd number of times; the toggles are written last."""
+        if not self.toggles.applied(stream, batch_id):
+            with scratch(batch.sparkSession):
+                turned = materialize(toggle_batch(batch).where(F.col("toggles") % 2 == 1))
+                pair = ["song_id", "actor_key"]
+                before = self.toggles.read(self.toggles.touched(turned)).groupBy(*pair).agg(F.sum("toggles").alias("_before"))
+                step = F.when(F.coalesce("_before", F.lit(0)) % 2 == 1, -1).otherwise(1)
+                changes = turned.join(before, pair, "left").groupBy("song_id").agg(F.sum(step).alias("like_count"))
+                self.add(self.likes, changes, stream, batch_id)
+                self.toggles.append(turned, stream, batch_id)
 
 
 def counter_sinks(plays: DataFrame, toggles: DataFrame, folder: str, checkpoint: str) -> None:
-    """Keep play deltas, toggle counts and the counters of the songs each batch touches.
-
-    A batch reads the logs for its own songs only and appends their new counters; the
-    last row of a song counts.
-    """
-    spark = plays.sparkSession
-    for name in ("plays", "likes", "play_totals", "like_totals"):
-        ensure_folder(spark, f"{folder}/{name}")
-
-    def delta(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy("song_id").agg(F.count(F.lit(1)).alias("plays"))
-        write_batch(counts, f"{folder}/plays", batch_id)
-        touched = spark.read.parquet(f"{folder}/plays/{BATCH}={batch_id}").select("song_id")
-        log = read_batches(spark, f"{folder}/plays", PLAY_DELTA).where(F.col(BATCH) <= batch_id)
-        totals = log.join(touched, "song_id", "left_semi").groupBy("song_id").agg(F.sum("plays").alias("play_count"))
-        totals = totals.withColumn("like_count", F.lit(None).cast("long"))
-        write_batch(totals.select(*COUNTERS.names), f"{folder}/play_totals", batch_id)
-
-    def toggled(batch: DataFrame, batch_id: int) -> None:
-        write_batch(toggle_batch(batch), f"{folder}/likes", batch_id)
-        touched = spark.read.parquet(f"{folder}/likes/{BATCH}={batch_id}").select("song_id").distinct()
-        log = read_batches(spark, f"{folder}/likes", TOGGLE_LOG).where(F.col(BATCH) <= batch_id)
-        pairs = log.join(touched, "song_id", "left_semi").groupBy("song_id", "actor_key").agg(F.sum("toggles").alias("_t"))
-        totals = pairs.groupBy("song_id").agg(F.count_if(F.col("_t") % 2 == 1).alias("like_count"))
-        totals = totals.withColumn("play_count", F.lit(None).cast("long"))
-        write_batch(totals.select(*COUNTERS.names), f"{folder}/like_totals", batch_id)
-
-    run_available(unique_play_stream(plays), f"{checkpoint}/plays", delta)
-    run_available(toggles, f"{checkpoint}/likes", toggled)
-
-
-def rewrite_counters(spark: SparkSession, folder: str) -> None:
-    """Upkeep of all counter logs."""
-    rewrite_toggles(spark, f"{folder}/likes")
-    plays = F.sum("plays").alias("plays")
-    rewrite_batches(spark, f"{folder}/plays", PLAY_DELTA, lambda df: df.groupBy("song_id").agg(plays))
-    for name in ("play_totals", "like_totals"):
-        rewrite_batches(spark, f"{folder}/{name}", COUNTERS, last_totals, ordered=True)
-
-
-def last_totals(rows: DataFrame) -> DataFrame:
-    """The last counters of each song."""
-    return rows.groupBy("song_id").agg(*[F.max_by(c, BATCH).alias(c) for c in COUNTERS.names[1:]])
+    """Keep the play and like totals of all songs; a batch reads and writes the buckets of its songs."""
+    counters = Counters(plays.sparkSession, folder)
+    run_available(plays, f"{checkpoint}/plays", lambda df, i: counters.count_plays(df, f"{checkpoint}/plays", i))
+    run_available(toggles, f"{checkpoint}/likes", lambda df, i: counters.count_likes(df, f"{checkpoint}/likes", i))
+
+
+def rewrite_counters(spark: SparkSession, folder: str, over: int = 8, grace: float = GRACE) -> None:
+    """Upkeep: buckets that were appended to often become one folder; old versions go."""
+    counters = Counters(spark, folder)
+    counters.seen.fold(over=over)
+    total = F.sum("toggles").alias("toggles")
+    counters.toggles.fold(
+        lambda df: df.groupBy("song_id", "actor_key").agg(total).where(F.col("toggles") % 2 == 1), over=over
+    )
+    for table in (counters.seen, counters.toggles, counters.plays, counters.likes):
+        table.clean(grace)
 
 
 def current_counters(songs: DataFrame, comments: DataFrame, folder: str, as_of: str) -> DataFrame:
-    """Counters and score of all songs from their last totals."""
-    spark = songs.sparkSession
-
-    def last(name: str, column: str) -> DataFrame:
-        return last_totals(read_batches(spark, f"{folder}/{name}", COUNTERS)).select("song_id", column)
-
+    """Counters and score of all songs from their totals."""
+    counters = Counters(songs.sparkSession, folder)
     visible = comments.where(F.col("status") == "visible").groupBy("song_id")
     shown = visible.agg(F.count(F.lit(1)).alias("comment_count"))
-    parts = ((last("play_totals", "play_count"), "play_count"), (last("like_totals", "like_count"), "like_count"), (shown, "comment_count"))
+    parts = ((counters.plays.read(), "play_count"), (counters.likes.read(), "like_count"), (shown, "comment_count"))
     out = songs.withColumn("song_id", F.col("id"))
     for counts, name in parts:
         out = out.join(counts, "song_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
@@ -242,24 +282,9 @@ def current_counters(songs: DataFrame, comments: DataFrame, folder: str, as_of:
 
 # Snapshots --------------------------------------------------------------------
 def history_sink(snapshots: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append landed snapshots, partitioned by day."""
-    query = (
-        snapshots.withColumn("checked_day", F.to_date("checked_at"))
-        .writeStream.format("parquet")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("checked_day")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
-
-
-def compact_history(spark: SparkSession, folder: str, table: str, as_of: str, high_res_days: int = 7) -> str:
-    """Publish the compacted snapshots of a history sink as a snapshot table."""
-    rows = history_compact(spark.read.parquet(folder).drop("checked_day"), as_of, high_res_days)
-    return replace_snapshot(rows, table)
+    """Append landed snapshots to a history table in days (see ``compact_days``)."""
+    table = history_table(snapshots.sparkSession, folder, snapshots.schema)
+    return run_available(snapshots, checkpoint, lambda df, i: table.append(df, checkpoint, i))
 
 
 # Comments ---------------------------------------------------------------------
@@ -268,16 +293,20 @@ def comment_sink(
 ) -> StreamingQuery:
     """Classify newly landed comments once.
 
-    The stream drops ids it has seen and blank comments; the checkpoint takes
-    the place of a "not yet analysed" column.
+    Blank comments and ids classified before, which are a table in buckets, are left
+    out; the checkpoint takes the place of a "not yet analysed" column.
     """
-    ensure_folder(comments.sparkSession, folder)
-    fresh = comments.where(strip(F.coalesce(F.col("content"), F.lit(""))) != "").dropDuplicates(["comment_id"])
+    spark = comments.sparkSession
+    ensure_folder(spark, folder)
+    seen = key_table(spark, f"{folder}/_seen", ["comment_id"])
 
     def classify_batch(batch: DataFrame, batch_id: int) -> None:
-        labelled = mark_analyzed(batch, as_of)
-        write_batch(labelled.select(*label_columns) if label_columns else labelled, folder, batch_id)
-
-    return run_available(fresh, checkpoint, classify_batch)
-
-
+        if not seen.applied(checkpoint, batch_id):
+            with scratch(spark):
+                filled = batch.where(strip(F.coalesce(F.col("content"), F.lit(""))) != "")
+                fresh = materialize(unseen(materialize(filled), seen))
+                labelled = mark_analyzed(fresh, as_of)
+                write_batch(labelled.select(*label_columns) if label_columns else labelled, folder, batch_id)
+                seen.append(fresh, checkpoint, batch_id)
+
+    return run_available(comments, checkpoint, classify_batch)

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartlake.functions.scores import play_qualifies
+from chartlake.plans.upkeep import compact_days, history_table
 from chartlake.sources.driver import AS_OF
-from chartlake.sources.tables import read_snapshot
 from chartlake.streaming import jobs
 from checks.ingest_checks import work_folder
 from checks.registry import check
@@ -16,14 +16,14 @@ def event_stream(d):
 
 
 def in_batches(d, run, upkeep) -> None:
-    """Land the events in three files, one batch each; ``upkeep`` runs before the last one."""
+    """Land the events in three folders, one batch each; ``upkeep`` runs before the last one."""
     landed = work_folder(d, "landed")
     events = d.raw("events")
     for k in range(3):
-        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(landed)
+        events.where(F.col("event_id") % 3 == k).write.parquet(f"{landed}/{k}")
         if k == 2:
             upkeep()
-        run(d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed))
+        run(d.spark.readStream.schema(events.schema).parquet(f"{landed}/*"))
 
 
 def part_count(d):
@@ -66,6 +66,18 @@ def stream_play_dedupe(d):
     return d.spark.read.parquet(f"{folder}/table").select("song_id", "session_id")
 
 
+@check("stream_play_batches", "SELECT song_id, session_id, counted_at FROM v_first_plays")
+def stream_play_batches(d):
+    """Unique plays over several batches, each a run of its own."""
+    folder = work_folder(d, "plays")
+    in_batches(
+        d,
+        lambda events: jobs.play_sink(play_stream(d, events), f"{folder}/table", f"{folder}/checkpoint"),
+        lambda: jobs.seen_plays(d.spark, f"{folder}/table").fold(over=1),
+    )
+    return d.spark.read.parquet(f"{folder}/table").select("song_id", "session_id", "counted_at")
+
+
 @check("stream_like_toggle", "SELECT song_id, count(*) AS like_count FROM v_likes GROUP BY 1")
 def stream_like_toggle(d):
     folder = work_folder(d, "likes")
@@ -85,7 +97,7 @@ def stream_song_counters(d):
         lambda events: jobs.counter_sinks(
             play_stream(d, events).drop("value", "k"), toggle_stream(d, events), f"{folder}/log", f"{folder}/checkpoint"
         ),
-        lambda: jobs.rewrite_counters(d.spark, f"{folder}/log"),
+        lambda: jobs.rewrite_counters(d.spark, f"{folder}/log", over=1),
     )
     out = jobs.current_counters(d.app_songs(), d.app_comments(), f"{folder}/log", AS_OF)
     return out.select("id", "play_count", "like_count", "comment_count", "trend_score")
@@ -98,12 +110,16 @@ def stream_song_counters(d):
          QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE ORDER BY checked_at DESC, play_count + upvote_count + comment_count DESC) = 1)""",
 )
 def stream_history(d):
+    """Snapshots land in two batches; days are compacted after each."""
     folder = work_folder(d, "history")
-    d.song_history().write.parquet(f"{folder}/landed")
-    schema = d.spark.read.parquet(f"{folder}/landed").schema
-    jobs.history_sink(jobs.file_stream(d.spark, f"{folder}/landed", schema), f"{folder}/table", f"{folder}/checkpoint")
-    jobs.compact_history(d.spark, f"{folder}/table", f"{folder}/compact", AS_OF)
-    return read_snapshot(d.spark, f"{folder}/compact").select("id", "checked_at", "play_count")
+    history = d.song_history()
+    table = history_table(d.spark, f"{folder}/table", history.schema)
+    for k in range(2):
+        history.where(F.pmod(F.xxhash64("id", "checked_at", "play_count"), F.lit(2)) == k).write.parquet(f"{folder}/landed/{k}")
+        stream = d.spark.readStream.schema(history.schema).parquet(f"{folder}/landed/*")
+        jobs.history_sink(stream, f"{folder}/table", f"{folder}/checkpoint")
+        compact_days(table, AS_OF)
+    return table.read().select("id", "checked_at", "play_count")
 
 
 @check(

@@ -194,6 +194,12 @@ VIEWS = {
         SELECT * FROM v_play_events WHERE len(session_id) >= 6
         QUALIFY row_number() OVER (PARTITION BY song_id, session_id ORDER BY counted_at, event_id) = 1
     """,
+    # First of the batches (event_id modulo 3) that has the pair, and there the first by time.
+    "v_first_plays": """
+        SELECT song_id, session_id, min(counted_at) AS counted_at FROM (
+          SELECT *, min(event_id % 3) OVER (PARTITION BY song_id, session_id) AS first FROM v_play_events WHERE len(session_id) >= 6)
+        WHERE event_id % 3 = first GROUP BY ALL
+    """,
     "v_likes": """
         SELECT song_id, actor_key FROM (
           SELECT ((floor(value)::BIGINT * 7 + user_id) % (SELECT count(*) FROM part))::VARCHAR AS song_id,

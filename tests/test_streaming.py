@@ -6,7 +6,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from chartlake.operators.engagement import liked_pairs
+from chartlake.plans import upkeep
 from chartlake.session import shared_folder
+from chartlake.sources import tables
 from chartlake.streaming import jobs
 
 EVENTS = [("s", "user:1"), ("s", "user:1"), ("s", "user:2"), ("t", "user:1"), ("t", "user:3"), ("s", "user:1")]
@@ -46,3 +48,163 @@ def test_unique_plays_across_batches(spark):
         jobs.play_sink(bounded, f"{base}/out2", f"{base}/cp2", bounded_by="7 days")
     assert [r["play_seconds"] for r in spark.read.parquet(f"{base}/out").collect()] == [5]
     assert spark.read.parquet(f"{base}/out2").count() == 1
+
+
+def test_repeated_play_batch_changes_nothing(spark):
+    """A batch that comes again after a failure, whether before or after its last write."""
+    base = folder(spark)
+    counters = jobs.Counters(spark, base)
+    rows = [("s", f"session-{i % 3}", 5, f"2024-01-01 00:00:0{i}") for i in range(6)] + [("t", "session-1", 5, "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "song_id string, session_id string, play_seconds long, counted_at string")
+    counters.count_plays(df.where("session_id = 'session-0'"), "x", 0)
+    fresh = jobs.unseen(jobs.valid_plays(df), counters.seen)
+    assert fresh.count() == 3
+    # The totals of batch 1 were written, the seen pairs not yet.
+    counters.add(counters.plays, fresh.groupBy("song_id").agg(F.count(F.lit(1)).alias("play_count")), "x", 1)
+    for _ in range(2):
+        counters.count_plays(df, "x", 1)
+        assert {tuple(r) for r in counters.plays.read().collect()} == {("s", 3), ("t", 1)}
+    assert counters.seen.read().count() == 4
+
+
+def test_like_totals_over_batches_and_upkeep(spark):
+    base = folder(spark)
+    counters = jobs.Counters(spark, base)
+    df = spark.createDataFrame(EVENTS, "song_id string, actor_key string")
+    for i, part in enumerate((df.limit(2), df.limit(1), df.where("actor_key <> 'user:1'"), df.where("song_id = 't'"))):
+        for _ in range(2):
+            counters.count_likes(part, "x", i)
+        if i == 2:
+            jobs.rewrite_counters(spark, base, over=0, grace=0)
+    # s: user:1 twice and once, user:2 once; t: user:3 twice, user:1 once.
+    assert {tuple(r) for r in counters.likes.read().collect()} == {("s", 2), ("t", 1)}
+
+
+def test_batches_read_only_the_buckets_of_their_songs(spark):
+    base = folder(spark)
+    counters = jobs.Counters(spark, base)
+    many = spark.range(2000).selectExpr(
+        "concat('song-', id % 500) AS song_id", "concat('session-', id) AS session_id", "1L AS play_seconds",
+        "timestamp_ntz '2024-01-01 00:00:00' AS counted_at",
+    )
+    counters.count_plays(many, "x", 0)
+    one = many.where("song_id = 'song-7'").withColumn("session_id", F.concat("session_id", F.lit("-again")))
+    touched = counters.seen.touched(one)
+    assert len(touched) == 1
+    wanted = f"/part={touched[0]}/"
+    files = jobs.unseen(one, counters.seen).inputFiles()
+    assert all(wanted in f for f in files) and files
+    before = counters.plays.listing()[1]["parts"]
+    counters.count_plays(one, "x", 1)
+    after = counters.plays.listing()[1]["parts"]
+    assert sorted(p for p in after if after[p] != before.get(p)) == touched
+    assert counters.plays.read().where("song_id = 'song-7'").first()["play_count"] == 8
+
+
+def test_comments_are_classified_once_over_batches(spark):
+    base = folder(spark)
+    rows = [("c1", "love the chorus of this song"), ("c2", " "), ("c1", "love the chorus of this song"), ("c3", "nice")]
+    df = spark.createDataFrame(rows, "comment_id string, content string")
+    for k, part in enumerate((df.where("comment_id <> 'c3'"), df)):
+        part.write.parquet(f"{base}/in/{k}")
+        stream = spark.readStream.schema(df.schema).parquet(f"{base}/in/*")
+        jobs.comment_sink(stream, f"{base}/out", f"{base}/cp", "2024-01-31 00:00:00", ("comment_id", "quality_label"))
+    got = sorted(r["comment_id"] for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == ["c1", "c3"]
+
+
+def test_days_are_compacted_once(spark):
+    base = folder(spark)
+    schema = "id string, checked_at timestamp_ntz, play_count long, upvote_count long, comment_count long"
+    rows = [("a", f"2024-01-{d:02d} {h:02d}:00:00", d * 24 + h, 0, 0) for d in (1, 2, 20, 30) for h in (1, 5, 9)] + [("a", None, 1, 0, 0)]
+    df = spark.createDataFrame(rows, schema.replace("checked_at timestamp_ntz", "checked_at string"))
+    df = df.withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
+    table = upkeep.history_table(spark, base, df.schema)
+    table.append(df)
+    as_of = "2024-01-27 06:00:00"  # the line is the 20th, 06:00
+    assert upkeep.compact_days(table, as_of) == ["2024-01-01", "2024-01-02", "2024-01-20"]
+    want = upkeep.history_compact(df, as_of)
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect()))
+    before = table.listing()[1]["parts"]
+    assert upkeep.compact_days(table, as_of) == ["2024-01-20"]  # the day of the line is not marked
+    assert upkeep.compact_days(table, "2024-01-28 00:00:00") == ["2024-01-20"]
+    assert upkeep.compact_days(table, "2024-01-28 00:00:00") == []
+    after = table.listing()[1]["parts"]
+    assert sorted(p for p in after if after[p] != before[p]) == ["2024-01-20"]
+    late = df.limit(1).withColumn("checked_at", F.lit("2024-01-01 23:00:00").cast("timestamp_ntz"))
+    table.append(late)
+    assert upkeep.compact_days(table, "2024-01-28 00:00:00") == ["2024-01-01"]
+    assert table.read(["2024-01-01"]).first()["checked_at"].hour == 23
+
+
+def test_upsert_rewrites_only_touched_buckets(spark):
+    base = folder(spark)
+    rows = spark.range(1000).selectExpr("cast(id AS string) AS id", "id AS n")
+    table = tables_of(spark, base, rows.schema)
+    upkeep.upsert_table(table, rows)
+    before = table.listing()[1]["parts"]
+    updates = spark.range(10).selectExpr("cast(id * 100 AS string) AS id", "-1L AS n")  # 1 %
+    touched = upkeep.upsert_table(table, updates)
+    after = table.listing()[1]["parts"]
+    assert 0 < len(touched) <= 10 and sorted(p for p in after if after[p] != before[p]) == touched
+    got = {r.id: r.n for r in table.read().collect()}
+    assert got == {str(i): (-1 if i % 100 == 0 else i) for i in range(1000)}
+    assert len(table.read(touched).inputFiles()) < len(table.read().inputFiles())
+
+
+def tables_of(spark, base, schema):
+    from chartlake.sources.parts import KeyedTable
+
+    return KeyedTable(spark, base, schema, ["id"], 64)
+
+
+def test_a_failed_change_leaves_the_table(spark):
+    base = folder(spark)
+    rows = spark.range(100).selectExpr("cast(id AS string) AS id", "id AS n")
+    table = tables_of(spark, base, rows.schema)
+    upkeep.upsert_table(table, rows)
+    broken = rows.limit(3).withColumn("n", F.raise_error(F.lit("no")).cast("long"))
+    try:
+        upkeep.upsert_table(table, broken)
+        raise AssertionError("must fail")
+    except Exception as error:
+        assert "no" in str(error)
+    assert table.read().count() == 100
+    number, held = table.listing()
+    try:
+        tables.publish(spark, base, "{}", after=number - 1)
+        raise AssertionError("must fail")
+    except RuntimeError:
+        assert table.listing() == (number, held)
+
+
+def test_two_versions_remain_and_earlier_readers_finish(spark):
+    base = folder(spark)
+    spark.range(1).write.parquet(f"{base}/other")  # not a version
+    tables.replace_snapshot(spark.range(5), base, grace=0)
+    for n in range(6, 10):
+        reader = tables.read_snapshot(spark, base)
+        tables.replace_snapshot(spark.range(n), base, grace=0)
+        assert reader.count() == n - 1
+    assert len(tables.glob_names(spark, f"{base}/v-*")) == 2 and tables.read_snapshot(spark, base).count() == 9
+    tables.replace_snapshot(spark.range(1), base)  # within the time of grace
+    assert len(tables.glob_names(spark, f"{base}/v-*")) == 3
+    assert tables.remove_old_versions(spark, base, 0) == 1
+
+
+def test_growth_state_is_rebuilt_where_the_anchor_changed(spark):
+    from chartlake.operators import scoring
+
+    base = folder(spark)
+    schema = "id string, checked_at string, play_count long, upvote_count long, comment_count long"
+    rows = [(i, f"2024-01-0{d} 0{h}:00:00", 10 * d + h, h, 0) for i in "ab" for d in (1, 2) for h in (2, 5, 8)]
+    hist = spark.createDataFrame(rows, schema).withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
+    songs = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-01"), ("c", "2024-01-01")], "id string, created_at string")
+    songs = songs.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    table = upkeep.growth_table(spark, base, 4)
+    upkeep.add_growth(table, songs, hist)
+    moved = songs.where("id = 'b'").withColumn("created_at", F.lit("2024-01-02").cast("timestamp_ntz"))
+    upkeep.rebuild_growth(table, moved, hist)
+    now = songs.where("id <> 'b'").unionByName(moved)
+    want = sorted(map(str, scoring.growth_features(now, hist).collect()))
+    assert sorted(map(str, scoring.with_growth(now, table.read()).collect())) == want
