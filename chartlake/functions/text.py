@@ -51,46 +51,60 @@ NOT_LATIN = "[^\u0000-\u00ff]"
 NOT_WINDOWS = f"[^\u0000-\u007f\u00a0-\u00ff{WINDOWS}]"
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def _damage(text: Column) -> Column:
-    marked, controls = _count(text, "".join(BROKEN_MARKERS)), _count(text, CONTROLS)
+    marked = F.regexp_count(text, F.lit(f"[{''.join(BROKEN_MARKERS)}]"))
+    controls = F.regexp_count(text, F.lit(f"[{CONTROLS}]"))
     return MARKER_PENALTY * marked + CONTROL_PENALTY * controls + F.greatest(F.lit(0), SHORT_TEXT - F.length(text))
 
 
-def _redecoded(text: Column, lossy: bool) -> list[Column]:
-    """UTF-8 readings of a text's bytes in each code page; null where there is none."""
+def _redecoded(text: Column) -> Column:
+    """UTF-8 reading of a text's bytes; null where there is none.
+
+    Of the two code pages at most one has a reading of its own: Latin-1 if no character
+    is above it, else Windows.
+    """
+    above = F.regexp_like(text, F.lit(NOT_LATIN))
+    windows = F.when(~F.regexp_like(text, F.lit(NOT_WINDOWS)), F.translate(text, WINDOWS, WINDOWS_CONTROLS))
+    narrow = F.when(above, windows).otherwise(text)
+    return F.try_validate_utf8(F.encode(narrow, "ISO-8859-1").cast("string"))
+
+
+def _redecoded_parts(text: Column) -> list[Column]:
+    """Readings of what remains of a text without the characters that do not fit."""
     out = []
     for outside, windows in ((NOT_LATIN, False), (NOT_WINDOWS, True)):
-        for drop in (False, True) if lossy else (False,):
-            kept = F.regexp_replace(text, outside, "") if drop else text
-            narrow = F.translate(kept, WINDOWS, WINDOWS_CONTROLS) if windows else kept
-            if drop:
-                # A replacement character that the text spells out is kept under another one.
-                held = F.replace(narrow, F.lit(SPELLED_REPLACEMENT), F.lit(SPELLED_STAND_IN))
-                valid = F.make_valid_utf8(F.encode(held, "ISO-8859-1").cast("string"))
-                out.append(F.translate(F.translate(valid, REPLACEMENT, ""), STAND_IN, REPLACEMENT))
-            else:
-                read = F.encode(narrow, "ISO-8859-1").cast("string")
-                out.append(F.when(~F.regexp_like(text, F.lit(outside)), F.try_validate_utf8(read)))
+        kept = F.regexp_replace(text, outside, "")
+        narrow = F.translate(kept, WINDOWS, WINDOWS_CONTROLS) if windows else kept
+        # A replacement character that the text spells out is kept under another one.
+        held = F.replace(narrow, F.lit(SPELLED_REPLACEMENT), F.lit(SPELLED_STAND_IN))
+        valid = F.make_valid_utf8(F.encode(held, "ISO-8859-1").cast("string"))
+        out.append(F.translate(F.translate(valid, REPLACEMENT, ""), STAND_IN, REPLACEMENT))
     return out
 
 
 def _least_damaged(text: Column, lossy: bool) -> Column:
     """Best of the readings that up to ``REPAIR_ROUNDS`` rounds of decoding give."""
 
+    def readings(t: Column) -> Column:
+        whole = _redecoded(t)
+        if not lossy:
+            return F.array(whole)
+        latin, windows = _redecoded_parts(t)
+        return F.array(F.when(~F.regexp_like(t, F.lit(NOT_LATIN)), whole), latin, whole, windows)
+
     def step(acc, _):
-        read = F.flatten(F.transform(acc["last"], lambda t: F.array(*_redecoded(t, lossy))))
+        read = F.flatten(F.transform(acc["last"], readings))
         new = F.array_except(F.filter(read, lambda t: F.coalesce(t, F.lit("")) != ""), acc["seen"])
         grown = F.transform(F.array(new), lambda n: F.struct(F.concat(acc["seen"], n).alias("seen"), n.alias("last")))
         return F.element_at(grown, 1)
 
+    def best(seen: Column) -> Column:
+        ranked = F.transform(seen, lambda t, i: F.struct(_damage(t).alias("damage"), i.alias("place"), t.alias("text")))
+        return F.when(F.size(seen) == 1, seen[0]).otherwise(F.array_min(ranked)["text"])
+
     start = F.struct(F.array(text).alias("seen"), F.array(text).alias("last"))
     seen = F.aggregate(F.sequence(F.lit(1), F.lit(REPAIR_ROUNDS)), start, step, lambda acc: acc["seen"])
-    ranked = F.transform(seen, lambda t, i: F.struct(_damage(t).alias("damage"), i.alias("place"), t.alias("text")))
-    return F.array_min(ranked)["text"]
+    return _once(seen, best)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -8,12 +8,14 @@ from chartlake.config import RankingConfig
 from chartlake.functions.coerce import as_ts
 from chartlake.functions.text import normalize_text_columns
 from chartlake.operators.catalog import prune_children, upsert_by_key
-from chartlake.operators.charts import RANK_HISTORY_COLUMNS, chart_order, cutoff
-from chartlake.operators.ordinal import global_ordinal
+from chartlake.operators.charts import RANK_HISTORY_COLUMNS, SCORE_DIGITS, chart_order, cutoff
+from chartlake.operators.ordinal import ordinals_of
 from chartlake.operators.scoring import score_songs
 from chartlake.session import materialize
 
 CHART_BANDS = (10, 50, 200)
+# Ranges of scores in one unit of score, for ranks.
+SCORE_RANGES = 16
 PEAKS = ("play_count", "upvote_count", "comment_count", "adjusted_comment_count")
 
 
@@ -77,14 +79,17 @@ def split_expired(db: DataFrame, as_of: str, days: int = 4) -> tuple[DataFrame,
     return expired, active
 
 
-def scored_with_rank(db: DataFrame, hist: DataFrame, as_of: str, cfg=RankingConfig()) -> DataFrame:
-    """Scores of the whole catalogue with their overall rank (distributed ordinal).
+def expired_with_rank(db: DataFrame, hist: DataFrame, as_of: str, cfg=RankingConfig()) -> DataFrame:
+    """Scores of the expired items with their rank in the whole catalogue.
 
-    The scores are stored first: range partitioning reads its input twice.
+    The scores of the catalogue are stored once; only ranges of scores that hold an
+    expired item are put in order.
     """
     scores = ("trend_score", "base_score", "growth_score", "freshness_score")
     scored = materialize(score_songs(db, hist, as_of, cfg).select("id", "created_at", *scores))
-    return global_ordinal(scored, chart_order(), "computed_rank")
+    coarse = F.floor(F.round("trend_score", SCORE_DIGITS) * SCORE_RANGES)
+    expired = F.col("created_at") < cutoff(as_of, cfg.max_age_days)
+    return ordinals_of(scored, expired, chart_order(), coarse, "computed_rank")
 
 
 def archive_rows(
@@ -92,7 +97,7 @@ def archive_rows(
 ) -> DataFrame:
     """Final, best and peak values of every expired item."""
     expired, _ = split_expired(db, as_of, cfg.max_age_days)
-    scored = scored_with_rank(db, hist, as_of, cfg).select(
+    scored = expired_with_rank(db, hist, as_of, cfg).select(
         "id",
         "computed_rank",
         F.col("trend_score").alias("final_trend_score"),

@@ -10,6 +10,8 @@ from chartlake.session import materialize
 
 # monotonically_increasing_id keeps the row index of a partition in its low bits.
 ROW_INDEX_BITS = 33
+# Rows that one task may put in order.
+HOT_ROWS = 2_000_000
 
 
 def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "rank", partitions: int | None = None):
@@ -31,6 +33,37 @@ def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "rank", p
     return joined.withColumn(name, F.col("_offset") + index + 1).drop("_row", "_part", "_offset")
 
 
+def ordinals_of(
+    df: DataFrame, wanted: Column, order: Sequence[Column], coarse: Column, name: str = "rank", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The ``wanted`` rows of a stored frame with their 1-based ordinal among all rows in ``order``.
+
+    ``coarse`` must fall as ``order`` goes on (nulls last) and cuts the rows into ranges.
+    A histogram of the ranges, combined map-side, tells how many rows lie before each;
+    only ranges with a wanted row are ordered, each by itself. Ranges with more than
+    ``hot_rows`` rows are ordered by a distributed sort. The histogram has one row per
+    range and is summed up in one task.
+    """
+    ranged = df.withColumn("_range", coarse)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.count_if(wanted).alias("_wanted"))
+    before = Window.orderBy(F.col("_range").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    held = materialize(bases.where("_wanted > 0").select("_range", "_rows", "_base"))
+    rows = ranged.join(F.broadcast(held), ranged["_range"].eqNullSafe(held["_range"])).drop(held["_range"])
+    small = rows.where(F.col("_rows") <= hot_rows)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = small.withColumn(name, (F.col("_base") + place).cast("long"))
+    large = held.where(F.col("_rows") > hot_rows)
+    if not large.isEmpty():
+        sorted_ = global_ordinal(rows.where(F.col("_rows") > hot_rows), order, "_place")
+        ahead = Window.orderBy(F.col("_range").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        skipped = large.select("_range", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_skipped"))
+        placed = sorted_.join(F.broadcast(skipped), sorted_["_range"].eqNullSafe(skipped["_range"])).drop(skipped["_range"])
+        number = (F.col("_base") + F.col("_place") - F.col("_skipped")).cast("long")
+        out = out.unionByName(placed.withColumn(name, number).drop("_place", "_skipped"))
+    return out.where(wanted).drop("_range", "_rows", "_base")
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

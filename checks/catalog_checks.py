@@ -278,7 +278,7 @@ def archive_inputs(d):
 )
 def archive_expired(d):
     db, older = archive_inputs(d)
-    out = archive.archive_expired(db, d.stored("song_history"), d.rank_history(), older, AS_OF)["archive"]
+    out = archive.archive_expired(db, d.stored("song_history"), d.stored("rank_history"), older, AS_OF)["archive"]
     scores = ("final_trend_score", "final_base_score", "final_growth_score", "final_freshness_score", "best_trend_score")
     counts = ("top10_count", "top50_count", "top200_count", "chart_in_count")
     reason = F.nullif("archive_reason", F.lit(""))

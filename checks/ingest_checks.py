@@ -184,10 +184,12 @@ def comments_flatten(d):
         )
 
     lines = F.transform(F.split("text", "\n"), comment)
-    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 20).cast("int"))
-    cut = d.raw("documents").select(key.alias("song_id"), lines.alias("lines"), F.posexplode(starts).alias("page_no", "_p"))
-    page = F.to_json(F.struct(F.slice("lines", F.col("page_no") * 20 + 1, F.lit(20)).alias("results")))
-    pages = cut.select("song_id", "page_no", page.alias("body"))
+    # Pages are cut inside of the row, so that no page carries all lines.
+    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 20).cast("int"))
+    cut = F.transform(starts, lambda p: F.slice("lines", p * 20 + 1, F.lit(20)))
+    listed = d.raw("documents").select(key.alias("song_id"), lines.alias("lines"))
+    paged = listed.select("song_id", F.posexplode(cut).alias("page_no", "page"))
+    pages = paged.select("song_id", "page_no", F.to_json(F.struct(F.col("page").alias("results"))).alias("body"))
     out = feeds.flatten_comments(pages)
     return out.select("song_id", "comment_id", "content", "user_handle", "num_likes", "num_replies", "is_reply")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartlake.config import TierConfig
 from chartlake.operators import archive, catalog, charts, engagement, playlists, quality, scoring
-from chartlake.operators.ordinal import global_ordinal, running_totals
+from chartlake.operators.ordinal import global_ordinal, ordinals_of, running_totals
 from chartlake.operators.skew import hot_keys, salted_join
 from chartlake.session import shared_folder
 from chartlake.sources import feeds, tables
@@ -284,3 +284,15 @@ def test_outliers_need_spread(spark):
     spread = same.unionByName(spark.createDataFrame([("c", 4000000, 5, 5)], same.schema))
     row = scoring.outlier_flags(spread, 1.0).where("id = 'c'").first()
     assert row["outlier_reasons"] == "play 4,000,000 / z=1.41" and row["is_outlier"]
+
+
+def test_ranks_of_some_rows_equal_ranks_of_all(spark):
+    rows = spark.range(3000).selectExpr("id", "IF(id % 11 = 0, NULL, (id * 7919) % 97 / 4.0) AS score", "id % 3 = 0 AS old")
+    rows = rows.withColumn("score", F.when(F.col("id") % 2 == 0, 3.25).otherwise(F.col("score")))  # half of the rows tie
+    order = [F.col("score").desc_nulls_last(), F.col("id").asc()]
+    want = {r["id"]: r["n"] for r in rows.select("id", F.row_number().over(Window.orderBy(*order)).alias("n")).collect()}
+    for hot in (10**6, 50):
+        some = ordinals_of(rows, F.col("old"), order, F.floor(F.col("score")), "n", hot_rows=hot).collect()
+        assert {r["id"]: r["n"] for r in some} == {i: n for i, n in want.items() if i % 3 == 0}
+        few = ordinals_of(rows, F.col("id") == 2997, order, F.floor(F.col("score")), "n", hot_rows=hot).collect()
+        assert [(r["id"], r["n"]) for r in few] == [(2997, want[2997])]
