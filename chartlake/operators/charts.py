@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlake.config import CrewConfig, RankingConfig
-from chartlake.functions.coerce import any_of, as_ts, plus_hours, strip
+from chartlake.functions.coerce import any_of, as_ts, col, plus_hours, strip
 from chartlake.functions.text import normalize_handle
 from chartlake.operators.ordinal import global_ordinal
 from chartlake.operators.scoring import COUNTERS, prepare_history, restored_catalog, score_items
+from chartlake.operators.skew import salted_join
 from chartlake.session import materialize
 
 SCORE_DIGITS = 6
@@ -241,7 +242,8 @@ def history_points(hist: DataFrame, ids: DataFrame, k: int = 80) -> DataFrame:
     Spark limits each group before the shuffle, so an id with many snapshots
     sends at most ``k`` rows per task.
     """
-    listed = hist.select("id", "checked_at", *COUNTERS[:3]).join(ids.select("id").distinct(), "id", "left_semi")
+    narrow = hist.select("id", "checked_at", *COUNTERS[:3])
+    listed = salted_join(narrow, ids.select("id").distinct(), ["id"], "left_semi", counted=hist.select("id"))
     newest = Window.partitionBy("id").orderBy(*latest_first(listed))
     picked = listed.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= k)
     point = F.struct(
@@ -266,14 +268,41 @@ def top_by_metric(df: DataFrame, chart_ids: DataFrame, metrics: Sequence[str], k
     return out.withColumn("in_chart", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def search_songs(df: DataFrame, query: str, columns=("title", "style_tags", "creator", "handle", "id")) -> DataFrame:
-    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    return df.where(F.contains(text, F.lit(query.strip().lower())))
+SEARCH_COLUMNS = ("title", "style_tags", "creator", "handle", "id")
 
 
-def view_sort(df: DataFrame, key: str, descending: bool = True, limit: int = 200) -> DataFrame:
-    """List view: sorted by a chosen column, ties by rank in the same direction."""
-    value = F.lower(key) if dict(df.dtypes)[key] == "string" else F.col(key)
+def search_text(columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+
+
+def search_songs(df: DataFrame, query: str, columns: Sequence[str] = SEARCH_COLUMNS) -> DataFrame:
+    return df.where(F.contains(search_text(columns), F.lit(query.strip().lower())))
+
+
+def natural_key(c: Column | str, collation: str = "UNICODE_CI_AI") -> Column:
+    """Sort key in which runs of digits compare as numbers and letters by a collation.
+
+    Digits lose leading zeros and are headed by their count, so that a longer number
+    comes later; runs of up to 999 digits keep their order.
+    """
+    runs = F.regexp_extract_all(col(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def fixed(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=.)", "")
+        width = F.lpad(F.length(digits).cast("string"), 3, "0")
+        return F.when(F.regexp_like(run, F.lit("^[0-9]")), F.concat(width, digits)).otherwise(run)
+
+    return F.collate(F.array_join(F.transform(runs, fixed), ""), collation)
+
+
+def view_sort(df: DataFrame, key: str, descending: bool = True, limit: int = 200, collation: str | None = None) -> DataFrame:
+    """List view: sorted by a chosen column, ties by rank in the same direction.
+
+    Texts compare by their code points without case, or in natural order if a
+    collation is given (such as ``ko_CI_AI``; base letters, neither case nor accents).
+    """
+    text = dict(df.dtypes)[key] == "string"
+    value = (F.lower(key) if collation is None else natural_key(key, collation)) if text else F.col(key)
     order = [value, F.col("rank")]
     order = [c.desc_nulls_last() for c in order] if descending else [c.asc_nulls_last() for c in order]
     return ranked_top(df, order, limit, "view_position")

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlake.functions.coerce import as_ts, strip
-from chartlake.operators.catalog import upsert_by_key
 from chartlake.operators.ordinal import global_ordinal
 from chartlake.operators.skew import salted_join
 
@@ -85,9 +84,11 @@ def playlist_save(
 
     ``requests`` has request_id, playlist_id, owner_user_id, name and song_ids. A
     request without an owner, or for a playlist of another owner, is refused. A blank
-    name becomes ``default_name``. ``playlists`` and ``items`` are the tables after all
-    accepted requests, ``results`` has one row per request: ok, message, name and
-    song_count. Of requests for one playlist the last request_id counts.
+    name becomes ``default_name``. Of requests for one playlist the last request_id
+    counts, the others are superseded. A new playlist is private; an existing one keeps
+    its visibility and other columns, and gets the name, the time and the items.
+    ``playlists`` and ``items`` are the tables after all accepted requests, ``results``
+    has one row per request: ok, message, name and song_count.
     """
     owners = playlists.select(F.col("id").alias("playlist_id"), F.col("owner_user_id").alias("_owner")).distinct()
     named = F.coalesce(F.nullif(strip(F.coalesce("name", F.lit(""))), F.lit("")), F.lit(default_name))
@@ -95,28 +96,37 @@ def playlist_save(
         "name", named if max_name is None else F.substring(named, 1, max_name)
     )
     ownerless = strip(F.coalesce("owner_user_id", F.lit(""))) == ""
-    message = (
+    refused = (
         F.when(ownerless, "no owner")
         .when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("owner_user_id")), "playlist not found")
         .otherwise("")
     )
-    checked = checked.withColumn("message", message)
-    last = Window.partitionBy("playlist_id").orderBy(F.col("request_id").desc())
-    accepted = checked.where(F.col("message") == "").withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1)
+    # Of one playlist the accepted requests come first, the last of them ahead.
+    last = Window.partitionBy("playlist_id").orderBy((F.col("message") == "").desc(), F.col("request_id").desc())
+    checked = checked.withColumn("message", refused).withColumn("_n", F.row_number().over(last))
+    superseded = (F.col("message") == "") & (F.col("_n") > 1)
+    checked = checked.withColumn("message", F.when(superseded, "superseded").otherwise(F.col("message")))
+    accepted = checked.where(F.col("message") == "")
     placed = playlist_positions(accepted.select("playlist_id", "song_ids"), base).withColumn("added_at", as_ts(as_of))
     counts = placed.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("song_count"))
-    saved = accepted.select(
+    new = accepted.where(F.col("_owner").isNull()).select(
         F.col("playlist_id").alias("id"), "owner_user_id", "name", F.lit("private").alias("visibility"), F.lit("active").alias("status"),
         as_ts(as_of).alias("updated_at"),
     )
-    touched = accepted.select("playlist_id")
+    changes = accepted.select(F.col("playlist_id").alias("id"), F.col("name").alias("_name"))
+    kept_lists = playlists.join(changes, "id", "left")
+    touched = F.col("_name").isNotNull()
+    saved = {"name": F.coalesce("_name", "name"), "status": F.when(touched, F.lit("active")).otherwise(F.col("status")),
+             "updated_at": F.when(touched, as_ts(as_of)).otherwise(F.col("updated_at"))}
+    kept_lists = kept_lists.withColumns(saved).drop("_name")
+    ok = F.col("message") == ""
     result = checked.join(counts, "playlist_id", "left").select(
-        "request_id", "playlist_id", (F.col("message") == "").alias("ok"), "message", "name",
-        F.when(F.col("message") == "", F.coalesce("song_count", F.lit(0))).otherwise(0).cast("long").alias("song_count"),
+        "request_id", "playlist_id", ok.alias("ok"), "message", "name",
+        F.when(ok, F.coalesce("song_count", F.lit(0))).otherwise(0).cast("long").alias("song_count"),
     )
-    kept = salted_join(items, touched, ["playlist_id"], "left_anti")
+    kept = salted_join(items, accepted.select("playlist_id"), ["playlist_id"], "left_anti")
     return {
-        "playlists": upsert_by_key(playlists, saved, ["id"]),
+        "playlists": kept_lists.unionByName(new, allowMissingColumns=True).select(*playlists.columns),
         "items": kept.unionByName(placed, allowMissingColumns=True),
         "results": result,
     }
@@ -133,3 +143,32 @@ def ordered_song_ids(playlists: DataFrame, items: DataFrame, playlist_id: str, o
 def public_playlists(playlists: DataFrame, limit: int = 30) -> DataFrame:
     shown = playlists.where((F.col("visibility") == "public") & (F.col("status") == "active"))
     return shown.orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").asc()).limit(limit)
+
+
+def register_playlist_functions(playlists: DataFrame, items: DataFrame) -> None:
+    """Temporary SQL table functions over the given tables.
+
+    ``list_playlists(owner)`` gives the owner's active playlists with their number of
+    songs, ``playlist_song_ids(owner, playlist)`` the songs of one of them with their
+    positions. A caller orders by updated_at, or by position, added_at and song_id.
+    """
+    spark = playlists.sparkSession
+    playlists.createOrReplaceTempView("chartlake_playlists")
+    items.createOrReplaceTempView("chartlake_playlist_items")
+    kinds = {name: playlists.schema[name].dataType.simpleString() for name in ("id", "updated_at")}
+    kinds |= {name: items.schema[name].dataType.simpleString() for name in ("song_id", "added_at")}
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION list_playlists(owner STRING)
+        RETURNS TABLE(id {kinds["id"]}, name STRING, song_count BIGINT, updated_at {kinds["updated_at"]})
+        RETURN SELECT p.id, p.name, count(i.song_id), p.updated_at
+          FROM chartlake_playlists p LEFT JOIN chartlake_playlist_items i ON i.playlist_id = p.id
+          WHERE p.owner_user_id = list_playlists.owner AND p.status = 'active'
+          GROUP BY p.id, p.name, p.updated_at"""
+    )
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION playlist_song_ids(owner STRING, playlist {kinds["id"]})
+        RETURNS TABLE(song_id {kinds["song_id"]}, position INT, added_at {kinds["added_at"]})
+        RETURN SELECT i.song_id, CAST(coalesce(i.position, 0) AS INT), i.added_at
+          FROM chartlake_playlist_items i JOIN chartlake_playlists p ON p.id = i.playlist_id
+          WHERE p.id = playlist_song_ids.playlist AND p.owner_user_id = playlist_song_ids.owner AND p.status = 'active'"""
+    )

@@ -50,7 +50,8 @@ def salted_join(
     """``big.join(small, keys, how)`` with hot keys of ``big`` spread over tasks.
 
     ``how`` is inner, left, left_semi or left_anti. Hot keys are counted by a job of
-    their own, once; without any the join is a plain one. The salt is a hash of the
+    their own, once, while the join is being built (and ``big`` is read for it, so give
+    a stored frame, or ``counted``); without any the join is a plain one. The salt is a hash of the
     row, so a repeated task computes the same one. ``counted`` is a cheaper frame
     with the keys of ``big`` (at least as many rows per key) to find hot keys in.
     """

@@ -283,7 +283,7 @@ def comment_quality_job(
     target_songs = targets.select(F.col("id").alias("song_id"), F.lit(True).alias("_target"))
     known = salted_join(stored, target_songs.select("song_id"), ["song_id"], "left_semi")
     lacking = fetch_needed(targets, known).select(F.col("id").alias("song_id"))
-    wanted = fetched.join(lacking, "song_id", "left_semi")
+    wanted = salted_join(fetched, lacking, ["song_id"], "left_semi")
     new = unseen_comments(known, wanted, as_of)
     comments = salted_join(stored.unionByName(new, allowMissingColumns=True), target_songs, ["song_id"], "left", counted=stored)
     is_target = F.coalesce(F.col("_target"), F.lit(False))

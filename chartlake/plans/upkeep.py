@@ -51,6 +51,26 @@ def compact_days(table: PartTable, as_of: str, high_res_days: int = 7) -> list[s
     return sorted(due)
 
 
+# Listeners --------------------------------------------------------------------
+SKETCHES = T.StructType(
+    [T.StructField("song_id", T.StringType()), T.StructField("day", T.DateType()), T.StructField("sketch", T.BinaryType())]
+)
+
+
+def listener_table(spark: SparkSession, path: str) -> PartTable:
+    """Listener sketches in parts by day (see ``listener_sketches``).
+
+    New plays are appended; the listeners of a span of days are read from its parts
+    alone, with ``listeners_of(table.read(days))``.
+    """
+    return PartTable(spark, path, SKETCHES, F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit(UNDATED)))
+
+
+def merge_sketches(rows: DataFrame) -> DataFrame:
+    """One sketch per song and day; for ``PartTable.fold``."""
+    return rows.groupBy("song_id", "day").agg(F.hll_union_agg("sketch", F.lit(False)).alias("sketch"))
+
+
 # Growth -----------------------------------------------------------------------
 def growth_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
     """Stored first and last snapshots of each item (see ``growth_state``)."""

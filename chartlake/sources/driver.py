@@ -325,7 +325,7 @@ class Domain:
 
     def item_references(self) -> DataFrame:
         """Playlist rows that point at catalogue items, for the tier rules."""
-        line = self.raw("lineitem").where(F.col("l_returnflag") == "R")
+        line = self.raw("lineitem")
         song = F.concat(F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
         return line.select(song.alias("song_id"))
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from chartlake.config import TierConfig
 from chartlake.operators import archive, catalog, media, reports
-from chartlake.plans import jobs
+from chartlake.plans import jobs, upkeep
 from chartlake.sources.driver import AS_OF, ITEM_PREFIX
+from chartlake.sources.parts import KeyedTable
+from checks.ingest_checks import work_folder
 from checks.registry import check
 
 TIERS = TierConfig(warm_handles=("@U3", "u5", "u7", "u11"))
@@ -69,6 +71,27 @@ def upsert_by_key(d):
     return catalog.upsert_by_key(base, changed.unionByName(added), ["id"])
 
 
+@check(
+    "upsert_table",
+    """SELECT id, title, CASE WHEN created_at >= TIMESTAMP '2024-01-20' THEN play_count + 5 ELSE play_count END AS play_count FROM v_songs
+       UNION ALL SELECT 'new-' || p_partkey, p_name, p_size FROM part""",
+)
+def upsert_table(d):
+    """The same upsert into a stored table, in two changes that rewrite their buckets only."""
+    base = d.songs().select("id", "title", "play_count")
+    table = KeyedTable(d.spark, work_folder(d, "catalogue"), base.schema, ["id"])
+    upkeep.upsert_table(table, base)
+    changed = d.songs().where(F.col("created_at") >= "2024-01-20").select("id", "title", (F.col("play_count") + 5).alias("play_count"))
+    upkeep.upsert_table(table, changed)
+    added = d.raw("part").select(
+        F.concat(F.lit("new-"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("title"),
+        F.col("p_size").cast("long").alias("play_count"),
+    )
+    upkeep.upsert_table(table, added)
+    return table.read()
+
+
 @check(
     "union_by_name",
     "SELECT id, title, NULL AS display_name FROM v_songs UNION ALL SELECT user_id, NULL, display_name FROM v_profiles",

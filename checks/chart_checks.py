@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from chartlake.config import ChartConfig, CrewConfig
 from chartlake.operators import charts, reports, scoring
 from chartlake.operators.ordinal import global_ordinal
+from chartlake.plans import upkeep
 from chartlake.plans.payload import app_payload, document_songs, serving_rows, song_entries, tab_document
+from chartlake.plans.search import SearchTable
 from chartlake.sources.driver import AS_OF
 from chartlake.sources.tables import document_rows, read_document
+from checks.ingest_checks import work_folder
 from checks.registry import check
 
 CREW = CrewConfig(handles=("@U3", "u5"), user_ids=("7",), display_names=("creator 11",))
@@ -63,6 +66,22 @@ def growth_features(d):
     return out.select("id", *r6(*kinds))
 
 
+@check(
+    "growth_in_batches",
+    """SELECT id, round(play_velocity_per_hour, 6) AS play_velocity_per_hour,
+              round(upvote_velocity_per_hour, 6) AS upvote_velocity_per_hour,
+              round(comment_velocity_per_hour, 6) AS comment_velocity_per_hour FROM v_scored""",
+)
+def growth_in_batches(d):
+    """Growth from the stored state after three batches of snapshots."""
+    songs, history = d.songs(), scoring.prepare_history(d.stored("song_history"))
+    table = upkeep.growth_table(d.spark, work_folder(d, "growth"))
+    for k in range(3):
+        upkeep.add_growth(table, songs, history.where(F.pmod(F.xxhash64("checked_at", "id"), F.lit(3)) == k))
+    out = scoring.with_growth(songs, table.read())
+    return out.select("id", *r6(*[f"{c}_velocity_per_hour" for c in ("play", "upvote", "comment")]))
+
+
 @check(
     "restore_created_at",
     "SELECT id, s.created_at AS created_at, g.created_at IS NULL AS was_missing FROM v_songs s JOIN v_gaps g USING (id)",
@@ -268,6 +287,39 @@ def view_sort(d):
     return charts.view_sort(listed, "title", descending=False, limit=200).select("id", "title", "view_position")
 
 
+@check(
+    "view_sort_natural",
+    """WITH l AS (SELECT *, row_number() OVER (ORDER BY play_count DESC, id) AS rank FROM v_active QUALIFY rank <= 300),
+         k AS (SELECT l.*, p.p_size, split_part(p.p_type, ' ', 1) AS word FROM l JOIN part p
+               ON p.p_partkey = l.user_id::BIGINT % (SELECT count(*) FROM part))
+       SELECT id, word || p_size AS label, row_number() OVER (ORDER BY lower(strip_accents(word)) DESC, p_size DESC, rank DESC) AS view_position
+       FROM k QUALIFY view_position <= 200""",
+)
+def view_sort_natural(d):
+    """Labels such as économy9 and ECONOMY10: accents and case apart, numbers by value."""
+    active = charts.chart_candidates(d.songs(), AS_OF)
+    listed = charts.ranked_top(active, [F.col("play_count").desc(), F.col("id").asc()], 300)
+    size, word = (F.col("duration") / 6).cast("int"), F.substring_index(F.substring_index("display_tags", ", ", -1), " ", 1)
+    plain = F.concat(word, size.cast("string"))
+    odd = F.when(F.col("rank") % 2 == 0, F.translate(F.lower(plain), "eo", "éö")).otherwise(F.concat(word, F.lpad(size.cast("string"), 4, "0")))
+    out = charts.view_sort(listed.withColumn("label", odd).withColumn("plain", plain), "label", True, 200, "ko_CI_AI")
+    return out.select("id", F.col("plain").alias("label"), "view_position")
+
+
+@check(
+    "search_table",
+    """SELECT id, title FROM v_songs WHERE contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(display_tags, ''),
+         coalesce(display_name, ''), handle, id)), 'gear')""",
+)
+def search_table(d):
+    """The same search over stored items and trigram postings, built in two updates."""
+    songs = d.songs().select("id", "title", "display_tags", "display_name", "handle")
+    table = SearchTable(d.spark, work_folder(d, "search"), songs.schema, ("title", "display_tags", "display_name", "handle", "id"))
+    table.upsert(songs.withColumn("title", F.when(F.xxhash64("id") % 2 == 0, F.col("title")).otherwise("gear of old")))
+    table.upsert(songs.where(F.xxhash64("id") % 2 != 0))
+    return table.search(" Gear ").select("id", "title")
+
+
 @check(
     "curate_topk",
     """WITH m AS (SELECT id, created_at, trend_score, round(

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from chartlake.functions.scores import community_score, play_qualifies, register_sql_functions
 from chartlake.operators import engagement, playlists
+from chartlake.plans import upkeep
 from chartlake.sources.driver import AS_OF
+from checks.ingest_checks import work_folder
 from checks.registry import check
 
 TERMS = ("theheron", "lythwh", "êaux", "reanle")
@@ -135,16 +137,18 @@ def comment_admissible(d):
 
 @check(
     "comment_like_counts",
-    """WITH l AS (SELECT (event_id // 7 % 500)::VARCHAR || '-' || (event_id % 4)::VARCHAR AS id, user_id FROM events
+    """WITH n AS (SELECT count(DISTINCT conv_id) AS convs, max(turn) + 1 AS turns FROM conversations),
+         l AS (SELECT (event_id // turns % convs)::VARCHAR || '-' || (event_id % turns)::VARCHAR AS id, user_id FROM events, n
                   WHERE event_type = 'click' AND len('user:' || user_id) >= 6 GROUP BY ALL HAVING count(*) % 2 = 1)
        SELECT t.id, count(l.user_id) AS like_count FROM (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS id FROM conversations) t
        LEFT JOIN l ON l.id = t.id GROUP BY t.id""",
 )
 def comment_like_counts(d):
-    """Each click toggles the like of one comment."""
+    """Each click toggles the like of one comment; clicks go through all conversations and turns in order."""
+    size = d.raw("conversations").agg(F.count_distinct("conv_id").alias("_convs"), (F.max("turn") + 1).alias("_turns"))
     number = F.col("event_id")
-    comment = F.concat((F.floor(number / 7) % 500).cast("string"), F.lit("-"), (number % 4).cast("string"))
-    toggles = d.like_toggles().withColumn("comment_id", comment)
+    comment = F.concat((F.floor(number / F.col("_turns")) % F.col("_convs")).cast("string"), F.lit("-"), (number % F.col("_turns")).cast("string"))
+    toggles = d.like_toggles().crossJoin(F.broadcast(size)).withColumn("comment_id", comment)
     likes = engagement.liked_pairs(toggles, "comment_id")
     return engagement.comment_like_counts(d.app_comments(), likes).select("id", "like_count")
 
@@ -247,6 +251,64 @@ def playlist_save_items(d):
     return saved_playlists(d)["items"].select("playlist_id", "song_id")
 
 
+@check(
+    "playlist_save_lists",
+    SAVE_SQL
+    + """SELECT p.id, p.owner_user_id, coalesce(r.name, p.name) AS name, p.visibility,
+           CASE WHEN r.request_id IS NOT NULL THEN 'active' ELSE p.status END AS status,
+           CASE WHEN r.request_id IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE p.updated_at END AS updated_at
+         FROM v_playlists p LEFT JOIN r ON r.playlist_id = p.id AND r.message = ''""",
+)
+def playlist_save_lists(d):
+    return saved_playlists(d)["playlists"]
+
+
+@check(
+    "sql_list_playlists",
+    """SELECT p.owner_user_id, p.id, p.name, count(i.song_id) AS song_count, p.updated_at FROM v_playlists p
+       LEFT JOIN v_items i ON i.playlist_id = p.id WHERE p.status = 'active' GROUP BY ALL""",
+)
+def sql_list_playlists(d):
+    """Every owner's list, through the SQL table function."""
+    playlists.register_playlist_functions(d.stored("playlists"), d.stored("unique_playlist_items"))
+    return d.spark.sql(
+        """SELECT o.owner_user_id, l.* FROM (SELECT DISTINCT owner_user_id FROM chartlake_playlists) o,
+           LATERAL list_playlists(o.owner_user_id) l"""
+    )
+
+
+@check(
+    "sql_playlist_song_ids",
+    """SELECT p.owner_user_id, p.id, i.song_id, i.position, i.added_at FROM v_playlists p JOIN v_items i ON i.playlist_id = p.id
+       WHERE p.status = 'active'""",
+)
+def sql_playlist_song_ids(d):
+    """The songs of every playlist, through the SQL table function."""
+    playlists.register_playlist_functions(d.stored("playlists"), d.stored("unique_playlist_items"))
+    return d.spark.sql(
+        """SELECT p.owner_user_id, p.id, s.song_id, s.position, s.added_at
+           FROM chartlake_playlists p, LATERAL playlist_song_ids(p.owner_user_id, p.id) s"""
+    )
+
+
+@check(
+    "listeners_by_sketch",
+    """SELECT song_id, count(DISTINCT user_id) AS listener_count, TRUE AS within_bound FROM v_play_events
+       WHERE counted AND user_id IS NOT NULL GROUP BY song_id""",
+)
+def listeners_by_sketch(d):
+    """Estimates from sketches of three batches against the exact count: within 5 % and one."""
+    table = upkeep.listener_table(d.spark, work_folder(d, "listeners"))
+    plays = d.play_events()
+    for k in range(3):
+        table.append(engagement.listener_sketches(plays.where(F.col("event_id") % 3 == k)), "plays", k)
+    table.fold(upkeep.merge_sketches, over=1)
+    exact = plays.where("counted and user_id is not null").groupBy("song_id").agg(F.count_distinct("user_id").alias("exact"))
+    both = exact.join(engagement.listeners_of(table.read()), "song_id", "full")
+    near = F.abs(F.col("listener_count") - F.col("exact")) <= F.col("exact") * 0.05 + 1
+    return both.select("song_id", F.col("exact").alias("listener_count"), F.coalesce(near, F.lit(False)).alias("within_bound"))
+
+
 @check(
     "public_playlists",
     """SELECT id, updated_at FROM v_playlists WHERE visibility = 'public' AND status = 'active'

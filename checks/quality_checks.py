@@ -97,22 +97,54 @@ def quality_writeback(d):
     return out.select("id", "adjusted_comment_count", "comment_quality_ratio", "comment_quality_checked_at")
 
 
+# Comments after the job: stored ones, and those fetched for targets that lack some.
+JOB_SQL = f"""
+    WITH stored AS (SELECT * FROM v_comments WHERE part <> 'chat'),
+      t AS (SELECT id, comment_count FROM v_quality_targets),
+      k AS (SELECT song_id, count(*) AS k FROM stored GROUP BY 1),
+      need AS (SELECT t.id FROM t LEFT JOIN k ON k.song_id = t.id WHERE comment_count > 0 AND coalesce(k, 0) < comment_count),
+      used AS (SELECT * FROM stored UNION ALL SELECT * FROM v_comments WHERE part = 'chat'
+               AND song_id IN (SELECT id FROM need) AND trim(content, ' \t\n\r') <> ''),
+      q AS ({SUMMARY_SQL.format(src='used')})
+"""
+
+
 @check(
     "comment_quality_job",
-    f"""WITH stored AS (SELECT * FROM v_comments WHERE part <> 'chat'),
-          t AS (SELECT id, comment_count FROM v_quality_targets),
-          k AS (SELECT song_id, count(*) AS k FROM stored GROUP BY 1),
-          need AS (SELECT t.id FROM t LEFT JOIN k ON k.song_id = t.id WHERE comment_count > 0 AND coalesce(k, 0) < comment_count),
-          used AS (SELECT * FROM stored UNION ALL SELECT * FROM v_comments WHERE part = 'chat'
-                   AND song_id IN (SELECT id FROM need) AND trim(content, ' \t\n\r') <> ''),
-          q AS ({SUMMARY_SQL.format(src='used')})
-        SELECT t.id, coalesce(n, 0) AS analyzed_comment_count, round(coalesce(ratio, 1), 4) AS comment_quality_ratio,
+    JOB_SQL
+    + """SELECT t.id, coalesce(n, 0) AS analyzed_comment_count, round(coalesce(ratio, 1), 4) AS comment_quality_ratio,
           round(t.comment_count * coalesce(ratio, 1), 2) AS adjusted_comment_count,
           coalesce(labels, CASE WHEN t.comment_count <= 0 THEN 'no_comments' ELSE 'no_analyzed_comments' END) AS comment_quality_summary
         FROM t LEFT JOIN q ON q.song_id = t.id""",
 )
 def comment_quality_job(d):
-    out = jobs.comment_quality_job(d.songs(), d.stored("song_history"), stored(d), d.chat_comments(), AS_OF)["summary"]
-    return out.select(
+    return quality_outputs(d)["summary"].select(
         "id", "analyzed_comment_count", "comment_quality_ratio", "adjusted_comment_count", "comment_quality_summary"
     )
+
+
+def quality_outputs(d):
+    return jobs.comment_quality_job(d.songs(), d.stored("song_history"), stored(d), d.chat_comments(), AS_OF)
+
+
+@check(
+    "comment_quality_job_comments",
+    JOB_SQL
+    + """SELECT comment_id, song_id, CASE WHEN part = 'part' OR song_id IN (SELECT id FROM t) THEN quality_label END AS quality_label,
+           part = 'chat' AS is_new FROM used""",
+)
+def comment_quality_job_comments(d):
+    """All comments after the job; those of targets are labelled."""
+    out = quality_outputs(d)["comments"]
+    return out.select("comment_id", "song_id", "quality_label", F.col("fetched_at").isNotNull().alias("is_new"))
+
+
+@check(
+    "comment_quality_job_songs",
+    JOB_SQL
+    + """SELECT s.id, CASE WHEN t.id IS NULL THEN s.adjusted_comment_count ELSE round(t.comment_count * coalesce(ratio, 1), 2) END
+           AS adjusted_comment_count, round(CASE WHEN t.id IS NOT NULL THEN coalesce(ratio, 1) END, 4) AS comment_quality_ratio
+         FROM v_songs s LEFT JOIN t ON t.id = s.id LEFT JOIN q ON q.song_id = t.id""",
+)
+def comment_quality_job_songs(d):
+    return quality_outputs(d)["songs"].select("id", "adjusted_comment_count", "comment_quality_ratio")

@@ -238,7 +238,7 @@ VIEWS = {
           ORDER BY l_linenumber, l_shipdate, l_suppkey, l_extendedprice) = 1
     """,
     "v_item_refs": """
-        SELECT DISTINCT l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS song_id FROM lineitem WHERE l_returnflag = 'R'
+        SELECT DISTINCT l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS song_id FROM lineitem
     """,
     "v_tiers": """
         SELECT *, CASE

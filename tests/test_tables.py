@@ -1,6 +1,8 @@
 """Golden values and invariants of table operators."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from chartlake.config import TierConfig
 from chartlake.operators import archive, catalog, charts, engagement, playlists, quality, scoring
 from chartlake.operators.ordinal import global_ordinal, ordinals_of, running_totals
 from chartlake.operators.skew import hot_keys, salted_join
+from chartlake.plans.search import SearchTable
 from chartlake.session import shared_folder
 from chartlake.sources import feeds, tables
 
@@ -296,3 +299,60 @@ def test_ranks_of_some_rows_equal_ranks_of_all(spark):
         assert {r["id"]: r["n"] for r in some} == {i: n for i, n in want.items() if i % 3 == 0}
         few = ordinals_of(rows, F.col("id") == 2997, order, F.floor(F.col("score")), "n", hot_rows=hot).collect()
         assert [(r["id"], r["n"]) for r in few] == [(2997, want[2997])]
+
+
+def test_saving_a_playlist_keeps_its_other_columns(spark):
+    lists = spark.createDataFrame(
+        [("p", "me", "old", "public", "active", "2024-01-01", "note"), ("q", "you", "q", "private", "active", "2024-01-01", "n")],
+        "id string, owner_user_id string, name string, visibility string, status string, updated_at string, extra string",
+    ).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+    items = spark.createDataFrame([("p", "x", 0)], "playlist_id string, song_id string, position int")
+    requests = spark.createDataFrame(
+        [(1, "p", "me", "one", ["a", "b", "c"]), (2, "p", "me", "two", ["d"]), (3, "p", "you", "mine", ["e"]), (4, "n", "me", " ", [])],
+        "request_id int, playlist_id string, owner_user_id string, name string, song_ids array<string>",
+    )
+    out = playlists.playlist_save(lists, items, requests, NOW)
+    got = {r.id: r for r in out["playlists"].collect()}
+    assert (got["p"].name, got["p"].visibility, got["p"].extra, str(got["p"].updated_at)) == ("two", "public", "note", NOW)
+    assert (got["n"].name, got["n"].visibility, got["n"].extra) == ("My Playlist", "private", None) and got["q"].extra == "n"
+    results = {r.request_id: (r.ok, r.message, r.song_count) for r in out["results"].collect()}
+    assert results == {1: (False, "superseded", 0), 2: (True, "", 1), 3: (False, "playlist not found", 0), 4: (True, "", 0)}
+    assert [r.song_id for r in out["items"].collect()] == ["d"]
+
+
+def test_playlist_functions_in_sql(spark):
+    lists = spark.createDataFrame(
+        [("p", "me", "one", "active", 1), ("q", "me", "two", "deleted", 2), ("r", "me", "three", "active", 3)],
+        "id string, owner_user_id string, name string, status string, updated_at int",
+    )
+    items = spark.createDataFrame(
+        [("p", "b", 1, 5), ("p", "a", 1, 4), ("p", "c", None, 9), ("q", "z", 0, 0)], "playlist_id string, song_id string, position int, added_at int"
+    )
+    playlists.register_playlist_functions(lists, items)
+    rows = spark.sql("SELECT * FROM list_playlists('me') ORDER BY updated_at DESC").collect()
+    assert [(r.id, r.song_count) for r in rows] == [("r", 0), ("p", 3)]
+    songs = spark.sql("SELECT song_id FROM playlist_song_ids('me', 'p') ORDER BY position, added_at, song_id").collect()
+    assert [r.song_id for r in songs] == ["c", "a", "b"]
+    assert spark.sql("SELECT * FROM playlist_song_ids('you', 'p')").count() == 0
+    assert spark.sql("SELECT * FROM playlist_song_ids('me', 'q')").count() == 0
+
+
+def test_natural_order(spark):
+    want = ["", "1", "02", "9", "10", "가2", "가10", "a9", "Á10", "a010b", "a11", "b", "É2", "e10"]  # Korean has its letters first
+    rows = spark.createDataFrame([(w, i) for i, w in enumerate(want)][::-1], "t string, rank int")
+    assert [r.t for r in charts.view_sort(rows, "t", False, 100, "ko_CI_AI").orderBy("view_position").collect()] == want
+    assert [r.t for r in charts.view_sort(rows, "t", True, 100, "ko_CI_AI").orderBy("view_position").collect()] == want[::-1]
+
+
+def test_search_reads_only_candidates(spark):
+    rows = spark.range(4000).selectExpr("cast(id AS string) AS id", "IF(id % 1000 = 7, concat('the Gear ', id), concat('song ', id)) AS title")
+    table = SearchTable(spark, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", rows.schema, ("title",))
+    table.upsert(rows)
+    for query in (" gEAR ", "ar 1007", "g", "", "no such thing", "the gear 7 "):
+        got = sorted(r.id for r in table.search(query).collect())
+        assert got == sorted(r.id for r in charts.search_songs(rows, query, ("title",)).collect()), query
+    files = len(table.search("gear").inputFiles())
+    assert 0 < files <= 4 + 1 < len(table.items.read().inputFiles())  # the ids and the parts of four items
+    table.upsert(rows.where("id = '7'").withColumn("title", F.lit("renamed")))
+    assert sorted(r.id for r in table.search("gear").collect()) == ["1007", "2007", "3007"]
+    assert [r.id for r in table.search("Renam").collect()] == ["7"]
