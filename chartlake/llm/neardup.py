@@ -281,7 +281,8 @@ def node_links(docs: DataFrame, named: DataFrame, threshold: float) -> DataFrame
     candidates = members.select("node").distinct()
     leaders = named.where("bands is not null and n > 0").select("first", "node", "c1").join(candidates, "node")
     copies = materialize(leaders.groupBy("node", "first", "c1").agg(F.count(F.lit(1)).alias("rows")))
-    texts = docs.join(copies, docs["doc_id"] == copies["first"]).select("node", "c1", "text")
+    # One strategy at every size: the ids grow with the documents.
+    texts = docs.join(copies.hint("merge"), docs["doc_id"] == copies["first"]).select("node", "c1", "text")
     sets = materialize(shingle_sets(texts))
     repeated = copies.where("rows > 1").select("node")
     if not repeated.isEmpty():  # rows that are there several times give one set
