@@ -8,9 +8,10 @@ goes to its cell and to the half of the neighbour cells that lie before it. In a
 the block distances of home rows against home rows and guests are a matrix product;
 what stays within budget is verified with the exact cosine in double precision.
 
-A pair may be found in several blocks; it belongs to the first block within budget,
-which every task can tell from the vectors alone, so links are counted once without
-gathering pairs. Tasks give counts and a spanning forest of their links, not pairs.
+A pair may be found in several blocks; it belongs to the first block within budget, so
+links are counted once without gathering pairs. Every task comes to the same decision:
+rotated vectors are made once, stored as integers of ``UNIT`` steps, and block distances
+are integers too. Tasks give counts and a spanning forest of their links, not pairs.
 A cell with very many rows is dealt to several tasks: part of its home rows each,
 against all rows after them. Equal vectors are one vector with a number of copies.
 
@@ -21,6 +22,7 @@ don't link; repeated rows count as other vectors; a null id is not compared.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,10 @@ GRID_AXES = 2
 HOME_ROWS = 16_384
 #: Rows compared with the home rows at once.
 CHUNK = 512
-SLACK = 1e-6
+#: Steps of a rotated component in one.
+UNIT = 1 << 20
+#: Added to squared budgets; more than the rounding of rotated components can take away.
+SLACK = 3e-5
 
 
 def is_usable(x: Column) -> Column:
@@ -68,36 +73,49 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def rotated(vectors: list[bytes], turn: dict[int, np.ndarray]) -> np.ndarray:
-    """Rotated unit vectors of equal length."""
-    x = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
-    size = x.shape[1]
-    if size not in turn:
-        turn[size] = rotation(size)
+def rotated(x: np.ndarray) -> np.ndarray:
+    """Rotated unit vectors, in integer steps."""
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))) @ turn[size]
+    return np.rint((x / np.sqrt((x * x).sum(1, keepdims=True))) @ rotation(x.shape[1]) * UNIT).astype("<i4")
 
 
-def cuts(size: int, blocks: int, threshold: float) -> list[tuple[int, int, float]]:
-    """First axis, end and squared-distance budget of each block."""
+def with_rotation(distinct: DataFrame) -> DataFrame:
+    """``v``, ``rep``, ``copies`` and ``turned``, the rotated vector (32-bit integers as bytes)."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("v").to_pylist()
+            lengths = np.array([len(v) // 8 for v in values])
+            out = [b""] * len(values)
+            for size in np.unique(lengths):
+                some = np.flatnonzero(lengths == size)
+                x = np.frombuffer(b"".join(values[i] for i in some), "<f8").reshape(len(some), size)
+                for i, row in zip(some, rotated(x)):
+                    out[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["v", "rep", "copies", "turned"])
+
+    return distinct.select("v", "rep", "copies").mapInArrow(turn, "v binary, rep long, copies long, turned binary")
+
+
+def cuts(size: int, blocks: int, threshold: float) -> list[tuple[int, int, int]]:
+    """First axis, end and squared-distance budget (in squared steps) of each block."""
     edges = np.linspace(0, size, min(blocks, size) + 1).round().astype(int)
-    return [(a, b, (2 - 2 * threshold) * (b - a) / size + SLACK) for a, b in zip(edges, edges[1:])]
+    return [(a, b, int(((2 - 2 * threshold) * (b - a) / size + SLACK) * UNIT**2)) for a, b in zip(edges, edges[1:])]
 
 
 def cells(distinct: DataFrame, threshold: float, blocks: int, axes: int) -> DataFrame:
     """``rep``, ``size``, ``block``, ``cell`` and ``guest`` (0 in the own cell, else 1)."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn: dict[int, np.ndarray] = {}
         for batch in batches:
-            values, ids = batch.column("v").to_pylist(), batch.column("rep").to_numpy()
-            lengths = np.array([len(v) // 8 for v in values])
+            values, ids = batch.column("turned").to_pylist(), batch.column("rep").to_numpy()
+            lengths = np.array([len(v) // 4 for v in values])
             for size in np.unique(lengths):
                 some = np.flatnonzero(lengths == size)
-                x = rotated([values[i] for i in some], turn)
+                x = np.frombuffer(b"".join(values[i] for i in some), "<i4").reshape(len(some), size).astype(np.int64)
                 for number, (a, b, budget) in enumerate(cuts(size, blocks, threshold)):
                     dims = min(axes, b - a)
-                    grid = np.floor(x[:, a : a + dims] / np.sqrt(budget)).astype(np.int64) + (1 << 20)
+                    grid = x[:, a : a + dims] // (math.isqrt(budget) + 1) + (1 << 20)
                     for step in itertools.product((-1, 0, 1), repeat=dims):
                         if step > (0,) * dims:
                             continue  # the other half comes to us
@@ -108,7 +126,7 @@ def cells(distinct: DataFrame, threshold: float, blocks: int, axes: int) -> Data
                         columns = [pa.array(c, pa.int64()) for c in (ids[some], same[0], same[1], cell, same[2])]
                         yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "block", "cell", "guest"])
 
-    return distinct.select("rep", "v").mapInArrow(place, "rep long, size long, block long, cell long, guest long")
+    return distinct.select("rep", "turned").mapInArrow(place, "rep long, size long, block long, cell long, guest long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +146,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Cell:
     """Home rows of one unit of work; compares further rows with them."""
 
-    def __init__(self, block: int, size: int, threshold: float, blocks: int, turn: dict):
-        self.cuts, self.block, self.threshold, self.turn = cuts(size, blocks, threshold), block, threshold, turn
+    def __init__(self, block: int, size: int, threshold: float, blocks: int):
+        self.cuts, self.block, self.threshold = cuts(size, blocks, threshold), block, threshold
         self.parts: list[tuple] = []
         self.home: tuple | None = None
 
@@ -137,22 +155,23 @@ class Cell:
         values = rows.column("v").to_pylist()
         x = np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
         x = x / np.abs(x).max(1, keepdims=True)
-        return rows.column("rep").to_numpy(), rows.column("copies").to_numpy(), x, np.sqrt((x * x).sum(1)), rotated(values, self.turn)
+        turned = np.frombuffer(b"".join(rows.column("turned").to_pylist()), "<i4").reshape(len(values), -1)
+        return rows.column("rep").to_numpy(), rows.column("copies").to_numpy(), x, np.sqrt((x * x).sum(1)), turned
 
     def compare(self, ids, copies, x, norm, turned, among: int | None = None):
         """Links of the given rows with the home rows; ``among``: place of these rows in the home rows."""
         hid, hcopies, hx, hnorm, hturned = self.home
         a, b, budget = self.cuts[self.block]
-        p, q = turned[:, a:b].astype(np.float32), hturned[:, a:b].astype(np.float32)
+        p, q = (t[:, a:b].astype(np.float32) / np.float32(UNIT) for t in (turned, hturned))
         far = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T)
-        i, j = np.nonzero(far <= budget + 1e-4)
+        i, j = np.nonzero(far <= budget / UNIT**2 + 1e-4)
         if among is not None:
             later = j > i + among
             i, j = i[later], j[later]
         found = []
         for at in range(0, len(i), 65_536):
             u, w = i[at : at + 65_536], j[at : at + 65_536]
-            gap = (turned[u] - hturned[w]) ** 2
+            gap = (turned[u].astype(np.int64) - hturned[w]) ** 2
             within = np.stack([gap[:, s:e].sum(1) <= limit for s, e, limit in self.cuts[: self.block + 1]])
             mine = within[-1] & ~within[:-1].any(0)
             u, w = u[mine], w[mine]
@@ -185,7 +204,6 @@ def pair_links(units: DataFrame, threshold: float, blocks: int) -> DataFrame:
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn: dict[int, np.ndarray] = {}
         key, cell = None, None
         names = ["size", "block", "cell", "part", "guest"]
 
@@ -204,7 +222,7 @@ def pair_links(units: DataFrame, threshold: float, blocks: int) -> DataFrame:
             if (size, block, place, part) != key:
                 if cell is not None and cell.parts:
                     yield from finish()
-                key, cell = (size, block, place, part), Cell(block, size, threshold, blocks, turn)
+                key, cell = (size, block, place, part), Cell(block, size, threshold, blocks)
             if not guest:
                 cell.parts.append(cell.read(run))
             elif cell.parts or cell.home is not None:
@@ -228,7 +246,8 @@ def near_vectors(
     """One row per row of ``rows``: ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
     tk.arrow_batches(rows.sparkSession)
     usable = materialize(valid_vectors(rows))
-    distinct = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    equal = usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    distinct = materialize(with_rotation(equal))
     placed = materialize(cells(distinct, threshold, blocks, axes))
     keys = ["size", "block", "cell"]
     large = placed.where("guest = 0").groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / home_rows).cast("int").alias("parts"))
