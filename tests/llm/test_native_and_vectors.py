@@ -10,7 +10,7 @@ import sys
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import SMALL, WORDS, check_packing, clashing, classes_by_brute_force
 from pyspark.sql import functions as F
@@ -227,11 +227,54 @@ def test_near_vectors_equal_brute_force(spark, home_rows):
     assert got[-6] == got[-7] == got[-8] == (3, -8)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 300), st.integers(1, 6), st.integers(0, 3), st.integers(1, 9))
+def test_cover_tree_invariants(seed, n, dims, spread, leaf):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-(10**spread), 10**spread + 1, size=(n, dims))
+    tree = topk.CoverTree(x, leaf)
+    apart = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(2))
+    assert sorted(np.concatenate(tree.members).tolist()) == list(range(n)) and len(tree.levels[0].centers) == 1
+    below = np.zeros(n, np.int64)
+    for node, members in enumerate(tree.members):
+        below[members] = node
+    for i in range(len(tree.levels) - 1, -1, -1):
+        level = tree.levels[i]
+        own = apart[np.ix_(level.centers, level.centers)] + np.where(np.eye(len(level.centers)), np.inf, 0)
+        assert (own > level.radius).all()  # separation
+        assert (apart[:, level.centers].min(1) <= level.radius).all()  # covering of all points
+        assert (apart[np.arange(n), level.centers[below]] <= level.reach[below]).all()
+        if i:
+            above = tree.levels[i - 1]
+            assert set(above.centers) <= set(level.centers)  # nesting
+            assert (apart[level.centers, above.centers[level.parent]] <= above.radius).all()  # covering of children
+            assert above.radius >= 2 * level.radius
+        below = level.parent[below]
+
+
+def test_cover_tree_prunes_clustered_vectors(monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 128)
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(30, 6)) * 1000
+    x = (centers[np.arange(3000) % 30] + rng.normal(size=(3000, 6))).astype(np.int64)
+    found = topk.Search(np.arange(3000), x, 5)
+    counted = []
+    real = found._score
+    found._score = lambda group, members: (counted.append(len(group) * len(members)), real(group, members))
+    found.run(np.arange(100), x[:100], np.full(100, topk.NO_SCORE))
+    assert sum(counted) < 0.8 * 100 * 3000
+    counted.clear()
+    kth = np.sort(x[:100] @ x.T, axis=1)[:, -6]
+    found.run(np.arange(100), x[:100], kth)
+    assert sum(counted) < 0.25 * 100 * 3000
+
+
 @pytest.mark.parametrize("candidate_rows", [8192, 50])
 def test_top_k_equals_brute_force(spark, candidate_rows):
     rows = clustered(7, 40, 10) + [(1000 + i, [0.5] * 8, 0) for i in range(30)]
     docs = spark.createDataFrame(rows + ODD_VECTORS, VECTORS)
-    out = topk.top_k(clashing(docs), F.col("vec_id") % 10 == 0, candidate_rows=candidate_rows).collect()
+    sample = 2048 if candidate_rows > 50 else 40  # a small one has no row of some lengths
+    out = topk.top_k(clashing(docs), F.col("vec_id") % 10 == 0, candidate_rows=candidate_rows, sample_rows=sample).collect()
     ids = np.array([r[0] for r in rows])
     X = np.floor(1024 * np.array([np.array(r[1], np.float32) for r in rows], float)).astype(np.int64)
     want = set()
