@@ -12,6 +12,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from chartlake import build_session  # noqa: E402
+from chartlake.session import drop_stages  # noqa: E402
 from checks import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -33,6 +34,7 @@ def main() -> None:
             start = time.time()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - start, 3)
+    drop_stages(spark)
     print(
         json.dumps(
             {

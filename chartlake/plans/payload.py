@@ -74,8 +74,8 @@ def list_tabs(
     }
 
 
-def song_entries(tab: DataFrame, links: LinkConfig = LinkConfig()) -> DataFrame:
-    """Served fields of list rows."""
+def song_entries(tab: DataFrame, links: LinkConfig = LinkConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Served fields of list rows, after the columns ``keep``."""
 
     tab = normalize_text_columns(tab, SHOWN_TEXTS)
 
@@ -115,36 +115,37 @@ def song_entries(tab: DataFrame, links: LinkConfig = LinkConfig()) -> DataFrame:
         (lyrics_bundle(*lyrics) if lyrics else F.lit("")).alias("lyrics"),
         *[number(c) for c in NUMBERS],
     ]
-    return tab.select(*fields)
+    return tab.select(*keep, *fields)
 
 
-def tab_document(
-    name: str, tab: DataFrame, hist: DataFrame, cfg: ChartConfig = ChartConfig(), points: DataFrame | None = None
-) -> DataFrame:
-    """One row (part, document) per list; lists and histories are bounded by ``cfg``.
+def tab_documents(listed: DataFrame, points: DataFrame) -> DataFrame:
+    """One row (part, document) per list of ``listed`` (``part`` and the rows of the list).
 
-    ``points`` are the histories of at least the listed items, where several lists share them.
+    ``points`` are the histories of the listed items. Lists and histories are short; a
+    list without rows has an empty document.
     """
-    entries = song_entries(tab)
-    if points is None:
-        points = history_points(hist, tab.select("id"), cfg.history_points)
-    else:
-        points = points.join(tab.select("id").distinct(), "id", "left_semi")
-    songs = entries.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", F.struct(*entries.columns).alias("song")))), lambda x: x["song"]
-        ).alias("songs")
-    )
-    histories = points.agg(F.map_from_entries(F.collect_list(F.struct("id", "points"))).alias("histories"))
-    title, description = TABS[name]
-    document = F.struct(
-        F.lit(title).alias("title"),
-        F.lit(description).alias("description"),
-        F.size("songs").alias("count"),
-        F.col("songs"),
-        F.col("histories"),
-    )
-    return songs.crossJoin(histories).select(F.lit(name).alias("part"), document.alias("document"))
+    entries = song_entries(listed, keep=("part",))
+    song = F.struct("rank", F.struct(*[c for c in entries.columns if c != "part"]).alias("song"))
+    songs = entries.groupBy("part").agg(F.transform(F.sort_array(F.collect_list(song)), lambda x: x["song"]).alias("songs"))
+    shown = points.join(listed.select("part", "id").distinct(), "id")
+    histories = shown.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("id", "points"))).alias("histories"))
+    facts = F.array(*[
+        F.struct(F.lit(n).alias("part"), F.lit(t).alias("title"), F.lit(d).alias("description")) for n, (t, d) in TABS.items()
+    ])
+    tabs = listed.sparkSession.range(1).select(F.inline(facts))
+    none = {n: F.from_json(F.lit(e), f.dataType) for n, e, f in (
+        ("songs", "[]", songs.schema["songs"]), ("histories", "{}", histories.schema["histories"])
+    )}
+    out = tabs.join(songs, "part", "left").join(histories, "part", "left")
+    out = out.withColumns({n: F.coalesce(n, empty) for n, empty in none.items()})
+    document = F.struct("title", "description", F.size("songs").alias("count"), "songs", "histories")
+    return out.select("part", document.alias("document"))
+
+
+def tab_document(name: str, tab: DataFrame, hist: DataFrame, cfg: ChartConfig = ChartConfig()) -> DataFrame:
+    """The row of one list alone."""
+    points = history_points(hist, tab.select("id"), cfg.history_points)
+    return tab_documents(tab.withColumn("part", F.lit(name)), points).where(F.col("part") == name)
 
 
 def app_payload(
@@ -155,15 +156,12 @@ def app_payload(
     ranking: RankingConfig = RankingConfig(),
     cfg: ChartConfig = ChartConfig(),
 ) -> DataFrame:
-    """Serving document, one row per list; the history is read once for all lists."""
-    tabs = {n: materialize(t) for n, t in list_tabs(db, hist, as_of, crew, ranking, cfg).items()}
-    listed = reduce(DataFrame.union, [t.select("id") for t in tabs.values()])
-    points = materialize(history_points(hist, listed, cfg.history_points))
-    parts = [tab_document(n, t, hist, cfg, points) for n, t in tabs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Serving document, one row per list; lists are stored as one table, and the history is read once for all."""
+    tabs = list_tabs(db, hist, as_of, crew, ranking, cfg)
+    rows = [t.withColumn("part", F.lit(n)) for n, t in tabs.items()]
+    listed = materialize(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows))
+    points = materialize(history_points(hist, listed.select("id"), cfg.history_points))
+    return tab_documents(listed, points)
 
 
 def serving_rows(payload: DataFrame, meta: DataFrame) -> DataFrame:
