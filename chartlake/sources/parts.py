@@ -26,6 +26,8 @@ EMPTY = {"parts": {}, "streams": {}, "marks": {}}
 class PartTable:
     """Table under ``path`` with rows of ``schema``; ``part`` gives the part of a row as text."""
 
+    buckets: int | None = None
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, part: Column):
         self.spark, self.path, self.schema, self.part = spark, path, schema, part
 
@@ -93,6 +95,8 @@ class PartTable:
         held["marks"].update(marks or {})
         if stream is not None:
             held["streams"][stream] = batch_id
+        if self.buckets is not None:
+            held["buckets"] = self.buckets
         tables.publish(self.spark, self.path, json.dumps(held), after=number)
         return written
 
@@ -105,16 +109,18 @@ class KeyedTable(PartTable):
     """Table with one row a key (or few), in hash buckets of the key.
 
     ``by`` names the columns that are hashed (all keys unless given); choose ``buckets``
-    so that a bucket is a fair share of work for one task.
+    so that a bucket is a fair share of work for one task. A table that was written before
+    keeps its number of buckets.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = 64,
         by: Sequence[str] = (),
     ):
-        self.keys, self.buckets = list(keys), buckets
-        number = F.pmod(F.xxhash64(*(by or self.keys)), F.lit(buckets))
-        super().__init__(spark, path, schema, F.lpad(number.cast("string"), len(str(buckets - 1)), "0"))
+        self.spark, self.path, self.keys = spark, path, list(keys)
+        self.buckets = self.listing()[1].get("buckets", buckets)
+        number = F.pmod(F.xxhash64(*(by or self.keys)), F.lit(self.buckets))
+        super().__init__(spark, path, schema, F.lpad(number.cast("string"), len(str(self.buckets - 1)), "0"))
 
     def merge(
         self, changes: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], stream: str | None = None,

@@ -105,7 +105,7 @@ def ensure_folder(spark: SparkSession, folder: str) -> None:
 
 
 # Seen keys --------------------------------------------------------------------
-# Hash buckets of the tables beside the logs.
+# Hash buckets of the tables beside the logs, unless a job names another number.
 BUCKETS = 64
 PAIR = ["song_id", "session_id"]
 
@@ -134,11 +134,13 @@ def unique_play_stream(plays: DataFrame, qualifies: Column | None = None, bounde
     return timed.withWatermark("counted_at", bounded_by).dropDuplicatesWithinWatermark(PAIR)
 
 
-def seen_plays(spark: SparkSession, folder: str) -> KeyedTable:
-    return key_table(spark, f"{folder}/_seen", PAIR, ["song_id"])
+def seen_plays(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedTable:
+    return key_table(spark, f"{folder}/_seen", PAIR, ["song_id"], buckets)
 
 
-def play_sink(plays: DataFrame, folder: str, checkpoint: str, qualifies=None, bounded_by=None) -> StreamingQuery:
+def play_sink(
+    plays: DataFrame, folder: str, checkpoint: str, qualifies=None, bounded_by=None, buckets: int = BUCKETS
+) -> StreamingQuery:
     """Append unique plays to a parquet table.
 
     Exact by default: pairs ever counted are a table in buckets of songs, of which a
@@ -146,7 +148,7 @@ def play_sink(plays: DataFrame, folder: str, checkpoint: str, qualifies=None, bo
     state, within the watermark only.
     """
     if bounded_by is None:
-        seen = seen_plays(plays.sparkSession, folder)
+        seen = seen_plays(plays.sparkSession, folder, buckets)
 
         def write(batch: DataFrame, batch_id: int) -> None:
             if not seen.applied(checkpoint, batch_id):
@@ -208,13 +210,13 @@ def liked_now(spark: SparkSession, folder: str) -> DataFrame:
 class Counters:
     """Totals of plays and likes by song, with what is needed to keep them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         def total(name: str) -> KeyedTable:
             fields = [T.StructField("song_id", T.StringType()), T.StructField(name, T.LongType())]
-            return KeyedTable(spark, f"{folder}/{name}", T.StructType(fields), ["song_id"], BUCKETS)
+            return KeyedTable(spark, f"{folder}/{name}", T.StructType(fields), ["song_id"], buckets)
 
-        self.seen = seen_plays(spark, folder)
-        self.toggles = KeyedTable(spark, f"{folder}/_toggles", TOGGLE_LOG, ["song_id", "actor_key"], BUCKETS, ["song_id"])
+        self.seen = seen_plays(spark, folder, buckets)
+        self.toggles = KeyedTable(spark, f"{folder}/_toggles", TOGGLE_LOG, ["song_id", "actor_key"], buckets, ["song_id"])
         self.plays, self.likes = total("play_count"), total("like_count")
 
     def add(self, table: KeyedTable, changes: DataFrame, stream: str, batch_id: int) -> None:
@@ -248,9 +250,9 @@ class Counters:
                 self.toggles.append(turned, stream, batch_id)
 
 
-def counter_sinks(plays: DataFrame, toggles: DataFrame, folder: str, checkpoint: str) -> None:
+def counter_sinks(plays: DataFrame, toggles: DataFrame, folder: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Keep the play and like totals of all songs; a batch reads and writes the buckets of its songs."""
-    counters = Counters(plays.sparkSession, folder)
+    counters = Counters(plays.sparkSession, folder, buckets)
     run_available(plays, f"{checkpoint}/plays", lambda df, i: counters.count_plays(df, f"{checkpoint}/plays", i))
     run_available(toggles, f"{checkpoint}/likes", lambda df, i: counters.count_likes(df, f"{checkpoint}/likes", i))
 
@@ -289,7 +291,7 @@ def history_sink(snapshots: DataFrame, folder: str, checkpoint: str) -> Streamin
 
 # Comments ---------------------------------------------------------------------
 def comment_sink(
-    comments: DataFrame, folder: str, checkpoint: str, as_of: str, label_columns: Sequence[str] = ()
+    comments: DataFrame, folder: str, checkpoint: str, as_of: str, label_columns: Sequence[str] = (), buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Classify newly landed comments once.
 
@@ -298,7 +300,7 @@ def comment_sink(
     """
     spark = comments.sparkSession
     ensure_folder(spark, folder)
-    seen = key_table(spark, f"{folder}/_seen", ["comment_id"])
+    seen = key_table(spark, f"{folder}/_seen", ["comment_id"], buckets=buckets)
 
     def classify_batch(batch: DataFrame, batch_id: int) -> None:
         if not seen.applied(checkpoint, batch_id):

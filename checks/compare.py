@@ -81,11 +81,14 @@ def run(spark, folder: str, names=None) -> dict[str, str]:
 
 if __name__ == "__main__":
     from chartlake import build_session
+    from chartlake.session import drop_stages
 
     args = sys.argv[1:]
     folder = args[0] if args and os.path.isdir(args[0]) else DEFAULT_FOLDER
     chosen = [a for a in args if a != folder]
-    outcome = run(build_session("compare", "8"), folder, chosen)
+    session = build_session("compare", "8")
+    outcome = run(session, folder, chosen)
+    drop_stages(session)
     bad = [n for n, text in outcome.items() if text]
     print(f"{len(outcome) - len(bad)} of {len(outcome)} equal; differing: {bad}")
     sys.exit(1 if bad else 0)

@@ -11,6 +11,10 @@ from checks.ingest_checks import work_folder
 from checks.registry import check
 
 
+# Few, as the tables are small here.
+BUCKETS = 8
+
+
 def event_stream(d):
     return jobs.file_stream(d.spark, d.folder, d.raw("events").schema, "events.parquet")
 
@@ -62,7 +66,7 @@ def toggle_stream(d, events=None):
 def stream_play_dedupe(d):
     folder = work_folder(d, "plays")
     qualifies = play_qualifies("value", F.col("value") * F.col("k") / 100)
-    jobs.play_sink(play_stream(d), f"{folder}/table", f"{folder}/checkpoint", qualifies)
+    jobs.play_sink(play_stream(d), f"{folder}/table", f"{folder}/checkpoint", qualifies, buckets=BUCKETS)
     return d.spark.read.parquet(f"{folder}/table").select("song_id", "session_id")
 
 
@@ -72,7 +76,7 @@ def stream_play_batches(d):
     folder = work_folder(d, "plays")
     in_batches(
         d,
-        lambda events: jobs.play_sink(play_stream(d, events), f"{folder}/table", f"{folder}/checkpoint"),
+        lambda events: jobs.play_sink(play_stream(d, events), f"{folder}/table", f"{folder}/checkpoint", buckets=BUCKETS),
         lambda: jobs.seen_plays(d.spark, f"{folder}/table").fold(over=1),
     )
     return d.spark.read.parquet(f"{folder}/table").select("song_id", "session_id", "counted_at")
@@ -95,7 +99,7 @@ def stream_song_counters(d):
     in_batches(
         d,
         lambda events: jobs.counter_sinks(
-            play_stream(d, events).drop("value", "k"), toggle_stream(d, events), f"{folder}/log", f"{folder}/checkpoint"
+            play_stream(d, events).drop("value", "k"), toggle_stream(d, events), f"{folder}/log", f"{folder}/checkpoint", BUCKETS
         ),
         lambda: jobs.rewrite_counters(d.spark, f"{folder}/log", over=1),
     )
@@ -134,5 +138,5 @@ def stream_comment_quality(d):
         F.col("text").alias("content"),
     )
     columns = ("comment_id", "quality_label", "quality_weight")
-    jobs.comment_sink(comments, f"{folder}/log", f"{folder}/checkpoint", AS_OF, columns)
+    jobs.comment_sink(comments, f"{folder}/log", f"{folder}/checkpoint", AS_OF, columns, BUCKETS)
     return d.spark.read.parquet(f"{folder}/log").select(*columns)

@@ -152,10 +152,19 @@ def test_upsert_rewrites_only_touched_buckets(spark):
     assert len(table.read(touched).inputFiles()) < len(table.read().inputFiles())
 
 
-def tables_of(spark, base, schema):
+def tables_of(spark, base, schema, buckets=64):
     from chartlake.sources.parts import KeyedTable
 
-    return KeyedTable(spark, base, schema, ["id"], 64)
+    return KeyedTable(spark, base, schema, ["id"], buckets)
+
+
+def test_a_table_keeps_its_number_of_buckets(spark):
+    base = folder(spark)
+    rows = spark.range(100).selectExpr("cast(id AS string) AS id", "id AS n")
+    upkeep.upsert_table(tables_of(spark, base, rows.schema, 4), rows)
+    again = tables_of(spark, base, rows.schema, 64)
+    upkeep.upsert_table(again, rows.withColumn("n", F.lit(7).cast("long")))
+    assert again.buckets == 4 and sorted({r.n for r in again.read().collect()}) == [7] and again.read().count() == 100
 
 
 def test_a_failed_change_leaves_the_table(spark):
