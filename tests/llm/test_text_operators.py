@@ -114,6 +114,63 @@ def test_language_kernel_is_the_share_of_common_grams():
         assert got[i, j] == pytest.approx(len(x & y) / max(1, len(x) * len(y)) ** 0.5, abs=1e-5)
 
 
+def languages_by_brute_force(rows, landmarks: int = 16, ridge: float = 1e-2):
+    """Predictions from the kernel matrix: ``rows`` are id, text, label, order of the row and whether to learn from it."""
+
+    def place(gram: bytes) -> int:
+        value = len(gram)
+        for b in gram:
+            value = (value * 0x01000193 + b) % 2**32
+        return (value * 0x9E3779B1) % 2**32 >> (32 - language.PLACES)
+
+    def presence(text):
+        data = (text or "").lower().encode()
+        return {place(data[i : i + n]) for n in language.LENGTHS for i in range(len(data) - n + 1)}
+
+    known = [r for r in rows if r[4] and r[2] is not None and any(c.isalpha() for c in r[1] or "")]
+    names = sorted({r[2] for r in known})
+    low, high = language.LANDMARK_CHARS
+    marks = []
+    for name in names:
+        mine = sorted((not low <= len(r[1]) <= high, r[3], r[1]) for r in known if r[2] == name)
+        marks += [presence(text) for *_, text in mine[:landmarks]]
+    every = set().union(*marks)
+
+    def kernel(text):
+        own = presence(text) & every
+        return np.array([len(own & m) / math.sqrt(max(len(own), 1) * max(len(m), 1)) for m in marks])
+
+    K, W = np.stack([kernel(r[1]) for r in known]), np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(W)
+    keep = values > 1e-6 * values[-1]
+    inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
+    center = K.mean(0)
+    gram = (K - center) @ inverse @ (K - center).T
+    Y = np.array([[1.0 if r[2] == name else -1.0 for name in names] for r in known])
+    dual = np.linalg.solve(gram + ridge * len(K) * np.eye(len(K)) / 10, Y - Y.mean(0))
+    result = {}
+    for i, text, *_ in rows:
+        power = language.SHARPNESS * (Y.mean(0) + (kernel(text) - center) @ inverse @ (K - center).T @ dual)
+        power = np.exp(power - power.max())
+        power /= power.sum()
+        fine = any(c.isalpha() for c in text or "")
+        result[i] = (names[power.argmax()], power.max(), np.sort(power)[-2]) if fine else ("und", 0.0, 0.0)
+    return result
+
+
+def test_language_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("order")).collect()
+    learn = [zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in rows]
+    want = languages_by_brute_force([(*r, k) for r, k in zip(rows, learn)])
+    out = queries.op2_language(spark, SMALL).collect()
+    assert len(out) == len(rows) == len(want)
+    for r in out:
+        name, score, second = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=5e-3)
+        assert r.lang_pred == name or score - second < 1e-2
+
+
 def test_language_awkward_rows(spark, documents, awkward, empty):
     model = language.fit(documents.unionByName(awkward).select("doc_id", "text", "lang"))
     out = language.classify(clashing(awkward), model).collect()
