@@ -56,6 +56,26 @@ def refreshed_rows(targets: DataFrame, fetched: DataFrame, as_of: str, links: Li
     return changed_counters(rows.drop("last_change_at", "comments_fetch_needed"), ready, as_of)
 
 
+def refresh_changes(
+    db: DataFrame, hist: DataFrame, feed: DataFrame, fetched: DataFrame, playlist_items: DataFrame | None, as_of: str,
+    tiers: TierConfig = TierConfig(), links: LinkConfig = LinkConfig(),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The catalogue with new items, the refreshed rows, and all rows to upsert (refreshed and failed).
+
+    The catalogue with the new items, the selection and its refreshed rows are each used
+    several times, so they are written once.
+    """
+    known = db.unionByName(new_item_rows(db, feed, as_of, links), allowMissingColumns=True)
+    known = materialize(restore_created_at(known, prepare_history(hist)))
+    selected = refresh_selection(known, playlist_items, as_of, tiers)
+    targets = materialize(selected.drop("refresh_position", "computed_update_tier"))
+    landed = fetched.join(targets.select("id"), "id", "left_semi")
+    usable = F.col("record").isNotNull()
+    ok = materialize(refreshed_rows(targets, landed.where(usable).select("id", "record"), as_of, links))
+    failed = fetch_failures(targets, landed.where(~usable).select("id", "error"), playlist_items, as_of, tiers)
+    return known, ok, ok.unionByName(failed, allowMissingColumns=True)
+
+
 def catalog_refresh(
     db: DataFrame,
     hist: DataFrame,
@@ -73,19 +93,9 @@ def catalog_refresh(
 
     ``feed`` holds discovered items, ``fetched`` (id, record, error) the landed
     detail pages; a selected item without a usable record counts as failed, one
-    without any landed row is left for the next run. The catalogue with the new
-    items, the selection and its refreshed rows are each used several times, so
-    they are written once.
+    without any landed row is left for the next run.
     """
-    known = db.unionByName(new_item_rows(db, feed, as_of, links), allowMissingColumns=True)
-    known = materialize(restore_created_at(known, prepare_history(hist)))
-    selected = refresh_selection(known, playlist_items, as_of, tiers)
-    targets = materialize(selected.drop("refresh_position", "computed_update_tier"))
-    landed = fetched.join(targets.select("id"), "id", "left_semi")
-    usable = F.col("record").isNotNull()
-    ok = materialize(refreshed_rows(targets, landed.where(usable).select("id", "record"), as_of, links))
-    failed = fetch_failures(targets, landed.where(~usable).select("id", "error"), playlist_items, as_of, tiers)
-    updates = ok.unionByName(failed, allowMissingColumns=True)
+    known, ok, updates = refresh_changes(db, hist, feed, fetched, playlist_items, as_of, tiers, links)
     # Creation times need no second repair: the history has not changed, and
     # refreshed rows keep the repaired value where a record lacks one.
     songs = upsert_by_key(known, updates, ["id"])

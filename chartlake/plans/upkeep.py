@@ -77,9 +77,12 @@ def growth_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTabl
     return KeyedTable(spark, path, GROWTH_STATE, ["id"], buckets)
 
 
-def add_growth(table: KeyedTable, db: DataFrame, snapshots: DataFrame, cfg: RankingConfig = RankingConfig()) -> list[str]:
+def add_growth(
+    table: KeyedTable, db: DataFrame, snapshots: DataFrame, cfg: RankingConfig = RankingConfig(), stream: str | None = None,
+    batch_id: int | None = None,
+) -> list[str]:
     """Merge new snapshots into the growth state of their items. Every snapshot is given once."""
-    return table.merge(growth_state(db, snapshots, cfg), merge_growth)
+    return table.merge(growth_state(db, snapshots, cfg), merge_growth, stream, batch_id)
 
 
 def rebuild_growth(table: KeyedTable, db: DataFrame, hist: DataFrame, cfg: RankingConfig = RankingConfig()) -> list[str]:

@@ -4,13 +4,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartlake.config import TierConfig
 from chartlake.operators import catalog
-from chartlake.plans import jobs
+from chartlake.plans import jobs, upkeep
+from chartlake.plans.refresh import ChartTables, refresh_tables
 from chartlake.session import shared_folder
 from chartlake.sources import feeds, tables
 from chartlake.sources.driver import AS_OF
+from chartlake.sources.parts import KeyedTable
 from checks.registry import check
 
 TIERS = TierConfig(warm_handles=("@U3", "u5", "u7", "u11"))
@@ -235,8 +238,7 @@ REFRESH_SQL = """
 """
 
 
-@check(
-    "catalog_refresh",
+CATALOG_SQL = (
     REFRESH_SQL
     + """SELECT id, title, created_at, CASE WHEN ok THEN play_count + 10 ELSE play_count END AS play_count,
            CASE WHEN ok THEN 0 WHEN bad THEN fetch_fail_count + 1 ELSE fetch_fail_count END AS fetch_fail_count,
@@ -244,8 +246,11 @@ REFRESH_SQL = """
            CASE WHEN bad THEN 'frozen' WHEN NOT ok OR (status <> 'private' AND fetch_fail_count < 10) THEN tier
                 WHEN created_at >= TIMESTAMP '2024-01-27' THEN 'hot'
                 WHEN id IN (SELECT song_id FROM v_item_refs) THEN 'playlist' WHEN handle IN ('u3', 'u5', 'u7', 'u11') THEN 'warm'
-                ELSE 'cold' END AS update_tier, ok AS changed FROM u""",
+                ELSE 'cold' END AS update_tier, ok AS changed FROM u"""
 )
+
+
+@check("catalog_refresh", CATALOG_SQL)
 def catalog_refresh(d):
     out = jobs.catalog_refresh(
         d.songs(gaps=True), d.stored("song_history"), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS
@@ -256,15 +261,17 @@ def catalog_refresh(d):
     )
 
 
-@check(
-    "catalog_refresh_history",
+CATALOG_HISTORY_SQL = (
     REFRESH_SQL
     + """SELECT id, checked_at, play_count FROM v_history WHERE checked_at >= TIMESTAMP '2024-01-24'
          UNION ALL SELECT id, checked_at, play_count FROM (SELECT * FROM v_history WHERE checked_at < TIMESTAMP '2024-01-24'
            QUALIFY row_number() OVER (PARTITION BY id, checked_at::DATE
              ORDER BY checked_at DESC, play_count + upvote_count + comment_count DESC) = 1)
-         UNION ALL SELECT id, TIMESTAMP '2024-01-31', play_count + 10 FROM u WHERE ok""",
+         UNION ALL SELECT id, TIMESTAMP '2024-01-31', play_count + 10 FROM u WHERE ok"""
 )
+
+
+@check("catalog_refresh_history", CATALOG_HISTORY_SQL)
 def catalog_refresh_history(d):
     out = jobs.catalog_refresh(
         d.songs(gaps=True), d.stored("song_history"), discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS
@@ -272,6 +279,36 @@ def catalog_refresh_history(d):
     return out.select("id", "checked_at", "play_count")
 
 
+def refreshed_tables(d):
+    """The same refresh in place: stored tables, one run, and the same run once more."""
+    songs, history = d.songs(gaps=True), d.song_history()
+    extra = "playlist_ref_count boolean, update_tier string, last_change_at timestamp_ntz, comments_fetch_needed boolean, last_fetch_error string"
+    schema = T.StructType([*songs.schema.fields, *T.StructType.fromDDL(extra).fields])
+    stored = ChartTables(
+        KeyedTable(d.spark, work_folder(d, "songs"), schema, ["id"], 8),
+        upkeep.history_table(d.spark, work_folder(d, "history"), history.schema),
+        upkeep.growth_table(d.spark, work_folder(d, "growth"), 8),
+    )
+    upkeep.upsert_table(stored.songs, songs)
+    stored.history.append(d.stored("song_history"))
+    for _ in range(2):
+        refresh_tables(stored, discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS)
+    return stored
+
+
+@check("refresh_tables", CATALOG_SQL)
+def refresh_tables_songs(d):
+    changed = F.coalesce(F.col("last_change_at") == F.lit(AS_OF).cast("timestamp_ntz"), F.lit(False))
+    return refreshed_tables(d).songs.read().select(
+        "id", "title", "created_at", "play_count", "fetch_fail_count", "status", "update_tier", changed.alias("changed")
+    )
+
+
+@check("refresh_tables_history", CATALOG_HISTORY_SQL)
+def refresh_tables_history(d):
+    return refreshed_tables(d).history.read().select("id", "checked_at", "play_count")
+
+
 @check(
     "fast_refresh",
     """SELECT id, title, CASE WHEN play_count > 0 AND id IN (SELECT id FROM v_quality_targets) THEN play_count + 10 ELSE play_count

@@ -217,3 +217,38 @@ def test_growth_state_is_rebuilt_where_the_anchor_changed(spark):
     now = songs.where("id <> 'b'").unionByName(moved)
     want = sorted(map(str, scoring.growth_features(now, hist).collect()))
     assert sorted(map(str, scoring.with_growth(now, table.read()).collect())) == want
+
+
+def test_refresh_in_place_writes_what_it_changes(spark):
+    from chartlake.plans.refresh import ChartTables, refresh_tables
+    from chartlake.sources.parts import KeyedTable
+
+    base = folder(spark)
+    schema = (
+        "id string, title string, handle string, created_at timestamp_ntz, last_checked_at timestamp_ntz, next_check_at timestamp_ntz, status string, "
+        "fetch_fail_count long, play_count long, upvote_count long, comment_count long, playlist_ref_count boolean, update_tier string, "
+        "last_change_at timestamp_ntz, comments_fetch_needed boolean, last_fetch_error string"
+    )
+    rows = spark.range(200).selectExpr(
+        "cast(id AS string) AS id", "concat('song ', id) AS title", "'h' AS handle", "timestamp_ntz '2024-01-01 00:00:00' AS created_at",
+        "timestamp_ntz '2024-01-30 00:00:00' AS last_checked_at",
+        "IF(id = 42, timestamp_ntz '2024-01-30 12:00:00', timestamp_ntz '2024-02-09 00:00:00') AS next_check_at",
+        "'active' AS status", "0L AS fetch_fail_count", "5L AS play_count", "0L AS upvote_count", "0L AS comment_count",
+    )
+    songs = KeyedTable(spark, f"{base}/songs", spark.createDataFrame([], schema).schema, ["id"], 32)
+    upkeep.upsert_table(songs, rows)
+    snapshots = spark.createDataFrame([], "checked_at timestamp_ntz, id string, title string, handle string, created_at timestamp_ntz, "
+                                          "play_count long, upvote_count long, comment_count long")
+    tables_ = ChartTables(songs, upkeep.history_table(spark, f"{base}/history", snapshots.schema), upkeep.growth_table(spark, f"{base}/growth", 4))
+    feed = spark.createDataFrame([], "id string, record string, page_id long, item_position int")
+    page = spark.createDataFrame([("42", '{"id": "42", "play_count": 9}', None)], "id string, record string, error string")
+    first = refresh_tables(tables_, feed, page, None, "2024-01-31 00:00:00")
+    assert len(first["songs"]) == 32 and first["song_history"] == ["2024-01-31"] and len(first["growth"]) == 1  # tiers of all rows
+    again = refresh_tables(tables_, feed, page.limit(0), None, "2024-01-31 01:00:00")
+    assert again == {"song_history": [], "growth": [], "songs": []}
+    later = refresh_tables(tables_, feed, page, None, "2024-02-05 00:00:00")
+    assert len(later["songs"]) == 1 and later["song_history"] == ["2024-02-05"]
+    got = {r.id: r for r in songs.read().collect()}
+    assert got["42"].play_count == 9 and got["7"].play_count == 5 and len(got) == 200
+    assert sorted(str(r.checked_at) for r in tables_.history.read().collect()) == ["2024-01-31 00:00:00", "2024-02-05 00:00:00"]
+    assert tables_.growth.read().first()["_n"] == 2
