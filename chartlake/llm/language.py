@@ -9,8 +9,8 @@ products of two matrices: presence x landmarks, then kernels x coefficients.
 The n-grams of the landmarks are the columns of the presence matrix; they are found
 by a multiplicative hash of their bytes into 2**18 places.
 
-Bounds of the fit (per language, chosen by a hash of the row): ``landmarks`` and
-``examples``. The driver receives the landmark texts and one short vector per
+Bounds of the fit: the ``labels`` most frequent languages and, for each, ``landmarks``
+and ``examples`` (chosen by a hash of the row). The driver receives the landmark texts and one short vector per
 example. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and
@@ -40,6 +40,8 @@ UNKNOWN = "und"
 #: Rows of the presence matrix made at once.
 ROWS = 64
 SHARPNESS = 4.0
+#: Languages learned: those with the most labelled rows, ties by name.
+LABELS = 256
 #: Preferred length of landmark texts, which the driver receives.
 LANDMARK_CHARS = (200, 50_000)
 
@@ -113,7 +115,7 @@ def labelled_sample(docs: DataFrame, label: str, order: str, bound: int) -> Data
 
 def fit(
     labelled: DataFrame, text: str = "text", label: str = "lang", landmarks: int = 16, examples: int = 400,
-    ridge: float = 1e-2,
+    ridge: float = 1e-2, labels: int = LABELS,
 ) -> Model | None:
     """Fit on the rows of ``labelled`` with a label; None if there are none."""
     spark = labelled.sparkSession
@@ -121,7 +123,9 @@ def fit(
     order = F.xxhash64(*[F.col(c) for c in labelled.columns])
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), order.alias("order"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = materialize(labelled_sample(rows, "label", "order", examples))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_rows"))
+    frequent = materialize(counts.orderBy(F.desc("_rows"), "label").limit(labels).select("label"))
+    sample = materialize(labelled_sample(rows.join(F.broadcast(frequent), "label"), "label", "order", examples))
     # Landmarks: the first of each label, texts of some length before very short or long ones.
     odd = (~F.length("text").between(*LANDMARK_CHARS)).cast("int")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(odd, "_rank"))

@@ -185,6 +185,13 @@ def test_language_awkward_rows(spark, documents, awkward, empty):
     assert {(r.lang_pred, r.score) for r in language.classify(documents, single).collect()} == {("fr", 1.0)}
 
 
+def test_language_learns_the_most_frequent_labels(spark, documents):
+    odd = documents.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("odd"), "doc_id")).otherwise(F.col("lang")))
+    model = language.fit(odd.select("doc_id", "text", "lang"), labels=4)
+    assert model.languages == ["de", "en", "es", "fr"]
+    assert len(language.fit(odd.select("doc_id", "text", "lang"), labels=20).languages) == 20
+
+
 def test_language_stage_keeps_documents_without_any_label(spark, documents, awkward):
     bare = awkward.withColumn("lang", F.lit(None).cast("string"))
     out = corpus_pipeline.identify_language(spark, bare, SMALL).collect()
