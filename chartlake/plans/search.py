@@ -56,10 +56,8 @@ class SearchTable:
         grams = sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
         if not grams:
             return search_songs(self.items.read(), query, self.columns)
-        wanted = self.spark.sql(
-            "SELECT explode(:grams) AS gram", args={"grams": F.array(*[F.lit(g) for g in grams])}
-        )
-        held = self.postings.read(self.postings.touched(wanted.withColumn("id", F.lit("")))).where(F.col("gram").isin(grams))
+        wanted = self.spark.createDataFrame([(g, "") for g in grams], self.postings.schema)
+        held = self.postings.read(self.postings.touched(wanted)).where(F.col("gram").isin(grams))
         every = held.groupBy("id").agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(grams))
         ids = materialize(every.select("id"))
         candidates = self.items.read(self.items.touched(ids)).join(ids, "id", "left_semi")
