@@ -33,12 +33,12 @@ BATCH = "batch"
 BASE = "_base"
 
 
-def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
-    """Stream of landed parquet files."""
-    reader = spark.readStream.schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema: T.StructType, name: str | None = None) -> DataFrame:
+    """Stream of the landed parquet files of a folder, or of the file or folder ``name`` in it.
+
+    The name is given as a pattern, since a plain path of a stream must be a folder.
+    """
+    return spark.readStream.schema(schema).parquet(folder if name is None else f"{folder}/{{{name}}}")
 
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:

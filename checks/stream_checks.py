@@ -139,4 +139,5 @@ def stream_comment_quality(d):
     )
     columns = ("comment_id", "quality_label", "quality_weight")
     jobs.comment_sink(comments, f"{folder}/log", f"{folder}/checkpoint", AS_OF, columns, BUCKETS)
-    return d.spark.read.parquet(f"{folder}/log").select(*columns)
+    schema = "comment_id string, quality_label string, quality_weight double"
+    return d.spark.read.schema(schema).parquet(f"{folder}/log").select(*columns)

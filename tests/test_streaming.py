@@ -252,3 +252,15 @@ def test_refresh_in_place_writes_what_it_changes(spark):
     assert got["42"].play_count == 9 and got["7"].play_count == 5 and len(got) == 200
     assert sorted(str(r.checked_at) for r in tables_.history.read().collect()) == ["2024-01-31 00:00:00", "2024-02-05 00:00:00"]
     assert tables_.growth.read().first()["_n"] == 2
+
+
+def test_streams_read_a_file_and_a_folder_of_files(spark):
+    base = folder(spark)
+    df = spark.range(10).selectExpr("cast(id AS string) AS comment_id", "'love the chorus of this song' AS content")
+    df.repartition(3).write.parquet(f"{base}/many.parquet")
+    part = [n for n in tables.glob_names(spark, f"{base}/many.parquet/part-*")][0]
+    for name in ("many.parquet", f"many.parquet/{part}"):
+        out = f"{base}/out-{len(name)}"
+        jobs.comment_sink(jobs.file_stream(spark, base, df.schema, name), out, f"{out}-cp", "2024-01-31 00:00:00", ("comment_id",), 4)
+        assert 0 < spark.read.parquet(out).count() <= 10
+    assert spark.read.parquet(f"{base}/out-12").count() == 10
