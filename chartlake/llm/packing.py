@@ -9,7 +9,8 @@ so thousands of pieces a group cost a negligible share of sequences.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 packed each; an empty table gives no rows; other columns of the pieces pass through, and the added
-columns replace columns of the same name.
+columns replace columns of the same name; where sequences are kept apart by a column, null is a
+value of its own.
 """
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,11 +103,13 @@ def encoder(definition: str, end_token: int = END_TOKEN) -> Callable[[list[str]]
 
 
 def encode_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
+    by: str | None = None,
 ) -> DataFrame:
-    """Rows ``doc_id``, ``piece``, ``start``, ``length``, ``ids`` (little-endian 32-bit)."""
+    """Rows ``doc_id``, ``piece``, ``start``, ``length``, ``ids`` (little-endian 32-bit), and the column ``by``."""
     spark = docs.sparkSession
     tk.arrow_batches(spark)
+    passed = [by] if by else []
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = spark.sparkContext.broadcast(file.read())
     schema = T.StructType(
@@ -116,6 +119,7 @@ def encode_pieces(
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
             T.StructField("ids", T.BinaryType()),
+            *[docs.schema[c] for c in passed],
         ]
     )
 
@@ -130,13 +134,15 @@ def encode_pieces(
                         cut = code[at : at + 4 * capacity]
                         rows.append(row), number.append(k), ids.append(cut)
                         start.append(at // 4), length.append(len(cut) // 4)
+                of = pa.array(rows, pa.int64())
                 columns = [
-                    part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()),
+                    part.column("doc_id").take(of), pa.array(number, pa.int32()),
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
+                    *[part.column(c).take(of) for c in passed],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", *passed])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *passed).mapInArrow(pieces, schema)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -196,17 +202,37 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def deal(pieces: DataFrame, group_pieces: int, by: str) -> DataFrame:
+    """``pieces`` plus ``_group``; a group holds one value of ``by`` and about ``group_pieces`` rows at most."""
+    pieces = pieces.drop("_of", "_groups", "_first", "_place")
+    groups = F.ceil(F.count(F.lit(1)) / group_pieces)
+    counts = pieces.groupBy(F.col(by).alias("_of")).agg(groups.alias("_groups"))
+    earlier = Window.orderBy(F.col("_of").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("_groups").over(earlier), F.lit(0))
+    numbered = materialize(counts.withColumn("_first", first))  # one row per value
+    placed = pieces.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+    joined = placed.join(numbered, F.col(by).eqNullSafe(F.col("_of")))
+    dealt = joined.withColumn("_group", F.col("_first") + F.pmod("_place", "_groups"))
+    return dealt.select(*pieces.columns, "_group")
+
+
+def pack(
+    pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, by: str | None = None
+) -> DataFrame:
     """``pieces`` (with a ``length`` column) plus ``sequence_id`` and ``offset``.
 
-    ``pieces`` should be a stored table: the deal of its rows to groups follows their
+    With ``by``, a sequence holds pieces of one value of that column only. ``pieces``
+    should be a stored table: the deal of its rows to groups follows their
     place in it and must repeat when a task is run again.
     """
     pieces = pieces.drop("sequence_id", "offset", "_group")
-    groups = F.lit(max(1, -(-pieces.count() // group_pieces)))
-    dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), groups).cast("long"))
+    if by is None:
+        groups = F.lit(max(1, -(-pieces.count() // group_pieces)))
+        dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), groups).cast("long"))
+    else:
+        dealt = deal(pieces, group_pieces, by)
     schema = T.StructType(
-        [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+        [*dealt.drop("_group").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +243,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return dealt.groupBy("_group").applyInPandas(packed, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Packed pieces of ``docs`` with ``ids_crc32`` in place of the ids."""
-    pieces = encode_pieces(docs, tokenizer_path, capacity)
-    return pack(materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), capacity)
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, by: str | None = None
+) -> DataFrame:
+    """Packed pieces of ``docs`` with ``ids_crc32`` in place of the ids, and the column ``by``, which keeps sequences apart."""
+    pieces = encode_pieces(docs, tokenizer_path, capacity, by=by)
+    return pack(materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), capacity, by=by)

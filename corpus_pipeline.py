@@ -1,7 +1,8 @@
 """Corpus pipeline: language, near copies, personal data, source mix, packing.
 
 Each stage takes all its predecessor kept. Stages but the last return the columns of
-``documents``; the last returns packed pieces.
+``documents``; the last returns packed pieces. The language that the first stage settles
+on rules packing: a sequence holds documents of one language.
 """
 from __future__ import annotations
 
@@ -16,20 +17,25 @@ from chartlake.session import materialize, prepare_session
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Score from which the language found replaces a label that differs.
+SURE = 0.9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language (no text or no letter); fill in missing labels.
+    """Reject documents without a language (no text or no letter), correct wrong labels, fill in missing ones.
 
-    Without any label to learn from, missing labels stay missing.
+    A label gives way to another language found with a score of ``SURE`` or more; a label
+    that the model did not learn stays, as its language can't be found. Without any label
+    to learn from, missing labels stay missing.
     """
     prepare_session(spark)
     docs = docs.select(COLUMNS)
     known = docs.where(language.remainder(F.col("doc_id"), 4) != 2)
-    scored = language.classify(docs, language.fit(known.select("doc_id", "text", "lang")))
-    kept = scored.where(F.col("text").rlike(r"\p{L}"))
+    model = language.fit(known.select("doc_id", "text", "lang"))
+    kept = language.classify(docs, model).where(F.col("text").rlike(r"\p{L}"))
     found = F.nullif("lang_pred", F.lit(language.UNKNOWN))
-    return kept.withColumn("lang", F.coalesce(F.col("lang"), found)).select(COLUMNS)
+    sure = F.col("lang").isin(model.languages if model else []) & (F.col("score") >= SURE)
+    return kept.withColumn("lang", F.coalesce(F.when(sure, found), F.col("lang"), found)).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +63,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, packed into sequences."""
+    """Pieces of the documents' tokens, packed into sequences of one language each."""
     prepare_session(spark)
-    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(docs.select("doc_id", "text", "lang"), tokenizer, by="lang")
 
 
 STAGES: list[tuple[str, Stage]] = [

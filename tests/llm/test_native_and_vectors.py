@@ -7,12 +7,13 @@ import random
 import re
 import subprocess
 import sys
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_helpers import SMALL, WORDS, check_packing, clashing, classes_by_brute_force
+from llm_helpers import DOCS, SMALL, WORDS, check_packing, check_sequences, clashing, classes_by_brute_force
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -354,6 +355,55 @@ def test_pipeline_awkward_and_empty_documents(spark, awkward, empty):
     check_packing(packing.pack_documents(awkward.where("doc_id = -5"), WORDS).collect(), {-5: "one"})
 
 
+def test_language_found_rules_labels_and_packing(spark):
+    """Wrong and missing labels get the language found, which keeps sequences apart; others stay."""
+    words = {
+        "en": "the house and that river were often with their early morning which should have been quiet".split(),
+        "de": "der Fluss und das Haus waren nicht immer durch einen frühen Morgen zwischen schönen Bäumen".split(),
+    }
+    rng = random.Random(4)
+
+    def text(lang):
+        return " ".join(rng.choice(words[lang]) for _ in range(60))
+
+    rows = [(i, text(lang), lang, "s", 0) for i in range(80) for lang in [("en", "de")[i % 2]]]
+    held = next(i for i in range(102, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows += [(100, text("de"), "en", "s", 0), (101, text("en"), None, "s", 0), (held, text("de"), "xx", "s", 0), (None, text("de"), None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert found.pop(held) == "xx" and found.pop(100) == "de" and found.pop(101) == "en" and found.pop(None) == "de"
+    assert found == {i: ("en", "de")[i % 2] for i in range(80)}
+
+    def ids(labels):
+        packed = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(labels, DOCS), "").collect()
+        check_sequences([r for r in packed if r.lang == "en"])
+        langs = {}
+        for r in packed:
+            langs.setdefault(r.sequence_id, set()).add(r.lang)
+        assert all(len(x) == 1 for x in langs.values())
+        return {(r.doc_id, r.piece, r.length, r.lang) for r in packed}
+
+    apart = [(i, t, found.get(i), s, n) for i, t, _, s, n in rows]
+    one, other = ids(apart), ids([(i, t, None, s, n) for i, t, _, s, n in rows])
+    assert {x[:3] for x in one} == {x[:3] for x in other} and {x[3] for x in one} == {"en", "de", None}
+
+
+def test_pieces_packed_by_a_column_keep_groups_small(spark):
+    rows = [(i, 1 + i * 37 % 64, "abc"[i % 3] if i % 4 else None, i) for i in range(600)]
+    pieces = neardup.materialize(spark.createDataFrame(rows, "doc_id long, length long, kind string, _of long"))
+    packed = packing.pack(pieces, 64, 50, "kind").collect()
+    assert len(packed) == 600 and {(r.doc_id, r.length, r.kind) for r in packed} == {row[:3] for row in rows}
+    groups, bins = {}, {}
+    for r in packed:
+        groups.setdefault(r.sequence_id >> 31, []).append(r.kind)
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(len(set(g)) == 1 and len(g) < 100 for g in groups.values()) and len(groups) == 12
+    for inside in bins.values():
+        ends = [0, *(o + n for o, n in sorted(inside))]
+        assert [o for o, _ in sorted(inside)] == ends[:-1] and ends[-1] <= 64
+    assert packing.pack(pieces.where("doc_id < 0"), 64, 50, "kind").count() == 0
+
+
 def test_tasks_need_no_installed_package(tmp_path):
     """A job started from another folder ships the functions its tasks run."""
     code = (
