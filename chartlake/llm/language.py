@@ -146,6 +146,7 @@ def fit(
     shared = spark.sparkContext.broadcast((column, marks))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         column, marks = shared.value
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -185,6 +186,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         model = Model(*shared.value) if shared.value else None
         for batch in batches:
             for part in tk.slices(batch, text):

@@ -128,6 +128,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, words
     tk.arrow_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 texts = part.num_rows
@@ -153,6 +154,7 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 sh, of, _, hashes, owner = weighted_shingles(*tk.text_bytes(part.column("text")), words)
@@ -175,6 +177,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         for batch in batches:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
@@ -235,6 +238,7 @@ def search_blocks(members: DataFrame, sets: DataFrame, threshold: float = THRESH
     units = dealt.select("bucket", "i", "j", "own", "node", "component").join(sets.drop("n"), "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         for unit in tk.groups(batches, ["bucket", "i", "j"]):
             column = {c: unit.column(c).to_numpy() for c in ("node", "component", "own")}
             sets_ = [_set(s) for s in unit.column("shingles")]
@@ -367,6 +371,7 @@ def contents(docs: DataFrame) -> DataFrame:
     schema = docs.select(names).schema.add("_c1", "long").add("_c2", "long").add("_n", "long")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.drop_words()
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 hashes, owner, _ = tk.word_hashes(*tk.text_bytes(part.column("text")))

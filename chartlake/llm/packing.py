@@ -14,6 +14,7 @@ value of its own.
 """
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -77,11 +78,13 @@ def encoder(definition: str, end_token: int = END_TOKEN) -> Callable[[list[str]]
     """Encode texts as little-endian 32-bit ids plus the end token.
 
     A text's ids are those of its words, and a word that comes again is looked up.
-    The words known are kept for the next task of the same Python process.
+    The words known are kept for the next task of the same Python process, until one of
+    another kind drops them. A task encodes in its own thread: more threads only add memory.
     """
     from tokenizers import Tokenizer
 
-    state = sys.modules.setdefault("_packing_state", types.ModuleType("_packing_state")).__dict__
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    state = sys.modules.setdefault(tk.WORDS_KEPT, types.ModuleType(tk.WORDS_KEPT)).__dict__
     if state.get("definition") != definition:
         state |= {"definition": definition, "tokenizer": Tokenizer.from_str(definition), "known": {b"": b""}, "bytes": 0}
     tokenizer, known = state["tokenizer"], state["known"]
@@ -236,6 +239,7 @@ def pack(
     )
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
+        tk.drop_words()
         rows = group.drop(columns="_group")
         bins, offsets = best_two_fit(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=group["_group"].to_numpy() * (1 << 31) + bins, offset=offsets)

@@ -5,6 +5,8 @@ ASCII letters, digits and non-ASCII bytes. A null text counts as empty.
 """
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,8 @@ BLOCK = 1 << 20
 ODD = 0x9E3779B97F4A7C15
 #: Set for the tasks' sake by ``arrow_batches``: rows in one Arrow batch.
 ROWS = 512
+#: Module in which a Python worker keeps what packing tasks know of words.
+WORDS_KEPT = "_packing_state"
 
 
 def arrow_batches(spark) -> None:
@@ -23,6 +27,16 @@ def arrow_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
 
+def drop_words() -> None:
+    """Drop the words that earlier packing tasks kept in this Python worker.
+
+    Spark gives a worker to tasks of all operators; those that don't look words up call
+    this first, so that their memory doesn't come on top of the words'.
+    """
+    if sys.modules.pop(WORDS_KEPT, None) is not None:
+        gc.collect()  # the last task's function may still refer to them
+
+
 def word_bytes() -> np.ndarray:
     table = np.zeros(256, bool)
     table[128:] = True

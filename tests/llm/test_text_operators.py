@@ -4,7 +4,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -536,3 +538,35 @@ def test_word_cache_is_bounded_in_bytes(monkeypatch):
         assert held <= state["bytes"] + 4
         largest = max(largest, held)
     assert largest < (1 << 20) + 10_000
+
+
+def test_words_dropped_are_learned_again(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    with open(WORDS, encoding="utf-8") as file:
+        definition = file.read()
+    before = packing.encoder(definition)
+    ids = before(["some words", "some others"])
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    textkernels.drop_words()
+    assert "_packing_state" not in sys.modules
+    textkernels.drop_words()
+    assert packing.encoder(definition)(["some words", "some others"]) == ids == before(["some words", "some others"])
+
+
+def test_tasks_of_other_operators_drop_the_words_kept(spark):
+    """Workers go from packing to other operators; what they knew of words goes."""
+    rows = [(i, f"word{i} and more", "en") for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(64).cache()
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": ["_packing_state" in sys.modules]})
+
+    def held():
+        return sum(r.held for r in docs.select("doc_id").mapInArrow(look, "held boolean").collect())
+
+    for other in (language.classify(docs, None), neardup.signatures(docs), neardup.contents(docs)):
+        packing.encode_pieces(docs, WORDS).write.format("noop").mode("overwrite").save()
+        assert held() > 0
+        other.write.format("noop").mode("overwrite").save()
+        assert held() == 0
