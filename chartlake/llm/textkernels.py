@@ -5,9 +5,9 @@ ASCII letters, digits and non-ASCII bytes. A null text counts as empty.
 """
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Iterator
+from gc import collect as collect_garbage
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ def drop_words() -> None:
     this first, so that their memory doesn't come on top of the words'.
     """
     if sys.modules.pop(WORDS_KEPT, None) is not None:
-        gc.collect()  # the last task's function may still refer to them
+        collect_garbage()  # the last task's function may still refer to them
 
 
 def word_bytes() -> np.ndarray:
