@@ -14,7 +14,7 @@ from chartlake.operators.catalog import history_append, update_tiers, upsert_by_
 from chartlake.operators.scoring import prepare_history
 from chartlake.plans.jobs import refresh_changes
 from chartlake.plans.upkeep import add_growth, compact_days, upsert_table
-from chartlake.session import materialize, scratch
+from chartlake.session import materialize, measured_broadcasts, scratch
 from chartlake.sources.parts import KeyedTable, PartTable
 
 RUN = "refresh"
@@ -60,10 +60,11 @@ def refresh_tables(
     refreshed items are appended to their day, and days that passed the line are
     compacted. The catalogue is written last: until then a run that failed can be
     repeated with the same inputs and time, and tables it has written are left alone.
+    Joins are broadcast by measured sizes, as most columns of a catalogue are empty.
     """
     songs, history = tables.songs, tables.history
     run = int(datetime.fromisoformat(as_of).replace(tzinfo=timezone.utc).timestamp())
-    with scratch(songs.spark):
+    with scratch(songs.spark), measured_broadcasts(songs.spark):
         stored = songs.read()
         known, ok, updates = refresh_changes(stored, history.read(), feed, fetched, playlist_items, as_of, tiers, links)
         upserted = normalize_text_columns(upsert_by_key(known, updates, ["id"]))

@@ -264,3 +264,47 @@ def test_streams_read_a_file_and_a_folder_of_files(spark):
         jobs.comment_sink(jobs.file_stream(spark, base, df.schema, name), out, f"{out}-cp", "2024-01-31 00:00:00", ("comment_id",), 4)
         assert 0 < spark.read.parquet(out).count() <= 10
     assert spark.read.parquet(f"{base}/out-12").count() == 10
+
+
+def largest_broadcast(spark, after: int) -> int:
+    """Most rows that a query numbered above ``after`` has broadcast."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        number = executions.apply(i).executionId()
+        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for node in [nodes.apply(k) for k in range(nodes.size())] if number > after else []:
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+            ids = [m.accumulatorId() for m in metrics if m.name() == "number of output rows"]
+            if node.name().startswith("BroadcastExchange") and ids and values.contains(ids[0]):
+                most = max(most, int(values.apply(ids[0]).replace(",", "")))
+    return most
+
+
+def test_refresh_in_place_broadcasts_by_measured_size(spark):
+    from chartlake.plans.refresh import ChartTables, refresh_tables
+    from chartlake.session import GUESSED, MEASURED
+    from chartlake.sources.parts import KeyedTable
+
+    base, n = folder(spark), 20_000
+    schema = spark.createDataFrame([], "id string, title string, handle string, created_at timestamp_ntz, last_checked_at timestamp_ntz, "
+        "next_check_at timestamp_ntz, status string, fetch_fail_count long, play_count long, upvote_count long, comment_count long, "
+        "playlist_ref_count boolean, update_tier string, last_change_at timestamp_ntz, comments_fetch_needed boolean, last_fetch_error string").schema
+    rows = spark.range(n).selectExpr("cast(id AS string) AS id", "timestamp_ntz '2024-01-01 00:00:00' AS last_checked_at", "5L AS play_count")
+    songs = KeyedTable(spark, f"{base}/songs", schema, ["id"], 4)
+    upkeep.upsert_table(songs, rows.select(*[c if c in rows.columns else F.lit(None).alias(c) for c in schema.names]))
+    snapshots = spark.createDataFrame([], "checked_at timestamp_ntz, id string, created_at timestamp_ntz, play_count long, upvote_count long, comment_count long")
+    tables_ = ChartTables(songs, upkeep.history_table(spark, f"{base}/history", snapshots.schema))
+    feed = spark.createDataFrame([], "id string, record string, page_id long, item_position int")
+    page = songs.read().selectExpr("id", "concat('{\"play_count\": 9, \"id\": \"', id, '\"}') AS record", "CAST(null AS string) AS error")
+    limit, set_before = 64 * 1024, spark.conf.get(GUESSED, None)
+    spark.conf.set(GUESSED, str(limit))
+    try:
+        executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+        after = max([executions.apply(i).executionId() for i in range(executions.size())], default=-1)
+        refresh_tables(tables_, feed, page, None, "2024-01-31 00:00:00")
+        assert (spark.conf.get(GUESSED), spark.conf.get(MEASURED, None)) == (str(limit), None)
+    finally:
+        spark.conf.unset(GUESSED) if set_before is None else spark.conf.set(GUESSED, set_before)
+    assert songs.read().where("play_count = 9").count() == n
+    assert largest_broadcast(spark, after) <= limit / 24  # bytes of a row with an id
