@@ -10,7 +10,7 @@ from chartlake.config import TierConfig
 from chartlake.operators import catalog
 from chartlake.plans import jobs, upkeep
 from chartlake.plans.refresh import ChartTables, refresh_tables
-from chartlake.session import shared_folder
+from chartlake.session import measured_broadcasts, shared_folder
 from chartlake.sources import feeds, tables
 from chartlake.sources.driver import AS_OF
 from chartlake.sources.parts import KeyedTable
@@ -289,8 +289,9 @@ def refreshed_tables(d):
         upkeep.history_table(d.spark, work_folder(d, "history"), history.schema),
         upkeep.growth_table(d.spark, work_folder(d, "growth"), 8),
     )
-    upkeep.upsert_table(stored.songs, songs)
-    stored.history.append(d.stored("song_history"))
+    with measured_broadcasts(d.spark):
+        upkeep.upsert_table(stored.songs, songs)
+        stored.history.append(d.stored("song_history"))
     for _ in range(2):
         refresh_tables(stored, discovered(d), landed_items(d), d.item_references(), AS_OF, TIERS)
     return stored

@@ -308,3 +308,28 @@ def test_refresh_in_place_broadcasts_by_measured_size(spark):
         spark.conf.unset(GUESSED) if set_before is None else spark.conf.set(GUESSED, set_before)
     assert songs.read().where("play_count = 9").count() == n
     assert largest_broadcast(spark, after) <= limit / 24  # bytes of a row with an id
+
+
+def test_stored_tables_are_loaded_by_measured_size(spark):
+    from chartlake.session import GUESSED
+    from checks import QUERIES
+
+    base, n = folder(spark), 20_000
+    shapes = {
+        "part": (n, "id AS p_partkey", "'name' AS p_name", "'brand' AS p_brand", "'type' AS p_type", "5 AS p_size", "1.0D AS p_retailprice"),
+        "events": (300, "id AS event_id", "timestamp_ntz '2024-01-03 00:00:00' + make_dt_interval(0, id) AS ts", "id % 20 AS user_id",
+                   "element_at(array('view', 'click', 'error'), cast(id % 3 + 1 AS int)) AS event_type", "1.0D AS value", "'{}' AS props"),
+        "lineitem": (20, "id AS l_suppkey", "1 AS l_linenumber"),
+    }
+    for name, (rows, *columns) in shapes.items():
+        spark.range(0, rows, 1, 1).selectExpr(*columns).write.parquet(f"{base}/{name}.parquet")
+    limit, set_before = 256 * 1024, spark.conf.get(GUESSED, None)
+    spark.conf.set(GUESSED, str(limit))
+    try:
+        executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+        after = max([executions.apply(i).executionId() for i in range(executions.size())], default=-1)
+        out = QUERIES["refresh_tables"](spark, base)
+        assert out.where("id LIKE 'new-%'").count() == n
+    finally:
+        spark.conf.unset(GUESSED) if set_before is None else spark.conf.set(GUESSED, set_before)
+    assert largest_broadcast(spark, after) <= limit / 16  # bytes of a row with a number
